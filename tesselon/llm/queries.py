@@ -25,7 +25,14 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode(docs, vocabulary, wordbpe.build_lexicon(docs, vocabulary), digests=True)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_packing": op7_packing,
     "op9_word_bpe": op9_word_bpe,
 }
 
