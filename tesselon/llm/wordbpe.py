@@ -20,6 +20,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -326,9 +327,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 15, text: s
     words = sorted(r.word for r in frequent_words(docs, size, text).collect())
     v = Vocabulary(vocabulary)
     t = Transducer.build(words, [v.merge(w) for w in words])
-    digest = hashlib.sha256(repr((words, os.path.basename(vocabulary))).encode()).hexdigest()[:16]
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    path = os.path.join(folder, f"lexicon-{digest}.bin")
+    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin")
     t.save(path)
     docs.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
