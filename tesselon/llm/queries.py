@@ -25,6 +25,12 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode(docs, vocabulary, wordbpe.build_lexicon(docs, vocabulary), digests=True)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import minhash
+
+    return minhash.groups(table(spark, sf_dir, "documents"), width=4, similar=80)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm import packing
 
@@ -32,6 +38,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op9_word_bpe": op9_word_bpe,
 }
