@@ -17,6 +17,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import pii
+
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm import wordbpe
 
@@ -25,6 +39,12 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode(docs, vocabulary, wordbpe.build_lexicon(docs, vocabulary), digests=True)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm import minhash
 
@@ -38,10 +58,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_topk": op3_topk,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
+    "op8_langid": op8_langid,
     "op9_word_bpe": op9_word_bpe,
+    "op10_pii": op10_pii,
 }
 
 #: Queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20""",
+}
