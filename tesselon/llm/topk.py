@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SHARD, QUERIES, BLOCK = 8192, 1024, 128
+SHARD, QUERIES, BLOCK = 8192, 1024, 256
 
 
 def _quantise(scale: int):
