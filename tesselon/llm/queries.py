@@ -59,6 +59,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import htmltext
+
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm import warc
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_chat": op2_chat,
     "op3_topk": op3_topk,
+    "op4_main_text": op4_main_text,
     "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
