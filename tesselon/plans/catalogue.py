@@ -1,10 +1,629 @@
-"""Every query of the engine with the SQL that checks it."""
+"""Every query of the engine over the derived views, with independent SQL that checks it.
+
+Results are whole numbers, strings and flags: lengths in millimetres, degrees in ticks of 1e-7, ratios
+in millionths.  They do not depend on the order in which doubles are summed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tesselon.functions import classify, fixed, geo, names
+from tesselon.operators import cloud, raster, render, spatial, tiles as tiling
+from tesselon.plans.fixtures import ctes, view
+from tesselon.sources import features, obj
+
+GRID = 64
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+K = ", ".join(KEYS)
+VIEWPORT = (320, 180)
+SCREEN = (96, 64)
+CAMERA = render.Camera(52.51, 13.39, 6000.0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def scaled(c: Column, by: float = 1000.0) -> Column:
+    return F.round(c * by).cast("bigint")
+
+
+def num(v: float) -> str:
+    """A double literal in either engine."""
+    return f"({v:.17e})"
+
+
+# ---------------------------------------------------------------- SQL parts
+
+_S2 = "sin(radians(lat))*sin(radians(lat))"
+ECEF = f"""(SELECT *, (nn + h_m)*cos(radians(lat))*cos(radians(lon)) AS ex, (nn + h_m)*cos(radians(lat))*sin(radians(lon)) AS ey, (nn*(1e0 - {num(geo.E2)}) + h_m)*sin(radians(lat)) AS ez
+  FROM (SELECT *, {num(geo.A)}/sqrt(1e0 - {num(geo.E2)}*{_S2}) AS nn FROM {{src}}))"""
+
+
+def geodetic_sql(src: str, x: str, y: str, z: str) -> str:
+    """``src`` with glat, glon, gh."""
+    return f"""(SELECT *, degrees(phi) AS glat, degrees(atan2({y}, {x})) AS glon, p/cos(phi) - {num(geo.A)}/sqrt(1e0 - {num(geo.E2)}*sin(phi)*sin(phi)) AS gh FROM
+  (SELECT *, atan2({z} + {num(geo.EP2 * geo.B)}*pow(sin(th), 3), p - {num(geo.E2 * geo.A)}*pow(cos(th), 3)) AS phi FROM
+  (SELECT *, sqrt({x}*{x} + {y}*{y}) AS p, atan2({z}*{num(geo.A)}, sqrt({x}*{x} + {y}*{y})*{num(geo.B)}) AS th FROM {src})))"""
+
+
+def big(e: str) -> str:
+    return f"CAST(round({e}) AS BIGINT)"
+
+
+def _scaled_list(columns, by: str, suffix: str) -> str:
+    return ", ".join(f"{big(f'{c}*{by}')} AS {c}{suffix}" for c in columns)
+
+
+_TILED = f"tiled AS (SELECT e.*, t.tile_id FROM {ECEF.format(src='points')} e JOIN tiles t ON e.lon BETWEEN t.lon_min AND t.lon_max AND e.lat BETWEEN t.lat_min AND t.lat_max)"
+_BOXED = ctes("tiles", "points") + ",\n" + _TILED
+
+
+def anchored_sql(requested: int) -> str:
+    reach = "greatest(hx - cx, cx - lx, hy - cy, cy - ly, hz - cz, cz - lz)"
+    return f"""stat AS (SELECT tile_id, count(*) AS n, avg(ex) AS cx, avg(ey) AS cy, avg(ez) AS cz, min(ex) AS lx, max(ex) AS hx, min(ey) AS ly, max(ey) AS hy, min(ez) AS lz, max(ez) AS hz FROM tiled GROUP BY tile_id),
+anch AS (SELECT *, {big('cx*upm')} AS ax, {big('cy*upm')} AS ay, {big('cz*upm')} AS az FROM
+  (SELECT *, CASE WHEN {reach} <= 1e-12 THEN CAST({requested} AS BIGINT) ELSE CAST(greatest(least(floor(2147483647e0/({reach}*105e-2)), {requested}e0), 1e0) AS BIGINT) END AS upm FROM stat)),
+offs AS (SELECT tiled.*, anch.upm, anch.ax, anch.ay, anch.az, {big('ex*anch.upm')} - anch.ax AS dx, {big('ey*anch.upm')} - anch.ay AS dy, {big('ez*anch.upm')} - anch.az AS dz FROM tiled JOIN anch USING (tile_id))"""
+
+
+_PADDED = """padded AS (SELECT tile_id, lon_min - plon AS lon_min, lon_max + plon AS lon_max, lat_min - plat AS lat_min, lat_max + plat AS lat_max FROM
+  (SELECT *, 50e0/110574e0 AS plat, 50e0/(111320e0*greatest(abs(cos(radians(5e-1*(lat_min + lat_max)))), 1e-6)) AS plon FROM tiles))"""
+_KEPT = _PADDED + """,
+kept AS (SELECT n.node_id, n.lon, n.lat, p.tile_id FROM osm_nodes n JOIN padded p ON n.lon BETWEEN p.lon_min AND p.lon_max AND n.lat BETWEEN p.lat_min AND p.lat_max)"""
+_NUMERIC = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+
+
+def _float_sql(e: str) -> str:
+    return f"CASE WHEN regexp_matches({e}, {_NUMERIC}) THEN TRY_CAST({e} AS FLOAT) END"
+
+
+_WIDTH = f"""w AS (SELECT *, CASE WHEN s LIKE '%m' THEN {_float_sql("trim(left(s, length(s) - 1))")}
+  WHEN s LIKE '%ft' THEN CAST(({_float_sql("trim(left(s, length(s) - 2))")}) * CAST(0.3048 AS FLOAT) AS FLOAT)
+  ELSE {_float_sql("s")} END AS wm, CASE WHEN regexp_matches(lanes, '^[+]?[0-9]+$') THEN TRY_CAST(lanes AS BIGINT) END AS ln FROM (SELECT *, lower(trim(width)) AS s FROM osm_ways))"""
+_HIGHWAY = (
+    _WIDTH
+    + """,
+hb AS (SELECT *, CASE WHEN highway IN ('motorway','trunk','primary') THEN 2 WHEN highway IN ('secondary','tertiary','residential','service') THEN 3 ELSE 4 END AS hc,
+  CAST(CASE highway WHEN 'motorway' THEN 12 WHEN 'trunk' THEN 10 WHEN 'primary' THEN 8 WHEN 'secondary' THEN 7 WHEN 'tertiary' THEN 6 WHEN 'residential' THEN 5 WHEN 'service' THEN 5 ELSE 2 END AS FLOAT) AS base FROM w),
+hw AS (SELECT *, CASE WHEN wm IS NOT NULL THEN greatest(wm, CAST(1 AS FLOAT)) WHEN coalesce(ln, 0) >= 2 THEN greatest(CAST(CAST(ln AS FLOAT) * CAST(3.2 AS FLOAT) AS FLOAT), base) ELSE base END AS hwm FROM hb)"""
+)
+_CLASS = (
+    _HIGHWAY
+    + """,
+cl0 AS (SELECT way_id, CASE WHEN building <> '' THEN 1 WHEN highway IS NOT NULL THEN hc WHEN natural_tag = 'water' THEN 5 WHEN waterway = 'riverbank' THEN 5 WHEN landuse = 'forest' THEN 7
+   WHEN landuse IN ('grass','meadow','reservoir') THEN 6 WHEN leisure IN ('park','pitch') THEN 6 WHEN railway <> '' THEN 8 WHEN amenity = 'parking' THEN 9 END AS class,
+   CASE WHEN coalesce(building, '') <> '' THEN CAST(0 AS FLOAT) WHEN highway IS NOT NULL THEN hwm WHEN natural_tag = 'water' OR waterway = 'riverbank' OR landuse IN ('forest','grass','meadow','reservoir') OR leisure IN ('park','pitch') THEN CAST(0 AS FLOAT) WHEN railway <> '' THEN CAST(4 AS FLOAT) ELSE CAST(0 AS FLOAT) END AS width_m,
+   CASE WHEN coalesce(building, '') <> '' THEN true WHEN highway IS NOT NULL THEN false WHEN natural_tag = 'water' OR waterway = 'riverbank' OR landuse IN ('forest','grass','meadow','reservoir') OR leisure IN ('park','pitch') THEN true WHEN railway <> '' THEN false ELSE true END AS is_area FROM hw),
+cl AS (SELECT * FROM cl0 WHERE class IS NOT NULL)"""
+)
+_CLASS_NAMES = ", ".join(f"({c[0]}, '{c[1]}')" for c in classify.CLASSES)
+_OVERLAY_VIEWS = ctes("tiles", "osm_nodes", "way_refs", "osm_ways")
+_OVERLAY = (
+    _OVERLAY_VIEWS
+    + ",\n"
+    + _KEPT
+    + ",\n"
+    + _CLASS
+    + """,
+geo1 AS (SELECT r.way_id, r.seq, k.node_id, k.lon, k.lat FROM way_refs r JOIN (SELECT DISTINCT node_id, lon, lat FROM kept) k USING (node_id)),
+geon AS (SELECT way_id, count(*) AS nv FROM geo1 GROUP BY way_id),
+wt AS (SELECT DISTINCT r.way_id, k.tile_id FROM way_refs r JOIN kept k USING (node_id)),
+ov AS (SELECT wt.tile_id, cl.*, geon.nv FROM cl JOIN geon USING (way_id) JOIN wt USING (way_id) WHERE nv >= CASE WHEN is_area THEN 3 ELSE 2 END)"""
+)
+
+
+def _pix(v: str, lo: str, hi: str) -> str:
+    return f"CAST(round(CAST(greatest(least(CAST(({v} - {lo})/greatest({hi} - {lo}, 1e-12) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) * CAST({GRID - 1} AS FLOAT) AS FLOAT)) AS INTEGER)"
+
+
+_PIXELS = (
+    _OVERLAY
+    + f""",
+vx AS (SELECT ov.tile_id, ov.way_id, ov.class, ov.is_area, ov.width_m, row_number() OVER (PARTITION BY ov.tile_id, ov.way_id ORDER BY g.seq) AS i, ov.nv, {_pix('g.lon', 't.lon_min', 't.lon_max')} AS x, {_pix('g.lat', 't.lat_min', 't.lat_max')} AS y,
+  greatest(CAST(CAST(ov.width_m AS DOUBLE)*5e-1/(5e-1*(greatest(t.lon_max - t.lon_min, 1e-12)*111320e0*greatest(abs(cos(radians(5e-1*(t.lat_min + t.lat_max)))), 1e-6)/{GRID}e0 + greatest(t.lat_max - t.lat_min, 1e-12)*110574e0/{GRID}e0)) AS FLOAT), CAST(0.5 AS FLOAT)) AS radius
+  FROM ov JOIN geo1 g USING (way_id) JOIN tiles t ON t.tile_id = ov.tile_id),
+ed AS (SELECT a.tile_id, a.way_id, a.class, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM vx a JOIN vx b ON a.tile_id = b.tile_id AND a.way_id = b.way_id AND b.i = CASE WHEN a.i = 1 THEN a.nv ELSE a.i - 1 END WHERE a.is_area),
+bb AS (SELECT tile_id, way_id, min(class) AS class, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vx WHERE is_area GROUP BY 1, 2),
+cand AS (SELECT tile_id, way_id, class, y, unnest(generate_series(x0, x1)) AS x FROM (SELECT *, unnest(generate_series(y0, y1)) AS y FROM bb)),
+area AS (SELECT c.tile_id, c.way_id, c.class, c.y, c.x FROM cand c JOIN ed e ON c.tile_id = e.tile_id AND c.way_id = e.way_id AND (e.yi > c.y) <> (e.yj > c.y)
+  AND CAST(c.x AS FLOAT) < CAST(CAST(CAST(e.xj - e.xi AS FLOAT) * CAST(CAST(c.y - e.yi AS FLOAT)/CAST(nullif(e.yj - e.yi, 0) AS FLOAT) AS FLOAT) AS FLOAT) + CAST(e.xi AS FLOAT) AS FLOAT)
+  GROUP BY 1, 2, 3, 4, 5 HAVING count(*) % 2 = 1)"""
+)
+_f = "CAST({} AS FLOAT)".format
+_LINES = (
+    _PIXELS
+    + f""",
+sg AS (SELECT DISTINCT a.tile_id, a.way_id, a.class, a.radius AS r, {_f('a.x')} AS x0, {_f('a.y')} AS y0, {_f('b.x')} AS x1, {_f('b.y')} AS y1 FROM vx a JOIN vx b ON a.tile_id = b.tile_id AND a.way_id = b.way_id AND b.i = a.i + 1 WHERE NOT a.is_area),
+lc AS (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(x0, x1) - r) AS INTEGER), {GRID - 1}), 0), greatest(least(CAST(ceil(greatest(x0, x1) + r) AS INTEGER), {GRID - 1}), 0))) AS x FROM
+  (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(y0, y1) - r) AS INTEGER), {GRID - 1}), 0), greatest(least(CAST(ceil(greatest(y0, y1) + r) AS INTEGER), {GRID - 1}), 0))) AS y FROM sg)),
+lt AS (SELECT *, {_f('x')} + {_f('0.5')} AS px, {_f('y')} + {_f('0.5')} AS py FROM lc),
+lu AS (SELECT *, greatest(least(CAST(CAST((px - x0)*(x1 - x0) + (py - y0)*(y1 - y0) AS FLOAT)/CAST((x1 - x0)*(x1 - x0) + (y1 - y0)*(y1 - y0) + {_f('1e-12')} AS FLOAT) AS FLOAT), {_f('1')}), {_f('0')}) AS t FROM lt),
+line AS (SELECT DISTINCT tile_id, way_id, class, y, x FROM lu WHERE (px - (x0 + t*(x1 - x0)))*(px - (x0 + t*(x1 - x0))) + (py - (y0 + t*(y1 - y0)))*(py - (y0 + t*(y1 - y0))) <= r*r)"""
+)
+_PREC = "CASE class WHEN 5 THEN 200 WHEN 1 THEN 200 WHEN 8 THEN 160 WHEN 2 THEN 150 WHEN 3 THEN 140 WHEN 4 THEN 130 WHEN 6 THEN 100 WHEN 7 THEN 90 WHEN 9 THEN 80 ELSE 0 END"
+_MASK = (
+    _LINES
+    + f""",
+painted AS (SELECT tile_id, y, x, class FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, y, x ORDER BY {_PREC} DESC, ln DESC, way_id DESC) AS k FROM
+  (SELECT *, 0 AS ln FROM area UNION ALL SELECT *, 1 AS ln FROM line)) WHERE k = 1),
+withov AS (SELECT DISTINCT tile_id FROM ov),
+full_grid AS (SELECT w.tile_id, y.y, x.x, coalesce(p.class, 0) AS class FROM withov w CROSS JOIN (SELECT unnest(generate_series(0, {GRID - 1})) AS y) y CROSS JOIN (SELECT unnest(generate_series(0, {GRID - 1})) AS x) x
+  LEFT JOIN painted p ON p.tile_id = w.tile_id AND p.y = y.y AND p.x = x.x),
+runs AS (SELECT tile_id, min(i) AS start, count(*) AS len, class FROM (SELECT *, i - row_number() OVER (PARTITION BY tile_id, class ORDER BY i) AS g FROM (SELECT *, CAST(y*{GRID} + x AS BIGINT) AS i FROM full_grid)) GROUP BY tile_id, class, g)"""
+)
+
+_FRAG = """frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % 96 AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % 64 AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
+  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 16 = 3)"""
+_SCREEN_SQL = (
+    _FRAG.format(lineitem="lineitem")
+    + f""",
+pix AS (SELECT y, x, z, label, CASE WHEN (x + y) % 17 = 0 THEN 0e0 ELSE 1e0 END AS tag, 7e-1 AS r, 7e-1 AS g, 7e-1 AS b FROM
+  (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY z, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS k FROM frag) WHERE k = 1),
+col(class, cr, cg, cb) AS (VALUES {', '.join(f'({c[0]}, {num(c[3])}, {num(c[4])}, {num(c[5])})' for c in classify.CLASSES)}),
+tinted AS (SELECT y, x, z, label, tag, """
+    + ", ".join(f"CASE WHEN z < 9999e-4 AND label <> 0 THEN {c}*2e-1 + c{c}*8e-1 ELSE {c} END AS {c}" for c in "rgb")
+    + " FROM pix JOIN col ON col.class = pix.label)"
+)
+
+
+def rgb_sql(src: str) -> str:
+    return f"SELECT y, x, {_scaled_list('rgb', '1e6', '_u')} FROM {src}"
+
+
+# ---------------------------------------------------------------- views
+
+
+def _points(spark, d) -> DataFrame:
+    x, y, z = geo.ecef(F.col("lat"), F.col("lon"), F.col("h_m"))
+    return view(spark, d, "points").withColumns({"ex": x, "ey": y, "ez": z})
+
+
+def _tiled(spark, d) -> DataFrame:
+    return spatial.in_boxes(_points(spark, d), view(spark, d, "tiles"))
+
+
+def _kept(spark, d) -> DataFrame:
+    return spatial.keep_nodes(view(spark, d, "osm_nodes"), spatial.pad_tiles(view(spark, d, "tiles")))
+
+
+def _overlay(spark, d) -> DataFrame:
+    return spatial.overlay(view(spark, d, "osm_ways"), view(spark, d, "way_refs"), _kept(spark, d))
+
+
+def _pixelised(spark, d) -> DataFrame:
+    return raster.pixelised(_overlay(spark, d), view(spark, d, "tiles"), GRID)
+
+
+def _mask(spark, d) -> DataFrame:
+    px = _pixelised(spark, d)
+    return raster.paint(raster.fill_areas(px.filter("is_area"), GRID), raster.buffer_lines(px.filter("not is_area"), GRID))
+
+
+def _dense(spark, d) -> DataFrame:
+    return raster.dense(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
+
+
+def _anchored(spark, d, upm: int = 1000) -> tuple[DataFrame, DataFrame]:
+    rows = _tiled(spark, d)
+    found = tiling.anchors(rows, "tile_id", upm)
+    return found, tiling.offsets(rows, found, "tile_id")
+
+
+def _screen(spark, d) -> DataFrame:
+    frag = spark.sql("WITH " + _FRAG + " SELECT * FROM frag", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    px = render.depth_resolve(frag, KEYS)
+    return render.coloured(px.withColumn("tag", F.when((F.col("x") + F.col("y")) % 17 == 0, 0.0).otherwise(1.0)))
+
+
+def _rgb(px: DataFrame) -> DataFrame:
+    return px.select("y", "x", *[scaled(F.col(c), 1e6).alias(f"{c}_u") for c in "rgb"])
+
+
+# ---------------------------------------------------------------- scalar geodesy
+
+
+@query(f"WITH {ctes('points')} SELECT {K}, {big('ex*1e3')} AS x_mm, {big('ey*1e3')} AS y_mm, {big('ez*1e3')} AS z_mm FROM {ECEF.format(src='points')}")
+def geodetic_to_ecef_mm(spark, d):
+    return _points(spark, d).select(*KEYS, *[scaled(F.col(f"e{a}")).alias(f"{a}_mm") for a in "xyz"])
+
+
+@query(f"WITH {ctes('points')} SELECT {K}, {big('glat*1e7')} AS lat_q7, {big('glon*1e7')} AS lon_q7, {big('gh*1e3')} AS h_mm FROM {geodetic_sql(ECEF.format(src='points'), 'ex', 'ey', 'ez')}")
+def ecef_roundtrip_deg(spark, d):
+    lat, lon, h = geo.geodetic(F.col("ex"), F.col("ey"), F.col("ez"))
+    return _points(spark, d).select(*KEYS, scaled(lat, 1e7).alias("lat_q7"), scaled(lon, 1e7).alias("lon_q7"), scaled(h).alias("h_mm"))
+
+
+@query(f"WITH {ctes('points')} SELECT {K}, CAST(round(lon*1e7) AS INTEGER) AS lon_q7, CAST(round(lat*1e7) AS INTEGER) AS lat_q7, {big('(round(lon*1e7)*1e-7 - lon)*1e9')} AS err_lon FROM points")
+def q7_roundtrip(spark, d):
+    q = fixed.q7(F.col("lon"))
+    return view(spark, d, "points").select(*KEYS, q.alias("lon_q7"), fixed.q7(F.col("lat")).alias("lat_q7"), scaled(fixed.q7_degrees(q) - F.col("lon"), 1e9).alias("err_lon"))
+
+
+@query(f"WITH {ctes('points')}, m AS (SELECT {K}, round(ex*1e3)/1e3 AS v FROM {ECEF.format(src='points')}) SELECT {K}, {big('CAST(CAST(v AS FLOAT) AS DOUBLE)*1e3')} AS hi_mm, {big('CAST(CAST(v - CAST(CAST(v AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE)*1e6')} AS lo_um FROM m")
+def hi_lo_split(spark, d):
+    high, low = fixed.split_high_low(F.col("v"))
+    return _points(spark, d).select(*KEYS, (F.round(F.col("ex") * 1000) / 1000).alias("v")).select(*KEYS, scaled(high.cast("double")).alias("hi_mm"), scaled(low.cast("double"), 1e6).alias("lo_um"))
+
+
+_LOCAL = "SELECT l_orderkey % 25 AS tile_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey*7 % 1301)*1e0 AS x, (l_suppkey*13 % 1103)*1e0 AS y, CAST(l_quantity AS DOUBLE) AS z FROM {lineitem}"
+
+
+@query(
+    f"""WITH {ctes('tiles')}, v AS ({_LOCAL.format(lineitem='lineitem')}), o AS (SELECT tile_id, (min(x) + max(x))/2 AS e0, (min(y) + max(y))/2 AS n0 FROM v GROUP BY 1),
+c AS (SELECT v.*, x - e0 AS xe, y - n0 AS yn, 5e-1*(lat_min + lat_max) AS lat, 5e-1*(lon_min + lon_max) AS lon FROM v JOIN o USING (tile_id) JOIN tiles USING (tile_id)),
+r AS (SELECT *, 1e0 - {num(geo.E2)}*{_S2} AS ww FROM c)
+SELECT {K}, {big(f"(lat + degrees(yn/({num(geo.A * (1 - geo.E2))}/(ww*sqrt(ww)))))*1e7")} AS lat_q7, {big(f"(lon + degrees(xe/({num(geo.A)}/sqrt(ww)*cos(radians(lat)))))*1e7")} AS lon_q7, {big('z*1e3')} AS h_mm FROM r"""
+)
+def local_to_geodetic(spark, d):
+    v = spark.sql(_LOCAL, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    out = tiling.local_degrees(v, tiling.planar_origin(v, "tile_id"), view(spark, d, "tiles"), "tile_id")
+    return out.select(*KEYS, scaled(F.col("lat"), 1e7).alias("lat_q7"), scaled(F.col("lon"), 1e7).alias("lon_q7"), scaled(F.col("h_m")).alias("h_mm"))
+
+
+@query(f"WITH {ctes('tiles')}, {_PADDED} SELECT tile_id, {_scaled_list(('lon_min', 'lon_max', 'lat_min', 'lat_max'), '1e9', '_n')} FROM padded")
+def tile_bbox_pad(spark, d):
+    return spatial.pad_tiles(view(spark, d, "tiles")).select("tile_id", *[scaled(F.col(c), 1e9).alias(f"{c}_n") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
+
+
+@query(f"WITH {ctes('points')}, z AS (SELECT *, CAST(floor((lon + 18e1)/6e0) AS INTEGER) + 1 AS zone FROM points) SELECT {K}, zone, CAST(zone*6 - 183 AS BIGINT) AS meridian, {big('degrees(atan(tan(radians(lon - (zone*6 - 183)))*sin(radians(lat))))*1e6')} AS convergence_u FROM z")
+def utm_convergence(spark, d):
+    cm = geo.utm_central_meridian(F.col("lon"))
+    return view(spark, d, "points").select(*KEYS, geo.utm_zone(F.col("lon")).alias("zone"), cm.cast("bigint").alias("meridian"), scaled(geo.meridian_convergence(F.col("lat"), F.col("lon"), cm), 1e6).alias("convergence_u"))
+
+
+_T0 = render.Camera(52.5, 13.4, 1.0).target()
+
+
+@query(
+    f"""WITH {ctes('points')}, v AS (SELECT *, ex - {num(_T0[0])} AS vx, ey - {num(_T0[1])} AS vy, ez - {num(_T0[2])} AS vz, sin(radians(525e-1)) AS sp, cos(radians(525e-1)) AS cp, sin(radians(134e-1)) AS sl, cos(radians(134e-1)) AS cl FROM {ECEF.format(src='points')})
+SELECT {K}, {big('(-sl*vx + cl*vy)*1e3')} AS e_mm, {big('(-sp*cl*vx - sp*sl*vy + cp*vz)*1e3')} AS n_mm, {big('(cp*cl*vx + cp*sl*vy + sp*vz)*1e3')} AS u_mm FROM v"""
+)
+def enu_rotation(spark, d):
+    v = geo.rotate(geo.enu_basis(F.lit(52.5), F.lit(13.4)), tuple(F.col(f"e{a}") - t for a, t in zip("xyz", _T0, strict=True)))
+    return _points(spark, d).select(*KEYS, *[scaled(c).alias(f"{n}_mm") for c, n in zip(v, "enu", strict=True)])
+
+
+@query("SELECT c_custkey, CAST(floor(greatest(least((3e0 - greatest(least(ln(greatest(least(CAST(c_custkey AS DOUBLE), 1e3), 1e0))/ln(1e3), 1e0), 0e0)*(3e0 - 6e-1)), 1e9), 0e0)*1e6 + 5e-1) AS BIGINT) AS size_u FROM customer")
+def point_size_altitude(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return rows.select("c_custkey", F.floor(render.point_size(F.col("c_custkey").cast("double")) * 1e6 + 0.5).cast("bigint").alias("size_u"))
+
+
+# ---------------------------------------------------------------- text scans and files
+
+
+@query(
+    f"""WITH {ctes('obj_lines')}, p AS (SELECT line_no, file_id, regexp_split_to_array(trim(line), '\\s+') AS f FROM obj_lines WHERE starts_with(trim(line), 'v '))
+SELECT file_id, line_no, {big('CAST(f[2] AS DOUBLE)*1e3')} AS x_m, {big('CAST(f[3] AS DOUBLE)*1e3')} AS y_m, {big('CAST(f[4] AS DOUBLE)*1e3')} AS z_m FROM p WHERE isfinite(CAST(f[2] AS DOUBLE)) AND isfinite(CAST(f[3] AS DOUBLE)) AND isfinite(CAST(f[4] AS DOUBLE))"""
+)
+def finite_obj_vertices(spark, d):
+    return obj.vertices(view(spark, d, "obj_lines")).select("file_id", "line_no", *[scaled(F.col(c)).alias(f"{c}_m") for c in "xyz"])
+
+
+@query(
+    f"""WITH {ctes('obj_lines')}, p AS (SELECT line_no, file_id, regexp_split_to_array(trim(line), '\\s+') AS f FROM obj_lines WHERE starts_with(trim(line), 'v ')),
+v AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 4e6 ELSE 1e0 END*CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE)*CASE WHEN file_id % 3 = 1 THEN 1e2 ELSE 1e0 END AS y, CAST(f[4] AS DOUBLE) AS z, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM p WHERE isfinite(CAST(f[2] AS DOUBLE)))
+SELECT file_id, CASE WHEN avg(CASE WHEN abs(x) <= 180 AND abs(y) <= 90 THEN 1e0 ELSE 0e0 END) >= 9e-1 THEN 'geodetic' WHEN avg(sqrt(x*x + y*y + z*z)) BETWEEN 62e5 AND 65e5 THEN 'ecef' ELSE 'local_m' END AS cs FROM v WHERE k <= 4096 GROUP BY file_id"""
+)
+def detect_input_cs(spark, d):
+    from pyspark.sql import Window
+
+    v = obj.vertices(view(spark, d, "obj_lines")).withColumn("vid", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no")) - 1)
+    v = v.withColumns({"x": F.col("x") * F.when(F.col("file_id") % 3 == 0, 4e6).otherwise(1.0), "y": F.col("y") * F.when(F.col("file_id") % 3 == 1, 100.0).otherwise(1.0)})
+    return tiling.detect_system(v)
+
+
+@query(f"WITH {ctes('tiles', 'files')}, x AS (SELECT t.prefix, f.path, f.stem, f.stem = t.prefix AS exact, row_number() OVER (PARTITION BY t.prefix ORDER BY CASE WHEN f.stem = t.prefix THEN 0 ELSE 1 END, f.stem, CASE WHEN f.ext = 'zip' THEN 0 ELSE 1 END, f.path) AS k FROM tiles t LEFT JOIN files f ON starts_with(f.stem, t.prefix)) SELECT prefix, path, coalesce(exact, false) AS exact FROM x WHERE k = 1")
+def resolve_prefix(spark, d):
+    return spatial.resolve_prefixes(view(spark, d, "tiles").select("prefix"), view(spark, d, "files"))
+
+
+@query(f"WITH {ctes('tiles')} SELECT concat('out/', prefix, '.tile') AS path FROM tiles WHERE tile_id % 4 <> 0")
+def incremental_skip(spark, d):
+    t = view(spark, d, "tiles")
+    done = t.filter("tile_id % 4 = 0").select(names.output_path("out", F.col("prefix"), ".tile").alias("path"))
+    return t.select(names.output_path("out", F.col("prefix"), ".tile").alias("path")).join(done, "path", "left_anti")
+
+
+@query(f"WITH {ctes('tiles', 'files')} SELECT tile_id, prefix FROM tiles t WHERE EXISTS (SELECT 1 FROM files f WHERE starts_with(f.stem, t.prefix) AND f.ext = 'zip')")
+def required_work(spark, d):
+    zips = view(spark, d, "files").filter("ext = 'zip'")
+    found = spatial.resolve_prefixes(view(spark, d, "tiles").select("prefix"), zips).filter("path is not null")
+    return view(spark, d, "tiles").join(found, "prefix", "left_semi").select("tile_id", "prefix")
+
+
+@query(f"WITH {ctes('tiles')} SELECT tile_id, prefix, lower(hex(encode(prefix))) AS head, CAST(32 AS INTEGER) AS key_bytes, prefix AS shown FROM tiles")
+def tile_keys(spark, d):
+    key = names.tile_key(F.col("prefix"))
+    rows = view(spark, d, "tiles").select("tile_id", "prefix", key.alias("k"))
+    return rows.select("tile_id", "prefix", F.lower(F.hex(F.encode(names.key_text(F.col("k")), "UTF-8"))).alias("head"), F.octet_length("k").alias("key_bytes"), names.key_text(F.col("k")).alias("shown"))
+
+
+# ---------------------------------------------------------------- classification
+
+
+@query(f"WITH {ctes('osm_ways')}, {_WIDTH} SELECT way_id, width, {big('CAST(wm AS DOUBLE)*1e6')} AS width_u FROM w WHERE width IS NOT NULL")
+def parse_width(spark, d):
+    rows = view(spark, d, "osm_ways").filter("width is not null")
+    return rows.select("way_id", "width", scaled(classify.width_m(F.col("width")).cast("double"), 1e6).alias("width_u"))
+
+
+@query(f"WITH {ctes('osm_ways')}, {_HIGHWAY} SELECT way_id, highway, CAST(hc AS INTEGER) AS class, {big('CAST(hwm AS DOUBLE)*1e6')} AS width_u FROM hw WHERE highway IS NOT NULL")
+def highway_width(spark, d):
+    cls, wide = classify.highway(F.col("highway"), classify.lanes(F.col("lanes")), classify.width_m(F.col("width")))
+    return view(spark, d, "osm_ways").filter("highway is not null").select("way_id", "highway", cls.cast("int").alias("class"), scaled(wide.cast("double"), 1e6).alias("width_u"))
+
+
+@query(f"WITH {ctes('osm_ways')}, {_CLASS} SELECT way_id, CAST(class AS INTEGER) AS class, {big('CAST(width_m AS DOUBLE)*1e6')} AS width_u, is_area FROM cl")
+def classify_way(spark, d):
+    return spatial.classified(view(spark, d, "osm_ways")).select("way_id", "class", scaled(F.col("width_m").cast("double"), 1e6).alias("width_u"), "is_area")
+
+
+@query(f"WITH {ctes('osm_ways')}, {_CLASS} SELECT name, CAST({_PREC} AS INTEGER) AS precedence, count(*) AS ways FROM cl JOIN (VALUES {_CLASS_NAMES}) n(k, name) ON k = class GROUP BY 1, 2")
+def class_dimension(spark, d):
+    dim = F.broadcast(classify.dimension(spark))
+    return spatial.classified(view(spark, d, "osm_ways")).join(dim, "class").groupBy("name", "precedence").agg(F.count("*").alias("ways"))
+
+
+# ---------------------------------------------------------------- spatial joins
+
+_NODES = f"WITH {ctes('tiles', 'osm_nodes')}, {_KEPT} SELECT node_id, tile_id FROM kept"
+
+
+@query(_NODES)
+def nodes_in_tiles_broadcast(spark, d):
+    return spatial.in_boxes_broadcast(view(spark, d, "osm_nodes"), spatial.pad_tiles(view(spark, d, "tiles"))).select("node_id", "tile_id")
+
+
+@query(_NODES)
+def nodes_in_tiles_cells(spark, d):
+    return spatial.in_boxes_cells(view(spark, d, "osm_nodes"), spatial.pad_tiles(view(spark, d, "tiles"))).select("node_id", "tile_id")
+
+
+@query(f"WITH {_OVERLAY_VIEWS}, {_KEPT} SELECT r.way_id, count(*) AS n, string_agg(CAST(k.node_id AS VARCHAR), ',' ORDER BY r.seq) AS nodes FROM way_refs r JOIN (SELECT DISTINCT node_id FROM kept) k USING (node_id) GROUP BY 1")
+def resolve_way_vertices(spark, d):
+    found = spatial.resolve_ways(view(spark, d, "way_refs"), _kept(spark, d))
+    return found.select("way_id", F.size("verts").cast("bigint").alias("n"), F.array_join(F.transform("verts", lambda v: v["node_id"].cast("string")), ",").alias("nodes"))
+
+
+@query(f"WITH {_OVERLAY_VIEWS}, {_KEPT} SELECT DISTINCT r.way_id, k.tile_id FROM way_refs r JOIN kept k USING (node_id)")
+def way_tile_fanout(spark, d):
+    return spatial.way_tiles(view(spark, d, "way_refs"), _kept(spark, d))
+
+
+@query(f"WITH {_OVERLAY} SELECT tile_id, CAST(class AS INTEGER) AS class, is_area, count(*) AS ways, CAST(sum(nv) AS BIGINT) AS vertices FROM ov GROUP BY 1, 2, 3")
+def overlay_by_class(spark, d):
+    return _overlay(spark, d).groupBy("tile_id", "class", "is_area").agg(F.count("*").alias("ways"), F.sum(F.size("verts")).alias("vertices"))
+
+
+@query(f"WITH {_OVERLAY_VIEWS}, {_KEPT}, g AS (SELECT r.way_id, k.lon, k.lat FROM way_refs r JOIN (SELECT DISTINCT node_id, lon, lat FROM kept) k USING (node_id)) SELECT way_id, {big('min(lon)*1e7')} AS lon_min, {big('min(lat)*1e7')} AS lat_min, {big('max(lon)*1e7')} AS lon_max, {big('max(lat)*1e7')} AS lat_max FROM g GROUP BY 1")
+def ring_bbox(spark, d):
+    ways = spatial.resolve_ways(view(spark, d, "way_refs"), _kept(spark, d))
+    box = features.ring_bounds(F.transform("verts", lambda v: F.array(v["lon"], v["lat"])))
+    return ways.select("way_id", box.alias("b")).select("way_id", *[scaled(F.col(f"b.{c}"), 1e7).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
+
+
+# ---------------------------------------------------------------- tiles
+
+_BOUNDS = ", ".join(f"CAST({f}(d{a}) AS INTEGER) AS {f}_d{a}" for a in "xyz" for f in ("min", "max"))
+
+
+@query(f"WITH {_BOXED}, {anchored_sql(1000)} SELECT tile_id, count(*) AS n, min(upm) AS upm, min(ax) AS ax, min(ay) AS ay, min(az) AS az, {_BOUNDS} FROM offs GROUP BY tile_id")
+def quantise_offsets(spark, d):
+    found, rows = _anchored(spark, d)
+    return found.select("tile_id", "n", "upm", "ax", "ay", "az").join(cloud.offset_bounds(rows).drop("n"), "tile_id")
+
+
+@query(f"WITH {_BOXED}, {anchored_sql(2000000000)} SELECT tile_id, n, {big('upm/1e2')} AS upm_hundreds FROM anch")
+def adaptive_upm(spark, d):
+    found, _ = _anchored(spark, d, 2_000_000_000)
+    return found.select("tile_id", "n", scaled(F.col("upm"), 1e-2).alias("upm_hundreds"))
+
+
+@query(f"WITH {_BOXED} SELECT tile_id, {', '.join(f'CAST(round({f}({c})*1e7) AS INTEGER) AS {c}_{f}_q7' for c in ('lon', 'lat') for f in ('min', 'max'))} FROM tiled GROUP BY tile_id")
+def geodetic_extent(spark, d):
+    return tiling.extents(_tiled(spark, d), "tile_id")
+
+
+@query(f"WITH {_BOXED}, {anchored_sql(1000)} SELECT tile_id, count(*) AS n, {_BOUNDS} FROM offs GROUP BY tile_id")
+def offset_aabb(spark, d):
+    return cloud.offset_bounds(_anchored(spark, d)[1])
+
+
+@query(
+    f"""WITH {_BOXED}, {anchored_sql(1000)}, m AS (SELECT n, upm, ax/1e3 AS mx, ay/1e3 AS my, az/1e3 AS mz FROM anch), c AS (SELECT sum(mx*n)/sum(n) AS cx, sum(my*n)/sum(n) AS cy, sum(mz*n)/sum(n) AS cz, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS points, min(upm) AS upm_min, max(upm) AS upm_max FROM m),
+s AS (SELECT max(sqrt((mx - cx)*(mx - cx) + (my - cy)*(my - cy) + (mz - cz)*(mz - cz))) AS sp FROM m CROSS JOIN c)
+SELECT tiles, points, upm_min, upm_max, {big('cx*1e2')} AS cx_cm, {big('cy*1e2')} AS cy_cm, {big('cz*1e2')} AS cz_cm, {big('sp*1e2')} AS spread_cm, {big('greatest(least(2e0*sp, 5e4), 1e2)*1e2')} AS orbit_cm, sqrt(cx*cx + cy*cy + cz*cz) BETWEEN 62e5 AND 65e5 AS plausible FROM c CROSS JOIN s"""
+)
+def dataset_stats(spark, d):
+    s = cloud.dataset_stats(_anchored(spark, d)[0])
+    return s.select("tiles", "points", "upm_min", "upm_max", *[scaled(F.col(f"c{a}"), 100).alias(f"c{a}_cm") for a in "xyz"], scaled(F.col("spread_m"), 100).alias("spread_cm"), scaled(F.col("orbit_m"), 100).alias("orbit_cm"), "plausible")
+
+
+@query(
+    f"""WITH {_BOXED}, {anchored_sql(1000)}, f AS (SELECT tile_id, glat, glon FROM {geodetic_sql("(SELECT tile_id, ax/1e3 AS x, ay/1e3 AS y, az/1e3 AS z FROM anch)", "x", "y", "z")}),
+e AS (SELECT tile_id, -sin(radians(glon))*dx/1e3 + cos(radians(glon))*dy/1e3 AS e, -sin(radians(glat))*cos(radians(glon))*dx/1e3 - sin(radians(glat))*sin(radians(glon))*dy/1e3 + cos(radians(glat))*dz/1e3 AS n FROM offs JOIN f USING (tile_id)),
+s AS (SELECT tile_id, var_pop(e) AS ve, var_pop(n) AS vn, covar_pop(e, n) AS c FROM e GROUP BY 1)
+SELECT tile_id, {big('ve')} AS var_e, {big('vn')} AS var_n, {big('c')} AS cov_en, {big('degrees(5e-1*atan2(2e0*c, ve - vn))*1e3')} AS angle_m FROM s"""
+)
+def tile_pca(spark, d):
+    found, rows = _anchored(spark, d)
+    return cloud.orientation(rows, found).select("tile_id", *[scaled(F.col(c), 1.0).alias(c) for c in ("var_e", "var_n", "cov_en")], scaled(F.col("angle_from_east")).alias("angle_m"))
+
+
+# ---------------------------------------------------------------- raster
+
+
+@query(f"WITH {_PIXELS} SELECT tile_id, way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM area GROUP BY 1, 2")
+def polygon_fill(spark, d):
+    return raster.fill_areas(_pixelised(spark, d).filter("is_area"), GRID).groupBy("tile_id", "way_id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query(f"WITH {_LINES} SELECT tile_id, way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM line GROUP BY 1, 2")
+def buffered_polyline(spark, d):
+    return raster.buffer_lines(_pixelised(spark, d).filter("not is_area"), GRID).groupBy("tile_id", "way_id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(class AS INTEGER) AS class FROM painted")
+def paint_mask(spark, d):
+    return _mask(spark, d)
+
+
+@query(f"WITH {_MASK} SELECT tile_id, CAST(class AS INTEGER) AS class, count(*) AS n FROM full_grid GROUP BY 1, 2")
+def mask_dense(spark, d):
+    return _dense(spark, d).groupBy("tile_id", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MASK} SELECT tile_id, start, len, CAST(class AS INTEGER) AS class FROM runs")
+def mask_rle_encode(spark, d):
+    return raster.run_lengths(_dense(spark, d), GRID)
+
+
+@query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(x*class) AS BIGINT) AS check_sum FROM full_grid GROUP BY 1, 2")
+def mask_rle_decode(spark, d):
+    back = raster.expand_runs(raster.run_lengths(_dense(spark, d), GRID), GRID)
+    return back.groupBy("tile_id", "y").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("class")).alias("check_sum"))
+
+
+_BOXQ = ", ".join(f"round({c}*1e7)*1e-7 AS {c}" for c in ("lon_min", "lon_max", "lat_min", "lat_max"))
+
+
+@query(
+    f"""WITH {_MASK}, {ctes('points')}, {_TILED}, q AS (SELECT tile_id, round(ex*1e3)/1e3 AS qx, round(ey*1e3)/1e3 AS qy, round(ez*1e3)/1e3 AS qz FROM tiled),
+gq AS (SELECT * FROM {geodetic_sql('q', 'qx', 'qy', 'qz')}), bx AS (SELECT tile_id, {_BOXQ} FROM tiles JOIN withov USING (tile_id)),
+ix AS (SELECT gq.tile_id, CAST(round(greatest(least((glon - lon_min)/(lon_max - lon_min + 1e-12), 1e0), 0e0)*{GRID - 1}e0) AS INTEGER) AS x, CAST(round(greatest(least((glat - lat_min)/(lat_max - lat_min + 1e-12), 1e0), 0e0)*{GRID - 1}e0) AS INTEGER) AS y FROM gq LEFT JOIN bx USING (tile_id))
+SELECT tile_id, CAST(coalesce(p.class, 0) AS INTEGER) AS label, count(*) AS n FROM ix LEFT JOIN painted p USING (tile_id, y, x) GROUP BY 1, 2"""
+)
+def label_points(spark, d):
+    rows = _tiled(spark, d).select("tile_id", *[fixed.dequantise(fixed.quantise(F.col(f"e{a}"), 1000), 1000).alias(f"e{a}") for a in "xyz"], F.lit(None).cast("int").alias("label"))
+    covered = view(spark, d, "tiles").join(_overlay(spark, d).select("tile_id").distinct(), "tile_id", "left_semi")
+    box = covered.select("tile_id", *[fixed.q7(F.col(c)).alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
+    return cloud.label_points(rows, _mask(spark, d), box, GRID).groupBy("tile_id", "label").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- views of a cloud
+
+_P, _M = CAMERA.position(), CAMERA.matrix(VIEWPORT[0] / VIEWPORT[1])
+
+
+def _clip(i: int) -> str:
+    return f"(ex - {num(_P[0])})*{num(_M[i][0])} + (ey - {num(_P[1])})*{num(_M[i][1])} + (ez - {num(_P[2])})*{num(_M[i][2])} + {num(_M[i][3])}"
+
+
+@query(
+    f"""WITH {ctes('points')}, c AS (SELECT {K}, label, {', '.join(f'{_clip(i)} AS c{n}' for i, n in enumerate('xyzw'))} FROM {ECEF.format(src='points')}),
+f AS (SELECT *, CAST(floor((cx/cw + 1e0)*5e-1*{VIEWPORT[0]}) AS INTEGER) AS x, CAST(floor((1e0 - cy/cw)*5e-1*{VIEWPORT[1]}) AS INTEGER) AS y, greatest(least(cz/cw, 1e0), 0e0) AS z FROM c WHERE cw > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY z, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS k FROM f WHERE x BETWEEN 0 AND {VIEWPORT[0] - 1} AND y BETWEEN 0 AND {VIEWPORT[1] - 1})
+SELECT y, x, {big('z*1e7')} AS z_q7, label FROM k WHERE k = 1"""
+)
+def camera_cull_depth(spark, d):
+    px = render.depth_resolve(render.fragments(_points(spark, d), CAMERA, *VIEWPORT), KEYS)
+    return px.select("y", "x", scaled(F.col("z"), 1e7).alias("z_q7"), "label")
+
+
+_SOLID = "tag >= 5e-1 AND z < 9999e-4"
+
+
+@query(
+    f"""WITH {_SCREEN_SQL}, s AS (SELECT a.y, a.x, sum(greatest(ln(n.z + 1e-6) - ln(a.z + 1e-6), 0e0)) AS s FROM (SELECT * FROM pix WHERE {_SOLID}) a JOIN (SELECT * FROM pix WHERE {_SOLID}) n ON abs(n.x - a.x) <= 1 AND abs(n.y - a.y) <= 1 AND (n.x <> a.x OR n.y <> a.y) GROUP BY 1, 2),
+o AS (SELECT pix.y, pix.x, CASE WHEN {_SOLID} THEN exp(-14e-1*coalesce(s, 0e0)) ELSE 1e0 END AS k, r, g, b FROM pix LEFT JOIN s USING (y, x)), e AS (SELECT y, x, r*k AS r, g*k AS g, b*k AS b FROM o) {rgb_sql('e')}"""
+)
+def edl_shade(spark, d):
+    return _rgb(render.edl(_screen(spark, d)))
+
+
+@query(f"WITH {_SCREEN_SQL} {rgb_sql('tinted')}")
+def semantic_tint(spark, d):
+    return _rgb(render.tint(_screen(spark, d)))
+
+
+def _shifted(c: str, size: int, by: float) -> str:
+    return f"greatest(least(CAST(floor(({c} + 5e-1) + {num(by * size)}) AS INTEGER), {size - 1}), 0)"
+
+
+_OX, _OY = 0.03 * 0.16996714290024104, 0.03 * 0.98544972998846014  # of the angle 1.4
+
+
+@query(
+    f"""WITH {_SCREEN_SQL}, s AS (SELECT *, {_shifted('x', SCREEN[0], _OX)} AS rx, {_shifted('y', SCREEN[1], _OY)} AS ry, {_shifted('x', SCREEN[0], -_OX)} AS gx, {_shifted('y', SCREEN[1], -_OY)} AS gy FROM tinted),
+o AS (SELECT s.y, s.x, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(p.r, 0e0) ELSE s.r END AS r, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(q.g, 0e0) ELSE s.g END AS g, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(q.b, 0e0) ELSE s.b END AS b
+  FROM s LEFT JOIN tinted p ON p.x = rx AND p.y = ry LEFT JOIN tinted q ON q.x = gx AND q.y = gy) {rgb_sql('o')}"""
+)
+def rgb_shift(spark, d):
+    return _rgb(render.rgb_shift(render.tint(_screen(spark, d)), *SCREEN, amount=0.03))
+
+
+@query(
+    f"""WITH {_SCREEN_SQL}, u AS (SELECT *, (x + 5e-1)/{SCREEN[0]} AS u, (y + 5e-1)/{SCREEN[1]} AS v FROM tinted),
+w AS (SELECT *, 5e-1 + 5e-1*sin(6.28318e0*(v*{SCREEN[1]}*5e-1 + 5e-1*12e0)) AS sc, sin((u*2048e0 + 5e-1)*12.9898e0 + (v*2048e0 - 5e-1)*78.233e0)*43758.5453e0 AS raw, greatest(least((sqrt(((u - 5e-1)/11e-1)*((u - 5e-1)/11e-1) + ((v - 5e-1)/95e-2)*((v - 5e-1)/95e-2)) - 6e-1)/4e-1, 1e0), 0e0) AS q FROM u),
+g AS (SELECT *, (raw - floor(raw) - 5e-1)*2e-2 AS gr, 1e0 - 8e-1*q*q*(3e0 - 2e0*q) AS vg FROM w),
+o AS (SELECT y, x, {', '.join(f'CASE WHEN z >= 9999e-4 OR tag < 5e-1 THEN (1e-2*85e-2 + gr)*(1e0 - sc) ELSE ({c} + gr*4e-1)*(1e0 - 25e-2*sc) END*vg AS {c}' for c in 'rgb')} FROM g) {rgb_sql('o')}"""
+)
+def crt_pass(spark, d):
+    return _rgb(render.crt(render.tint(_screen(spark, d)), *SCREEN, time=0.5))
+
+
+@query(
+    f"""WITH {_SCREEN_SQL}, o AS (SELECT 1 AS mode, y, x, 1e0 - greatest(least(z, 1e0), 0e0) AS r, 1e0 - greatest(least(z, 1e0), 0e0) AS g, 1e0 - greatest(least(z, 1e0), 0e0) AS b FROM pix
+UNION ALL SELECT 2, y, x, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cr END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cg END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cb END FROM pix JOIN col ON class = label
+UNION ALL SELECT 3, y, x, tag, tag, tag FROM pix) SELECT mode, y, x, {big('r*1e6')} AS r_u, {big('g*1e6')} AS g_u, {big('b*1e6')} AS b_u FROM o"""
+)
+def debug_view(spark, d):
+    px = _screen(spark, d)
+    out = None
+    for mode in (1, 2, 3):
+        part = _rgb(render.debug_view(px, mode)).select(F.lit(mode).alias("mode"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_METRES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey*137 % 50021)*1e-1 AS px, (l_suppkey*911 % 30011)*1e-1 AS py, 4e0 AS fx, 6e0 AS fy FROM {lineitem}"
+
+
+def _line(c: str, f: str, s: float) -> str:
+    x = f"greatest(least(least({c}/{num(s)} - floor({c}/{num(s)}), 1e0 - ({c}/{num(s)} - floor({c}/{num(s)})))/least({f}/{num(s)}*15e-1, 5e-1), 1e0), 0e0)"
+    return f"(1e0 - {x}*{x}*(3e0 - 2e0*{x}))"
+
+
+def _ground(s: float) -> str:
+    return f"(greatest({_line('px', 'fx', s)}, {_line('py', 'fy', s)})*5e-1 + greatest({_line('px', 'fx', s * 10)}, {_line('py', 'fy', s * 10)})*5e-1)"
+
+
+@query(f"WITH m AS ({_METRES.format(lineitem='lineitem')}) SELECT {K}, {big(f'({_ground(100.0)}*(1e0 - (log10(4e2) - 2e0)) + {_ground(1000.0)}*(log10(4e2) - 2e0))*1e-1*1e6')} AS opacity_u FROM m")
+def ground_grid(spark, d):
+    rows = spark.sql(_METRES, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    return render.ground_grid(rows, 400.0).select(*KEYS, scaled(F.col("opacity"), 1e6).alias("opacity_u"))
+
+
+@query(
+    f"""WITH {ctes('points')}, c AS (SELECT {K}, {_clip(0)} AS cx, {_clip(1)} AS cy, {_clip(3)} AS cw FROM {ECEF.format(src='points')}),
+q(corner, u, v) AS (VALUES (0, -1e0, -1e0), (1, 1e0, -1e0), (2, 1e0, 1e0), (3, -1e0, -1e0), (4, 1e0, 1e0), (5, -1e0, 1e0))
+SELECT {K}, CAST(corner AS INTEGER) AS corner, {big(f'(cx + u*3e0/{VIEWPORT[0]}*2e0*cw)*1e3')} AS vx_m, {big(f'(cy + v*3e0/{VIEWPORT[1]}*2e0*cw)*1e3')} AS vy_m FROM c CROSS JOIN q WHERE cw > 0"""
+)
+def billboard_expand(spark, d):
+    rel = [F.col(f"e{a}") - F.lit(p) for a, p in zip("xyz", _P, strict=True)]
+    clip = {n: rel[0] * _M[i][0] + rel[1] * _M[i][1] + rel[2] * _M[i][2] + _M[i][3] for n, i in (("cx", 0), ("cy", 1), ("cw", 3))}
+    out = render.billboard(_points(spark, d).withColumns(clip).filter("cw > 0"), F.lit(3.0), *VIEWPORT)
+    return out.select(*KEYS, "corner", scaled(F.col("vx")).alias("vx_m"), scaled(F.col("vy")).alias("vy_m"))
+
+
+_DISC = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 201 - 100)*1e-2 AS u, (l_suppkey*3 % 201 - 100)*1e-2 AS v FROM {lineitem}"
+
+
+@query(f"WITH m AS ({_DISC.format(lineitem='lineitem')}), t AS (SELECT *, greatest(least((u*u + v*v - 8e-1)/2e-1, 1e0), 0e0) AS t FROM m WHERE u*u + v*v <= 1e0) SELECT {K}, {big('(1e0 - t*t*(3e0 - 2e0*t))*1e6')} AS alpha_u FROM t")
+def disc_mask(spark, d):
+    rows = spark.sql(_DISC, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    return render.disc(rows).select(*KEYS, scaled(F.col("alpha"), 1e6).alias("alpha_u"))
