@@ -173,7 +173,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(_sign(width), schema), "signed")
-    classes = signed.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep"))
+    # written, so that both sides of its joins are dealt out and a class of many copies can be split
+    classes = written(signed.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep")), "classes")
 
     # posting lists over the rarest pairs of each class
     posted = signed.join(classes.select(F.col("set_key"), F.col("rep")), "set_key").filter("doc = rep").select("rep", F.explode("pairs").alias("pair"))
