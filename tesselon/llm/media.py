@@ -2,9 +2,10 @@
 
 Method: a row's payload is its text in UTF-8, filled up with zero bytes to a positive multiple of 64,
 and stored without loss as an 8-bit grey PNG image 64 samples wide.  A payload is addressed by its
-SHA-256 digest: tasks drop the copies they have seen, equal digests meet in one partition, and one
-image for each digest is appended to a tar shard.  Shards have temporary names until they are whole.
-Rows carry digest, shard, offset and length.  Reading, a range read of the image's 33 first bytes
+SHA-256 digest: a task appends one image for each digest it meets to its tar shard, and the index
+refers to one image for each digest of all.  Payloads are never shuffled; the price is that a payload
+which several tasks meet is stored by each of them.  Shards have temporary names until they are whole,
+and their names and bytes depend on the input alone.  Rows carry digest, shard, offset and length.  Reading, a range read of the image's 33 first bytes
 alone fills the metadata columns (width, height, depth); a second range read gets the samples, from
 which the feature columns are computed.
 """
@@ -79,25 +80,13 @@ def feature(samples: bytes) -> str:
     return f"{mean:.4f};{max(0.0, square / len(x) - mean * mean) ** 0.5:.4f};" + ",".join(map(str, count.reshape(16, 16).sum(1).tolist()))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, images = [], []
-        for d, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if d not in seen:
-                seen.add(d)
-                digests.append(d)
-                images.append(encode_image(p.as_py()))
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(images, pa.binary())], names=["a", "b"])
-
-
 def _write(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store.filesystem(uri)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
-        out, name, temporary, at, number, last = None, "", "", 0, 0, None
+        out, name, temporary, at, number = None, "", "", 0, 0
+        seen: set[bytes] = set()
         found: list[tuple] = []
 
         def close():
@@ -112,10 +101,11 @@ def _write(uri: str):
             return None
 
         for batch in batches:
-            for d, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if d == last:
+            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if d in seen:
                     continue
-                last, data = d, image.as_py()
+                seen.add(d)
+                data = encode_image(raw.as_py())
                 if out is None:
                     name = f"shard-{task.partitionId():06d}-{number:04d}.tar"
                     temporary = f".{name}.{task.taskAttemptId()}"
@@ -179,8 +169,9 @@ def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     uri = store.fresh_dir(spark, "media")
     bytes_ = docs.select(F.col(key), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), payload(F.col(text)).alias("payload"))
     addressed = bytes_.select(key, "n_bytes", F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
-    images = addressed.select("digest", "payload").mapInArrow(_pack, "digest binary, image binary")
-    dealt = images.repartition(F.col("digest")).sortWithinPartitions("digest")
-    places = store.written(dealt.mapInArrow(_write(uri), "digest binary, shard string, offset long, length long"), "places")
+    stored = store.written(addressed.select("digest", "payload").mapInArrow(_write(uri), "digest binary, shard string, offset long, length long"), "stored")
+    # of the images that several tasks stored for a digest, one is referred to
+    one = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    places = one.repartition("shard").sortWithinPartitions("shard", "offset")
     features = places.mapInArrow(_read(uri), "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int, shard string, offset long")
     return addressed.select(key, "n_bytes", "digest").join(features, "digest").drop("digest")
