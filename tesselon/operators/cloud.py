@@ -16,7 +16,7 @@ def sample_pixel(value: Column, low: Column, high: Column, size: int | Column, m
     return at if mode == "clamp" else F.when(u.between(0.0, 1.0), at)
 
 
-def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: int, key: str = "tile_id", mode: str = "clamp") -> DataFrame:
+def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: int | Column, key: str = "tile_id", mode: str = "clamp", height: int | Column | None = None) -> DataFrame:
     """Points with ``label``: their own if the tile has labels, else the mask's class, else 0.
 
     ``points`` has key, ex, ey, ez and a nullable ``label``; ``extents`` has degree ticks for tiles with
@@ -28,7 +28,7 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     rows = points.filter("label is null").join(extents, key)
     lat, lon, _ = geo.geodetic(F.col("ex"), F.col("ey"), F.col("ez"))
     ends = [fixed.q7_degrees(F.col(c)) for c in ("lon_min_q7", "lon_max_q7", "lat_min_q7", "lat_max_q7")]
-    rows = rows.withColumns({"x": sample_pixel(lon, ends[0], ends[1], grid, mode), "y": sample_pixel(lat, ends[2], ends[3], grid, mode)})
+    rows = rows.withColumns({"x": sample_pixel(lon, ends[0], ends[1], grid, mode), "y": sample_pixel(lat, ends[2], ends[3], grid if height is None else height, mode)})
     looked = rows.drop("label").join(mask.select(key, "y", "x", F.col("class").alias("label")), [key, "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     columns = points.columns
     return direct.select(columns).unionByName(own.select(columns)).unionByName(looked.select(columns))
