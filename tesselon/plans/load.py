@@ -34,7 +34,7 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     metres = flat.withColumns({f"e{a}": fixed.dequantise(F.col(f"a{a}") + F.col(f"d{a}"), F.col("units_per_metre")) for a in "xyz"})
     masked = tiles.filter((F.col("mask.coord_space") == codec.SPACE_BOX) & F.col("extent").isNotNull())
     sizes = masked.select("path", F.col("mask.width").alias("width"), F.col("mask.height").alias("height"), *[F.col(f"extent.{c}").alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
-    grid = masked.select("path", "mask.width", F.col("mask.encoding").cast("int"), "mask.data").mapInArrow(_grids, "path string, y int, x int, class int")
+    grid = masked.select("path", F.col("mask.width").alias("width"), F.col("mask.encoding").cast("int").alias("encoding"), F.col("mask.data").alias("data")).mapInArrow(_grids, "path string, y int, x int, class int")
     columns = ["path", "pid", "dx", "dy", "dz", "units_per_metre", "ax", "ay", "az", "ex", "ey", "ez", "label"]
     points = cloud.label_points(metres.select(*columns).withColumn("label", F.col("label").cast("int")), grid, sizes, F.col("width"), "path", height=F.col("height"))
     summary = tiles.select("path", F.size("points").cast("bigint").alias("n"), F.col("units_per_metre").alias("upm"), "ax", "ay", "az", "tile_key")
