@@ -146,7 +146,7 @@ def write_pbf(path, nodes, ways):
 def test_conversion_and_loading(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    rows = [(13.40 + 0.0001 * i, 52.50 + 0.0001 * (i % 10), 30.0 + i % 3) for i in range(100)]
+    rows = [(13.40 + 0.0001 * i, 52.50 + 0.0001 * (i % 12), 30.0 + i % 3) for i in range(100)]
     text = "\n".join(["# mesh", *(f"v {a:.7f} {b:.7f} {c}" for a, b, c in rows), "f 1 2 3"])
     with zipfile.ZipFile(folder / "east.zip", "w") as z:
         z.writestr("readme.txt", "no mesh")
