@@ -213,7 +213,7 @@ class Field:
         return states[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Field:
     """Gradient ascent (Adagrad) on the conditional log-likelihood."""
     index: dict[str, int] = {}
     data = [([np.array([index.setdefault(f, len(index)) for f in block]) for block in seq], states) for seq, states in pages if seq]
@@ -258,7 +258,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 6, rate:
 _SYLLABLES = "ka lo mi ter an del sor vi ra ton el mar is pe qui nos ba re do lin".split()
 
 
-def labelled_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """(html, [(text, 1 for article or 0)]) of pages in many layouts.
 
     Texts of both kinds are drawn alike, from one word to long paragraphs and from prose to shouting
@@ -368,28 +368,28 @@ def labelled_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, list[
                 out.append("</header>")
             for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
                 kind = rng.random()
-                if kind < 0.72:
+                if kind < 0.64:
                     put("<p>", inline(phrase(1, 90)), rng.choice(["</p>", "</p>", ""]), 1)
-                elif kind < 0.78:
+                elif kind < 0.70:
                     put("<p><b>", inline(phrase(1, 40)), "<br>", 1)
-                elif kind < 0.84:
+                elif kind < 0.76:
                     put(f"<h{rng.randint(2, 3)}>", phrase(1, 8), "", 1)
                     out.append(f"</h{2}>")
-                elif kind < 0.88:
+                elif kind < 0.80:
                     put("<blockquote>", phrase(2, 40), "</blockquote>", 1)
-                elif kind < 0.92:
+                elif kind < 0.84:
                     out.append("<ul>")
                     for _ in range(rng.randint(1, 4)):
                         put("<li>", inline(phrase(1, 15)), "</li>", 1)
                     out.append("</ul>")
-                elif kind < 0.94:
+                elif kind < 0.86:
                     put("<pre>", phrase(1, 20), "</pre>", 1)
-                elif kind < 0.96:
+                elif kind < 0.88:
                     out.append("<figure><img src=a>")
                     put("<figcaption>", phrase(1, 15), "</figcaption>", 1)
                     out.append("</figure>")
-                elif kind < 0.98:
-                    rng.choice([advert, advert, side, notice, form])()
+                elif kind < 0.99:
+                    rng.choice([advert, advert, side, side, notice, form])()
                 else:
                     out.append("<table>")
                     for _ in range(rng.randint(1, 3)):
@@ -399,11 +399,12 @@ def labelled_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, list[
                 rng.choice([comments, comments, side, form])()
             out.append(f"</{tag.split()[0]}>" + {"<main>": "</main>"}.get(wrap, "</div>" if wrap else ""))
 
-        for part, share in ((notice, 0.25), (head, 0.4), (menu, 0.85), (advert, 0.5), (side, 0.2), (form, 0.15)):
+        bare = rng.random() < 0.08  # nothing around the article
+        for part, share in () if bare else ((notice, 0.25), (head, 0.4), (menu, 0.85), (advert, 0.5), (side, 0.2), (form, 0.15)):
             if rng.random() < share:
                 part()
         article()
-        for part, share in ((comments, 0.35), (side, 0.35), (advert, 0.25), (form, 0.2), (notice, 0.15), (foot, 0.85)):
+        for part, share in () if bare else ((comments, 0.35), (side, 0.35), (advert, 0.25), (form, 0.2), (notice, 0.15), (foot, 0.85)):
             if rng.random() < share:
                 part()
         page = f'<!DOCTYPE html><html><head><title>{phrase(1, 9)}</title><style>p{{margin:0}}</style></head><body><script>var a="</p>";</script>{"".join(out)}'
@@ -411,7 +412,7 @@ def labelled_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, list[
 
 
 @functools.cache
-def trained(count: int = 360, seed: int = 5) -> Field:
+def trained(count: int = 600, seed: int = 5) -> Field:
     """The field, trained on ``labelled_pages``; blocks take their labels by page order."""
     data = []
     for page, labels in labelled_pages(count, seed):
