@@ -36,7 +36,8 @@ _KEY_CUES = ("AKIA", "ASIA", "ghp_", "xoxb-", "xoxp-", "sk_live_")
 _ACCOUNT_CUES = ("iban", "account no", "account number", "acct", "ssn", "passport")
 _KEY_BODY = re.compile(r"[A-Za-z0-9_-]{12,}")
 _VALUE = re.compile(r"[\"']?[\x20]?[:=][\x20]?[\"']?([^\s\"'<>,;]{6,})")
-_ACCOUNT = re.compile(r"[\s.:#=-]{1,4}([A-Z]{0,2}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"[\s.:#=-]{1,4}([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,33})(?![A-Za-z0-9])")
+_IBAN_CUE = re.compile(r"[\s.:#=-]{0,4}([A-Z]{2}[0-9]{2})")
 _URL = re.compile(r"[^\s\"'<>]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
 
@@ -75,6 +76,17 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int) -> int:
+    """The end of the longest valid IBAN from ``start``, 0 if there is none."""
+    m = _IBAN.match(text, start)
+    end = m.end() if m else start
+    while end - start >= 15:
+        if not text[end : end + 1].isalnum() and iban(text[start:end]):
+            return end
+        end -= 1
+    return 0
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
@@ -140,13 +152,15 @@ def find(text: str) -> list[tuple[int, str, int]]:
             m = _KEY_BODY.match(text, last + 1)
             if m and (not i or not text[i - 1].isalnum()):
                 out.append((i, "secret", m.end()))
-        elif i >= account:
-            m = _ACCOUNT.match(text, last + 1)
-            if m and (not i or not text[i - 1].isalnum()):
-                at = _IBAN.match(text, m.start(1))
-                if text[i : last + 1].lower() != "iban" or (at and iban(at.group())):
-                    account = m.end(1)
-                    out.append((m.start(1), "account", account))
+        elif i >= account and (not i or not text[i - 1].isalnum()):
+            if size == 4 and text[i : last + 1].lower() == "iban":
+                m = _IBAN_CUE.match(text, last + 1)
+                account = max(account, _iban_end(text, m.start(1)) if m else 0)
+            else:
+                m = _ACCOUNT.match(text, last + 1)
+                account = m.end(1) if m else account
+            if m and account > m.start(1):
+                out.append((m.start(1), "account", account))
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(set(out), key=lambda x: (x[0], order[x[1]], x[2]))
 
