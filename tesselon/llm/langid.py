@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tesselon.llm import pieces
+from tesselon.llm.store import by_slices
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 500
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
         return train(np.zeros((0, DIMENSIONS), np.float32), [])
     below = F.coalesce(*[F.when(F.col("lang") == v, F.lit(int(min(1.0, per_language / n) * (1 << 30)))) for v, n in sorted(counts.items())])
     sample = rows.filter(F.col("h") < below).select("lang", "text", "h", "k").orderBy("h", "k").limit(2 * per_language * len(counts)).select("lang", "text")
-    got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(_featurise, "lang string, x binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(by_slices(_featurise), "lang string, x binary").collect())
     x = np.stack([np.frombuffer(v, "<f2").astype(np.float32) for _, v in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
     return train(x, [v for v, _ in got])
 
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], names=list("abcd"))
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(by_slices(run), schema)
 
 
 def relabel(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -182,7 +183,7 @@ def relabel(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
                 part = part.set_column(label, part.schema.field(label), pa.array(names, pa.string()).cast(part.schema.field(label).type))
                 yield part.filter(pa.array([n != UNKNOWN for n in names]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(by_slices(run), docs.schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

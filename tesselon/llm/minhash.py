@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tesselon.llm import pieces
 from tesselon.llm.graph import components
-from tesselon.llm.store import written
+from tesselon.llm.store import by_slices, release, written
 
 #: Signature coordinates, and how many must agree.
 K, AGREE = 48, 26
@@ -83,14 +83,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int):
+    coordinate, none = np.arange(K, dtype=np.int64) << 32, np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs = [], [], []
             for u in shingle_sets([x or "" for x in batch.column(1).to_pylist()], width):
                 n.append(len(u))
                 keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                sigs.append((np.arange(K, dtype=np.int64) << 32 | signature(u).astype(np.int64)).tolist() if len(u) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=list("abcd"))
+                sigs.append(coordinate | signature(u).astype(np.int64) if len(u) else none)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]), pa.int32())
+            pairs = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *sigs])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pairs], names=list("abcd"))
 
     return run
 
@@ -157,6 +161,7 @@ def _confirm(similar: int):
         reps = frame["rep"].tolist()
         sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         links = block_links(sets, frame["side"].to_numpy(), similar)
+        release()
         return pd.DataFrame({"a": [reps[i] for i, _ in links], "b": [reps[j] for _, j in links]}, dtype="int64")
 
     return run
@@ -172,7 +177,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign(width), schema), "signed")
+    signed = written(rows.mapInArrow(by_slices(_sign(width)), schema), "signed")
     # written, so that both sides of its joins are dealt out and a class of many copies can be split
     classes = written(signed.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep")), "classes")
 
@@ -212,7 +217,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     # the sets are made anew from the members' texts: only they travel
     wanted = own.select("rep", "grp", blocks.alias("blocks"))
     texts = rows.join(written(member.select(F.col("rep").alias("doc")).distinct(), "wanted"), "doc").dropDuplicates(["doc", "text"])
-    sets = texts.select("doc", "text").mapInArrow(_sets(width), "rep long, shingles binary")
+    sets = texts.select("doc", "text").mapInArrow(by_slices(_sets(width)), "rep long, shingles binary")
     placed = sets.join(wanted, "rep").select("rep", "grp", "shingles", F.explode("blocks").alias("x")).select("rep", "grp", "shingles", "x.*")
     links = placed.groupBy("grp", "b0", "c0", "b1", "c1").applyInPandas(_confirm(similar), "a long, b long")
     found = components(links).withColumnRenamed("node", "rep")

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tesselon.llm import pieces
+from tesselon.llm.store import by_slices
 from tesselon.llm.wordbpe import byte_symbols
 
 WINDOW = 2048
@@ -62,7 +63,7 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
         self.ranks = _by_rank(path)
-        self.memo = pieces.Memo(self._learn, self._forget, 1_200_000)
+        self.memo = pieces.Memo(self._learn, self._forget)
         self._forget()
 
     def _forget(self) -> None:
@@ -269,4 +270,4 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         if rows:
             yield flush()
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, _schema(key, docs.schema[key].dataType))
+    return docs.select(F.col(key), F.col(text)).mapInArrow(by_slices(run), _schema(key, docs.schema[key].dataType))

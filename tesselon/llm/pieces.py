@@ -14,7 +14,7 @@ _UNKNOWN = 255
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Code points handled at once; bounds the memory of a batch.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _powers: np.ndarray | None = None
 _inverse: np.ndarray | None = None
@@ -149,7 +149,7 @@ class Memo:
     It holds at most ``limit`` pieces and then starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, learn, forget, limit: int = 600_000):
+    def __init__(self, learn, forget, limit: int = 300_000):
         self.learn, self.forget, self.limit = learn, forget, limit
         self.known: dict[int, int] = {}
 

@@ -20,6 +20,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tesselon.llm.store import by_slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
 
@@ -204,7 +206,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(lists, pa.string())], names=list("abcdefg"))
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(by_slices(run), schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -216,4 +218,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = [t if not t else redacted(t, find(t)) for t in batch.column(place).to_pylist()]
             yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(by_slices(run), docs.schema)

@@ -6,10 +6,14 @@ operator materialises (archives, shards, intermediate tables) goes below it, und
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +56,31 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Rows that a Python function turns into Python objects at once.
+SLICE = 1000
+
+
+def by_slices(run: Callable) -> Callable:
+    """A function over Arrow batches that sees a few rows at a time and hands back its memory.
+
+    Workers live on between tasks and stages; what one leaves unused would add to what the next needs.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
     """Move a finished file to its final name; a second attempt's equal file replaces the first."""
     if isinstance(fs, pafs.LocalFileSystem):

@@ -30,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tesselon.llm import pieces
+from tesselon.llm.store import by_slices
 
 _LABEL_BITS = 21
 _ID_BITS = 24
@@ -211,7 +212,7 @@ class Encoder:
         self.v = Vocabulary(vocabulary)
         self.lexicon = Transducer.map(lexicon) if lexicon else None
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.v.special, key=len, reverse=True))) if self.v.special else None
-        self.memo = pieces.Memo(self._learn, self._forget, 400_000)
+        self.memo = pieces.Memo(self._learn, self._forget)
         self._forget()
 
     def _forget(self) -> None:
@@ -318,7 +319,7 @@ def frequent_words(docs: DataFrame, size: int = 1 << 15, text: str = "text") ->
     A task passes on words that make up at least ``1 / (8 * size)`` of the words it has seen, so that
     what is shuffled stays bounded for each task.
     """
-    counted = docs.select(text).mapInArrow(_count_words(1 / (8 * size)), "word string, n long")
+    counted = docs.select(text).mapInArrow(by_slices(_count_words(1 / (8 * size))), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
 
 
@@ -358,7 +359,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, key: str = "do
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     schema = T.StructType([T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField(names[0], T.StringType() if digests else T.BinaryType()), T.StructField(names[1], T.StringType())])
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(by_slices(run), schema)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
