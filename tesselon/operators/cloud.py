@@ -28,7 +28,10 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     rows = points.filter("label is null").join(extents, key)
     lat, lon, _ = geo.geodetic(F.col("ex"), F.col("ey"), F.col("ez"))
     ends = [fixed.q7_degrees(F.col(c)) for c in ("lon_min_q7", "lon_max_q7", "lat_min_q7", "lat_max_q7")]
-    rows = rows.withColumns({"x": sample_pixel(lon, ends[0], ends[1], grid, mode), "y": sample_pixel(lat, ends[2], ends[3], grid if height is None else height, mode)})
+    # generated rows: else the join's null filters would each hold a copy of the geodesy
+    degrees = F.explode(F.array(F.struct(lat.alias("lat"), lon.alias("lon"))))
+    rows = rows.select("*", degrees.alias("_d"))
+    rows = rows.withColumns({"x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "y": sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode)}).drop("_d")
     looked = rows.drop("label").join(mask.select(key, "y", "x", F.col("class").alias("label")), [key, "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     columns = points.columns
     return direct.select(columns).unionByName(own.select(columns)).unionByName(looked.select(columns))

@@ -85,10 +85,12 @@ def fragments(points: DataFrame, camera: Camera, width: int, height: int) -> Dat
         r = m[i]
         return rel[0] * r[0] + rel[1] * r[1] + rel[2] * r[2] + r[3]
 
-    rows = points.withColumns({"_x": row(0), "_y": row(1), "_z": row(2), "_w": row(3)}).filter("_w > 0")
-    x = F.floor((F.col("_x") / F.col("_w") + 1.0) * 0.5 * width).cast("int")
-    y = F.floor((1.0 - F.col("_y") / F.col("_w")) * 0.5 * height).cast("int")
-    rows = rows.withColumns({"x": x, "y": y, "z": fixed.clamp(F.col("_z") / F.col("_w"), 0.0, 1.0)}).drop("_x", "_y", "_z", "_w")
+    # generated rows keep the filters above the geometry, which would else be copied into each of them
+    clip = F.explode(F.array(F.struct(row(0).alias("x"), row(1).alias("y"), row(2).alias("z"), row(3).alias("w"))))
+    rows = points.select("*", clip.alias("_c")).filter("_c.w > 0")
+    x = F.floor((F.col("_c.x") / F.col("_c.w") + 1.0) * 0.5 * width).cast("int")
+    y = F.floor((1.0 - F.col("_c.y") / F.col("_c.w")) * 0.5 * height).cast("int")
+    rows = rows.withColumns({"x": x, "y": y, "z": fixed.clamp(F.col("_c.z") / F.col("_c.w"), 0.0, 1.0)}).drop("_c")
     return rows.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
 
 
