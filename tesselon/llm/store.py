@@ -58,13 +58,22 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 #: Rows that a Python function turns into Python objects at once.
 SLICE = 1000
+SLICE_BYTES = 16 << 20
 
 
 def by_slices(run: Callable) -> Callable:
     """A function over Arrow batches that sees a few rows at a time and hands back its memory.
 
     Workers live on between tasks and stages; what one leaves unused would add to what the next needs.
+    The session, too, is asked for small batches: executors keep buffers as large as the largest.
     """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for name, most in (("maxRecordsPerBatch", SLICE), ("maxBytesPerBatch", SLICE_BYTES)):
+            key = f"spark.sql.execution.arrow.{name}"
+            now = int(spark.conf.get(key, "0") or 0)
+            if now <= 0 or now > most:
+                spark.conf.set(key, str(most))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
