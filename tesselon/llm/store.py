@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,10 +71,9 @@ def by_slices(run: Callable) -> Callable:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         for name, most in (("maxRecordsPerBatch", SLICE), ("maxBytesPerBatch", SLICE_BYTES)):
-            key = f"spark.sql.execution.arrow.{name}"
-            now = int(spark.conf.get(key, "0") or 0)
-            if now <= 0 or now > most:
-                spark.conf.set(key, str(most))
+            now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+            if not now or not 0 < int(now[1]) <= most:
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
