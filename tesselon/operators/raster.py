@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tesselon.functions import classify, geo
 
 LONGEST_RUN = 65535
+#: Bits of a way's place in the painting order.
+ORDER_BITS = 50
 
 
 def f32(c: Column | float) -> Column:
@@ -50,11 +52,14 @@ def fill_areas(areas: DataFrame, grid: int) -> DataFrame:
     return bounded.select("tile_id", "way_id", "class", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
-def buffer_lines(lines: DataFrame, grid: int) -> DataFrame:
-    """(tile_id, way_id, class, y, x) of pixels whose centre lies within the radius of a segment."""
+def buffer_lines(lines: DataFrame, grid: int, distinct: bool = True) -> DataFrame:
+    """(tile_id, way_id, class, y, x) of pixels whose centre lies within the radius of a segment.
+
+    Pixels near several segments appear once; ``distinct`` False spares that shuffle, for painting.
+    """
     r = F.col("radius")
     segments = lines.filter(F.size("px") >= 2).select("tile_id", "way_id", "class", "radius", F.explode(F.transform(F.slice("px", 1, F.size("px") - 1), lambda p, i: F.struct(p.alias("a"), F.element_at("px", i + 2).alias("b")))).alias("e"))
-    s = segments.select("tile_id", "way_id", "class", "radius", *[f32(F.col(f"e.{v}.{c}")).alias(c + n) for v, n in (("a", "0"), ("b", "1")) for c in "xy"]).distinct()
+    s = segments.select("tile_id", "way_id", "class", "radius", *[f32(F.col(f"e.{v}.{c}")).alias(c + n) for v, n in (("a", "0"), ("b", "1")) for c in "xy"])
 
     def bounds(c: str) -> tuple[Column, Column]:
         low = F.floor(f32(F.least(c + "0", c + "1") - r)).cast("int")
@@ -68,24 +73,29 @@ def buffer_lines(lines: DataFrame, grid: int) -> DataFrame:
     t = f32(((cx - x0) * dx + (cy - y0) * dy).cast("float") / (dx * dx + dy * dy + f32(1e-12)).cast("float"))
     t = F.greatest(F.least(t, f32(1.0)), f32(0.0))
     ex, ey = cx - (x0 + t * dx), cy - (y0 + t * dy)
-    return px.filter(ex * ex + ey * ey <= r * r).select("tile_id", "way_id", "class", "y", "x").distinct()
+    out = px.filter(ex * ex + ey * ey <= r * r).select("tile_id", "way_id", "class", "y", "x")
+    return out.distinct() if distinct else out
 
 
 def paint(areas: DataFrame, lines: DataFrame) -> DataFrame:
     """(tile_id, y, x, class) after painting areas, then lines, in way order.
 
-    A class replaces one of the same or less precedence, so the last of the highest precedence stays:
-    one aggregate with partial combination instead of a fold.
+    A class replaces one of the same or less precedence, so the last of the highest precedence stays.
+    Precedence, phase, order and class are packed into one number, whose maximum is a hash aggregate
+    that combines before the shuffle; a pixel may be given more than once.
     """
     both = areas.withColumn("line", F.lit(0)).unionByName(lines.withColumn("line", F.lit(1)))
-    rank = F.struct(classify.precedence(F.col("class")).alias("p"), F.col("line"), F.col("way_id"))
-    return both.groupBy("tile_id", "y", "x").agg(F.max_by("class", rank).alias("class"))
+    order = F.col("way_id").cast("bigint")
+    order = F.when(order.between(0, (1 << ORDER_BITS) - 1), order).otherwise(F.raise_error(F.lit("a way's order is out of range")).cast("bigint"))
+    rank = F.shiftleft(F.shiftleft((classify.precedence(F.col("class")) * 2 + F.col("line")).cast("bigint"), ORDER_BITS).bitwiseOR(order), 4).bitwiseOR(F.col("class").cast("bigint"))
+    best = both.select("tile_id", "y", "x", rank.alias("rank")).groupBy("tile_id", "y", "x").agg(F.max("rank").alias("rank"))
+    return best.select("tile_id", "y", "x", F.col("rank").bitwiseAND(15).cast("int").alias("class"))
 
 
 def build_mask(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
     """Painted pixels of every tile that has an overlay (sparse: class 0 is left out)."""
     px = pixelised(overlay, tiles, grid)
-    return paint(fill_areas(px.filter("is_area"), grid), buffer_lines(px.filter("not is_area"), grid))
+    return paint(fill_areas(px.filter("is_area"), grid), buffer_lines(px.filter("not is_area"), grid, distinct=False))
 
 
 def dense(mask: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:

@@ -208,8 +208,7 @@ def _pixelised(spark, d) -> DataFrame:
 
 
 def _mask(spark, d) -> DataFrame:
-    px = _pixelised(spark, d)
-    return raster.paint(raster.fill_areas(px.filter("is_area"), GRID), raster.buffer_lines(px.filter("not is_area"), GRID))
+    return raster.build_mask(_overlay(spark, d), view(spark, d, "tiles"), GRID)
 
 
 def _dense(spark, d) -> DataFrame:
