@@ -20,6 +20,8 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K = ", ".join(KEYS)
 VIEWPORT = (320, 180)
 SCREEN = (96, 64)
+#: The screen on which every row is drawn; some of its pixels stay empty.
+WIDE = (640, 360)
 CAMERA = render.Camera(52.51, 13.39, 6000.0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,9 +169,10 @@ runs AS (SELECT tile_id, min(i) AS start, count(*) AS len, class FROM (SELECT *,
 
 _FRAG = """frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % 96 AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % 64 AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 16 = 3)"""
-_SCREEN_SQL = (
-    _FRAG.format(lineitem="lineitem")
-    + f""",
+_ALL_FRAG = f"""frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % {WIDE[0]} AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % {WIDE[1]} AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
+  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {{lineitem}})"""
+_PIX_SQL = (
+    f""",
 pix AS (SELECT y, x, z, label, CASE WHEN (x + y) % 17 = 0 THEN 0e0 ELSE 1e0 END AS tag, 7e-1 AS r, 7e-1 AS g, 7e-1 AS b FROM
   (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY z, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS k FROM frag) WHERE k = 1),
 col(class, cr, cg, cb) AS (VALUES {', '.join(f'({c[0]}, {num(c[3])}, {num(c[4])}, {num(c[5])})' for c in classify.CLASSES)}),
@@ -177,6 +180,8 @@ tinted AS (SELECT y, x, z, label, tag, """
     + ", ".join(f"CASE WHEN z < 9999e-4 AND label <> 0 THEN {c}*2e-1 + c{c}*8e-1 ELSE {c} END AS {c}" for c in "rgb")
     + " FROM pix JOIN col ON col.class = pix.label)"
 )
+_SCREEN_SQL = _FRAG.format(lineitem="lineitem") + _PIX_SQL
+_ALL_SQL = _ALL_FRAG.format(lineitem="lineitem") + _PIX_SQL
 
 
 def rgb_sql(src: str) -> str:
@@ -221,8 +226,8 @@ def _anchored(spark, d, upm: int = 1000) -> tuple[DataFrame, DataFrame]:
     return found, tiling.offsets(rows, found, "tile_id")
 
 
-def _screen(spark, d) -> DataFrame:
-    frag = spark.sql("WITH " + _FRAG + " SELECT * FROM frag", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+def _screen(spark, d, fragments: str = _FRAG) -> DataFrame:
+    frag = spark.sql("WITH " + fragments + " SELECT * FROM frag", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
     px = render.depth_resolve(frag, KEYS)
     return render.coloured(px.withColumn("tag", F.when((F.col("x") + F.col("y")) % 17 == 0, 0.0).otherwise(1.0)))
 
@@ -544,11 +549,25 @@ def edl_shade(spark, d):
     return _rgb(render.edl(_screen(spark, d)))
 
 
+@query(
+    f"""WITH {_ALL_SQL}, solid AS (SELECT y, x, z FROM pix WHERE {_SOLID}), step(i) AS (VALUES (-1), (0), (1)),
+s AS (SELECT a.y, a.x, sum(greatest(ln(n.z + 1e-6) - ln(a.z + 1e-6), 0e0)) AS s FROM (SELECT solid.*, y + v.i AS ny, x + h.i AS nx FROM solid CROSS JOIN step v CROSS JOIN step h WHERE v.i <> 0 OR h.i <> 0) a JOIN solid n ON n.y = ny AND n.x = nx GROUP BY 1, 2),
+o AS (SELECT pix.y, pix.x, CASE WHEN {_SOLID} THEN exp(-14e-1*coalesce(s, 0e0)) ELSE 1e0 END AS k, r, g, b FROM pix LEFT JOIN s USING (y, x)), e AS (SELECT y, x, r*k AS r, g*k AS g, b*k AS b FROM o) {rgb_sql('e')}"""
+)
+def edl_shade_all(spark, d):
+    return _rgb(render.edl(_screen(spark, d, _ALL_FRAG)))
+
+
 @query(f"WITH {_SCREEN_SQL} {rgb_sql('tinted')}")
 def semantic_tint(spark, d):
     return _rgb(render.tint(_screen(spark, d)))
 
 
+@query(f"WITH {_ALL_SQL} {rgb_sql('tinted')}")
+def semantic_tint_all(spark, d):
+    return _rgb(render.tint(_screen(spark, d, _ALL_FRAG)))
+
+
 def _shifted(c: str, size: int, by: float) -> str:
     return f"greatest(least(CAST(floor(({c} + 5e-1) + {num(by * size)}) AS INTEGER), {size - 1}), 0)"
 
@@ -556,32 +575,46 @@ def _shifted(c: str, size: int, by: float) -> str:
 _OX, _OY = 0.03 * 0.16996714290024104, 0.03 * 0.98544972998846014  # of the angle 1.4
 
 
-@query(
-    f"""WITH {_SCREEN_SQL}, s AS (SELECT *, {_shifted('x', SCREEN[0], _OX)} AS rx, {_shifted('y', SCREEN[1], _OY)} AS ry, {_shifted('x', SCREEN[0], -_OX)} AS gx, {_shifted('y', SCREEN[1], -_OY)} AS gy FROM tinted),
+def _shift_sql(screen: str, size: tuple[int, int]) -> str:
+    return f"""WITH {screen}, s AS (SELECT *, {_shifted('x', size[0], _OX)} AS rx, {_shifted('y', size[1], _OY)} AS ry, {_shifted('x', size[0], -_OX)} AS gx, {_shifted('y', size[1], -_OY)} AS gy FROM tinted),
 o AS (SELECT s.y, s.x, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(p.r, 0e0) ELSE s.r END AS r, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(q.g, 0e0) ELSE s.g END AS g, CASE WHEN s.tag >= 5e-1 AND s.z < 9999e-4 THEN coalesce(q.b, 0e0) ELSE s.b END AS b
   FROM s LEFT JOIN tinted p ON p.x = rx AND p.y = ry LEFT JOIN tinted q ON q.x = gx AND q.y = gy) {rgb_sql('o')}"""
-)
+
+
+@query(_shift_sql(_SCREEN_SQL, SCREEN))
 def rgb_shift(spark, d):
     return _rgb(render.rgb_shift(render.tint(_screen(spark, d)), *SCREEN, amount=0.03))
 
 
-@query(
-    f"""WITH {_SCREEN_SQL}, u AS (SELECT *, (x + 5e-1)/{SCREEN[0]} AS u, (y + 5e-1)/{SCREEN[1]} AS v FROM tinted),
-w AS (SELECT *, 5e-1 + 5e-1*sin(6.28318e0*(v*{SCREEN[1]}*5e-1 + 5e-1*12e0)) AS sc, sin((u*2048e0 + 5e-1)*12.9898e0 + (v*2048e0 - 5e-1)*78.233e0)*43758.5453e0 AS raw, greatest(least((sqrt(((u - 5e-1)/11e-1)*((u - 5e-1)/11e-1) + ((v - 5e-1)/95e-2)*((v - 5e-1)/95e-2)) - 6e-1)/4e-1, 1e0), 0e0) AS q FROM u),
+@query(_shift_sql(_ALL_SQL, WIDE))
+def rgb_shift_all(spark, d):
+    return _rgb(render.rgb_shift(render.tint(_screen(spark, d, _ALL_FRAG)), *WIDE, amount=0.03))
+
+
+def _crt_sql(screen: str, size: tuple[int, int]) -> str:
+    return f"""WITH {screen}, u AS (SELECT *, (x + 5e-1)/{size[0]} AS u, (y + 5e-1)/{size[1]} AS v FROM tinted),
+w AS (SELECT *, 5e-1 + 5e-1*sin(6.28318e0*(v*{size[1]}*5e-1 + 5e-1*12e0)) AS sc, sin((u*2048e0 + 5e-1)*12.9898e0 + (v*2048e0 - 5e-1)*78.233e0)*43758.5453e0 AS raw, greatest(least((sqrt(((u - 5e-1)/11e-1)*((u - 5e-1)/11e-1) + ((v - 5e-1)/95e-2)*((v - 5e-1)/95e-2)) - 6e-1)/4e-1, 1e0), 0e0) AS q FROM u),
 g AS (SELECT *, (raw - floor(raw) - 5e-1)*2e-2 AS gr, 1e0 - 8e-1*q*q*(3e0 - 2e0*q) AS vg FROM w),
 o AS (SELECT y, x, {', '.join(f'CASE WHEN z >= 9999e-4 OR tag < 5e-1 THEN (1e-2*85e-2 + gr)*(1e0 - sc) ELSE ({c} + gr*4e-1)*(1e0 - 25e-2*sc) END*vg AS {c}' for c in 'rgb')} FROM g) {rgb_sql('o')}"""
-)
+
+
+@query(_crt_sql(_SCREEN_SQL, SCREEN))
 def crt_pass(spark, d):
     return _rgb(render.crt(render.tint(_screen(spark, d)), *SCREEN, time=0.5))
 
 
-@query(
-    f"""WITH {_SCREEN_SQL}, o AS (SELECT 1 AS mode, y, x, 1e0 - greatest(least(z, 1e0), 0e0) AS r, 1e0 - greatest(least(z, 1e0), 0e0) AS g, 1e0 - greatest(least(z, 1e0), 0e0) AS b FROM pix
+@query(_crt_sql(_ALL_SQL, WIDE))
+def crt_pass_all(spark, d):
+    return _rgb(render.crt(render.tint(_screen(spark, d, _ALL_FRAG)), *WIDE, time=0.5))
+
+
+def _debug_sql(screen: str) -> str:
+    return f"""WITH {screen}, o AS (SELECT 1 AS mode, y, x, 1e0 - greatest(least(z, 1e0), 0e0) AS r, 1e0 - greatest(least(z, 1e0), 0e0) AS g, 1e0 - greatest(least(z, 1e0), 0e0) AS b FROM pix
 UNION ALL SELECT 2, y, x, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cr END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cg END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cb END FROM pix JOIN col ON class = label
 UNION ALL SELECT 3, y, x, tag, tag, tag FROM pix) SELECT mode, y, x, {big('r*1e6')} AS r_u, {big('g*1e6')} AS g_u, {big('b*1e6')} AS b_u FROM o"""
-)
-def debug_view(spark, d):
-    px = _screen(spark, d)
+
+
+def _debug_views(px: DataFrame) -> DataFrame:
     out = None
     for mode in (1, 2, 3):
         part = _rgb(render.debug_view(px, mode)).select(F.lit(mode).alias("mode"), "*")
@@ -589,6 +622,16 @@ def debug_view(spark, d):
     return out
 
 
+@query(_debug_sql(_SCREEN_SQL))
+def debug_view(spark, d):
+    return _debug_views(_screen(spark, d))
+
+
+@query(_debug_sql(_ALL_SQL))
+def debug_view_all(spark, d):
+    return _debug_views(_screen(spark, d, _ALL_FRAG))
+
+
 _METRES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey*137 % 50021)*1e-1 AS px, (l_suppkey*911 % 30011)*1e-1 AS py, 4e0 AS fx, 6e0 AS fy FROM {lineitem}"
 
 

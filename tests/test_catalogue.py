@@ -34,3 +34,11 @@ def test_query_matches_sql(spark, duck, name):
     have = [tuple(r) for r in got.collect()]
     assert len(have) == len(want) > 0
     assert rows(got.columns, have) == rows(names, want)
+
+
+@pytest.mark.parametrize("name", ["edl_shade", "semantic_tint", "rgb_shift", "crt_pass", "debug_view"])
+def test_screen_passes_draw_every_row(spark, duck, name):
+    wide = catalogue.WIDE
+    drawn = duck.execute(f"SELECT DISTINCT (l_orderkey*5 + l_linenumber*11) % {wide[1]}, (l_partkey*7 + l_suppkey) % {wide[0]} FROM lineitem").fetchall()
+    assert {(r.y, r.x) for r in catalogue.QUERIES[f"{name}_all"](spark, SF).select("y", "x").collect()} == set(drawn)
+    assert len(drawn) < wide[0] * wide[1]
