@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _DROPPED = frozenset("script style textarea title iframe noembed noframes noscript template svg math canvas audio video object select button head".split())
+_FOREIGN = frozenset(("svg", "math"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _TWINS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table td th body article section div main".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
+_EMPTY = re.compile(r"(?:(?<!\S)[^\s=\"']*|[\"'])/$")
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CUES = re.compile(r"cookie|subscrib|newsletter|share|comment|advert|sponsor|sign in|log in|copyright|©|privacy|related|read more|repl[yi]", re.I)
@@ -39,13 +41,16 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, stack, characters inside links) of each leaf block with text.
 
     The stack holds (tag, words of class, id and role) from the outermost element inwards; end tags
-    that are left out are filled in where the standard says so.
+    that are left out are filled in where the standard says so.  A dropped element without an end tag
+    ends with its parent or, unless it is a template, where the next block begins.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
     linked = 0
     links = 0  # open links
+    hidden: list[int] = []  # places in the stack of dropped elements without an end tag
+    ends: dict[int, int] | None = None
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -54,12 +59,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((text, tuple(stack), linked))
+                out.append((text, tuple(stack[: hidden[0]] if hidden else stack), linked))
             linked = 0
 
     def text_to(end: int) -> None:
         nonlocal linked
-        if end > at:
+        if end > at and not hidden:
             t = page[at:end]
             if "&" in t:
                 t = html.unescape(t)
@@ -69,8 +74,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
 
     def pop_to(k: int) -> None:
         nonlocal links
-        if any(t not in _INLINE for t, _ in stack[k:]):
+        if any(t not in _INLINE and t not in _DROPPED for t, _ in stack[k:]):
             flush()
+        while hidden and hidden[-1] >= k:
+            hidden.pop()
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
 
@@ -98,14 +105,33 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
             if tag == "br":
                 parts.append("\n")
             continue
+        if tag == "head":
+            at = _skip_head(page, at)
+            continue
         if tag in _DROPPED:
-            if tag in _RAW or tag not in ("head",):
-                if tag not in _INLINE:
-                    parts.append(" ")
-                at = _skip(page, at, tag)
+            parts.append(" ")
+            foreign = any(stack[k][0] in _FOREIGN for k in hidden)
+            if (foreign or tag in _FOREIGN) and _EMPTY.search(m[3]):
                 continue
-            at = _skip_head(page, at)
+            if tag in _RAW:
+                end = _skip(page, at, tag)
+                at = at if foreign and end == n else end
+                continue
+            if ends is None:
+                ends = _ends(page, m.start())
+            if tag in _ALONE:
+                for k in hidden:
+                    if stack[k][0] == tag:
+                        pop_to(k)
+                        break
+            if at in ends:
+                at = ends[at]
+            else:
+                hidden.append(len(stack))
+                stack.append((tag, ()))
             continue
+        if hidden and (tag in _CLOSES_P or tag in _TWINS and tag != "option") and stack[hidden[0]][0] != "template":
+            pop_to(hidden[0])
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -141,6 +167,50 @@ def _skip(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
+#: Elements that do not stand in one another: the next ends the one before.
+_ALONE = frozenset(("button", "select"))
+
+
+def _ends(page: str, at: int) -> dict[int, int]:
+    """Where each dropped element with an end tag of its own begins (after the start tag) and ends."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def pop() -> int:
+        tag, begin = stack.pop()
+        count[tag] -= 1
+        return begin
+
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if not tag or tag in _INLINE or tag in _VOID:
+            continue
+        if m[1]:
+            if count.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                begin = pop()
+                if tag in _DROPPED:
+                    ends[begin] = at
+            continue
+        foreign = any(count.get(t) for t in _FOREIGN)
+        if (foreign or tag in _FOREIGN) and _EMPTY.search(m[3]):
+            continue
+        if tag in _RAW:
+            end = _skip(page, at, tag)
+            at = at if foreign and end == len(page) else end
+            continue
+        if tag in _ALONE and count.get(tag):
+            while stack[-1][0] != tag:
+                pop()
+            pop()
+        stack.append((tag, at))
+        count[tag] = count.get(tag, 0) + 1
+    return ends
+
+
 _HEAD_END = re.compile(r"</head[^>]*>|(?=<body[\s>])|(?=<(?:article|main|div|p|h1|nav|header|section|footer)[\s>])", re.I)
 
 
@@ -150,7 +220,8 @@ def _skip_head(page: str, at: int) -> int:
         end = _HEAD_END.search(page, at)
         raw = re.compile(r"<(script|style|title|noscript|template)\b", re.I).search(page, at)
         if raw and (not end or raw.start() < end.start()):
-            at = _skip(page, raw.end(), raw[1])
+            end = _skip(page, raw.end(), raw[1])
+            at = raw.end() if raw[1].lower() == "template" and end == len(page) else end
             continue
         return end.end() if end else at
 

@@ -135,6 +135,25 @@ def test_main_text_edges(spark):
     assert got[8] == "A&B é cd e" and got[9] == " ".join(["word"] * 3000)
 
 
+@pytest.mark.parametrize(
+    "odd",
+    ["<svg viewBox='0 0 1 1'/>", "<math/>", "<svg width=1 />", "<svg><title/><path d='M0'/></svg>", "<svg><path d='M0'/>"]
+    + ["<button>no", "<select><option>no<option>no", "<object data=x>no", "<video src=x>", "<canvas>no", "<audio src=x/>", "<template>no", "<button>no<button>no</button>"]
+    + ["<button><div>no</div></button>", "<object>no<object>no</object>no</object>", "<svg><text>no</text><style>p{}</style></svg>", "<template><p>no</p></template>"],
+)
+def test_dropped_elements_cut_nothing_after_them(odd):
+    page = f"<body><article><h1>Head</h1><p>one {odd}</p><p>two</p><div>three</div></article><p>four<p>five {odd}<p>six"
+    assert [t for t, _, _ in htmltext.leaf_blocks(page)] == ["Head", "one", "two", "three", "four", "five", "six"]
+    assert [t for t, _, _ in htmltext.leaf_blocks(f"<p>a {odd}</p>b <b>c</b><button>no</button> d")] == ["a", "b c d"]
+
+
+def test_dropped_elements_keep_blocks_whole():
+    for odd in ("<svg/>", "<svg></svg>", "<button>no</button>", "<select><option>no</select>", "<b>x<button>no</b>"):
+        (block,) = htmltext.leaf_blocks(f"<div><p>a {odd} c</p></div>")
+        assert block[0] == ("a x c" if "x" in odd else "a c") and [t for t, _ in block[1]] == ["div", "p"]
+    assert len(htmltext.leaf_blocks("<p>w<object>" * 20000)) == 20000
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     index = {f"f{i}": i for i in range(5)}
