@@ -33,16 +33,21 @@ def _quantise(scale: int):
                 x = np.floor(scale * np.array(v, np.float64))
                 if not np.isfinite(x).all():
                     continue
-                if np.abs(x).max(initial=0) >= 1 << 31:
-                    raise ValueError(f"vector {i}: a component beyond 32 bits")
                 ids.append(i)
                 sizes.append(len(v))
-                vectors.append(x.astype("<i4").tobytes())
+                vectors.append(x.astype("<i4" if np.abs(x).max(initial=0) < 1 << 31 else "<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.binary())], names=list("abc"))
 
     return run
 
 
+def _matrix(vectors: pd.Series, size: int) -> np.ndarray:
+    """The vectors as whole numbers; one with a component beyond 32 bits is held as doubles."""
+    if all(len(v) == 4 * size for v in vectors):
+        return np.stack([np.frombuffer(v, "<i4") for v in vectors])
+    return np.array([[int(x) for x in np.frombuffer(v, "<i4" if len(v) == 4 * size else "<f8")] for v in vectors], object)
+
+
 def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, its best (ids, scores) among ``docs``; ``own`` are the queries' ids.
 
@@ -64,8 +69,9 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, docs: np.ndarr
     low = np.stack([docs[a:b].min(0) for a, b in blocks]) if blocks else high
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     by = np.argsort(-bound, axis=1, kind="stable")
-    least = np.iinfo(np.int64).min
-    score = np.full((nq, k), -np.inf if kind in (np.float32, np.float64) else least, kind)
+    # below every score; whole numbers must keep a negative of their own
+    least = -np.inf if kind in (np.float32, np.float64) else -(1 << 62) if kind is np.int64 else -most - 1
+    score = np.full((nq, k), least, kind)
     name = np.full((nq, k), np.iinfo(np.int64).max, np.int64)
     live = np.arange(nq)
     for r in range(len(blocks)):
@@ -87,7 +93,7 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, docs: np.ndarr
             who = np.broadcast_to(ids[a:b], s.shape)
             lost = who == own[mine][:, None]
             if lost.any():
-                s = np.where(lost, score.dtype.type(-np.inf) if score.dtype.kind == "f" else least, s)
+                s[lost] = least
                 who = np.where(lost, np.iinfo(np.int64).max, who)
             s = np.concatenate([score[mine], s], 1)
             who = np.concatenate([name[mine], who], 1)
@@ -97,6 +103,8 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, docs: np.ndarr
     out = []
     for i in range(nq):
         real = name[i] != np.iinfo(np.int64).max
+        if kind is object and any(abs(s) >= 1 << 63 for s in score[i][real]):
+            raise ValueError(f"query {own[i]}: a score beyond 64 bits")
         out.append((name[i][real], score[i][real].astype(np.int64)))
     return out
 
@@ -106,8 +114,7 @@ def _block_pair(k: int):
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(left) or not len(right):
             return empty
-        q = np.stack([np.frombuffer(v, "<i4") for v in left["v"]])
-        d = np.stack([np.frombuffer(v, "<i4") for v in right["v"]])
+        q, d = _matrix(left["v"], key[0]), _matrix(right["v"], key[0])
         own, ids = left["id"].to_numpy(), right["id"].to_numpy()
         found = search(q, own, ids, d, k)
         return pd.DataFrame({"query_id": np.repeat(own, [len(a) for a, _ in found]), "vec_id": np.concatenate([a for a, _ in found]), "score": np.concatenate([s for _, s in found])})
@@ -120,7 +127,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key
 
     Components become floor(scale * x).  Vectors that are null or hold a null or non-finite component
     take no part; vectors of different lengths never meet.  Rows that share the query's id count as
-    its own; of repeated query ids one vector is asked.  Ties rank by the smaller id.
+    its own; of repeated query ids one vector is asked.  Ties rank by the smaller id.  Components may be of any
+    size; a score among the best that a 64-bit number cannot hold is an error.
     """
     from tesselon.llm.store import written
 

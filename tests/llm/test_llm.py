@@ -100,6 +100,35 @@ def test_search_is_exact(big):
         assert got.tolist() == ids[keep][order].tolist() and score.tolist() == s[keep][order].tolist()
 
 
+@pytest.mark.parametrize("big, kind", [(10**7, int), (10**7 * 40, object)])
+def test_search_is_exact_beyond_doubles(big, kind):
+    rng = np.random.default_rng(2)
+    docs = rng.integers(-5 * big, 5 * big + 1, (700, 8))
+    if kind is object:  # one outlier on each side makes the bound of scores large, no score is
+        docs //= 1000
+        docs[3], docs[4] = 0, 0
+        docs[3, 0], docs[4, 1] = 1 << 31, 1 << 31
+        docs[:3, :2], docs[5:, :2] = docs[:3, :2] // 100000, docs[5:, :2] // 100000
+    docs[100:200] = docs[0]
+    ids = rng.permutation(700).astype(np.int64)
+    q = ids % 20 == 0
+    q[3] = True
+    most = int(np.abs(docs[q]).max()) * int(np.abs(docs).max()) * 8
+    assert most >= 1 << 62 if kind is object else 1 << 53 <= most < 1 << 62
+    for (got, score), i, v in zip(topk.search(docs[q], ids[q], ids, docs, 20, 64), ids[q], docs[q], strict=True):
+        s = docs @ v
+        keep = ids != i
+        order = np.lexsort((ids[keep], -s[keep]))[:20]
+        assert got.tolist() == ids[keep][order].tolist() and score.tolist() == s[keep][order].tolist()
+
+
+def test_top_k_of_huge_components(spark):
+    v = [(0, [1.0, 0.0]), (1, [2.0**40, 0.0]), (2, [0.5, 2.0**40]), (20, [0.25, 1.0]), (3, [-1.0, 0.0])]
+    d = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(d, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2**52), (0, 2, 2, 2048), (20, 1, 2, 2**52 + 512), (20, 2, 1, 2**50)]
+
+
 def test_top_k_edges(spark):
     v = [(0, [0.5, 0.5]), (1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (20, [0.5, 0.5]), (6, [1.0]), (5, [0.5, 0.5]), (7, [])]
     d = spark.createDataFrame([(i, x, "c") for i, x in v], "vec_id long, embedding array<float>, score string")
