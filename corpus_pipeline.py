@@ -20,15 +20,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word shingle similarity 0.8 and more, the smallest id stays.
 
-    Rows that repeat an id are one document; rows without an id stay.
+    Rows that repeat an id and a text are one document; different texts under one id are documents of
+    their own.  Rows without an id stay.
     """
-    found = minhash.groups(docs, width=5, similar=80)
-    gone = store.written(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
-    return left
+    if repeated.isEmpty():
+        found = minhash.groups(docs, width=5, similar=80)
+        gone = store.written(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    rows = store.written(once.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = minhash.groups(rows, key="_row", width=5, similar=80).filter("_row is not null").select("_row", "component_id")
+    found = found.join(rows.select("_row", F.struct("doc_id", F.xxhash64("text").alias("text"), "_row").alias("place")), "_row")
+    stays = found.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    gone = store.written(found.select("_row").join(stays, "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
     ``similar`` is the least similarity in percent.  The component is its smallest key.  A null or
-    wordless text has no shingles and is linked with nothing; equal texts, repeated rows and rows with
+    wordless text has no shingles and is linked with nothing; equal texts, repeated rows and texts with
     the same key share a component.  Rows with a null key get a null component and are not kept.
     ``key`` must be a whole number; other columns are ignored; an empty table gives no rows.
     """
@@ -220,6 +220,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     sets = texts.select("doc", "text").mapInArrow(by_slices(_sets(width)), "rep long, shingles binary")
     placed = sets.join(wanted, "rep").select("rep", "grp", "shingles", F.explode("blocks").alias("x")).select("rep", "grp", "shingles", "x.*")
     links = placed.groupBy("grp", "b0", "c0", "b1", "c1").applyInPandas(_confirm(similar), "a long, b long")
+    # the classes of a key that has several sets
+    several = signed.filter("set_key is not null and doc is not null").groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc")
+    several = written(several, "several")
+    if not several.isEmpty():
+        of = signed.join(several, "doc").join(classes, "set_key").select("doc", "rep").distinct()
+        links = links.unionByName(of.join(of.groupBy("doc").agg(F.min("rep").alias("b")), "doc").filter("rep <> b").select(F.col("rep").alias("a"), "b"))
     found = components(links).withColumnRenamed("node", "rep")
 
     named = signed.join(classes, "set_key", "left").join(found, "rep", "left")

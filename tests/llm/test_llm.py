@@ -472,6 +472,19 @@ def test_pipeline(spark, docs, texts):
         assert d.columns == docs.columns
 
 
+def test_texts_under_one_id(spark):
+    import corpus_pipeline as pipe
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    # b is a copy of document 3's; c stands under id 5 and elsewhere only as a copy of that row
+    data = [(3, b), (5, a), (5, b + " end"), (5, c), (5, c), (7, c), (8, a + " end"), (9, "x y"), (9, None), (9, None), (None, a), (None, a)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or -1, r.text or "") for r in pipe.drop_near_duplicates(spark, d, SF).collect())
+    assert got == sorted([(3, b), (5, a), (5, c), (9, "x y"), (9, ""), (-1, a), (-1, a)])
+    rows = minhash.groups(d).collect()
+    assert {r.component_id for r in rows if r.doc_id in (3, 5, 7, 8)} == {3} and len(rows) == len(data)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
