@@ -31,11 +31,11 @@ _VERSION = b"WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(key: int) -> str:
-    return f"<urn:record:{key}>"
+def record_id(key: int | None) -> str:
+    return f"<urn:record:{'none' if key is None else key}>"
 
 
-def record(key: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One record; a revisit holds the HTTP head only, whose length field still gives the payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -106,12 +106,13 @@ def _write(uri: str, file_bytes: int, date: str):
 def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row below ``uri``; returns the manifest (file, records, bytes, sha256).
 
-    Null html is an empty payload.  Rows with a null key are an error.  Rows that share a key and a
+    Null html is an empty payload.  Rows with a null key come first, as responses under
+    a record id without a key, and are read back with a null key.  Rows that share a key and a
     payload are records of one kind.  Equal payloads are found by digest in a table of keys and
     digests; the payloads themselves move once, to be sorted.
     """
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.raise_error(F.lit("a record needs a key")).cast("long")).alias("key"), F.sha1(raw).alias("digest"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.sha1(raw).alias("digest"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
     large = rows.filter(F.octet_length("payload") >= least).select("key", "digest")
     keep = large.groupBy("digest").agg(F.max("key").alias("refers_to"), F.min("key").alias("low")).filter("low < refers_to").select("digest", "refers_to")
     revisits = large.join(keep, "digest").filter("key < refers_to").distinct()
@@ -156,8 +157,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _number(urn: str) -> int:
-    return int(urn.strip("<>").rpartition(":")[2])
+def _number(urn: str) -> int | None:
+    last = urn.strip("<>").rpartition(":")[2]
+    return None if last == "none" else int(last)
 
 
 def _read(uri: str):

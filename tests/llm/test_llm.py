@@ -224,6 +224,15 @@ def test_warc(spark, tmp_path):
         list(warc.records(io.BytesIO(warc.member(b"x" * 100)[:-3])))
 
 
+def test_warc_of_null_keys(spark):
+    same = "w" * 1500
+    data = [(None, "u", same), (None, None, same), (None, "v", None), (1, "u", same), (2, "u", same)]
+    got = warc.round_trip(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    found = sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert found == [(-1, 0, "response", None), (-1, 1500, "response", None), (-1, 1500, "response", None), (1, 1500, "revisit", 2), (2, 1500, "response", None)]
+    assert all(bytes(r.payload) == same.encode() for r in got if r.page_id is None and r.payload_bytes)
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
