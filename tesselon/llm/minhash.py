@@ -1,38 +1,42 @@
 """Near-duplicate groups by an inverted join over MinHash signature coordinates.
 
 Method.  Every document has a set of word shingles and a signature of K minima.  Documents with equal
-sets are one class at once.  A class is posted under its (coordinate, value) pairs.  Two classes whose
-signatures agree in at least T coordinates must share a pair among each one's K - T + 1 rarest pairs,
-so only those are posted, and pairs that one class alone has are skipped.  Classes that posting lists
-connect form candidate groups.  Within a group, agreeing coordinates are counted block by block;
-pairs above the match threshold are confirmed on the full sets, and a block passes on no more links
-than join its members.  Components of the confirmed links are the near-duplicate groups.
+sets are one class, which one document represents from then on.  A class is posted under its
+(coordinate, value) pairs.  Two classes whose signatures agree in at least T coordinates must share a
+pair among each one's K - T + 1 rarest pairs (the prefix), so only those are posted, and pairs that
+one class alone has are skipped.
+
+Collisions are counted on the posting lists in two passes.  The first pairs neighbours of each list in
+a random order, a number of pairs that grows with the lists alone; pairs that agree in T coordinates
+or more are confirmed on the full sets, and their components taken.  The second skips every list whose
+members are in one component by then, and in the others counts the collisions of members of different
+components, list chunk by list chunk; pairs at the match threshold are confirmed as well.  Pairs within
+a component need no link, so no similar pair is lost: it shares a list, and is either connected by
+confirmed links after the first pass or counted in the second.
 
 With K = 48 and T = 26, two sets of similarity 0.8 agree too rarely with a probability below 3e-5.
-Large groups are cut into chunks by set size, and sets whose sizes rule out the similarity never
-meet.  No pair list of a group is ever made, nothing is collected on the driver, and no list,
+Hot lists are dealt out by a salt in the first pass and cut into chunks in the second; a list's
+commonest component meets only the other members.  Nothing is collected on the driver, and no list,
 candidate or partner is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tesselon.llm import pieces
 from tesselon.llm.graph import components
-from tesselon.llm.store import by_slices, release, written
+from tesselon.llm.store import Scratch, by_slices, written
 
 #: Signature coordinates, and how many must agree.
 K, AGREE = 48, 26
-#: Members of a chunk, and shingles in a group that is handled as one.
-CHUNK, GROUP_SHINGLES = 256, 1 << 20
+#: Members of a posting list that are handled at once.
+LIST = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -44,6 +48,26 @@ _MUL = _rng.integers(0, 1 << 63, K, np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
+#: Random values of a byte at each place of a word; longer words are hashed whole.
+_PLACES = 64
+_VALUE = _rng.integers(0, (1 << 64) - 1, _PLACES << 8, np.uint64)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_keys(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of words by tabulation: any two words collide with a probability of 2^-64."""
+    size = end - first
+    begin = np.cumsum(size) - size
+    step = np.arange(int(size.sum()), dtype=np.int64)
+    at = step - np.repeat(begin, size)
+    h = np.zeros(len(step) + 1, np.uint64)
+    np.cumsum(_VALUE[((at & (_PLACES - 1)) << 8) | data[np.repeat(first, size) + at]], out=h[1:])
+    k = (h[begin + size] - h[begin]) ^ (size.astype(np.uint64) * _LENGTH)
+    for i in np.flatnonzero(size > _PLACES).tolist():
+        k[i] = np.frombuffer(hashlib.blake2b(data[first[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return k
+
+
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (ASCII lower case, words between white space)."""
     for part in pieces.chunks(texts):
@@ -58,7 +82,7 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
         border[offsets] = True
         first = np.flatnonzero((word & (fresh | border))[:-1])
         end = np.flatnonzero(word[:-1] & (~word[1:] | border[1:])) + 1
-        k = pieces.keys(data, first, end) if len(first) else np.zeros(0, np.uint64)
+        k = word_keys(data, first, end) if len(first) else np.zeros(0, np.uint64)
         n = max(0, len(k) - width + 1)
         s = np.zeros(n, np.uint64)
         for j in range(width):
@@ -82,155 +106,192 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
-def _sign(width: int):
+def _described(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, bytes | None, np.ndarray]]:
+    """(shingles, digest of the set, signature as coordinate and value) of each text in column 1."""
     coordinate, none = np.arange(K, dtype=np.int64) << 32, np.zeros(0, np.int64)
+    for u in shingle_sets([x or "" for x in batch.column(1).to_pylist()], width):
+        if len(u):
+            yield u, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), coordinate | signature(u).astype(np.int64)
+        else:
+            yield u, None, none
 
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in values])]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
+def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs = [], [], []
-            for u in shingle_sets([x or "" for x in batch.column(1).to_pylist()], width):
+            for u, key, sig in _described(batch, width):
                 n.append(len(u))
-                keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                sigs.append(coordinate | signature(u).astype(np.int64) if len(u) else none)
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]), pa.int32())
-            pairs = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *sigs])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pairs], names=list("abcd"))
+                keys.append(key)
+                sigs.append(sig)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(sigs)], names=list("abcd"))
 
     return run
 
 
 def _sets(width: int):
+    """Rows (class, text, digest of the class) -> (class, size, signature, shingles) where they agree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [u.tobytes() for u in shingle_sets([x or "" for x in batch.column(1).to_pylist()], width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["a", "b"])
+            rows = [(c, len(u), sig, u.tobytes()) for c, want, (u, key, sig) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _described(batch, width), strict=True) if key == want]
+            c, n, sigs, sets = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), _lists(list(sigs)), pa.array(sets, pa.binary())], names=list("abcd"))
 
     return run
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = x = parent[parent[x]]
-    return x
+def similar_sets(s: np.ndarray, t: np.ndarray, similar: int) -> bool:
+    """Whether 100 * intersection >= similar * union, of sorted distinct values."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    both = int(np.count_nonzero(t[at] == s))
+    return 100 * both >= similar * (len(s) + len(t) - both)
+
 
+def _confirm(similar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar_sets(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), similar) for s, t in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def block_links(sets: list[np.ndarray], side: np.ndarray, similar: int) -> list[tuple[int, int]]:
-    """Links that join the members of a block: pairs (i, j) with 100 * overlap >= similar * union.
+    return run
 
-    ``side`` is 0 for all members of one chunk, or 0 and 1 for two chunks of which only mixed pairs
-    are asked for.  Agreeing coordinates are counted first; full sets decide.
-    """
-    size = np.array([len(s) for s in sets], np.int64)
-    sig = np.stack([signature(s) for s in sets])
-    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(sets)),) * 2
-    agree = np.zeros((len(rows), len(cols)), np.int16)
-    for c in range(K):
-        agree += sig[rows, c][:, None] == sig[cols, c][None, :]
-    a, b = size[rows][:, None], size[cols][None, :]
-    ok = (agree >= AGREE) & (100 * np.minimum(a, b) >= similar * np.maximum(a, b))
-    if not side.any():
-        ok = np.triu(ok, 1)
-    if not ok.any():
-        return []
-    parent, links = list(range(len(sets))), []
-    # the best matches first: once two members are joined, their pair need not be confirmed
-    pairs = np.argwhere(ok)
-    pairs = pairs[np.argsort(-agree[pairs[:, 0], pairs[:, 1]], kind="stable")]
-    for start in range(0, len(pairs), 4096):
-        left = [(int(rows[i]), int(cols[j])) for i, j in pairs[start : start + 4096].tolist()]
-        left = [(i, j) for i, j in left if _find(parent, i) != _find(parent, j)]
-        for i, j in left:
-            x, y = _find(parent, i), _find(parent, j)
-            if x == y:
-                continue
-            s, t = sets[i], sets[j]
-            if len(s) > len(t):
-                s, t = t, s
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            both = int(np.count_nonzero(t[at] == s))
-            if 100 * both >= similar * (len(s) + len(t) - both):
-                parent[x] = y
-                links.append((i, j))
-    return links
 
+def collisions(component: np.ndarray, size: np.ndarray, signatures: np.ndarray, similar: int) -> np.ndarray:
+    """Places (i, j), i < j, of members of different components that agree in AGREE coordinates or more."""
+    if component.min() == component.max():
+        return np.zeros((0, 2), np.int64)
+    agree = np.zeros((len(size), len(size)), np.int16)
+    for c in signatures.T:
+        agree += c[:, None] == c[None, :]
+    ok = (agree >= AGREE) & (component[:, None] != component[None, :]) & (100 * np.minimum(size[:, None], size) >= similar * np.maximum(size[:, None], size))
+    return np.argwhere(np.triu(ok, 1))
 
-def _confirm(similar: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", kind="stable")
-        reps = frame["rep"].tolist()
-        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        links = block_links(sets, frame["side"].to_numpy(), similar)
-        release()
-        return pd.DataFrame({"a": [reps[i] for i, _ in links], "b": [reps[j] for _, j in links]}, dtype="int64")
+
+def _count(similar: int):
+    """Rows with the members of a block -> candidate pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for block in batch.column(0):
+                x = block.values
+                cid, component, size = (x.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                pairs = collisions(component, size, x.field(3).flatten().to_numpy().reshape(len(x), K), similar)
+                a.append(cid[pairs[:, 0]])
+                b.append(cid[pairs[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
+def _confirmed(pairs: DataFrame, members: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) at the match threshold whose full sets are similar."""
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("pairs").alias(f"p{side}")), side)
+    near = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
+    pairs = pairs.filter(near).filter(F.size(F.array_intersect("pa", "pb")) >= AGREE).select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("cid").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(by_slices(_confirm(similar)), "a long, b long")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members that stand side by side in a list, in an order of its own."""
+    salt = F.pmod(F.xxhash64("cid", "pair"), F.ceil(F.col("often") / LIST))
+    turn = Window.partitionBy("pair", "salt").orderBy("place", "cid")
+    beside = lists.select("pair", "cid", salt.alias("salt"), F.xxhash64("pair", "cid").alias("place")).withColumn("next", F.lead("cid").over(turn))
+    return beside.filter("next is not null").select(*_ordered("cid", "next")).distinct()
+
+
+def _blocks(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """(block, cid, component): lists with members of several components, in chunks that must meet.
+
+    A list of LIST members or fewer is a block.  In a longer one the members of its commonest
+    component are apart from the others: chunks of others meet each other, and each chunk of the
+    component; chunks of the component do not meet.
+    """
+    named = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("pair", "cid", F.coalesce("component", "cid").alias("component"))
+    counts = named.groupBy("pair", "component").agg(F.count("*").alias("m"))
+    open_ = counts.groupBy("pair").agg(F.sum("m").alias("all"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).filter("parts > 1 and all > 2")
+    small = F.col("all") <= LIST
+    own = F.when(small, 0).otherwise(F.ceil(F.col("most.m") / LIST))
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("most.m")) / LIST))
+    sizes = open_.select("pair", F.col("most.component").alias("largest"), own.cast("long").alias("own"), rest.cast("long").alias("rest"))
+    placed = named.join(sizes, "pair").withColumn("inner", (F.col("own") > 0) & (F.col("component") == F.col("largest")))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("cid", "pair"), F.when(F.col("inner"), F.col("own")).otherwise(F.col("rest"))))
+
+    def block(i: Column, j: Column) -> Column:
+        return F.struct("pair", i.cast("long").alias("i"), j.cast("long").alias("j"))
+
+    def upto(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+
+    c = F.col("chunk")
+    meets = F.transform(upto("rest"), lambda k: block(F.least(c, k), F.greatest(c, k)))
+    inner = F.transform(upto("rest"), lambda k: block(k, -1 - c))
+    outer = F.transform(upto("own"), lambda k: block(c, -1 - k))
+    return placed.select("cid", "component", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(meets, outer))).alias("block"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
     ``similar`` is the least similarity in percent.  The component is its smallest key.  A null or
     wordless text has no shingles and is linked with nothing; equal texts, repeated rows and texts with
     the same key share a component.  Rows with a null key get a null component and are not kept.
-    ``key`` must be a whole number; other columns are ignored; an empty table gives no rows.
+    Texts of any length are taken whole.  ``key`` must be a whole number; other columns are ignored; an
+    empty table gives no rows.
     """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(by_slices(_sign(width)), schema), "signed")
-    # written, so that both sides of its joins are dealt out and a class of many copies can be split
-    classes = written(signed.filter("set_key is not null and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep")), "classes")
-
-    # posting lists over the rarest pairs of each class
-    posted = signed.join(classes.select(F.col("set_key"), F.col("rep")), "set_key").filter("doc = rep").select("rep", F.explode("pairs").alias("pair"))
-    often = posted.groupBy("pair").agg(F.count("*").alias("often")).filter("often > 1")
-    order = Window.partitionBy("rep").orderBy("often", "pair")
-    shared = posted.join(often, "pair").withColumn("place", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("rep")))
-    lists = written(shared.filter(F.col("place") <= F.col("of") - (AGREE - 1)).select("rep", "pair"), "lists")
-    first = lists.groupBy("pair").agg(F.min("rep").alias("first"))
-    candidates = components(lists.join(first, "pair").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
-
-    # candidate groups, cut into chunks of similar size
-    base = math.log(100 / similar)
-    member = candidates.join(signed.select(F.col("doc").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
-    member = written(member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "n", F.floor(F.log(F.col("n").cast("double")) / base).alias("band")), "member")
-    whole = member.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("grp", ((F.col("members") <= CHUNK) & (F.col("shingles") <= GROUP_SHINGLES)).alias("whole"))
-    band = member.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("chunks"))
-    near = band.select("grp", "band", "chunks")
-    for step, name in ((-1, "below"), (1, "above")):
-        near = near.join(band.select("grp", (F.col("band") - step).alias("band"), F.col("chunks").alias(name)), ["grp", "band"], "left")
-    own = member.join(whole, "grp").join(near, ["grp", "band"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-
-    def block(low, low_chunk, high, high_chunk, side):
-        return F.struct(low.alias("b0"), low_chunk.cast("long").alias("c0"), high.alias("b1"), high_chunk.cast("long").alias("c1"), F.lit(side).alias("side"))
-
-    def to(count):
-        return F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(count), F.lit(0)).cast("long") - 1)
-
-    b, c = F.col("band"), F.col("chunk")
-    one = F.lit(0).cast("long")
-    same = F.transform(to("chunks"), lambda i: block(b, F.least(c, i), b, F.greatest(c, i), 0))
-    same = F.transform(same, lambda x: F.struct(x.b0, x.c0, x.b1, x.c1, F.when((x.c0 != x.c1) & (x.c1 == c), 1).otherwise(0).alias("side")))
-    up = F.when(F.col("above") > 0, F.transform(to("above"), lambda i: block(b, c, b + 1, i, 0))).otherwise(F.array().cast(_BLOCKS))
-    down = F.when(F.col("below") > 0, F.transform(to("below"), lambda i: block(b - 1, i, b, c, 1))).otherwise(F.array().cast(_BLOCKS))
-    blocks = F.when(F.col("whole"), F.array(block(one, one, one, one, 0))).otherwise(F.concat(same.cast(_BLOCKS), up.cast(_BLOCKS), down.cast(_BLOCKS)))
-    # the sets are made anew from the members' texts: only they travel
-    wanted = own.select("rep", "grp", blocks.alias("blocks"))
-    texts = rows.join(written(member.select(F.col("rep").alias("doc")).distinct(), "wanted"), "doc").dropDuplicates(["doc", "text"])
-    sets = texts.select("doc", "text").mapInArrow(by_slices(_sets(width)), "rep long, shingles binary")
-    placed = sets.join(wanted, "rep").select("rep", "grp", "shingles", F.explode("blocks").alias("x")).select("rep", "grp", "shingles", "x.*")
-    links = placed.groupBy("grp", "b0", "c0", "b1", "c1").applyInPandas(_confirm(similar), "a long, b long")
-    # the classes of a key that has several sets
-    several = signed.filter("set_key is not null and doc is not null").groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc")
-    several = written(several, "several")
-    if not several.isEmpty():
-        of = signed.join(several, "doc").join(classes, "set_key").select("doc", "rep").distinct()
-        links = links.unionByName(of.join(of.groupBy("doc").agg(F.min("rep").alias("b")), "doc").filter("rep <> b").select(F.col("rep").alias("a"), "b"))
-    found = components(links).withColumnRenamed("node", "rep")
-
-    named = signed.join(classes, "set_key", "left").join(found, "rep", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
-    return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
-
-
-_BLOCKS = T.ArrayType(T.StructType([T.StructField("b0", T.LongType()), T.StructField("c0", T.LongType()), T.StructField("b1", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("side", T.IntegerType())]))
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.written(rows.mapInArrow(by_slices(_sign(width)), schema), "signed")
+        usable = signed.filter("set_key is not null and doc is not null")
+        # written, so that numbers stay and a class of many copies can be split in the joins with it
+        classes = scratch.written(usable.groupBy("set_key").agg(F.min("doc").alias("doc")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+        # posting lists over the rarest pairs of each class; a class meets one row, by digest and key
+        posted = usable.join(classes, ["set_key", "doc"]).select("cid", F.explode("pairs").alias("pair"))
+        often = posted.groupBy("pair").agg(F.count("*").alias("often")).filter("often > 1")
+        rarest = Window.partitionBy("cid").orderBy("often", "pair")
+        shared = posted.join(often, "pair").withColumn("place", F.row_number().over(rarest)).withColumn("of", F.count("*").over(Window.partitionBy("cid")))
+        lists = scratch.written(shared.filter(F.col("place") <= F.col("of") - (AGREE - 1)).select("cid", "pair", "often").distinct(), "lists")
+
+        # the sets of the posted classes are made anew from their texts: only they travel
+        wanted = scratch.written(lists.select("cid").distinct().join(classes, "cid"), "wanted")
+        texts = rows.join(wanted, "doc").select("cid", "text", "set_key")
+        sets = texts.mapInArrow(by_slices(_sets(width)), "cid long, n long, pairs array<long>, shingles binary")
+        members = scratch.written(sets.dropDuplicates(["cid"]), "members")
+
+        first = scratch.written(_confirmed(_neighbours(lists), members, similar), "first")
+        joined = components(first)
+        blocks = _blocks(lists, joined).join(members.select("cid", "n", "pairs"), "cid")
+        blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("cid", "component", "n", "pairs")).alias("members"))
+        second = blocks.select("members").mapInArrow(by_slices(_count(similar), 16), "a long, b long")
+        second = scratch.written(_confirmed(second.select(*_ordered("a", "b")).distinct(), members, similar), "second")
+
+        # the classes of a key that has several sets
+        several = usable.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc")
+        of = usable.join(several, "doc").select("doc", "set_key").distinct().join(classes.select("set_key", "cid"), "set_key").select("doc", "cid")
+        tied = of.join(of.groupBy("doc").agg(F.min("cid").alias("b")), "doc").filter("cid <> b").select(F.col("cid").alias("a"), "b")
+        found = components(first.unionByName(second).unionByName(tied))
+
+        grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "doc", F.coalesce("component", "cid").alias("grp"))
+        smallest = grouped.groupBy("grp").agg(F.min("doc").alias("smallest"))
+        named = scratch.written(grouped.join(smallest, "grp").select("set_key", "smallest"), "named")
+        component = F.when(F.col("doc").isNotNull(), F.coalesce("smallest", "doc"))
+        out = signed.join(named, "set_key", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
+        return written(out, "near")

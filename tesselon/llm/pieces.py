@@ -1,7 +1,8 @@
 """Vectorised splitting of whole texts into the pieces that byte-pair vocabularies work on.
 
 Many texts are handled as one array of code points: class changes mark the borders, and a prefix
-polynomial gives every piece a 64-bit key, so that Python touches only distinct pieces.
+polynomial gives every piece a 64-bit key, so that Python touches only distinct pieces.  A key only
+gathers pieces that may be equal: their code points are compared before they count as one.
 """
 
 from __future__ import annotations
@@ -143,15 +144,38 @@ def keys(cp: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return k
 
 
+def distinct(cp: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The number of each piece among the distinct pieces, and those."""
+    text = cp.tobytes().decode("utf-32-le", "surrogatepass")
+    code, keyed = pd.factorize(keys(cp, first, end))
+    where = np.empty(len(keyed), np.int64)
+    where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    size, model = end - first, where[code]
+    same = bool((size == size[model]).all())
+    if same:
+        begin = np.cumsum(size) - size
+        step = np.arange(int(size.sum()), dtype=np.int64)
+        same = bool((cp[np.repeat(first - begin, size) + step] == cp[np.repeat(first[model] - begin, size) + step]).all())
+    if not same:  # pieces that differ share a key
+        code, words = pd.factorize(np.array([text[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], object))
+        return code, words.tolist()
+    return code, [text[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)]
+
+
 class Memo:
     """Maps the pieces of many texts to numbers, calling ``learn`` once for each new piece.
 
-    It holds at most ``limit`` pieces and then starts anew, which costs time but changes no result.
+    It holds at most ``limit`` pieces, and pieces of ``characters`` before the last batch, and then
+    starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, learn, forget, limit: int = 300_000):
-        self.learn, self.forget, self.limit = learn, forget, limit
-        self.known: dict[int, int] = {}
+    def __init__(self, learn, forget, limit: int = 300_000, characters: int = 1 << 24):
+        self.learn, self.forget, self.limit, self.characters = learn, forget, limit, characters
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
 
     def codes(self, texts: list[str], spaces: bool) -> tuple[np.ndarray, np.ndarray]:
         """A number for each piece, and where each text's pieces begin (one more at the end)."""
@@ -159,21 +183,17 @@ class Memo:
         first, end = borders(cp, offsets, spaces)
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        code, distinct = pd.factorize(keys(cp, first, end))
-        if len(self.known) + len(distinct) > self.limit:
-            self.known.clear()
+        code, words = distinct(cp, first, end)
+        if len(self.known) + len(words) > self.limit or self.held > self.characters:
+            self.clear()
             self.forget()
         known = self.known
-        values = distinct.tolist()
-        found = [known.get(k, -1) for k in values]
+        found = [known.get(w, -1) for w in words]
         fresh = [i for i, x in enumerate(found) if x < 0]
         if fresh:
-            where = np.empty(len(values), np.int64)
-            where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            at = where[fresh]
-            text = cp.tobytes().decode("utf-32-le", "surrogatepass")
-            words = [text[a:b] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-            number = self.learn(words)
+            new = [words[i] for i in fresh]
+            self.held += sum(map(len, new))
+            number = self.learn(new)
             for i, x in zip(fresh, number, strict=True):
-                found[i] = known[values[i]] = x
+                found[i] = known[words[i]] = x
         return np.asarray(found, np.int64)[code], np.searchsorted(first, offsets)

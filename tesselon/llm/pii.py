@@ -100,7 +100,9 @@ def find(text: str) -> list[tuple[int, str, int]]:
         _machine = automaton()
     out: list[tuple[int, str, int]] = []
     # where each kind's last match ended, whether or not it was valid: matches do not overlap
-    email = ip = card = phone = url = account = 0
+    email = ip = card = phone = account = 0
+    # how far links, credentials and key identifiers have been read: no anchor in there is read again
+    url = secret = named = 0
     for last, (kind, size) in _machine.iter(text):
         i = last - size + 1
         if kind == _DIGIT:
@@ -139,21 +141,24 @@ def find(text: str) -> list[tuple[int, str, int]]:
             if i >= url:
                 m = _URL.match(text, last + 1)
                 if m:
-                    b = m.end()
+                    url = b = m.end()
                     while b > last + 1 and text[b - 1] in ".,;:!?)]}":
                         b -= 1
                     body = text[last + 1 : b]
                     if "@" in body or "token=" in body or "user" in body.lower():
-                        url = b
                         out.append((i, "url", b))
         elif kind == _SECRET:
-            m = _VALUE.match(text, last + 1)
-            if m:
-                out.append((m.start(1), "secret", m.end(1)))
+            if i >= secret:
+                m = _VALUE.match(text, last + 1)
+                if m:
+                    secret = m.end(1)
+                    out.append((m.start(1), "secret", secret))
         elif kind == _KEY:
-            m = _KEY_BODY.match(text, last + 1)
-            if m and (not i or not text[i - 1].isalnum()):
-                out.append((i, "secret", m.end()))
+            if i >= named and (not i or not text[i - 1].isalnum()):
+                m = _KEY_BODY.match(text, last + 1)
+                if m:
+                    named = m.end()
+                    out.append((i, "secret", named))
         elif i >= account and (not i or not text[i - 1].isalnum()):
             if size == 4 and text[i : last + 1].lower() == "iban":
                 m = _IBAN_CUE.match(text, last + 1)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat
+from tesselon.llm import chat, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,7 +49,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tesselon.llm import chat
+    from tesselon.llm import chat, store
 
     return chat.rotate(table(spark, sf_dir, "conversations"))
 

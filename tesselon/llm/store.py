@@ -19,12 +19,19 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tesselon-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own.get(context.applicationId)
+        if root is None:
+            root = _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tesselon-')}"
     return root.rstrip("/")
 
 
@@ -32,14 +39,37 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, uri: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = fresh_dir(spark, kind)
+    path = uri or fresh_dir(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of an operator, which go when its block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, kind: str) -> DataFrame:
+        self.paths.append(fresh_dir(self.spark, kind))
+        return written(df, kind, self.paths[-1])
+
+    def drop(self, keep: int) -> None:
+        """Delete all tables but the ``keep`` latest."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        delete(self.spark, *gone)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop(0)
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Remove folders of the shared store through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -59,31 +89,34 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 #: Rows that a Python function turns into Python objects at once.
 SLICE = 1000
-SLICE_BYTES = 16 << 20
 
 
-def by_slices(run: Callable) -> Callable:
+def by_slices(run: Callable, rows: int = SLICE) -> Callable:
     """A function over Arrow batches that sees a few rows at a time and hands back its memory.
 
     Workers live on between tasks and stages; what one leaves unused would add to what the next needs.
-    The session, too, is asked for small batches: executors keep buffers as large as the largest.
     """
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        for name, most in (("maxRecordsPerBatch", SLICE), ("maxBytesPerBatch", SLICE_BYTES)):
-            now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
-            if not now or not 0 < int(now[1]) <= most:
-                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+            yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
         finally:
             release()
 
     return wrapped
 
 
+def small_batches(spark: SparkSession, rows: int = SLICE, size: int = 16 << 20) -> None:
+    """Ask a session for small Arrow batches: executors keep buffers as large as the largest.
+
+    For jobs whose executors are small; the corpus queries call it, the operators do not.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

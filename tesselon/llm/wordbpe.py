@@ -14,11 +14,11 @@ processed whole.  A null or empty text has no ids and decodes to the empty strin
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tesselon.llm import pieces
+from tesselon.llm import pieces, store
 from tesselon.llm.store import by_slices
 
 _LABEL_BITS = 21
 _ID_BITS = 24
 _ID_MASK = (1 << _ID_BITS) - 1
 _NEVER = 1 << 62
+#: Words of more bytes are merged by a heap.
+_LONG = 256
 
 
 # ---------------------------------------------------------------- transducer
@@ -100,12 +102,10 @@ class Transducer:
         flat = np.array([i for x in ids for i in x], np.int64)
         return cls(a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), f, at, flat)
 
-    def save(self, path: str) -> None:
+    def packed(self) -> bytes:
+        """The bytes that ``map`` reads."""
         parts = [self.arc_key, self.arc_to, self.arc_out, self.final, self.value_at, self.values]
-        with open(path, "wb") as out:
-            out.write(np.array([len(p) for p in parts], "<i8").tobytes())
-            for p in parts:
-                out.write(p.astype("<i8").tobytes())
+        return b"".join(p.astype("<i8").tobytes() for p in [np.array([len(p) for p in parts]), *parts])
 
     @classmethod
     def map(cls, path: str) -> Transducer:
@@ -183,6 +183,8 @@ class Vocabulary:
         inner, get = self.inner, self.merges.get
         ids = [inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
+        if len(ids) > _LONG:
+            return self._merge_long(ids)
         # a pair's entry is its rank, shifted, with the id it makes
         pairs = [get(p, _NEVER) for p in zip(ids, ids[1:], strict=False)]
         while pairs and (best := min(pairs)) != _NEVER:
@@ -195,6 +197,37 @@ class Vocabulary:
                 pairs[at] = get((ids[at], ids[at + 1]), _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges by a heap over linked symbols, for words of any length."""
+        get, n = self.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = [get(p, _NEVER) for p in zip(ids, ids[1:], strict=False)]
+        heap = [(p >> _ID_BITS) << 40 | i for i, p in enumerate(pairs) if p != _NEVER]
+        heapq.heapify(heap)
+        pairs.append(_NEVER)
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & ((1 << 40) - 1)
+            p = pairs[i]
+            if p >> _ID_BITS != entry >> 40:  # no longer this pair
+                continue
+            ids[i] = p & _ID_MASK
+            j = after[i]
+            pairs[j] = _NEVER
+            ids[j] = -1
+            k = after[i] = after[j]
+            pairs[i] = get((ids[i], ids[k]), _NEVER) if k < n else _NEVER
+            if k < n:
+                before[k] = i
+                if pairs[i] != _NEVER:
+                    heapq.heappush(heap, (pairs[i] >> _ID_BITS) << 40 | i)
+            h = before[i]
+            if h >= 0:
+                pairs[h] = get((ids[h], ids[i]), _NEVER)
+                if pairs[h] != _NEVER:
+                    heapq.heappush(heap, (pairs[h] >> _ID_BITS) << 40 | h)
+        return [x for x in ids if x >= 0]
+
 
 def normalised(text: str) -> str:
     """NFC, then lower case character by character (no context rule for the final sigma)."""
@@ -293,11 +326,11 @@ def _count_words(share: float):
             keep = np.flatnonzero(counts >= max(2, total * share)).tolist()
             rows = pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in keep], pa.string()), "n": pa.array(counts[keep], pa.int64())})
             words.clear()
-            memo.known.clear()
+            memo.clear()
             counts, total = np.zeros(0, np.int64), 0
             return rows
 
-        memo = pieces.Memo(learn, lambda: None, 1 << 60)
+        memo = pieces.Memo(learn, lambda: None, 1 << 60, 1 << 60)
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for part in pieces.chunks(texts):
@@ -306,7 +339,7 @@ def _count_words(share: float):
                 got = np.bincount(codes, minlength=len(words))
                 got[: len(counts)] += counts
                 counts = got
-                if len(words) > 400_000:
+                if len(words) > 400_000 or memo.held > 1 << 24:
                     yield flush(memo)
         yield flush(memo)
 
@@ -324,20 +357,27 @@ def frequent_words(docs: DataFrame, size: int = 1 << 15, text: str = "text") ->
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 15, text: str = "text") -> str:
-    """Compile the transducer on the driver (``size`` words at most); returns its file's name."""
+    """Compile the transducer on the driver (``size`` words at most); returns its file's name.
+
+    The file lies in the shared folder; executors fetch it once and map it into memory.
+    """
     words = sorted(r.word for r in frequent_words(docs, size, text).collect())
     v = Vocabulary(vocabulary)
     t = Transducer.build(words, [v.merge(w) for w in words])
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin")
-    t.save(path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    spark = docs.sparkSession
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    uri = f"{store.shared_root(spark)}/{name}"
+    fs, path = store.filesystem(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(t.packed())
+    spark.sparkContext.addFile(uri)
+    return name
 
 
 # ---------------------------------------------------------------- operator
 
 
-
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """(key, n_tokens, ids, decoded) of every row; with ``digests`` the SHA-256 of both instead.
 
