@@ -167,7 +167,7 @@ def test_main_text_edges(spark):
 
 @pytest.mark.parametrize(
     "odd",
-    ["<svg viewBox='0 0 1 1'/>", "<math/>", "<svg width=1 />", "<svg><title/><path d='M0'/></svg>", "<svg><path d='M0'/>"]
+    ["<svg viewBox='0 0 1 1'/>", "<math/>", "<svg><svg></svg>no</svg>", "<svg width=1 />", "<svg><title/><path d='M0'/></svg>", "<svg><path d='M0'/>"]
     + ["<button>no", "<select><option>no<option>no", "<object data=x>no", "<video src=x>", "<canvas>no", "<audio src=x/>", "<template>no", "<button>no<button>no</button>"]
     + ["<button><div>no</div></button>", "<object>no<object>no</object>no</object>", "<svg><text>no</text><style>p{}</style></svg>", "<template><p>no</p></template>"],
 )
@@ -180,10 +180,68 @@ def test_dropped_elements_cut_nothing_after_them(odd):
 def test_dropped_elements_keep_blocks_whole():
     for odd in ("<svg/>", "<svg></svg>", "<button>no</button>", "<select><option>no</select>", "<b>x<button>no</b>"):
         (block,) = htmltext.leaf_blocks(f"<div><p>a {odd} c</p></div>")
-        assert block[0] == ("a x c" if "x" in odd else "a c") and [t for t, _ in block[1]] == ["div", "p"]
+        assert block[0] == ("a x c" if "x" in odd else "a c") and [t for t, _ in htmltext.around(block[1])] == ["div", "p"]
     assert len(htmltext.leaf_blocks("<p>w<object>" * 20000)) == 20000
 
 
+def visible(page):
+    """All text of a page by the standard library's parser."""
+    import html.parser
+
+    class Text(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.raw = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style", "title", "button")
+            self.parts.append("" if tag in htmltext._INLINE else " ")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style", "title", "button")
+            self.parts.append("" if tag in htmltext._INLINE else " ")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.parts.append(data)
+
+    text = Text()
+    text.feed(page)
+    text.close()
+    return "".join(text.parts).split()
+
+
+def test_leaf_blocks_hold_all_visible_text(spark):
+    pages = [p for p, _ in htmltext.labelled_pages(150, 99)] + [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html]
+    for page in pages:
+        assert " ".join(t for t, _, _ in htmltext.leaf_blocks(page)).split() == visible(page)
+
+
+@pytest.mark.parametrize("before, after", [("<article><p>", "</p></article>"), ("<html><body><article><p>", "</p></article></body></html>"), ("<div><p>", "</p></div>"), ("<p>", ""), ("<main>", "</main>"), ("<body><section><p>", "</p></section>")])
+def test_bare_pages_keep_their_text(before, after):
+    field = htmltext.trained()
+    for text in ("A short one.", "Some longer sentence that tells what happened on the day before the meeting was held.", "word " * 300 + "end."):
+        assert htmltext.main_text(before + text + after, field) == text
+        assert htmltext.main_text(f"{before}{text}</p><p>{text}{after}", field) == f"{text} {text}"
+    assert htmltext.main_text("<nav><svg/></nav><article><h1>Head</h1><p>It was so.</p></article>", field) == "Head It was so."
+    assert htmltext.main_text("<header><button>Menu</header><article><p>It was so.</p></article>", field) == "It was so."
+    assert htmltext.main_text("<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows.</p><div hidden><p>Not to be seen at all.</p></div></article>", field) == "As x=2 shows."
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [("<div>" * 100_000 + "in", 1), ("<div class=x>t" * 100_000, 100_000), ("<span>" * 50_000 + "<li>t" * 50_000, 50_000), ("<a " * 100_000, 100_000), ("<a x=\"" * 100_000, None), ("<b></i>" * 100_000, 0), ("<object>" * 100_000 + "<p>x", 1)]
+    + [("<head><script></script>" * 50_000, None), ("<svg><style>" * 50_000, None), ("<a<a" * 100_000, None), ("".join(f"<div id=n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>t" for i in range(17_576)), 17_576), ("<p>" + "<" * 100_000, None), ("<!--" * 100_000, 0)],
+)
+def test_hostile_pages_take_linear_time(page, words):
+    field = htmltext.trained()
+    began = time.perf_counter()
+    blocks = htmltext.leaf_blocks(page)
+    htmltext.main_text(page, field)
+    assert time.perf_counter() - began < 10
+    assert words is None or len(" ".join(t for t, _, _ in blocks).split()) == words
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     index = {f"f{i}": i for i in range(5)}
