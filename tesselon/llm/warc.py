@@ -1,8 +1,10 @@
 """WARC archives from a table: a deterministic sharded writer, and a reader.
 
-Method: records are sorted by key ranges; each task writes its range, one gzip member a record, and
-starts a new file when the compressed size is reached.  Headers and digests are made anew from the
-payloads, with nothing that depends on clock, host or attempt, so that a run again gives equal files.
+Method: records are sorted by ranges of key and digest; each task writes its range, one gzip member a
+record, and starts a new file when the compressed size is reached.  The ranges follow from exact
+running sums of the records' sizes, not from a sample, and headers and digests are made anew from the
+payloads, with nothing that depends on clock, host, attempt or the input's partitions, so that a run
+again gives equal files.
 A file has a temporary name until it is whole; a manifest names the files, their sizes and digests,
 and readers read what the manifest lists.
 
@@ -18,14 +20,18 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesselon.llm import store
 
 FILE_BYTES = 32 << 20
 LEAST = 1000
+#: Bytes of a range: total / FEWEST, but at least LEAST_RANGE and at most MOST_RANGE; and no more than MOST ranges.
+LEAST_RANGE, MOST_RANGE, FEWEST, MOST = 8 << 20, 256 << 20, 64, 1 << 14
 # Names of the format.
 _VERSION = b"WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,14 +68,18 @@ def member(data: bytes) -> bytes:
 
 
 def _write(uri: str, file_bytes: int, date: str):
+    """Rows in order (key, refers_to, copies, url, payload) -> manifest; a row without payload is a mark.
+
+    A mark stands before the records of its key and digest and tells what they refer to.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store.filesystem(uri)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         out = None
         name, temporary, size, records, number, sha = "", "", 0, 0, 0, None
-        marks: dict[str, int] = {}  # of the key at hand: payload digest -> key of its response
-        at = None
+        mark: tuple | None = None  # (key, digest, key of the response)
 
         def close() -> pa.RecordBatch:
             nonlocal out
@@ -79,51 +89,110 @@ def _write(uri: str, file_bytes: int, date: str):
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64()), "sha256": [sha.hexdigest()]})
 
         for batch in batches:
-            for key, digest, refers_to, url, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != at:
-                    at = key
-                    marks.clear()
+            for key, digest, refers_to, copies, url, payload in zip(*(batch.column(i) for i in range(6)), strict=True):
+                key, digest, url, payload = key.as_py(), digest.as_py(), url.as_py(), payload.as_py()
                 if payload is None:
-                    marks[digest] = refers_to
+                    mark = (key, digest, refers_to.as_py())
                     continue
-                if out is None:
-                    name = f"part-{task.partitionId():06d}-{number:04d}.warc.gz"
-                    temporary = f".{name}.{task.taskAttemptId()}"
-                    out, size, records, sha, number = fs.open_output_stream(f"{root}/{temporary}", compression=None), 0, 0, hashlib.sha256(), number + 1
-                data = member(record(key, url, payload, digest, marks.get(digest), date))
-                out.write(data)
-                sha.update(data)
-                size += len(data)
-                records += 1
-                if size >= file_bytes:
-                    yield close()
+                target = mark[2] if mark and mark[:2] == (key, digest) else refers_to.as_py()
+                data = member(record(key, url, payload, digest, target, date))
+                for _ in range(copies.as_py()):
+                    if out is None:
+                        name = f"part-{task.partitionId():06d}-{number:04d}.warc.gz"
+                        temporary = f".{name}.{task.taskAttemptId()}"
+                        out, size, records, sha, number = fs.open_output_stream(f"{root}/{temporary}", compression=None), 0, 0, hashlib.sha256(), number + 1
+                    out.write(data)
+                    sha.update(data)
+                    size += len(data)
+                    records += 1
+                    if size >= file_bytes:
+                        yield close()
         if out is not None:
             yield close()
 
     return run
 
 
+#: Characters of a place: one for null, 16 for the key, 40 for the digest, 12 for a share of many copies.
+_PLACE = 69
+
+
+def _place(key: Column, digest: Column) -> Column:
+    """A string that sorts as (key, digest) do, nulls first."""
+    number = F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.when(key.isNull(), F.concat(F.lit("0"), digest)).otherwise(F.concat(F.lit("1"), number, digest))
+
+
+def range_bytes(index: DataFrame) -> int:
+    total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return max(LEAST_RANGE, min(MOST_RANGE, total // FEWEST), -(-total // MOST))
+
+
+def range_starts(index: DataFrame, each: int, scratch: store.Scratch) -> list[str]:
+    """The least place of each range of ``each`` bytes after the first, from exact running sums.
+
+    Sums are taken by place in two steps: within sorted parts, whose bounds do not matter, and over the
+    parts' totals.  The driver holds a row for each part and for each range.
+    """
+    parts = max(1, index.rdd.getNumPartitions())
+    by_place = index.groupBy("place").agg(F.sum("size").alias("size"))
+    ordered = scratch.written(by_place.repartitionByRange(parts, "place").withColumn("part", F.spark_partition_id()), "places")
+    totals = {r.part: r.size for r in ordered.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+    base, at = [], 0
+    for part in range(max(totals, default=-1) + 1):
+        base.append((part, at))
+        at += totals.get(part, 0)
+    bases = index.sparkSession.createDataFrame(base or [(0, 0)], "part int, base long")
+    own = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ordered.withColumn("end", F.sum("size").over(own)).join(F.broadcast(bases), "part")
+    end = F.col("base") + F.col("end")
+    number = F.floor((end - F.col("size")) / each)
+    return [r.place for r in ends.groupBy(number.alias("range")).agg(F.min("place").alias("place")).orderBy("range").collect()][1:]
+
+
 def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row below ``uri``; returns the manifest (file, records, bytes, sha256).
 
     Null html is an empty payload.  Rows with a null key come first, as responses under
     a record id without a key, and are read back with a null key.  Rows that share a key and a
-    payload are records of one kind.  Equal payloads are found by digest in a table of keys and
-    digests; the payloads themselves move once, to be sorted.
+    payload are records of one kind.  Payloads of any length are written whole; other columns are
+    ignored; an empty table gives an empty manifest.
+
+    Equal payloads are found by digest in a table of keys and digests; the payloads themselves move
+    once, to be sorted.  Where the rows of one key and digest exceed a range, they are counted by url
+    first, and rows that stand for many, over several ranges if need be, are written so often.
     """
+    spark = pages.sparkSession
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.sha1(raw).alias("digest"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
-    large = rows.filter(F.octet_length("payload") >= least).select("key", "digest")
-    keep = large.groupBy("digest").agg(F.max("key").alias("refers_to"), F.min("key").alias("low")).filter("low < refers_to").select("digest", "refers_to")
-    revisits = large.join(keep, "digest").filter("key < refers_to").distinct()
-    none = F.lit(None)
-    marks = revisits.select("key", "digest", "refers_to", none.cast("string").alias("url"), none.cast("binary").alias("payload"))
-    both = marks.unionByName(rows.select("key", "digest", none.cast("long").alias("refers_to"), "url", "payload"))
-    partitions = max(2, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = both.repartitionByRange(partitions, "key").sortWithinPartitions("key", F.col("payload").isNotNull(), "digest", "url")
-    manifest = ordered.mapInArrow(_write(uri, file_bytes, date), "file string, records long, bytes long, sha256 string")
-    manifest.write.parquet(f"{uri}/_manifest")
-    return pages.sparkSession.read.parquet(f"{uri}/_manifest")
+    rows = rows.withColumn("place", _place(F.col("key"), F.col("digest")))
+    with store.Scratch(spark) as scratch:
+        index = scratch.written(rows.select("key", "digest", "place", F.octet_length("payload").alias("bytes"), (F.octet_length("payload") + 512).cast("long").alias("size")), "index")
+        large = index.filter(F.col("bytes") >= least).select("key", "digest", "place")
+        keep = large.groupBy("digest").agg(F.max("key").alias("refers_to"), F.min("key").alias("low")).filter("low < refers_to").select("digest", "refers_to")
+        marks = large.join(keep, "digest").filter("key < refers_to").distinct()
+        each = range_bytes(index)
+        one, none = F.lit(1).cast("long"), F.lit(None)
+        records = rows.select("key", "digest", none.cast("long").alias("refers_to"), one.alias("copies"), "url", "payload", "place")
+        hot = scratch.written(index.groupBy("place").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter((F.col("n") > 1) & (F.col("size") > each)).select("place"), "hot")
+        if not hot.isEmpty():  # no more of them than ranges
+            many = records.join(F.broadcast(hot), "place").groupBy("key", "digest", "url", "place").agg(F.first("payload").alias("payload"), F.sum("copies").alias("n"))
+            some = F.greatest(one, F.floor(each / (F.octet_length("payload") + 512)))
+            many = many.withColumn("some", some).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("some")) - 1)))
+            many = many.withColumn("copies", F.least("some", F.col("n") - F.col("chunk") * F.col("some"))).join(marks.drop("place"), ["key", "digest"], "left")
+            many = scratch.written(many.withColumn("place", F.concat("place", F.lpad(F.col("chunk").cast("string"), 12, "0"))).select(records.columns), "many")
+            records = records.join(F.broadcast(hot), "place", "left_anti").unionByName(many)
+            index = index.join(F.broadcast(hot), "place", "left_anti").select("place", "size").unionByName(many.select("place", ((F.octet_length("payload") + 512) * F.col("copies")).alias("size")))
+        starts = np.array(range_starts(index, each, scratch), f"S{_PLACE}")
+
+        @F.pandas_udf("int")
+        def range_of(place: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(starts, place.to_numpy().astype(f"S{_PLACE}"), "right").astype(np.int32))
+
+        both = records.unionByName(marks.select("key", "digest", "refers_to", none.cast("long").alias("copies"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "place"))
+        ordered = both.repartitionById(len(starts) + 1, range_of("place")).sortWithinPartitions("place", F.col("payload").isNotNull(), "url")
+        manifest = ordered.select("key", "digest", "refers_to", "copies", "url", "payload").mapInArrow(_write(uri, file_bytes, date), "file string, records long, bytes long, sha256 string")
+        return store.written(manifest, "manifest", f"{uri}/_manifest")
 
 
 def records(stream, size: int = 1 << 18) -> Iterator[bytes]:

@@ -271,7 +271,7 @@ def test_warc(spark, tmp_path):
         assert r.payload is None if twin else bytes(r.payload) == raw
     files = []
     for n in "ab":
-        m = warc.write(d.orderBy(F.rand(ord(n))), f"file://{tmp_path}/{n}", file_bytes=2000).orderBy("file").collect()
+        m = warc.write(d.orderBy(F.rand(ord(n))), f"file://{tmp_path}/{n}", file_bytes=1000).orderBy("file").collect()
         files.append([(r.file, r.sha256) for r in m])
         assert len(m) > 2 and sum(r.records for r in m) == len(data)
         for r in m:
@@ -283,6 +283,27 @@ def test_warc(spark, tmp_path):
         list(warc.records(io.BytesIO(warc.member(b"x" * 100)[:-3])))
 
 
+def test_archives_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_RANGE", 200_000)
+    some = spark.range(7500).select((F.col("id") * 7 % 7500).alias("page_id"), F.concat(F.lit("u"), F.col("id")).alias("url"), F.repeat(F.concat(F.lit("x"), F.col("id") % 900, F.lit(" ")), (F.col("id") % 400).cast("int")).alias("html"))
+    hot = spark.range(900).select(F.lit(77).cast("long").alias("page_id"), F.lit("same").alias("url"), F.repeat(F.lit("hot "), 300).alias("html"))
+    twin = spark.range(3).select((F.col("id") + 9000).alias("page_id"), F.lit("twin").alias("url"), F.repeat(F.lit("hot "), 300).alias("html"))
+    pages = some.unionByName(hot).unionByName(twin)
+    files = []
+    for n, parts in (("a", 3), ("b", 7)):
+        m = warc.write(pages.repartition(parts), f"file://{tmp_path}/{n}", file_bytes=20_000)
+        files.append(sorted((r.file, r.records, r.sha256) for r in m.collect()))
+    assert files[0] == files[1] and len({f[:11] for f, _, _ in files[0]}) > 4
+    rows = warc.read(spark.read.parquet(f"{tmp_path}/a/_manifest"), f"file://{tmp_path}/a").collect()
+    assert len(rows) == 8403 and len({r.refers_to for r in rows if r.page_id == 77 and r.payload_bytes == 1200}) == 1
+    assert [(r.page_id, r.record_type, r.refers_to) for r in sorted(rows, key=lambda r: r.page_id)[-3:]] == [(9000, "revisit", 9002), (9001, "revisit", 9002), (9002, "response", None)]
+    order = []
+    for f in sorted(f for f, _, _ in files[0]):
+        with (tmp_path / "a" / f).open("rb") as stream:
+            order += [warc._number(warc.parse(x)[0]["warc-record-id"]) for x in warc.records(stream)]
+    assert order == sorted(order)
+
+
 def test_warc_of_null_keys(spark):
     same = "w" * 1500
     data = [(None, "u", same), (None, None, same), (None, "v", None), (1, "u", same), (2, "u", same)]
