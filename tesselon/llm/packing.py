@@ -3,10 +3,11 @@
 Method: whole windows' worth of a document's ids stand alone; what is left of each document goes
 through Karmarkar-Karp multiway differencing in blocks.  Partial partitions are merged, the one with
 the largest imbalance first, each largest part with the other's smallest, which gives near-equal
-windows.  The count of windows starts at the least that could do and rises whenever the windows'
-capacity is exceeded.  As documents may be cut freely, what overhangs one window then fills the room
-in others, so that one window of a block stays open; its pieces join the next block.  A task's last
-open window is cut into sequences whose lengths are powers of two, which need no padding.
+windows.  The count of windows starts at the least that could do and rises whenever a window exceeds
+its capacity, until differencing gives none that does.  As documents may be cut freely, the emptiest
+windows, as many as the room in all of them would hold, then fill the room in the others, so that less
+than a window of a block stays open; its pieces join the next block.  A task's last open window is cut
+into sequences whose lengths are powers of two, which need no padding.
 
 No shuffle takes place: each task packs what it reads, and its memory is bounded by a block.
 Sequence numbers hold the partition's number in their upper bits, so a task that is run again makes
@@ -154,31 +155,21 @@ def difference(lengths: list[int], windows: int) -> list[list[int]]:
 def fill(items: list[tuple[int, int, int]], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full windows and what stays open, of items (document, start, length) below the capacity."""
     total = sum(x[2] for x in items)
-    windows = max(1, total // capacity)
+    lengths = [x[2] for x in items]
+    windows = max(1, -(-total // capacity))
     while True:
-        groups = [[items[i] for i in g] for g in difference([x[2] for x in items], windows)]
-        if total <= windows * capacity:
+        groups = [[items[i] for i in g] for g in difference(lengths, windows)]
+        sums = [sum(x[2] for x in g) for g in groups]
+        over = sum(max(0, x - capacity) for x in sums)
+        if not over:
             break
-        windows += 1
-    sums = [sum(x[2] for x in g) for g in groups]
-    last = min(range(windows), key=lambda k: (sums[k], k))
-    spare: list[tuple[int, int, int]] = []
-    for k, g in enumerate(groups):
-        while sums[k] > capacity:  # the overhang is the end of the window's longest item
-            j = max(range(len(g)), key=lambda i: (g[i][2], -i))
-            d, s, n = g[j]
-            cut = min(n, sums[k] - capacity)
-            if cut == n:
-                g.pop(j)
-            else:
-                g[j] = (d, s, n - cut)
-            spare.append((d, s + n - cut, cut))
-            sums[k] -= cut
-    spare = groups[last] + spare
+        windows += max(1, over // capacity)  # a window at least, and what is above capacity needs as many
+    order = sorted(range(windows), key=lambda k: (-sums[k], k))
+    kept = order[: total // capacity]
+    spare = [x for k in order[len(kept) :] for x in groups[k]]
     full = []
-    for k, g in enumerate(groups):
-        if k == last:
-            continue
+    for k in kept:
+        g = groups[k]
         while sums[k] < capacity:
             d, s, n = spare.pop()
             room = capacity - sums[k]
@@ -218,7 +209,8 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty; an empty text is the one id ``end_id``.  Every row of ``docs`` is
-    packed, repeated keys and texts too; other columns are ignored.  An empty table gives no rows.
+    packed, repeated keys and texts too; texts of any length are cut into whole windows; other columns
+    are ignored.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
