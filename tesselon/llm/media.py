@@ -2,12 +2,12 @@
 
 Method: a row's payload is its text in UTF-8, filled up with zero bytes to a positive multiple of 64,
 and stored without loss as an 8-bit grey PNG image 64 samples wide.  A payload is addressed by its
-SHA-256 digest: a task appends one image for each digest it meets to its tar shard, and the index
-refers to one image for each digest of all.  Payloads are never shuffled; the price is that a payload
-which several tasks meet is stored by each of them.  Shards have temporary names until they are whole,
-and their names and bytes depend on the input alone.  Rows carry digest, shard, offset and length.  Reading, a range read of the image's 33 first bytes
-alone fills the metadata columns (width, height, depth); a second range read gets the samples, from
-which the feature columns are computed.
+SHA-256 digest and stored once.  Payloads are never shuffled: digests and keys are, which settles the
+row that stores each digest that several rows have; the settled digests, in parts of bounded size, are
+then looked up where the payloads are read.  A task appends the images of its rows to tar shards, which
+have temporary names until they are whole.  Rows carry digest, shard, offset and length.  Reading, a
+range read of the image's 33 first bytes alone fills the metadata columns (width, height, depth); a
+second range read gets the samples, from which the feature columns are computed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ WIDTH = 64
 HEADER = 33
 #: A shard is closed once it has this many bytes.
 SHARD_BYTES = 64 << 20
+#: Digests that are looked up at once, of about 100 bytes each.
+LOOKUP = 1 << 19
 # The signature and chunk layout of PNG.
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -86,7 +88,6 @@ def _write(uri: str):
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         out, name, temporary, at, number = None, "", "", 0, 0
-        seen: set[bytes] = set()
         found: list[tuple] = []
 
         def close():
@@ -102,9 +103,6 @@ def _write(uri: str):
 
         for batch in batches:
             for d, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if d in seen:
-                    continue
-                seen.add(d)
                 data = encode_image(raw.as_py())
                 if out is None:
                     name = f"shard-{task.partitionId():06d}-{number:04d}.tar"
@@ -159,19 +157,52 @@ def payload(text: Column) -> Column:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), fill)))
 
 
+def owners(docs: DataFrame, scratch: store.Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, owner, alone): of each digest that several rows have, the least key among them, and
+    whether it is one row's only.  Copies are counted by digest and key before they meet."""
+    digests = docs.select(F.sha2(payload(F.col(text)), 256).alias("hex"), F.col(key).alias("key")).select(F.unhex("hex").alias("digest"), "key")
+    each = digests.groupBy("digest", "key").agg(F.count("*").alias("n"))
+    least = each.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "n")).alias("least")).filter("n > 1")
+    return scratch.written(least.select("digest", F.col("least.key").alias("owner"), (F.col("least.n") == 1).alias("alone")), "owners")
+
+
+def stored_once(docs: DataFrame, scratch: store.Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, payload), a row for each digest of ``docs``.
+
+    The table of owners is broadcast in parts of LOOKUP digests, by a prefix of the digest; with more
+    than one part, ``docs`` is read once for each.  Rows that share the owner's key, too, meet by
+    digest, one of each task.
+    """
+    settled = owners(docs, scratch, key, text)
+    parts = max(1, -(-settled.count() // LOOKUP))
+    rows = docs.select(F.col(key).alias("key"), payload(F.col(text)).alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    out = again = None
+    for part in range(parts):
+        of = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % parts == part
+        mine, here = (rows, settled) if parts == 1 else (rows.filter(of), settled.filter(of))
+        found = mine.join(F.broadcast(here), "digest", "left")
+        owned = F.col("key").eqNullSafe(F.col("owner"))
+        once = found.filter(F.col("alone").isNull() | (F.col("alone") & owned)).select("digest", "payload")
+        twice = found.filter(~F.col("alone") & owned).select("digest", "payload")
+        out, again = (once, twice) if out is None else (out.unionByName(once), again.unionByName(twice))
+    if settled.filter(~F.col("alone")).isEmpty():
+        return out
+    return out.unionByName(again.groupBy("digest").agg(F.first("payload").alias("payload")))
+
+
 def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: sizes, digests and features of its payload as stored.
 
-    Equal texts share one stored image.  Null and empty texts are 64 zero bytes.  Repeated rows stay;
-    other columns are ignored; an empty table gives no rows.
+    Equal texts share one stored image, of which there is one for each digest.  Null and empty texts
+    are 64 zero bytes; texts of any length are stored whole.  Null and repeated keys and repeated rows
+    stay; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     uri = store.fresh_dir(spark, "media")
-    bytes_ = docs.select(F.col(key), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), payload(F.col(text)).alias("payload"))
-    addressed = bytes_.select(key, "n_bytes", F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
-    stored = store.written(addressed.select("digest", "payload").mapInArrow(_write(uri), "digest binary, shard string, offset long, length long"), "stored")
-    # of the images that several tasks stored for a digest, one is referred to
-    one = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    places = one.repartition("shard").sortWithinPartitions("shard", "offset")
-    features = places.mapInArrow(_read(uri), "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int, shard string, offset long")
-    return addressed.select(key, "n_bytes", "digest").join(features, "digest").drop("digest")
+    with store.Scratch(spark) as scratch:
+        once = stored_once(docs, scratch, key, text)
+        stored = store.written(once.mapInArrow(store.by_slices(_write(uri), 256), "digest binary, shard string, offset long, length long"), "index", f"{uri}/_index")
+    places = stored.repartition("shard").sortWithinPartitions("shard", "offset")
+    features = places.mapInArrow(store.by_slices(_read(uri), 256), "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int, shard string, offset long")
+    rows = docs.select(F.col(key), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload(F.col(text)), 256)).alias("digest"))
+    return rows.join(features, "digest").drop("digest")

@@ -57,6 +57,50 @@ def test_media_round_trip(spark, texts):
         media.image_header(b"x" * 40)
 
 
+def decoded(image):
+    """The samples of an 8-bit grey image, by the rules of the format."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body, size = 8, b"", None
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, data = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+        if kind == b"IHDR":
+            size = (int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big"))
+            assert data[8:] == bytes([8, 0, 0, 0, 0])
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(body)
+    width, height = size
+    assert len(raw) == height * (width + 1) and not any(raw[:: width + 1])
+    return b"".join(raw[r * (width + 1) + 1 : (r + 1) * (width + 1)] for r in range(height))
+
+
+@pytest.mark.parametrize("lookup", [1 << 19, 3])
+def test_media_are_stored_once(spark, monkeypatch, lookup):
+    import tarfile
+
+    monkeypatch.setattr(media, "LOOKUP", lookup)
+    texts = [f"text {i % 40} " * (i % 7) for i in range(300)]
+    d = documents(spark, texts).repartition(6)
+    twice = d.unionByName(d.filter("doc_id < 50")).unionByName(d.limit(9).withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    rows = media.store_and_read(twice).collect()
+    assert len(rows) == twice.count()
+    newest = max((p for p in os.scandir(store.shared_root(spark)[7:]) if p.name.startswith("media-")), key=lambda p: p.stat().st_mtime).path
+    found = []
+    for name in sorted(os.listdir(newest)):
+        if name.endswith(".tar"):
+            with tarfile.open(f"{newest}/{name}") as tar:
+                found += [(m.name, tar.extractfile(m).read()) for m in tar.getmembers()]
+    assert len(found) == len({t for t in texts}) and all(hashlib.sha256(decoded(x)).hexdigest() + ".png" == n for n, x in found)
+    samples = {n: decoded(x) for n, x in found}
+    for r in rows:
+        x = np.frombuffer(samples[f"{r.payload_sha256}.png"], np.uint8).astype(float)
+        mean, deviation, histogram = r.feature.split(";")
+        assert float(mean) == pytest.approx(x.mean(), abs=1e-4) and float(deviation) == pytest.approx(x.std(), abs=1e-4)
+        assert [int(v) for v in histogram.split(",")] == np.histogram(x, bins=16, range=(0, 256))[0].tolist()
+
+
 # ---------------------------------------------------------------- chat
 
 
