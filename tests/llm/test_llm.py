@@ -174,6 +174,31 @@ def test_top_k_of_huge_components(spark):
     assert got == [(0, 1, 1, 2**52), (0, 2, 2, 2048), (20, 1, 2, 2**52 + 512), (20, 2, 1, 2**50)]
 
 
+def test_blocks_out_of_reach_are_not_scored(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PER_PIVOT", 100)
+    monkeypatch.setattr(topk, "RANGE", 64)
+    monkeypatch.setattr(topk, "QUERIES", 40)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SHELF", 8)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 2400)] + rng.normal(size=(2400, 16)) * 0.02).round(4)
+    x[1000:1500] = x[0]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    work = {}
+    got = collections.defaultdict(list)
+    for r in topk.top_k(d, work=work).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    print("share of scored blocks", work["scored"] / work["blocks"])
+    assert 0 < work["scored"] < 0.5 * work["blocks"]
+    whole = np.floor(64 * x).astype(np.int64)
+    assert len(got) == 120
+    for i, found in got.items():
+        s = whole @ whole[i]
+        order = [j for j in np.lexsort((np.arange(2400), -s)).tolist() if j != i][:20]
+        assert found == [(j, int(s[j])) for j in order]
+
+
 def test_top_k_edges(spark):
     v = [(0, [0.5, 0.5]), (1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (20, [0.5, 0.5]), (6, [1.0]), (5, [0.5, 0.5]), (7, [])]
     d = spark.createDataFrame([(i, x, "c") for i, x in v], "vec_id long, embedding array<float>, score string")
