@@ -14,6 +14,7 @@ from tesselon.llm.queries import tokenizer_file
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter go; ``lang`` becomes the predicted language of the rest."""
+    store.small_batches(spark)
     return langid.relabel(docs, langid.fit(docs, ~langid.held_out()))
 
 
@@ -23,6 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id and a text are one document; different texts under one id are documents of
     their own.  Rows without an id stay.
     """
+    store.small_batches(spark)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         found = minhash.groups(docs, width=5, similar=80)
@@ -39,11 +41,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by marks of their kinds; ``n_chars`` follows."""
+    store.small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 tokens."""
+    store.small_batches(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -59,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage read goes once it is done."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        rows = store.written(stage(spark, rows, sf_dir), name)
-    return rows
+    with store.Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            rows = scratch.written(stage(spark, rows, sf_dir), name)
+            scratch.drop(1)
+        name, stage = STAGES[-1]
+        return store.written(stage(spark, rows, sf_dir), name)
