@@ -6,18 +6,20 @@ sets are one class, which one document represents from then on.  A class is post
 pair among each one's K - T + 1 rarest pairs (the prefix), so only those are posted, and pairs that
 one class alone has are skipped.
 
-Collisions are counted on the posting lists in two passes.  The first pairs neighbours of each list in
-a random order, a number of pairs that grows with the lists alone; pairs that agree in T coordinates
-or more are confirmed on the full sets, and their components taken.  The second skips every list whose
-members are in one component by then, and in the others counts the collisions of members of different
-components, list chunk by list chunk; pairs at the match threshold are confirmed as well.  Pairs within
-a component need no link, so no similar pair is lost: it shares a list, and is either connected by
-confirmed links after the first pass or counted in the second.
+Collisions are counted on the posting lists in two passes.  The first pairs each list's members with
+their neighbours in a random order and with the list's hub, the member whose pairs are the commonest: a
+number of pairs that grows with the lists alone.  Pairs that agree in T coordinates or more are
+confirmed on the full sets, and their components taken.  The second skips every list whose members are
+in one component by then, and in the others counts the collisions of members of different components,
+list chunk by list chunk and each pair in the first list it has in common.  Only members with a pair at
+the match threshold pass on their sets, and a block returns no more links than join its members.
+Pairs within a component need no link, so no similar pair is lost: it shares a list, and is either
+connected by confirmed links after the first pass or counted in the second.
 
 With K = 48 and T = 26, two sets of similarity 0.8 agree too rarely with a probability below 3e-5.
 Hot lists are dealt out by a salt in the first pass and cut into chunks in the second; a list's
-commonest component meets only the other members.  Nothing is collected on the driver, and no list,
-candidate or partner is capped.
+commonest component meets only the other members.  No pair list of a group is ever made, nothing is
+collected on the driver, and no list, candidate or partner is capped.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tesselon.llm import pieces
@@ -35,8 +38,8 @@ from tesselon.llm.store import Scratch, by_slices, written
 
 #: Signature coordinates, and how many must agree.
 K, AGREE = 48, 26
-#: Members of a posting list that are handled at once.
-LIST = 512
+#: Members of a posting list, and shingles of theirs, that are handled at once.
+LIST, SHINGLES = 512, 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -165,29 +168,100 @@ def _confirm(similar: int):
     return run
 
 
-def collisions(component: np.ndarray, size: np.ndarray, signatures: np.ndarray, similar: int) -> np.ndarray:
-    """Places (i, j), i < j, of members of different components that agree in AGREE coordinates or more."""
+def _union(parent: list[int], i: int, j: int) -> bool:
+    """Join the trees of i and j; whether they were two."""
+    while parent[i] != i:
+        parent[i] = i = parent[parent[i]]
+    while parent[j] != j:
+        parent[j] = j = parent[parent[j]]
+    parent[i] = j
+    return i != j
+
+
+def collisions(pair: int, component: np.ndarray, size: np.ndarray, signatures: np.ndarray, prefixes: list[np.ndarray], similar: int) -> np.ndarray:
+    """Places (i, j), i < j, of the members of list ``pair`` that agree in AGREE coordinates or more, are
+    in different components and share no list before this one; the best matches first."""
     if component.min() == component.max():
         return np.zeros((0, 2), np.int64)
     agree = np.zeros((len(size), len(size)), np.int16)
     for c in signatures.T:
         agree += c[:, None] == c[None, :]
     ok = (agree >= AGREE) & (component[:, None] != component[None, :]) & (100 * np.minimum(size[:, None], size) >= similar * np.maximum(size[:, None], size))
-    return np.argwhere(np.triu(ok, 1))
+    ok = np.triu(ok, 1)
+    if ok.any():
+        before = overlaps([p[p < pair] for p in prefixes])
+        ok &= before == 0
+    pairs = np.argwhere(ok)
+    return pairs[np.argsort(-agree[pairs[:, 0], pairs[:, 1]], kind="stable")]
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sets of distinct values."""
+    flat = np.concatenate(sets)
+    value, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count[code] > 1
+    number = np.cumsum(count > 1) - 1
+    code, owner = number[code[shared]], owner[shared]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, (1 << 23) // max(1, len(sets)))
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for a in range(0, int((count > 1).sum()), width):
+        lo, hi = np.searchsorted(code, (a, a + width))
+        x = np.zeros((len(sets), int(code[hi - 1]) - a + 1 if hi > lo else 0), np.float32)
+        x[owner[lo:hi], code[lo:hi] - a] = 1
+        out += x @ x.T
+    return out
+
+
+def block_links(pairs: np.ndarray, sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
+    """Those of ``pairs`` with 100 * overlap >= similar * union that join the members."""
+    parent, size = list(range(len(sets))), [len(s) for s in sets]
+    if len(pairs) > 20 * len(sets):
+        i, j = pairs.T
+        both, n = overlaps(sets)[i, j].astype(np.int64), np.array(size)
+        found = pairs[100 * both >= similar * (n[i] + n[j] - both)]
+        return [(a, b) for a, b in found.tolist() if _union(parent, a, b)]
+    return [(a, b) for a, b in pairs.tolist() if similar_sets(sets[a], sets[b], similar) and _union(parent, a, b)]
+
+
+def _members(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], pa.StructArray]:
+    x = block.values
+    cid, component, size = (x.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    prefix, ends = x.field(4).flatten().to_numpy(), np.cumsum([0, *pa.compute.list_value_length(x.field(4)).to_pylist()])
+    return cid, component, size, x.field(3).flatten().to_numpy().reshape(len(x), K), [prefix[a:b] for a, b in zip(ends, ends[1:], strict=False)], x
+
+
+def _needed(similar: int):
+    """Rows (pair, i, j, members) -> (pair, i, j, cid) of the members with a pair at the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r, block in enumerate(batch.column(3)):
+                cid, component, size, sig, prefixes, _ = _members(block)
+                need = np.unique(collisions(batch.column(0)[r].as_py(), component, size, sig, prefixes, similar))
+                where.append(np.full(len(need), r))
+                who.append(cid[need])
+            at = pa.array(np.concatenate(where))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(np.concatenate(who))], names=list("abcd"))
 
+    return run
 
-def _count(similar: int):
-    """Rows with the members of a block -> candidate pairs."""
+
+def _link(similar: int):
+    """Rows (pair, members with sets) -> links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for block in batch.column(0):
-                x = block.values
-                cid, component, size = (x.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                pairs = collisions(component, size, x.field(3).flatten().to_numpy().reshape(len(x), K), similar)
-                a.append(cid[pairs[:, 0]])
-                b.append(cid[pairs[:, 1]])
+            for pair, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cid, component, size, sig, prefixes, x = _members(block)
+                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in x.field(5)]
+                links = block_links(collisions(pair, component, size, sig, prefixes, similar), sets, similar)
+                a.append(cid[[i for i, _ in links]])
+                b.append(cid[[j for _, j in links]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
@@ -204,37 +278,39 @@ def _confirmed(pairs: DataFrame, members: DataFrame, similar: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(by_slices(_confirm(similar)), "a long, b long")
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _neighbours(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members that stand side by side in a list, in an order of its own."""
+def _beside(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members that stand side by side in a list, in an order of its own, or with its hub."""
     salt = F.pmod(F.xxhash64("cid", "pair"), F.ceil(F.col("often") / LIST))
     turn = Window.partitionBy("pair", "salt").orderBy("place", "cid")
     beside = lists.select("pair", "cid", salt.alias("salt"), F.xxhash64("pair", "cid").alias("place")).withColumn("next", F.lead("cid").over(turn))
-    return beside.filter("next is not null").select(*_ordered("cid", "next")).distinct()
+    hubs = lists.groupBy("pair").agg(F.max(F.struct("weight", "cid")).alias("hub")).select("pair", F.col("hub.cid").alias("next"))
+    pairs = beside.filter("next is not null").select("cid", "next").unionByName(lists.join(hubs, "pair").filter("cid <> next").select("cid", "next"))
+    return pairs.select(F.least("cid", "next").alias("a"), F.greatest("cid", "next").alias("b")).distinct()
 
 
-def _blocks(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """(block, cid, component): lists with members of several components, in chunks that must meet.
+def _blocks(lists: DataFrame, joined: DataFrame, members: DataFrame) -> DataFrame:
+    """(pair, i, j, cid, component, n): lists with members of several components, in chunks that must meet.
 
     A list of LIST members or fewer is a block.  In a longer one the members of its commonest
     component are apart from the others: chunks of others meet each other, and each chunk of the
     component; chunks of the component do not meet.
     """
-    named = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("pair", "cid", F.coalesce("component", "cid").alias("component"))
-    counts = named.groupBy("pair", "component").agg(F.count("*").alias("m"))
-    open_ = counts.groupBy("pair").agg(F.sum("m").alias("all"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).filter("parts > 1 and all > 2")
-    small = F.col("all") <= LIST
-    own = F.when(small, 0).otherwise(F.ceil(F.col("most.m") / LIST))
-    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("most.m")) / LIST))
+    named = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(members.select("cid", "n"), "cid").select("pair", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    counts = named.groupBy("pair", "component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    open_ = counts.groupBy("pair").agg(F.sum("m").alias("all"), F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("m", "component", "size")).alias("most")).filter("parts > 1 and all > 2")
+    small = (F.col("all") <= LIST) & (F.col("size") <= SHINGLES)
+
+    def chunks(m: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(m / LIST), F.ceil(size / SHINGLES))
+
+    own = F.when(small, 0).otherwise(chunks(F.col("most.m"), F.col("most.size")))
+    rest = F.when(small, 1).otherwise(chunks(F.col("all") - F.col("most.m"), F.col("size") - F.col("most.size")))
     sizes = open_.select("pair", F.col("most.component").alias("largest"), own.cast("long").alias("own"), rest.cast("long").alias("rest"))
     placed = named.join(sizes, "pair").withColumn("inner", (F.col("own") > 0) & (F.col("component") == F.col("largest")))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("cid", "pair"), F.when(F.col("inner"), F.col("own")).otherwise(F.col("rest"))))
 
     def block(i: Column, j: Column) -> Column:
-        return F.struct("pair", i.cast("long").alias("i"), j.cast("long").alias("j"))
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
 
     def upto(n: str) -> Column:
         return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
@@ -243,7 +319,8 @@ def _blocks(lists: DataFrame, joined: DataFrame) -> DataFrame:
     meets = F.transform(upto("rest"), lambda k: block(F.least(c, k), F.greatest(c, k)))
     inner = F.transform(upto("rest"), lambda k: block(k, -1 - c))
     outer = F.transform(upto("own"), lambda k: block(c, -1 - k))
-    return placed.select("cid", "component", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(meets, outer))).alias("block"))
+    blocks = placed.select("pair", "cid", "component", "n", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(meets, outer))).alias("block"))
+    return blocks.select("pair", "block.i", "block.j", "cid", "component", "n")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: int = 80) -> DataFrame:
@@ -266,22 +343,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         # posting lists over the rarest pairs of each class; a class meets one row, by digest and key
         posted = usable.join(classes, ["set_key", "doc"]).select("cid", F.explode("pairs").alias("pair"))
         often = posted.groupBy("pair").agg(F.count("*").alias("often")).filter("often > 1")
-        rarest = Window.partitionBy("cid").orderBy("often", "pair")
-        shared = posted.join(often, "pair").withColumn("place", F.row_number().over(rarest)).withColumn("of", F.count("*").over(Window.partitionBy("cid")))
-        lists = scratch.written(shared.filter(F.col("place") <= F.col("of") - (AGREE - 1)).select("cid", "pair", "often").distinct(), "lists")
+        rarest, whole = Window.partitionBy("cid").orderBy("often", "pair"), Window.partitionBy("cid")
+        shared = posted.join(often, "pair").withColumn("place", F.row_number().over(rarest)).withColumn("of", F.count("*").over(whole)).withColumn("weight", F.sum("often").over(whole))
+        lists = scratch.written(shared.filter(F.col("place") <= F.col("of") - (AGREE - 1)).select("cid", "pair", "often", "weight").distinct(), "lists")
 
         # the sets of the posted classes are made anew from their texts: only they travel
         wanted = scratch.written(lists.select("cid").distinct().join(classes, "cid"), "wanted")
         texts = rows.join(wanted, "doc").select("cid", "text", "set_key")
         sets = texts.mapInArrow(by_slices(_sets(width)), "cid long, n long, pairs array<long>, shingles binary")
-        members = scratch.written(sets.dropDuplicates(["cid"]), "members")
+        prefixes = lists.groupBy("cid").agg(F.array_sort(F.collect_set("pair")).alias("prefix"))
+        members = scratch.written(sets.dropDuplicates(["cid"]).join(prefixes, "cid"), "members")
 
-        first = scratch.written(_confirmed(_neighbours(lists), members, similar), "first")
+        first = scratch.written(_confirmed(_beside(lists), members, similar), "first")
         joined = components(first)
-        blocks = _blocks(lists, joined).join(members.select("cid", "n", "pairs"), "cid")
-        blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("cid", "component", "n", "pairs")).alias("members"))
-        second = blocks.select("members").mapInArrow(by_slices(_count(similar), 16), "a long, b long")
-        second = scratch.written(_confirmed(second.select(*_ordered("a", "b")).distinct(), members, similar), "second")
+        blocks = scratch.written(_blocks(lists, joined, members), "blocks")
+        light = blocks.join(members.select("cid", "pairs", "prefix"), "cid").groupBy("pair", "i", "j").agg(F.collect_list(F.struct("cid", "component", "n", "pairs", "prefix")).alias("members"))
+        needed = light.mapInArrow(by_slices(_needed(similar), 64), "pair long, i long, j long, cid long")
+        full = blocks.join(needed, ["pair", "i", "j", "cid"]).join(members.drop("n"), "cid").groupBy("pair", "i", "j").agg(F.collect_list(F.struct("cid", "component", "n", "pairs", "prefix", "shingles")).alias("members"))
+        second = scratch.written(full.select("pair", "members").mapInArrow(by_slices(_link(similar), 16), "a long, b long"), "second")
 
         # the classes of a key that has several sets
         several = usable.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc")
