@@ -12,6 +12,7 @@ second range read gets the samples, from which the feature columns are computed.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import tarfile
@@ -29,8 +30,6 @@ WIDTH = 64
 HEADER = 33
 #: A shard is closed once it has this many bytes.
 SHARD_BYTES = 64 << 20
-#: Digests that are looked up at once, of about 100 bytes each.
-LOOKUP = 1 << 19
 # The signature and chunk layout of PNG.
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -169,25 +168,18 @@ def owners(docs: DataFrame, scratch: store.Scratch, key: str = "doc_id", text: s
 def stored_once(docs: DataFrame, scratch: store.Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(digest, payload), a row for each digest of ``docs``.
 
-    The table of owners is broadcast in parts of LOOKUP digests, by a prefix of the digest; with more
-    than one part, ``docs`` is read once for each.  Rows that share the owner's key, too, meet by
-    digest, one of each task.
+    The table of owners is broadcast in parts of bounded size, for each of which ``docs`` is read once;
+    beyond that it is joined.  Rows that share the owner's key, too, meet by digest, one of each task.
     """
     settled = owners(docs, scratch, key, text)
-    parts = max(1, -(-settled.count() // LOOKUP))
     rows = docs.select(F.col(key).alias("key"), payload(F.col(text)).alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    out = again = None
-    for part in range(parts):
-        of = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % parts == part
-        mine, here = (rows, settled) if parts == 1 else (rows.filter(of), settled.filter(of))
-        found = mine.join(F.broadcast(here), "digest", "left")
-        owned = F.col("key").eqNullSafe(F.col("owner"))
-        once = found.filter(F.col("alone").isNull() | (F.col("alone") & owned)).select("digest", "payload")
-        twice = found.filter(~F.col("alone") & owned).select("digest", "payload")
-        out, again = (once, twice) if out is None else (out.unionByName(once), again.unionByName(twice))
+    parts = [rows.transform(f).join(F.broadcast(settled.transform(f)), "digest", "left") for f in store.lookups(settled, F.col("digest"))]
+    found = functools.reduce(DataFrame.unionByName, parts) if parts else rows.join(settled, "digest", "left")
+    owned = F.col("key").eqNullSafe(F.col("owner"))
+    out = found.filter(F.col("alone").isNull() | (F.col("alone") & owned)).select("digest", "payload")
     if settled.filter(~F.col("alone")).isEmpty():
         return out
-    return out.unionByName(again.groupBy("digest").agg(F.first("payload").alias("payload")))
+    return out.unionByName(found.filter(~F.col("alone") & owned).groupBy("digest").agg(F.first("payload").alias("payload")))
 
 
 def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

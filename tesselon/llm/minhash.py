@@ -24,6 +24,7 @@ collected on the driver, and no list, candidate or partner is capped.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tesselon.llm import pieces
 from tesselon.llm.graph import components
-from tesselon.llm.store import Scratch, by_slices, written
+from tesselon.llm.store import Scratch, by_slices, lookups, written
 
 #: Signature coordinates, and how many must agree.
 K, AGREE = 48, 26
@@ -349,7 +350,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
         # the sets of the posted classes are made anew from their texts: only they travel
         wanted = scratch.written(lists.select("cid").distinct().join(classes, "cid"), "wanted")
-        texts = rows.join(wanted, "doc").select("cid", "text", "set_key")
+        parts = [rows.transform(f).join(F.broadcast(wanted.transform(f)), "doc") for f in lookups(wanted, F.col("doc"))]
+        texts = functools.reduce(DataFrame.unionByName, parts) if parts else rows.join(wanted, "doc")
+        texts = texts.select("cid", "text", "set_key")
         sets = texts.mapInArrow(by_slices(_sets(width)), "cid long, n long, pairs array<long>, shingles binary")
         prefixes = lists.groupBy("cid").agg(F.array_sort(F.collect_set("pair")).alias("prefix"))
         members = scratch.written(sets.dropDuplicates(["cid"]).join(prefixes, "cid"), "members")

@@ -169,7 +169,7 @@ class Memo:
     starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, learn, forget, limit: int = 300_000, characters: int = 1 << 24):
+    def __init__(self, learn, forget, limit: int = 150_000, characters: int = 1 << 24):
         self.learn, self.forget, self.limit, self.characters = learn, forget, limit, characters
         self.clear()
 

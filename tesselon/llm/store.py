@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 _own: dict[str, str] = {}
@@ -47,6 +47,23 @@ def written(df: DataFrame, kind: str, uri: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of a table that are broadcast at once, of about 100 bytes each, and how many such parts at most.
+LOOKUP, PARTS = 1 << 19, 8
+
+
+def lookups(table: DataFrame, key: Column) -> list[Callable[[DataFrame], DataFrame]]:
+    """Ways to take the rows of wide tables whose ``key`` may be in ``table`` without moving them.
+
+    Each is to be applied to the wide table and to ``table``, and the results to be joined, with a
+    broadcast of the second: a part of the keys, by hash.  The table's size is looked at; beyond
+    PARTS * LOOKUP keys the list is empty, and a plain join is the way.
+    """
+    parts = max(1, -(-table.count() // LOOKUP))
+    if parts > PARTS:
+        return []
+    return [lambda d, p=p: d if parts == 1 else d.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
+
+
 class Scratch:
     """Intermediate tables of an operator, which go when its block ends."""
 

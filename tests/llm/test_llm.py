@@ -76,11 +76,12 @@ def decoded(image):
     return b"".join(raw[r * (width + 1) + 1 : (r + 1) * (width + 1)] for r in range(height))
 
 
-@pytest.mark.parametrize("lookup", [1 << 19, 3])
-def test_media_are_stored_once(spark, monkeypatch, lookup):
+@pytest.mark.parametrize("lookup, parts", [(1 << 19, 8), (30, 8), (3, 2)])
+def test_media_are_stored_once(spark, monkeypatch, lookup, parts):
     import tarfile
 
-    monkeypatch.setattr(media, "LOOKUP", lookup)
+    monkeypatch.setattr(store, "LOOKUP", lookup)
+    monkeypatch.setattr(store, "PARTS", parts)
     texts = [f"text {i % 40} " * (i % 7) for i in range(300)]
     d = documents(spark, texts).repartition(6)
     twice = d.unionByName(d.filter("doc_id < 50")).unionByName(d.limit(9).withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
@@ -420,6 +421,7 @@ def near_copies(n, words=120, seed=4):
 
 @pytest.mark.parametrize("chunk", [512, 16])
 def test_near_duplicates(spark, texts, monkeypatch, chunk):
+    monkeypatch.setattr(store, "LOOKUP", 4 * chunk)
     monkeypatch.setattr(minhash, "LIST", chunk)
     data = [*[t for t in ODD if t is not LONG], *near_copies(130), *list(texts.values())[:60], "A b C", "a B c", "a b"]
     d = documents(spark, data)
