@@ -20,21 +20,18 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     """Points with ``label``: their own if the tile has labels, else the mask's class, else 0.
 
     ``points`` has key, ex, ey, ez and a nullable ``label``; ``extents`` has degree ticks for tiles with
-    a usable mask.  Tiles without one skip the geodesy, as they go through another branch.  The lookup
-    is an equi-join on tile and pixel.
+    a usable mask.  Points are read once: the tile's extent is joined to them, and only where there is
+    one and no label of their own do they get a pixel.  The lookup is an equi-join on tile and pixel.
     """
-    direct = points.join(extents.select(key), key, "left_anti").withColumn("label", F.coalesce("label", F.lit(0)))
-    own = points.filter("label is not null").join(extents.select(key), key, "left_semi")
-    rows = points.filter("label is null").join(extents, key)
-    lat, lon, _ = geo.geodetic(F.col("ex"), F.col("ey"), F.col("ez"))
+    rows = points.join(extents.withColumn("_masked", F.lit(True)), key, "left")
+    wanted = F.col("label").isNull() & F.col("_masked")
+    lat, lon, _ = geo.geodetic(*[F.when(wanted, F.col(c)) for c in ("ex", "ey", "ez")])
     ends = [fixed.q7_degrees(F.col(c)) for c in ("lon_min_q7", "lon_max_q7", "lat_min_q7", "lat_max_q7")]
     # generated rows: else the join's null filters would each hold a copy of the geodesy
-    degrees = F.explode(F.array(F.struct(lat.alias("lat"), lon.alias("lon"))))
-    rows = rows.select("*", degrees.alias("_d"))
-    rows = rows.withColumns({"x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "y": sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode)}).drop("_d")
-    looked = rows.drop("label").join(mask.select(key, "y", "x", F.col("class").alias("label")), [key, "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    columns = points.columns
-    return direct.select(columns).unionByName(own.select(columns)).unionByName(looked.select(columns))
+    rows = rows.select("*", F.explode(F.array(F.struct(lat.alias("lat"), lon.alias("lon")))).alias("_d"))
+    rows = rows.withColumns({"x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "y": sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode)})
+    looked = rows.join(mask.select(key, "y", "x", F.col("class").alias("_class")), [key, "y", "x"], "left")
+    return looked.withColumn("label", F.coalesce("label", F.when(wanted, F.col("_class")), F.lit(0))).select(points.columns)
 
 
 def dataset_stats(tiles: DataFrame) -> DataFrame:

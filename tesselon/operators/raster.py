@@ -114,6 +114,28 @@ def run_lengths(pixels: DataFrame, grid: int, key: str = "tile_id", most: int =
     return cut.select(key, (F.col("first") + F.col("k") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("k") * most).cast("bigint").alias("len"), "class")
 
 
+def painted_runs(mask: DataFrame, tiles: DataFrame, grid: int, key: str = "tile_id", most: int = LONGEST_RUN) -> DataFrame:
+    """``run_lengths`` of the given tiles' grids from their painted pixels alone: what lies between is 0.
+
+    A tile gives a bound before and after its grid, so that every gap has a painted pixel or a bound at
+    its end.  The cost follows what is painted, not the grid.
+    """
+    cells = grid * grid
+    painted = mask.join(tiles.select(key), key, "left_semi").select(key, (F.col("y") * grid + F.col("x")).cast("bigint").alias("i"), "class")
+    ends = tiles.select(key, F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(cells).cast("bigint"))).alias("i"), F.lit(-1).alias("class"))
+    turn = Window.partitionBy(key).orderBy("i")
+    rows = painted.unionByName(ends).withColumns({"before": F.lag("i").over(turn), "kind": F.lag("class").over(turn)}).filter("before is not null")
+    gap = F.when(F.col("i") > F.col("before") + 1, F.struct((F.col("before") + 1).alias("first"), F.lit(0).alias("class")))
+    fresh = F.when((F.col("i") > F.col("before") + 1) | (F.col("class") != F.col("kind")), F.struct(F.col("i").alias("first"), "class"))
+    starts = rows.select(key, F.explode(F.array_compact(F.array(gap, fresh))).alias("s")).select(key, "s.*")
+    # runs of class 0 that were painted so join the gaps beside them
+    at = Window.partitionBy(key).orderBy("first")
+    starts = starts.withColumn("kind", F.lag("class").over(at)).filter("kind is null or kind <> class").drop("kind")
+    runs = starts.withColumn("n", F.lead("first").over(at) - F.col("first")).filter("class >= 0")
+    cut = runs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / most))))
+    return cut.select(key, (F.col("first") + F.col("k") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("k") * most).cast("bigint").alias("len"), "class")
+
+
 def expand_runs(runs: DataFrame, grid: int, key: str = "tile_id") -> DataFrame:
     """Pixels from runs in their order; a run's place is the sum of those before it."""
     before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

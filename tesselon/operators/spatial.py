@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions import classify, geo
 
-#: Tiles up to this count are joined by broadcast; beyond it the grid join takes over.
+#: Boxes up to this count may be compared with every point.
 BROADCAST_TILES = 2000
 
 
@@ -20,32 +20,48 @@ def _inside() -> Column:
     return F.col("lon").between(F.col("t.lon_min"), F.col("t.lon_max")) & F.col("lat").between(F.col("t.lat_min"), F.col("t.lat_max"))
 
 
-def in_boxes_broadcast(points: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Each point with each box that holds it, borders included; the caller knows that boxes are few."""
+def in_boxes_broadcast(points: DataFrame, tiles: DataFrame, most: int = BROADCAST_TILES) -> DataFrame:
+    """Each point with each box that holds it, borders included, by comparing it with all boxes.
+
+    For few boxes, whose count is looked at; beyond ``most`` the join on cells takes over.
+    """
+    if len(tiles.select("tile_id").take(most + 1)) > most:
+        return in_boxes_cells(points, tiles)
     few = F.broadcast(tiles.select("tile_id", "lon_min", "lat_min", "lon_max", "lat_max").alias("t"))
     return points.join(few, _inside()).select(*points.columns, F.col("t.tile_id").alias("tile_id"))
 
 
-def in_boxes_cells(points: DataFrame, tiles: DataFrame, cell: float = 0.01) -> DataFrame:
-    """The same through an equi-join on grid cells: boxes are listed under every cell they overlap.
+def in_boxes_cells(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The same through an equi-join on grid cells, for any number of boxes.
 
-    Nothing is broadcast by force, so both sides may be of any size; a crowded cell is one join key,
-    which adaptive execution splits.
+    A box is listed under the cells it overlaps in a grid whose cells are as wide as the box or less
+    than twice that, so under nine at most, whatever its size; points are placed in each such grid,
+    of which there are as many as powers of two among the sizes.  Nothing is broadcast by force: a small
+    table of cells becomes a hash table by itself, and a crowded cell is one join key, which adaptive
+    execution splits.
     """
-
-    def at(c: Column) -> Column:
-        return F.floor(c / cell).cast("bigint")
-
-    cells = tiles.select("tile_id", "lon_min", "lat_min", "lon_max", "lat_max", F.explode(F.sequence(at(F.col("lon_min")), at(F.col("lon_max")))).alias("cx"))
-    cells = cells.withColumn("cy", F.explode(F.sequence(at(F.col("lat_min")), at(F.col("lat_max"))))).alias("t")
-    placed = points.withColumns({"_cx": at(F.col("lon")), "_cy": at(F.col("lat"))})
-    return placed.join(cells, (F.col("_cx") == F.col("t.cx")) & (F.col("_cy") == F.col("t.cy")) & _inside()).select(*points.columns, F.col("t.tile_id").alias("tile_id"))
-
-
-def in_boxes(points: DataFrame, tiles: DataFrame, most_broadcast: int = BROADCAST_TILES) -> DataFrame:
-    """Picks the join by the count of tiles, which is looked at first."""
-    few = len(tiles.select("tile_id").take(most_broadcast + 1)) <= most_broadcast
-    return in_boxes_broadcast(points, tiles) if few else in_boxes_cells(points, tiles)
+    size = F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min"), F.lit(2.0**-20))
+    boxes = tiles.select("tile_id", "lon_min", "lat_min", "lon_max", "lat_max", F.ceil(F.log2(size)).cast("int").alias("level")).filter("lon_min <= lon_max and lat_min <= lat_max")
+    levels = sorted(r.level for r in boxes.select("level").distinct().collect())
+
+    def at(c: Column, level: Column) -> Column:
+        return F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
+
+    level = F.col("level")
+    cells = boxes.withColumn("cx", F.explode(F.sequence(at(F.col("lon_min"), level), at(F.col("lon_max"), level))))
+    cells = cells.withColumn("cy", F.explode(F.sequence(at(F.col("lat_min"), level), at(F.col("lat_max"), level)))).alias("t")
+    if len(levels) == 1:
+        placed = points.withColumn("_level", F.lit(levels[0]))
+    else:
+        placed = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    placed = placed.withColumns({"_cx": at(F.col("lon"), F.col("_level")), "_cy": at(F.col("lat"), F.col("_level"))})
+    same = (F.col("_level") == F.col("t.level")) & (F.col("_cx") == F.col("t.cx")) & (F.col("_cy") == F.col("t.cy"))
+    return placed.join(cells, same & _inside()).select(*points.columns, F.col("t.tile_id").alias("tile_id"))
+
+
+def in_boxes(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Each point with each box that holds it, borders included."""
+    return in_boxes_cells(points, tiles)
 
 
 def keep_nodes(nodes: DataFrame, padded: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from tesselon.functions import fixed, geo
 
 #: Vertices of a file that decide its coordinate system.
 SAMPLE = 4096
+#: Times a precision may be halved until offsets fit.
+HALVINGS = 31
 
 
 def detect_system(vertices: DataFrame, key: str = "file_id", order: str = "vid") -> DataFrame:
@@ -54,26 +56,26 @@ def to_ecef(vertices: DataFrame, systems: DataFrame, boxes: DataFrame | None, ke
 def anchors(points: DataFrame, key: str, requested_upm: int = 1000) -> DataFrame:
     """(key, n, cx, cy, cz, max_off, upm, ax, ay, az): centroid, reach, precision and anchor units.
 
-    The precision is the finest that fits; where rounding still overflows 32 bits it is halved, as a
-    choice among a few candidates instead of a loop.  Offsets that fit at no precision are an error.
+    The precision is the finest that fits; where rounding still overflows 32 bits it is halved, up to
+    HALVINGS times, as a choice among candidates instead of a loop.  Offsets that fit at no precision
+    are an error.  Centroid and reach come from one aggregate; the reach from minima and maxima.
     """
-    centre = points.groupBy(key).agg(F.count("*").alias("n"), F.avg("ex").alias("cx"), F.avg("ey").alias("cy"), F.avg("ez").alias("cz"))
-    # the reach from minima and maxima: one pass, nothing is joined back
-    ends = points.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in ("ex", "ey", "ez") for n, f in (("lo", F.min), ("hi", F.max))])
-    both = centre.join(ends, key)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("ex", "ey", "ez") for n, f in (("lo", F.min), ("hi", F.max))]
+    both = points.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(f"e{a}").alias(f"c{a}") for a in "xyz"], *ends)
     reach = F.greatest(*[F.greatest(F.col(f"hi_e{a}") - F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"lo_e{a}")) for a in "xyz"])
-    first = fixed.fitted_upm(reach, requested_upm)
-    out = both.withColumn("max_off", reach).withColumn("_u", first)
-    # the fitted precision leaves 5 % to spare, so more than a few halvings cannot be needed
-    halved = [F.greatest(F.floor(F.col("_u") / float(1 << k)), F.lit(1)).cast("bigint") for k in range(4)]
-    upm = None
-    for u in halved:
+    out = both.withColumn("max_off", reach).withColumn("_u", fixed.fitted_upm(reach, requested_upm))
+
+    def fits(u: Column) -> Column:
         ok = F.lit(True)
         for a in "xyz":
             anchor = fixed.quantise(F.col(f"c{a}"), u)
             ok = ok & fixed.fits_i32(fixed.quantise(F.col(f"lo_e{a}"), u) - anchor, fixed.quantise(F.col(f"hi_e{a}"), u) - anchor)
-        upm = F.when(ok, u) if upm is None else upm.when(ok, u)
-    out = out.withColumn("upm", upm.otherwise(F.raise_error(F.lit("offsets beyond 32 bits at every precision")).cast("bigint")))
+        return ok
+
+    # the fitted precision leaves 5 % to spare, so halvings are rare: they are looked at only where it fails
+    halved = F.transform(F.sequence(F.lit(1), F.lit(HALVINGS)), lambda k: F.greatest(F.floor(F.col("_u") / F.pow(F.lit(2.0), k)), F.lit(1)).cast("bigint"))
+    upm = F.when(fits(F.col("_u")), F.col("_u")).otherwise(F.try_element_at(F.filter(halved, fits), F.lit(1)))
+    out = out.withColumn("upm", F.coalesce(upm, F.raise_error(F.lit("offsets beyond 32 bits at every precision")).cast("bigint")))
     return out.select(key, "n", "cx", "cy", "cz", "max_off", "upm", *[fixed.quantise(F.col(f"c{a}"), F.col("upm")).alias(f"a{a}") for a in "xyz"])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tesselon.functions import classify, fixed, geo, names
 from tesselon.operators import cloud, raster, render, spatial, tiles as tiling
 from tesselon.plans.fixtures import ctes, view
-from tesselon.sources import features, obj
+from tesselon.sources import codec, features, files, obj, sinks
 
 GRID = 64
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -168,7 +168,7 @@ runs AS (SELECT tile_id, min(i) AS start, count(*) AS len, class FROM (SELECT *,
 )
 
 _FRAG = """frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % 96 AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % 64 AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
-  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 16 = 3)"""
+  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem})"""
 _ALL_FRAG = f"""frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % {WIDE[0]} AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % {WIDE[1]} AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {{lineitem}})"""
 _PIX_SQL = (
@@ -220,6 +220,10 @@ def _dense(spark, d) -> DataFrame:
     return raster.dense(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
 
 
+def _runs(spark, d) -> DataFrame:
+    return raster.painted_runs(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
+
+
 def _anchored(spark, d, upm: int = 1000) -> tuple[DataFrame, DataFrame]:
     rows = _tiled(spark, d)
     found = tiling.anchors(rows, "tile_id", upm)
@@ -493,12 +497,12 @@ def mask_dense(spark, d):
 
 @query(f"WITH {_MASK} SELECT tile_id, start, len, CAST(class AS INTEGER) AS class FROM runs")
 def mask_rle_encode(spark, d):
-    return raster.run_lengths(_dense(spark, d), GRID)
+    return _runs(spark, d)
 
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(x*class) AS BIGINT) AS check_sum FROM full_grid GROUP BY 1, 2")
 def mask_rle_decode(spark, d):
-    back = raster.expand_runs(raster.run_lengths(_dense(spark, d), GRID), GRID)
+    back = raster.expand_runs(_runs(spark, d), GRID)
     return back.groupBy("tile_id", "y").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("class")).alias("check_sum"))
 
 
@@ -518,6 +522,84 @@ def label_points(spark, d):
     return cloud.label_points(rows, _mask(spark, d), box, GRID).groupBy("tile_id", "label").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {_MASK}, {ctes('points')}, {_TILED}, q AS (SELECT tile_id, l_partkey, round(ex*1e3)/1e3 AS qx, round(ey*1e3)/1e3 AS qy, round(ez*1e3)/1e3 AS qz FROM tiled),
+gq AS (SELECT * FROM {geodetic_sql('q', 'qx', 'qy', 'qz')}), bx AS (SELECT tile_id, round(lon_min*1e7)*1e-7 AS lon_min, round((lon_min + 1e-2)*1e7)*1e-7 AS lon_max, round(lat_min*1e7)*1e-7 AS lat_min, round(lat_max*1e7)*1e-7 AS lat_max FROM tiles JOIN withov USING (tile_id) WHERE tile_id % 7 <> 3),
+uv AS (SELECT gq.tile_id, l_partkey, (glon - lon_min)/(lon_max - lon_min + 1e-12) AS u, (glat - lat_min)/(lat_max - lat_min + 1e-12) AS v FROM gq LEFT JOIN bx USING (tile_id)),
+ix AS (SELECT tile_id, l_partkey, CASE WHEN u BETWEEN 0e0 AND 1e0 THEN CAST(round(u*{GRID - 1}e0) AS INTEGER) END AS x, CASE WHEN v BETWEEN 0e0 AND 1e0 THEN CAST(round(v*{GRID - 1}e0) AS INTEGER) END AS y FROM uv)
+SELECT tile_id, CAST(CASE WHEN tile_id % 5 = 0 THEN l_partkey % 10 ELSE coalesce(p.class, 0) END AS INTEGER) AS label, count(*) AS n FROM ix LEFT JOIN painted p USING (tile_id, y, x) GROUP BY 1, 2"""
+)
+def label_precedence(spark, d):
+    """Own labels come before a mask's class, tiles without a usable mask get 0, as does what lies outside."""
+    own = F.when(F.col("tile_id") % 5 == 0, (F.col("l_partkey") % 10).cast("int"))
+    rows = _tiled(spark, d).select("tile_id", *[fixed.dequantise(fixed.quantise(F.col(f"e{a}"), 1000), 1000).alias(f"e{a}") for a in "xyz"], own.alias("label"))
+    covered = view(spark, d, "tiles").filter("tile_id % 7 <> 3").join(_overlay(spark, d).select("tile_id").distinct(), "tile_id", "left_semi")
+    box = covered.withColumn("lon_max", F.col("lon_min") + 0.01).select("tile_id", *[fixed.q7(F.col(c)).alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
+    return cloud.label_points(rows, _mask(spark, d), box, GRID, mode="zero").groupBy("tile_id", "label").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- files written and read back
+
+
+@query(
+    f"""WITH {_BOXED}, {anchored_sql(1000)} SELECT CAST(tile_id AS VARCHAR) AS name, count(*) AS n, min(upm) AS upm, min(ax) AS ax, min(ay) AS ay, min(az) AS az, {', '.join(f'CAST(sum(d{a}) AS BIGINT) AS sum_d{a}' for a in 'xyz')},
+  CAST(sum(CASE WHEN tile_id % 2 = 0 THEN label ELSE 0 END) AS BIGINT) AS labels, concat('tile_', CAST(tile_id AS VARCHAR)) AS shown,
+  {', '.join(f'CAST(round({f}({c})*1e7) AS INTEGER) AS {c}_{f}' for c in ('lon', 'lat') for f in ('min', 'max'))} FROM offs GROUP BY tile_id"""
+)
+def tile_codec_roundtrip(spark, d):
+    """Quantised tiles as binary files, every second with labels, written and read back."""
+    found, rows = _anchored(spark, d)
+    point = F.struct("dx", "dy", "dz", F.when(F.col("tile_id") % 2 == 0, F.col("label")).cast("smallint").alias("label"))
+    packed = rows.groupBy("tile_id").agg(F.collect_list(point).alias("points"))
+    ends = tiling.extents(rows, "tile_id").select("tile_id", F.struct(*[F.col(f"{c}_{n}_q7").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]).alias("extent"))
+    tiles = found.join(packed, "tile_id").join(ends, "tile_id")
+    name = F.col("tile_id").cast("string")
+    empty = F.lit(None).cast("struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>")
+    tiles = tiles.select(name.alias("prefix"), F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.concat(F.lit("tile_"), name)).alias("tile_key"), (F.col("tile_id") % 2 == 0).alias("labelled"), "points", "extent", empty.alias("mask"))
+    folder = files.fresh_folder(spark, "tiles")
+    sinks.write_tiles(tiles, folder, overwrite=True).write.format("noop").mode("overwrite").save()
+    back = codec.read_tiles(spark, folder, strict=True).withColumn("name", names.stem(F.col("path")))
+    flat = codec.points_of(back, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("units_per_metre").alias("upm"), *[F.min(f"a{a}").alias(f"a{a}") for a in "xyz"], *[F.sum(f"d{a}").alias(f"sum_d{a}") for a in "xyz"], F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("labels"))
+    return flat.join(back.select("name", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]), "name")
+
+
+_THREE = f"""SELECT l_orderkey % 25 AS tile_id, {K}, CASE l_orderkey % 3 WHEN 0 THEN lon WHEN 1 THEN (l_partkey*7 % 1301)*1e0 ELSE 6371e3 + l_partkey % 997 END AS x,
+  CASE l_orderkey % 3 WHEN 0 THEN lat WHEN 1 THEN (l_suppkey*13 % 1103)*1e0 ELSE l_suppkey*1e0 END AS y, CAST(h_m AS DOUBLE) AS z, l_orderkey % 3 AS kind FROM {{points}}"""
+
+
+@query(
+    f"""WITH {ctes('tiles', 'points')}, v AS ({_THREE.format(points='points')}), o AS (SELECT tile_id, (min(x) + max(x))/2 AS e0, (min(y) + max(y))/2 AS n0 FROM v WHERE kind = 1 GROUP BY 1),
+c AS (SELECT v.*, x - e0 AS xe, y - n0 AS yn, 5e-1*(lat_min + lat_max) AS lat, 5e-1*(lon_min + lon_max) AS lon FROM v JOIN o USING (tile_id) JOIN tiles USING (tile_id) WHERE kind = 1),
+r AS (SELECT *, 1e0 - {num(geo.E2)}*{_S2} AS ww FROM c),
+deg AS (SELECT tile_id, kind, lat + degrees(yn/({num(geo.A * (1 - geo.E2))}/(ww*sqrt(ww)))) AS lat, lon + degrees(xe/({num(geo.A)}/sqrt(ww)*cos(radians(lat)))) AS lon, z AS h_m FROM r UNION ALL SELECT tile_id, kind, y, x, z FROM v WHERE kind = 0),
+every AS (SELECT tile_id, kind, ex, ey, ez FROM {ECEF.format(src='deg')} UNION ALL SELECT tile_id, kind, x, y, z FROM v WHERE kind = 2)
+SELECT tile_id, kind, count(*) AS n, {', '.join(f'CAST(sum({big(f"e{a}*1e2")}) AS BIGINT) AS sum_{a}_cm' for a in 'xyz')} FROM every GROUP BY 1, 2"""
+)
+def dispatch_to_ecef(spark, d):
+    """Vertices in the three systems, each file in one that is given, become Earth-centred."""
+    v = spark.sql(_THREE.format(points="{points}"), points=view(spark, d, "points"))
+    v = v.withColumn("file", F.concat_ws("/", "tile_id", "kind")).withColumn("vid", F.lit(0))
+    systems = v.select("file", F.when(F.col("kind") == 0, "geodetic").when(F.col("kind") == 1, "local_m").otherwise("ecef").alias("cs")).distinct()
+    boxes = v.select("file", "tile_id").distinct().join(view(spark, d, "tiles"), "tile_id").select("file", "lon_min", "lat_min", "lon_max", "lat_max")
+    out = tiling.to_ecef(v.select("file", "vid", "x", "y", "z"), systems, boxes, "file")
+    part = F.split("file", "/")
+    return out.groupBy("file").agg(F.count("*").alias("n"), *[F.sum(scaled(F.col(f"e{a}"), 100)).alias(f"sum_{a}_cm") for a in "xyz"]).select(part[0].cast("bigint").alias("tile_id"), part[1].cast("bigint").alias("kind"), "n", *[f"sum_{a}_cm" for a in "xyz"])
+
+
+@query(
+    f"""WITH {ctes('tiles', 'points')}, {_TILED}, g AS (SELECT tile_id, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM tiled WHERE tile_id % 4 <> 1 GROUP BY 1)
+SELECT tile_id, tile_id % 3 <> 0 AS boxed, {', '.join(f'CAST(round(CASE WHEN tile_id % 3 <> 0 THEN {box} ELSE {own} END*1e7) AS INTEGER) AS {box}' for box, own in (('lon_min', 'a'), ('lon_max', 'b'), ('lat_min', 'c'), ('lat_max', 'd')))}
+FROM tiles LEFT JOIN g USING (tile_id)"""
+)
+def extent_source(spark, d):
+    """A tile's extent is its box where there is one, else the bounds of its geodetic points, else none."""
+    ends = _tiled(spark, d).filter("tile_id % 4 <> 1").groupBy("tile_id").agg(*[f(c).alias(n) for c, f, n in (("lon", F.min, "g0"), ("lon", F.max, "g1"), ("lat", F.min, "g2"), ("lat", F.max, "g3"))])
+    t = view(spark, d, "tiles").join(ends, "tile_id", "left")
+    sides = ("lon_min", "lon_max", "lat_min", "lat_max")
+    box = [F.when(F.col("tile_id") % 3 != 0, F.col(c)) for c in sides]
+    return t.select("tile_id", (F.col("tile_id") % 3 != 0).alias("boxed"), tiling.choose_extent(box, [F.col(f"g{i}") for i in range(4)]).alias("e")).select("tile_id", "boxed", *[F.col(f"e.{c}").alias(c) for c in sides])
+
+
 # ---------------------------------------------------------------- views of a cloud
 
 _P, _M = CAMERA.position(), CAMERA.matrix(VIEWPORT[0] / VIEWPORT[1])

@@ -45,11 +45,16 @@ def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options) -
     """Features that touch each padded tile; every tile needs a box."""
     boxed = work.filter(F.coalesce("lon_min", F.raise_error(F.lit("a map overlay needs a box for every tile")).cast("double")).isNotNull())
     padded = spatial.pad_tiles(boxed, options.margin_m)
-    kept = spatial.keep_nodes(pbf.read_nodes(spark, osm), padded)
+    # nodes outside all boxes together cannot be kept: one row of bounds sifts them before the join
+    bounds = padded.agg(*[f(c).alias(c) for c, f in (("lon_min", F.min), ("lat_min", F.min), ("lon_max", F.max), ("lat_max", F.max))]).first()
+    within = F.col("lon").between(bounds.lon_min, bounds.lon_max) & F.col("lat").between(bounds.lat_min, bounds.lat_max)
+    kept = spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded)
     ways = pbf.read_ways(spark, osm)
     kind = classify.way_class(lambda k: F.try_element_at("tags", F.lit(k)))
-    kinds = ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "c.*")
-    refs = ways.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
+    # and ways of no class need no vertices
+    classed = ways.withColumn("c", kind).filter("c is not null")
+    kinds = classed.select("way_id", "seq", "c.*")
+    refs = classed.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
     geometry = spatial.resolve_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
     placed = geometry.join(spatial.way_tiles(refs, kept), "way_id")
     # paint order is file order
@@ -90,9 +95,7 @@ def convert(spark: SparkSession, folder: str, output: str, index: str | None = N
 def mask_column(overlay: DataFrame, work: DataFrame, options: Options) -> DataFrame:
     """(prefix, mask): a tile's runs as the bytes of its mask; at most grid x grid of them."""
     g = options.grid
-    covered = overlay.select("tile_id").distinct()
-    pixels = raster.dense(raster.build_mask(overlay, work, g), covered, g)
-    runs = raster.run_lengths(pixels, g)
+    runs = raster.painted_runs(raster.build_mask(overlay, work, g), overlay.select("tile_id").distinct(), g)
     ordered = F.array_sort(F.collect_list(F.struct("start", "len", "class")))
     code = F.when(F.lit(options.compress_mask), F.lit(codec.RUNS)).otherwise(F.lit(codec.RAW))
 

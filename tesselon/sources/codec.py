@@ -25,6 +25,7 @@ SPACE_DECODED, SPACE_BOX = 0, 1
 RAW, RUNS = 0, 1
 KEY_BYTES = 32
 EXTENSION = "hypc"
+EXTENT = ("lon_min", "lon_max", "lat_min", "lat_max")
 
 TILE_SCHEMA = """units_per_metre long, ax long, ay long, az long, tile_key binary, labelled boolean,
 points array<struct<dx:int,dy:int,dz:int,label:smallint>>,
@@ -78,7 +79,7 @@ def encode_runs(data: bytes) -> bytes:
 
 def decode_runs(data: bytes) -> bytes:
     if len(data) % 3:
-        raise TileError("RLE payload truncated")
+        raise TileError("run lengths end within a run")
     runs = np.frombuffer(data, np.dtype([("n", "<u2"), ("v", "u1")]))
     return np.repeat(runs["v"], runs["n"]).tobytes()
 
@@ -156,21 +157,8 @@ def dump(tile: Tile) -> bytes:
 # ---------------------------------------------------------------- DataFrames
 
 
-def to_row(tile: Tile) -> dict:
-    labels = tile.labels.tolist() if tile.labels is not None else [None] * len(tile.points)
-    points = [{"dx": p[0], "dy": p[1], "dz": p[2], "label": v} for p, v in zip(tile.points.tolist(), labels, strict=True)]
-    m = tile.mask
-    mask = m and {"width": m.width, "height": m.height, "coord_space": m.coord_space, "encoding": m.encoding, "palette": [{"class": a, "precedence": b} for a, b in m.palette], "data": m.data}
-    extent = tile.extent and dict(zip(("lon_min", "lon_max", "lat_min", "lat_max"), tile.extent, strict=True))
-    return {"units_per_metre": tile.units_per_metre, "ax": tile.anchor[0], "ay": tile.anchor[1], "az": tile.anchor[2], "tile_key": tile.key, "labelled": tile.labels is not None, "points": points, "extent": extent, "mask": mask}
-
-
-def from_row(row: dict) -> Tile:
-    points = np.array([(p["dx"], p["dy"], p["dz"]) for p in row["points"] or []], np.int32).reshape(-1, 3)
-    labels = np.array([p["label"] for p in row["points"]], np.uint8) if row["labelled"] else None
-    m, e = row["mask"], row["extent"]
-    mask = m and Mask(m["width"], m["height"], m["coord_space"], m["encoding"], [(p["class"], p["precedence"]) for p in m["palette"]], bytes(m["data"]))
-    return Tile(row["units_per_metre"], (row["ax"], row["ay"], row["az"]), points, labels, row["tile_key"] and bytes(row["tile_key"]), e and (e["lon_min"], e["lon_max"], e["lat_min"], e["lat_max"]), mask)
+def _struct(values: tuple[int, ...] | None, names: tuple[str, ...]) -> dict | None:
+    return values and dict(zip(names, values, strict=True))
 
 
 _SMALL = pa.int16()
@@ -182,19 +170,51 @@ _ARROW = pa.schema([
 ])
 
 
+def _one(name: str, value: object) -> pa.Array:
+    return pa.array([value], _ARROW.field(name).type)
+
+
+def to_batch(path: str, tile: Tile | None, error: str | None = None) -> pa.RecordBatch:
+    """A row of the tile; its points go from one buffer to another."""
+    row = dict.fromkeys(_ARROW.names) | {"path": path, "error": error}
+    points = _one("points", None)
+    if tile is not None:
+        m = tile.mask
+        mask = m and {"width": m.width, "height": m.height, "coord_space": m.coord_space, "encoding": m.encoding, "palette": [{"class": a, "precedence": b} for a, b in m.palette], "data": m.data}
+        row |= {"units_per_metre": tile.units_per_metre, "tile_key": tile.key, "labelled": tile.labels is not None, "extent": _struct(tile.extent, EXTENT), "mask": mask, **dict(zip(("ax", "ay", "az"), tile.anchor, strict=True))}
+        n = len(tile.points)
+        label = pa.nulls(n, _SMALL) if tile.labels is None else pa.array(tile.labels.astype(np.int16))
+        own = pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(tile.points[:, i])) for i in range(3)), label], names=["dx", "dy", "dz", "label"])
+        points = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), own)
+    return pa.RecordBatch.from_arrays([points if c == "points" else _one(c, row[c]) for c in _ARROW.names], schema=_ARROW)
+
+
+def from_batch(batch: pa.RecordBatch, at: int) -> Tile:
+    """The tile of a row that has a tile's columns."""
+    own = {c: batch.column(c)[at] for c in batch.schema.names}
+    row = {c: v.as_py() for c, v in own.items() if c != "points"}
+    points, labels = np.zeros((0, 3), np.int32), None
+    if own["points"].is_valid:
+        x = own["points"].values
+        points = np.stack([x.field(c).to_numpy(zero_copy_only=False).astype(np.int32) for c in ("dx", "dy", "dz")], axis=1)
+        labels = x.field("label").to_numpy(zero_copy_only=False).astype(np.uint8) if row["labelled"] else None
+    elif row["labelled"]:
+        labels = np.zeros(0, np.uint8)
+    m, e = row["mask"], row["extent"]
+    mask = m and Mask(m["width"], m["height"], m["coord_space"], m["encoding"], [(p["class"], p["precedence"]) for p in m["palette"]], m["data"])
+    return Tile(row["units_per_metre"], (row["ax"], row["ay"], row["az"]), points, labels, row["tile_key"], e and tuple(e[c] for c in EXTENT), mask)
+
+
 def _parse_all(strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = dict.fromkeys(_ARROW.names)
-                row["path"] = path
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    row |= to_row(parse(content))
+                    yield to_batch(path.as_py(), parse(content.as_py()))
                 except TileError as e:
                     if strict:
                         raise
-                    row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+                    yield to_batch(path.as_py(), None, str(e))
 
     return run
 
@@ -220,8 +240,8 @@ def encode_tiles(tiles: DataFrame, key: str = "path") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([row[key]], pa.string()), pa.array([dump(from_row(row))], pa.binary())], names=[key, "content"])
+            for at in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([dump(from_batch(batch, at))], pa.binary())], names=[key, "content"])
 
     columns = [c.name for c in _ARROW if c.name not in ("path", "error")]
     return tiles.select(F.col(key).cast("string").alias(key), *columns).mapInArrow(run, f"`{key}` string, content binary")
@@ -230,6 +250,24 @@ def encode_tiles(tiles: DataFrame, key: str = "path") -> DataFrame:
 # ---------------------------------------------------------------- the older layout
 
 
+def read_old(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, error, points) of files in the older layout: positions in metres."""
+    kind = pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    p, error = parse_old(content.as_py()), None
+                    points = pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(p[:, i])) for i in range(3)], names=list("xyz")))
+                except TileError as e:
+                    points, error = pa.nulls(1, kind), str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([error], pa.string()), points], names=["path", "error", "points"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInArrow(run, "path string, error string, points array<struct<x:double,y:double,z:double>>")
+
+
 def parse_old(data: bytes) -> np.ndarray:
     """Positions (n, 3) of the older layout: a 52-byte header and 16-bit positions in a box.
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -15,6 +18,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own below ``spark.checkpoint.dir``; a local session without that (tests) gets one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tesselon-')}"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
     """Write under a temporary name, then move: a reader never sees half a file."""
     folder, _, name = path.rpartition("/")

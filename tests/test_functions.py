@@ -1,13 +1,14 @@
 """Hand-derived cases of scalar rules."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tesselon.functions import classify, fixed, geo, names
-from tesselon.operators import raster, render, tiles
+from tesselon.operators import raster, render, spatial, tiles
 
 
 def one(spark, schema, row, *columns):
@@ -134,3 +135,30 @@ def test_empty_tables(spark):
     assert raster.run_lengths(none, 8).count() == 0 and raster.expand_runs(raster.run_lengths(none, 8), 8).count() == 0
     pts = spark.createDataFrame([], "k string, ex double, ey double, ez double")
     assert tiles.anchors(pts, "k").count() == 0
+
+
+def test_runs_of_painted_pixels_equal_those_of_the_grid(spark):
+    rng = random.Random(3)
+    cells = [(t, y, x, rng.choice([0, 1, 1, 2])) for t in range(4) for y in range(8) for x in range(8) if rng.random() < (0.0, 0.3, 0.9, 1.0)[t]]
+    mask = spark.createDataFrame(cells, "tile_id int, y int, x int, class int")
+    tiles_ = spark.createDataFrame([(t,) for t in range(5)], "tile_id int")
+    want = sorted(map(tuple, raster.run_lengths(raster.dense(mask, tiles_, 8), 8, most=10).collect()))
+    assert sorted(map(tuple, raster.painted_runs(mask, tiles_, 8, most=10).collect())) == want
+    assert raster.painted_runs(mask.limit(0), tiles_.limit(0), 8).count() == 0
+
+
+def test_boxes_of_any_size_are_met(spark):
+    rng = random.Random(4)
+    boxes = []
+    for i in range(60):
+        w, h = 10 ** rng.uniform(-4, 2), 10 ** rng.uniform(-4, 1.5)
+        x, y = rng.uniform(-180, 180 - w), rng.uniform(-90, 90 - h)
+        boxes.append((i, x, y, x + w, y + h))
+    boxes += [(99, 5.0, 5.0, 5.0, 5.0), (98, None, 0.0, 1.0, 1.0)]
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(400)] + [(900 + i, *b[1:3]) for i, b in enumerate(boxes) if b[1] is not None] + [(999, None, 1.0)]
+    b = spark.createDataFrame(boxes, "tile_id int, lon_min double, lat_min double, lon_max double, lat_max double")
+    p = spark.createDataFrame(points, "node_id int, lon double, lat double")
+    want = sorted((i, t) for i, x, y in points if x is not None for t, a, c, e, g in boxes if a is not None and a <= x <= e and c <= y <= g)
+    for join in (spatial.in_boxes, spatial.in_boxes_broadcast, lambda p, b: spatial.in_boxes_broadcast(p, b, 3)):
+        assert sorted((r.node_id, r.tile_id) for r in join(p, b).collect()) == want
+    assert spatial.in_boxes(p, b.limit(0)).count() == 0
