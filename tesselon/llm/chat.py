@@ -6,33 +6,39 @@ row for each perspective and turn: the rendered segment, its place in the render
 place of the part that the loss mask covers.  Concatenating a perspective's segments in order gives
 its text, so that a conversation of any length never has to fit into one row or task.
 
-Places are running sums in two steps: within ranges of turns, and over the ranges' totals.
+No content can forge a turn: in texts and names ``<|`` is written ``<\\|``, and line breaks in names
+are blanks.  Places are running sums in two steps: within ranges of turns, and over the ranges' totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Turns of a range within which lengths are summed first.
 RANGE = 256
 
 
+def _quoted(c: Column) -> Column:
+    return F.replace(c, F.lit("<|"), F.lit("<\\|"))
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context: str = "system") -> DataFrame:
     """(conv, perspective, turn, seq, role, name, segment, start, end, mask_start, mask_end, learned).
 
     Turns of the ``context`` role are rendered for everyone and are nobody's perspective.  A null role
-    is the participant ``unknown``; a null text is empty.  Turns are ordered by number, nulls first,
-    then by role and text, so ties are settled and repeated rows stay.  A conversation with context
-    turns only has no perspectives.  Places count characters, ends are exclusive; other columns are
-    ignored.
+    is the participant ``unknown``; a null text is empty; rows of a null conversation are one
+    conversation.  Turns are ordered by number, nulls first, then by role and text, so ties are settled
+    and repeated rows stay.  A conversation with context turns only has no perspectives.  Texts of any
+    length are rendered whole.  Places count characters of the rendered dialogue, ends are exclusive;
+    other columns are ignored; an empty table gives no rows.
     """
-    rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"), _quoted(F.coalesce(F.col(text), F.lit(""))).alias("x"))
     rows = rows.withColumn("g", F.floor(F.col("t") / RANGE))
     speakers = rows.filter(F.col("r") != context).select(F.col("c").alias("sc"), F.col("r").alias("p")).distinct()
     seen = rows.join(speakers, F.col("c").eqNullSafe(F.col("sc"))).drop("sc")
     kind = F.when(F.col("r") == context, context).when(F.col("r") == F.col("p"), "assistant").otherwise("user")
     name = F.when(kind == "user", F.col("r"))
-    head = F.concat(F.lit("<|"), kind, F.lit("|>"), F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit("<|"), kind, F.lit("|>"), F.coalesce(F.concat(F.lit(" name="), F.translate(_quoted(name), "\r\n", "  ")), F.lit("")), F.lit("\n"))
     made = seen.select("c", "p", "t", "g", "r", "x", kind.alias("k"), name.alias("n"), head.alias("h"), F.concat(head, F.col("x"), F.lit("<|end|>\n")).alias("s"))
     made = made.withColumn("size", F.length("s").cast("long"))
     ranges = made.groupBy("c", "p", "g").agg(F.sum("size").alias("total"), F.count("*").alias("rows"))
@@ -59,10 +65,10 @@ def transcripts(segments: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 SQL = """
-WITH t AS (SELECT conv_id AS c, turn AS t, coalesce(role, 'unknown') AS r, coalesce("text", '') AS x FROM conversations),
+WITH t AS (SELECT conv_id AS c, turn AS t, coalesce(role, 'unknown') AS r, replace(coalesce("text", ''), '<|', '<\\|') AS x FROM conversations),
 p AS (SELECT DISTINCT c, r AS p FROM t WHERE r <> 'system'),
 m AS (SELECT t.c, p.p, t.t, t.r, t.x, CASE WHEN t.r = 'system' THEN 'system' WHEN t.r = p.p THEN 'assistant' ELSE 'user' END AS k FROM t JOIN p ON t.c IS NOT DISTINCT FROM p.c),
-h AS (SELECT *, CASE WHEN k = 'user' THEN r END AS n, '<|' || k || '|>' || CASE WHEN k = 'user' THEN ' name=' || r ELSE '' END || chr(10) AS h FROM m),
+h AS (SELECT *, CASE WHEN k = 'user' THEN r END AS n, '<|' || k || '|>' || CASE WHEN k = 'user' THEN ' name=' || translate(replace(r, '<|', '<\\|'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS h FROM m),
 s AS (SELECT *, h || x || '<|end|>' || chr(10) AS s FROM h),
 o AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(sum(length(s)) OVER w AS BIGINT) AS e FROM s
   WINDOW w AS (PARTITION BY c, p ORDER BY t NULLS FIRST, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

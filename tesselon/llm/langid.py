@@ -7,7 +7,8 @@ its classifier does on that language.  A prediction whose two best losses are cl
 ambiguous.
 
 The classifiers are fitted on the driver on at most ``per_language`` labelled rows for each language,
-chosen by a hash of the key; only their feature vectors, of fixed size, are collected.
+and ``SAMPLE`` in all, chosen by a hash of the key; only their feature vectors, of fixed size, are
+collected.  Of more than ``LANGUAGES`` labels the most frequent are learned.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tesselon.llm.store import by_slices
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 500
+#: Bounds of what the driver holds: labels that are learned, and labelled rows of all together.
+LANGUAGES, SAMPLE = 256, 12_000
 UNKNOWN = "und"
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 _SHIFT = np.uint32(32 - DIMENSIONS.bit_length() + 1)
@@ -143,7 +146,9 @@ def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
     """Fit on the rows where ``usable`` holds and text and language are there (a bounded sample)."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable")).filter("usable and lang is not null and text is not null")
     rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
+    per_language = min(per_language, SAMPLE // max(1, 2 * len(counts)))
     if not counts:
         return train(np.zeros((0, DIMENSIONS), np.float32), [])
     below = F.coalesce(*[F.when(F.col("lang") == v, F.lit(int(min(1.0, per_language / n) * (1 << 30)))) for v, n in sorted(counts.items())])
@@ -157,7 +162,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """(key, lang_pred, score, ambiguous) of every row, from its whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and counts as ambiguous.  Equal
-    texts get equal predictions; repeated rows stay; other columns are ignored.
+    texts get equal predictions, ties the first label; texts of any length count whole; repeated rows
+    and null keys stay; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
