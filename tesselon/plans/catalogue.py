@@ -16,6 +16,8 @@ from tesselon.plans.fixtures import ctes, view
 from tesselon.sources import codec, features, files, obj, sinks
 
 GRID = 64
+#: A conversion's own grid.
+FULL_GRID = 512
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K = ", ".join(KEYS)
 VIEWPORT = (320, 180)
@@ -127,15 +129,21 @@ ov AS (SELECT wt.tile_id, cl.*, geon.nv FROM cl JOIN geon USING (way_id) JOIN wt
 )
 
 
-def _pix(v: str, lo: str, hi: str) -> str:
-    return f"CAST(round(CAST(greatest(least(CAST(({v} - {lo})/greatest({hi} - {lo}, 1e-12) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) * CAST({GRID - 1} AS FLOAT) AS FLOAT)) AS INTEGER)"
+def _pix(v: str, lo: str, hi: str, grid: int) -> str:
+    return f"CAST(round(CAST(greatest(least(CAST(({v} - {lo})/greatest({hi} - {lo}, 1e-12) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) * CAST({grid - 1} AS FLOAT) AS FLOAT)) AS INTEGER)"
 
 
-_PIXELS = (
-    _OVERLAY
-    + f""",
-vx AS (SELECT ov.tile_id, ov.way_id, ov.class, ov.is_area, ov.width_m, row_number() OVER (PARTITION BY ov.tile_id, ov.way_id ORDER BY g.seq) AS i, ov.nv, {_pix('g.lon', 't.lon_min', 't.lon_max')} AS x, {_pix('g.lat', 't.lat_min', 't.lat_max')} AS y,
-  greatest(CAST(CAST(ov.width_m AS DOUBLE)*5e-1/(5e-1*(greatest(t.lon_max - t.lon_min, 1e-12)*111320e0*greatest(abs(cos(radians(5e-1*(t.lat_min + t.lat_max)))), 1e-6)/{GRID}e0 + greatest(t.lat_max - t.lat_min, 1e-12)*110574e0/{GRID}e0)) AS FLOAT), CAST(0.5 AS FLOAT)) AS radius
+_f = "CAST({} AS FLOAT)".format
+_PREC = "CASE class WHEN 5 THEN 200 WHEN 1 THEN 200 WHEN 8 THEN 160 WHEN 2 THEN 150 WHEN 3 THEN 140 WHEN 4 THEN 130 WHEN 6 THEN 100 WHEN 7 THEN 90 WHEN 9 THEN 80 ELSE 0 END"
+
+
+def _grid_sql(grid: int) -> tuple[str, str, str]:
+    """Areas, then lines as well, then masks and runs, on grids of this size."""
+    pixels = (
+        _OVERLAY
+        + f""",
+vx AS (SELECT ov.tile_id, ov.way_id, ov.class, ov.is_area, ov.width_m, row_number() OVER (PARTITION BY ov.tile_id, ov.way_id ORDER BY g.seq) AS i, ov.nv, {_pix('g.lon', 't.lon_min', 't.lon_max', grid)} AS x, {_pix('g.lat', 't.lat_min', 't.lat_max', grid)} AS y,
+  greatest(CAST(CAST(ov.width_m AS DOUBLE)*5e-1/(5e-1*(greatest(t.lon_max - t.lon_min, 1e-12)*111320e0*greatest(abs(cos(radians(5e-1*(t.lat_min + t.lat_max)))), 1e-6)/{grid}e0 + greatest(t.lat_max - t.lat_min, 1e-12)*110574e0/{grid}e0)) AS FLOAT), CAST(0.5 AS FLOAT)) AS radius
   FROM ov JOIN geo1 g USING (way_id) JOIN tiles t ON t.tile_id = ov.tile_id),
 ed AS (SELECT a.tile_id, a.way_id, a.class, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM vx a JOIN vx b ON a.tile_id = b.tile_id AND a.way_id = b.way_id AND b.i = CASE WHEN a.i = 1 THEN a.nv ELSE a.i - 1 END WHERE a.is_area),
 bb AS (SELECT tile_id, way_id, min(class) AS class, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vx WHERE is_area GROUP BY 1, 2),
@@ -143,29 +151,32 @@ cand AS (SELECT tile_id, way_id, class, y, unnest(generate_series(x0, x1)) AS x
 area AS (SELECT c.tile_id, c.way_id, c.class, c.y, c.x FROM cand c JOIN ed e ON c.tile_id = e.tile_id AND c.way_id = e.way_id AND (e.yi > c.y) <> (e.yj > c.y)
   AND CAST(c.x AS FLOAT) < CAST(CAST(CAST(e.xj - e.xi AS FLOAT) * CAST(CAST(c.y - e.yi AS FLOAT)/CAST(nullif(e.yj - e.yi, 0) AS FLOAT) AS FLOAT) AS FLOAT) + CAST(e.xi AS FLOAT) AS FLOAT)
   GROUP BY 1, 2, 3, 4, 5 HAVING count(*) % 2 = 1)"""
-)
-_f = "CAST({} AS FLOAT)".format
-_LINES = (
-    _PIXELS
-    + f""",
+    )
+    lines = (
+        pixels
+        + f""",
 sg AS (SELECT DISTINCT a.tile_id, a.way_id, a.class, a.radius AS r, {_f('a.x')} AS x0, {_f('a.y')} AS y0, {_f('b.x')} AS x1, {_f('b.y')} AS y1 FROM vx a JOIN vx b ON a.tile_id = b.tile_id AND a.way_id = b.way_id AND b.i = a.i + 1 WHERE NOT a.is_area),
-lc AS (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(x0, x1) - r) AS INTEGER), {GRID - 1}), 0), greatest(least(CAST(ceil(greatest(x0, x1) + r) AS INTEGER), {GRID - 1}), 0))) AS x FROM
-  (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(y0, y1) - r) AS INTEGER), {GRID - 1}), 0), greatest(least(CAST(ceil(greatest(y0, y1) + r) AS INTEGER), {GRID - 1}), 0))) AS y FROM sg)),
+lc AS (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(x0, x1) - r) AS INTEGER), {grid - 1}), 0), greatest(least(CAST(ceil(greatest(x0, x1) + r) AS INTEGER), {grid - 1}), 0))) AS x FROM
+  (SELECT *, unnest(generate_series(greatest(least(CAST(floor(least(y0, y1) - r) AS INTEGER), {grid - 1}), 0), greatest(least(CAST(ceil(greatest(y0, y1) + r) AS INTEGER), {grid - 1}), 0))) AS y FROM sg)),
 lt AS (SELECT *, {_f('x')} + {_f('0.5')} AS px, {_f('y')} + {_f('0.5')} AS py FROM lc),
 lu AS (SELECT *, greatest(least(CAST(CAST((px - x0)*(x1 - x0) + (py - y0)*(y1 - y0) AS FLOAT)/CAST((x1 - x0)*(x1 - x0) + (y1 - y0)*(y1 - y0) + {_f('1e-12')} AS FLOAT) AS FLOAT), {_f('1')}), {_f('0')}) AS t FROM lt),
 line AS (SELECT DISTINCT tile_id, way_id, class, y, x FROM lu WHERE (px - (x0 + t*(x1 - x0)))*(px - (x0 + t*(x1 - x0))) + (py - (y0 + t*(y1 - y0)))*(py - (y0 + t*(y1 - y0))) <= r*r)"""
-)
-_PREC = "CASE class WHEN 5 THEN 200 WHEN 1 THEN 200 WHEN 8 THEN 160 WHEN 2 THEN 150 WHEN 3 THEN 140 WHEN 4 THEN 130 WHEN 6 THEN 100 WHEN 7 THEN 90 WHEN 9 THEN 80 ELSE 0 END"
-_MASK = (
-    _LINES
-    + f""",
+    )
+    mask = (
+        lines
+        + f""",
 painted AS (SELECT tile_id, y, x, class FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, y, x ORDER BY {_PREC} DESC, ln DESC, way_id DESC) AS k FROM
   (SELECT *, 0 AS ln FROM area UNION ALL SELECT *, 1 AS ln FROM line)) WHERE k = 1),
 withov AS (SELECT DISTINCT tile_id FROM ov),
-full_grid AS (SELECT w.tile_id, y.y, x.x, coalesce(p.class, 0) AS class FROM withov w CROSS JOIN (SELECT unnest(generate_series(0, {GRID - 1})) AS y) y CROSS JOIN (SELECT unnest(generate_series(0, {GRID - 1})) AS x) x
+full_grid AS (SELECT w.tile_id, y.y, x.x, coalesce(p.class, 0) AS class FROM withov w CROSS JOIN (SELECT unnest(generate_series(0, {grid - 1})) AS y) y CROSS JOIN (SELECT unnest(generate_series(0, {grid - 1})) AS x) x
   LEFT JOIN painted p ON p.tile_id = w.tile_id AND p.y = y.y AND p.x = x.x),
-runs AS (SELECT tile_id, min(i) AS start, count(*) AS len, class FROM (SELECT *, i - row_number() OVER (PARTITION BY tile_id, class ORDER BY i) AS g FROM (SELECT *, CAST(y*{GRID} + x AS BIGINT) AS i FROM full_grid)) GROUP BY tile_id, class, g)"""
-)
+runs AS (SELECT tile_id, min(i) AS start, count(*) AS len, class FROM (SELECT *, i - row_number() OVER (PARTITION BY tile_id, class ORDER BY i) AS g FROM (SELECT *, CAST(y*{grid} + x AS BIGINT) AS i FROM full_grid)) GROUP BY tile_id, class, g)"""
+    )
+    return pixels, lines, mask
+
+
+_PIXELS, _LINES, _MASK = _grid_sql(GRID)
+_FULL_MASK = _grid_sql(FULL_GRID)[2]
 
 _FRAG = """frag AS (SELECT CAST((l_partkey*7 + l_suppkey) % 96 AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % 64 AS INTEGER) AS y, ((l_orderkey*31 + l_linenumber*17 + l_partkey) % 1000)/1001e0 + 5e-4 AS z, CAST(l_partkey % 10 AS INTEGER) AS label,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem})"""
@@ -212,16 +223,16 @@ def _pixelised(spark, d) -> DataFrame:
     return raster.pixelised(_overlay(spark, d), view(spark, d, "tiles"), GRID)
 
 
-def _mask(spark, d) -> DataFrame:
-    return raster.build_mask(_overlay(spark, d), view(spark, d, "tiles"), GRID)
+def _mask(spark, d, grid: int = GRID) -> DataFrame:
+    return raster.build_mask(_overlay(spark, d), view(spark, d, "tiles"), grid)
 
 
 def _dense(spark, d) -> DataFrame:
     return raster.dense(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
 
 
-def _runs(spark, d) -> DataFrame:
-    return raster.painted_runs(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
+def _runs(spark, d, grid: int = GRID) -> DataFrame:
+    return raster.painted_runs(_mask(spark, d, grid), _overlay(spark, d).select("tile_id").distinct(), grid)
 
 
 def _anchored(spark, d, upm: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -500,6 +511,15 @@ def mask_rle_encode(spark, d):
     return _runs(spark, d)
 
 
+@query(
+    f"""WITH {_FULL_MASK}, cut AS (SELECT tile_id, start + k*{raster.LONGEST_RUN} AS start, least({raster.LONGEST_RUN}, len - k*{raster.LONGEST_RUN}) AS len, class FROM
+  (SELECT *, unnest(generate_series(0, (len - 1)//{raster.LONGEST_RUN})) AS k FROM runs))
+SELECT tile_id, CAST(start AS BIGINT) AS start, CAST(len AS BIGINT) AS len, CAST(class AS INTEGER) AS class FROM cut"""
+)
+def mask_rle_encode_full_grid(spark, d):
+    return _runs(spark, d, FULL_GRID)
+
+
 @query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(x*class) AS BIGINT) AS check_sum FROM full_grid GROUP BY 1, 2")
 def mask_rle_decode(spark, d):
     back = raster.expand_runs(_runs(spark, d), GRID)
