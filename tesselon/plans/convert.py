@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesselon.functions import classify, names
 from tesselon.operators import raster, spatial, tiles as tiling
-from tesselon.sources import codec, features, obj, pbf, sinks
+from tesselon.sources import codec, features, files, obj, pbf, sinks
 
 
 @dataclass(frozen=True)
@@ -69,11 +69,13 @@ def convert(spark: SparkSession, folder: str, output: str, index: str | None = N
     """
     o = options or Options()
     work = plan_work(spark, folder, index, o)
-    work = (work if o.overwrite else sinks.skip_existing(work, output)).cache()
-    paths = [r.path for r in work.select("path").distinct().toLocalIterator()]
-    if not paths:
+    # written, as what is left to do must not change while tiles appear
+    plan = files.fresh_folder(spark, "work")
+    (work if o.overwrite else sinks.skip_existing(work, output)).write.parquet(plan)
+    work = spark.read.schema(work.schema).parquet(plan)
+    if work.isEmpty():
         return spark.createDataFrame([], "prefix string, file string, bytes long")
-    vertices = obj.read_vertices(spark, paths).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z")
+    vertices = obj.read_vertices(spark, work).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z")
     systems = vertices.select("prefix").distinct().withColumn("cs", F.lit(o.system)) if o.system else tiling.detect_system(vertices, "prefix")
     boxes = work.select("prefix", "lon_min", "lat_min", "lon_max", "lat_max")
     points = tiling.to_ecef(vertices, systems, boxes, "prefix")
@@ -109,5 +111,3 @@ def mask_column(overlay: DataFrame, work: DataFrame, options: Options) -> DataFr
     data = F.unhex(F.array_join(F.transform("runs", run_bytes), ""))
     mask = F.struct(F.lit(g).alias("width"), F.lit(g).alias("height"), F.lit(codec.SPACE_BOX).cast("smallint").alias("coord_space"), code.cast("smallint").alias("encoding"), palette.alias("palette"), data.alias("data"))
     return runs.groupBy("tile_id").agg(ordered.alias("runs")).select(F.col("tile_id").alias("prefix"), mask.alias("mask"))
-
-

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tesselon.functions import geo, names
+from tesselon.sources import files
 
 # What the text format takes as a number; more than a plain decimal, less than the engine's casts.
 _FLOAT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
@@ -48,27 +51,35 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for path in (p for b in batches for p in b.column(0).to_pylist()):
+        with contextlib.ExitStack() as open_:
+            fs, name = files.filesystem(path)
+            f = open_.enter_context(fs.open_input_file(name))
             if path.endswith(".zip"):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    inner = next((n for n in z.namelist() if n.lower().endswith(".obj")), None)
-                    if inner is None:
-                        raise ValueError(f"no mesh in {path}")
-                    content = z.read(inner)
-            text = content.decode("utf-8").split("\n")
-            for at in range(0, len(text), 100_000):
-                part = text[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["path", "line_no", "line"])
-
-
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of mesh files; of an archive, its first member that is a mesh."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select("path", "content").mapInArrow(_lines, "path string, line_no long, line string")
+                z = open_.enter_context(zipfile.ZipFile(f))
+                inner = next((n for n in z.namelist() if n.lower().endswith(".obj")), None)
+                if inner is None:
+                    raise ValueError(f"no mesh in {path}")
+                f = open_.enter_context(z.open(inner))
+            at = 0
+            for part in itertools.batched(io.TextIOWrapper(f, "utf-8", newline="\n"), 50_000):
+                number = pa.array(range(at, at + len(part)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), number, pa.array([x.removesuffix("\n") for x in part], pa.string())], names=["path", "line_no", "line"])
+                at += len(part)
+
+
+def read_lines(spark: SparkSession, paths: str | DataFrame) -> DataFrame:
+    """(path, line_no, line) of mesh files; of an archive, its first member that is a mesh.
+
+    ``paths`` is a folder, or a table with a column ``path``.  A task opens the files it is dealt and reads
+    each as a stream of lines, so a file of any size takes little memory.
+    """
+    found = read_files(spark, paths) if isinstance(paths, str) else paths
+    found = found.select("path").distinct()
+    return found.repartition(max(1, min(found.count(), 4096))).mapInArrow(_lines, "path string, line_no long, line string")
 
 
-def read_vertices(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True) -> DataFrame:
     """(path, vid, x, y, z), ``vid`` counting a file's finite vertices in order."""
     from pyspark.sql import Window
 

@@ -10,7 +10,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from tesselon.sources import files
@@ -46,40 +48,48 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
-def packed(data: bytes) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        v, at = _varint(data, at)
-        out.append(v)
-    return out
+def packed(data: bytes) -> np.ndarray:
+    """All whole numbers of a packed field at once."""
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    last = np.flatnonzero(b < 128)
+    if not len(last) or last[-1] != len(b) - 1:
+        raise ValueError("a packed field ends within a number")
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((b & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first)
 
 
-def zigzag(v: int) -> int:
+def zigzag(v):
     return (v >> 1) ^ -(v & 1)
 
 
-def running(values: list[int]) -> list[int]:
-    out, total = [], 0
-    for v in values:
-        total += zigzag(v)
-        out.append(total)
-    return out
+def running(data: bytes) -> np.ndarray:
+    """The running sums of a packed field of signed differences."""
+    v = packed(data)
+    return np.cumsum((v >> np.uint64(1)).astype(np.int64) ^ -(v & np.uint64(1)).astype(np.int64))
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, offset, size) of the data blocks of a file."""
+    """(path, block, offset, size) of the data blocks of a file, or of a folder's files by name."""
     fs, name = files.filesystem(path)
+    names = [(path, name)]
+    if fs.get_file_info(name).type == pafs.FileType.Directory:
+        inside = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(name)) if x.extension == "pbf")
+        names = [(f"{path}/{n}", f"{name}/{n}") for n in inside]
     rows = []
-    with fs.open_input_file(name) as f:
-        at, end = 0, f.size()
-        while at < end:
-            f.seek(at)
-            (n,) = struct.unpack(">I", f.read(4))
-            head = dict(fields(f.read(n)))
-            start = at + 4 + n
-            if head[1] == b"OSMData":
-                rows.append((path, len(rows), start, head[3]))
-            at = start + head[3]
+    for own, name in names:
+        with fs.open_input_file(name) as f:
+            at, end = 0, f.size()
+            while at < end:
+                f.seek(at)
+                (n,) = struct.unpack(">I", f.read(4))
+                head = dict(fields(f.read(n)))
+                start = at + 4 + n
+                if head[1] == b"OSMData":
+                    rows.append((own, len(rows), start, head[3]))
+                at = start + head[3]
     found = spark.createDataFrame(rows, "path string, block long, offset long, size long")
     return found.repartition(max(1, min(len(rows), 4096)), "block")
 
@@ -93,8 +103,8 @@ def decode(blob: bytes) -> bytes:
     raise ValueError("a blob in an unknown compression")
 
 
-def read_block(data: bytes) -> tuple[list[tuple], list[tuple]]:
-    """([(id, lon, lat)], [(id, tags, refs)]) of a primitive block."""
+def read_block(data: bytes) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple]]:
+    """((ids, lon, lat), [(id, tags, refs)]) of a primitive block."""
     strings: list[str] = []
     groups: list[bytes] = []
     grain, lat0, lon0 = 100, 0, 0
@@ -109,27 +119,25 @@ def read_block(data: bytes) -> tuple[list[tuple], list[tuple]]:
             lat0 = v - (1 << 64) if v >> 63 else v
         elif n == 20:
             lon0 = v - (1 << 64) if v >> 63 else v
-    nodes, ways = [], []
-
-    def degrees(v: int, origin: int) -> float:
-        return 1e-9 * (origin + grain * v)
-
+    single: list[tuple[int, int, int]] = []
+    nodes = [np.zeros((3, 0), np.int64)]
+    ways = []
     for group in groups:
         for n, v in fields(group):
             if n == 1:
                 f = dict(fields(v))
-                nodes.append((zigzag(f[1]), degrees(zigzag(f[9]), lon0), degrees(zigzag(f[8]), lat0)))
+                single.append((zigzag(f[1]), zigzag(f[9]), zigzag(f[8])))
             elif n == 2:
                 f = dict(fields(v))
-                for i, lat, lon in zip(running(packed(f[1])), running(packed(f[8])), running(packed(f[9])), strict=True):
-                    nodes.append((i, degrees(lon, lon0), degrees(lat, lat0)))
+                nodes.append(np.stack([running(f[k]) for k in (1, 9, 8)]))
             elif n == 3:
                 f = dict(fields(v))
                 tags: dict[str, str] = {}
-                for a, b in zip(packed(f.get(2, b"")), packed(f.get(3, b"")), strict=True):
+                for a, b in zip(packed(f.get(2, b"")).tolist(), packed(f.get(3, b"")).tolist(), strict=True):
                     tags.setdefault(strings[a], strings[b])
-                ways.append((f[1] - (1 << 64) if f[1] >> 63 else f[1], tags, running(packed(f.get(8, b"")))))
-    return nodes, ways
+                ways.append((f[1] - (1 << 64) if f[1] >> 63 else f[1], tags, running(f.get(8, b""))))
+    ids, lon, lat = np.concatenate([np.array(single, np.int64).reshape(-1, 3).T, *nodes], axis=1)
+    return (ids, 1e-9 * (lon0 + grain * lon), 1e-9 * (lat0 + grain * lat)), ways
 
 
 def _scan(want_ways: bool):
@@ -143,10 +151,11 @@ def _scan(want_ways: bool):
                 if want_ways:
                     ids, tags, refs = zip(*ways, strict=True) if ways else ((), (), ())
                     order = [(block << 24) | i for i in range(len(ids))]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(order, pa.int64()), pa.array([list(t.items()) for t in tags], pa.map_(pa.string(), pa.string())), pa.array(refs, pa.list_(pa.int64()))], names=list("abcd"))
+                    ends = np.cumsum([0, *map(len, refs)])
+                    refs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *refs])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(order, pa.int64()), pa.array([list(t.items()) for t in tags], pa.map_(pa.string(), pa.string())), refs], names=list("abcd"))
                 else:
-                    ids, lon, lat = zip(*nodes, strict=True) if nodes else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lon, pa.float64()), pa.array(lat, pa.float64())], names=list("abc"))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in nodes], names=list("abc"))
 
     return run
 
