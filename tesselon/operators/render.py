@@ -76,6 +76,17 @@ def _cross(a: list[float], b: list[float]) -> list[float]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
+def tile_deltas(anchored: DataFrame, camera: Camera, upm: str = "upm") -> DataFrame:
+    """Tiles (ax, ay, az in units) with their anchors relative to the camera, each as two floats.
+
+    What is drawn adds offsets to the high parts; the low parts keep what single precision would lose.
+    """
+    out = {}
+    for a, p in zip("xyz", camera.position(), strict=True):
+        out[f"high_{a}"], out[f"low_{a}"] = fixed.split_high_low(fixed.dequantise(F.col(f"a{a}"), F.col(upm)) - F.lit(p))
+    return anchored.withColumns(out)
+
+
 def fragments(points: DataFrame, camera: Camera, width: int, height: int) -> DataFrame:
     """Points (ex, ey, ez, label) with their pixel and depth; those behind the camera or off screen go."""
     p, m = camera.position(), camera.matrix(width / height)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tesselon.functions import classify, fixed, geo, names
-from tesselon.operators import cloud, raster, render, spatial, tiles as tiling
+from tesselon.operators import cloud, progress, raster, render, spatial, tiles as tiling
+from tesselon.plans import convert, load, samples
 from tesselon.plans.fixtures import ctes, view
-from tesselon.sources import codec, features, files, obj, sinks
+from tesselon.sources import codec, features, files, obj, pbf, sinks
 
 GRID = 64
 #: A conversion's own grid.
@@ -338,8 +339,6 @@ v AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 4e6 ELSE 1e0 END*CAST(f[2]
 SELECT file_id, CASE WHEN avg(CASE WHEN abs(x) <= 180 AND abs(y) <= 90 THEN 1e0 ELSE 0e0 END) >= 9e-1 THEN 'geodetic' WHEN avg(sqrt(x*x + y*y + z*z)) BETWEEN 62e5 AND 65e5 THEN 'ecef' ELSE 'local_m' END AS cs FROM v WHERE k <= 4096 GROUP BY file_id"""
 )
 def detect_input_cs(spark, d):
-    from pyspark.sql import Window
-
     v = obj.vertices(view(spark, d, "obj_lines")).withColumn("vid", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no")) - 1)
     v = v.withColumns({"x": F.col("x") * F.when(F.col("file_id") % 3 == 0, 4e6).otherwise(1.0), "y": F.col("y") * F.when(F.col("file_id") % 3 == 1, 100.0).otherwise(1.0)})
     return tiling.detect_system(v)
@@ -583,6 +582,126 @@ def tile_codec_roundtrip(spark, d):
     return flat.join(back.select("name", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]), "name")
 
 
+@query(f"WITH {ctes('tiles')} SELECT prefix, {', '.join(f'CAST(round({c}*1e7) AS INTEGER) AS {c}' for c in ('lon_min', 'lat_min', 'lon_max', 'lat_max'))} FROM tiles")
+def feature_index(spark, d):
+    """The index of the tiles' boxes, written as one feature collection and scanned."""
+    folder = files.fresh_folder(spark, "index")
+    samples.write_index(view(spark, d, "tiles"), folder)
+    return features.read_index(spark, folder).select("prefix", *[fixed.q7(F.col(c)).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")])
+
+
+def _mesh_lines(spark, d) -> DataFrame:
+    name = F.concat(F.lit("mesh_"), "file_id", F.when(F.col("file_id") % 2 == 0, ".zip").otherwise(".obj"))
+    return view(spark, d, "obj_lines").select(name.alias("file"), "line_no", "line")
+
+
+@query(
+    f"""WITH {ctes('obj_lines')}, p AS (SELECT line_no, file_id, regexp_split_to_array(trim(line), '\\s+') AS f FROM obj_lines WHERE starts_with(trim(line), 'v ')),
+v AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS vid FROM p WHERE isfinite(CAST(f[2] AS DOUBLE)))
+SELECT concat('mesh_', CAST(file_id AS VARCHAR)) AS stem, vid, {', '.join(f"{big(f'CAST(f[{i}] AS DOUBLE)*1e3')} AS {c}_m" for i, c in ((2, 'x'), (3, 'y'), (4, 'z')))} FROM v"""
+)
+def mesh_files(spark, d):
+    """Meshes as text and in archives, found in their folder and scanned."""
+    folder = files.fresh_folder(spark, "meshes")
+    samples.write_meshes(_mesh_lines(spark, d), folder)
+    return obj.read_vertices(spark, folder).select(names.stem(F.col("path")).alias("stem"), "vid", *[scaled(F.col(c)).alias(f"{c}_m") for c in "xyz"])
+
+
+_TAGS = ("building", "highway", "lanes", "width", "natural_tag", "waterway", "landuse", "leisure", "railway", "amenity")
+
+
+def _written_map(spark, d) -> str:
+    folder = files.fresh_folder(spark, "map")
+    tags = F.map_filter(F.create_map(*[x for t in _TAGS for x in (F.lit(t.removesuffix("_tag")), F.col(t))]), lambda k, v: v.isNotNull())
+    refs = view(spark, d, "way_refs").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("r"))
+    ways = view(spark, d, "osm_ways").select("way_id", tags.alias("tags")).join(refs, "way_id", "left")
+    samples.write_map(view(spark, d, "osm_nodes"), ways.select("way_id", "tags", F.coalesce("r.node_id", F.array().cast("array<long>")).alias("refs")), folder)
+    return folder
+
+
+@query(f"WITH {ctes('osm_nodes')} SELECT node_id, {big('lon*1e7')} AS lon_q7, {big('lat*1e7')} AS lat_q7 FROM osm_nodes")
+def map_nodes(spark, d):
+    """Nodes of a map extract, decoded from its blocks."""
+    return pbf.read_nodes(spark, _written_map(spark, d)).select("node_id", scaled(F.col("lon"), 1e7).alias("lon_q7"), scaled(F.col("lat"), 1e7).alias("lat_q7"))
+
+
+@query(
+    f"""WITH {ctes('osm_ways', 'way_refs')}, r AS (SELECT way_id, count(*) AS refs, CAST(sum(k*node_id) AS BIGINT) AS check_sum FROM (SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY seq) AS k FROM way_refs) GROUP BY 1)
+SELECT way_id, row_number() OVER (ORDER BY way_id) AS place, CAST({' + '.join(f'CASE WHEN {t} IS NULL THEN 0 ELSE 1 END' for t in _TAGS)} AS INTEGER) AS tags, building, highway, width, coalesce(refs, 0) AS refs, coalesce(check_sum, 0) AS check_sum FROM osm_ways LEFT JOIN r USING (way_id)"""
+)
+def map_ways(spark, d):
+    """Ways of a map extract with tags and references; ``place`` is their order in the files."""
+    ways = pbf.read_ways(spark, _written_map(spark, d))
+    before = ways.groupBy(F.shiftright("seq", 24).alias("block")).agg(F.count("*").alias("n"))
+    before = before.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # a row for each block
+    total = F.aggregate(F.transform("refs", lambda r, i: r * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    tag = [F.try_element_at("tags", F.lit(t)).alias(t) for t in ("building", "highway", "width")]
+    place = F.col("before") + F.col("seq").bitwiseAND((1 << 24) - 1) + 1
+    return ways.join(before, F.shiftright("seq", 24) == F.col("block")).select("way_id", place.alias("place"), F.size("tags").alias("tags"), *tag, F.size("refs").cast("long").alias("refs"), total.alias("check_sum"))
+
+
+_PLACES = "(l_partkey*7919) % 65536 AS qx, (l_suppkey*104729) % 65536 AS qy, (l_linenumber*9973 + l_orderkey) % 65536 AS qz"
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey % 25 AS tile_id, {_PLACES} FROM lineitem)
+SELECT concat('old_', CAST(tile_id AS VARCHAR)) AS name, count(*) AS n, CAST(sum({big('(tile_id*1e1 + qx*(1e2/65535e0))*1e3')}) AS BIGINT) AS sum_x, CAST(sum({big('(tile_id*2e1 + 5e-1 + qy*(5e1/65535e0))*1e3')}) AS BIGINT) AS sum_y, CAST(sum({big('(-tile_id*1e0 + qz*(25e0/65535e0))*1e3')}) AS BIGINT) AS sum_z FROM p GROUP BY tile_id"""
+)
+def old_layout(spark, d):
+    """Files in the older layout, written and scanned."""
+    rows = spark.sql(f"SELECT l_orderkey % 25 AS t, {_PLACES} FROM {{lineitem}}", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    t = F.col("t").cast("double")
+    low = F.array(t * 10, t * 20 + 0.5, -t)
+    high = F.array(t * 10 + 100, t * 20 + 50.5, 25 - t)
+    made = rows.groupBy("t").agg(F.collect_list(F.struct("qx", "qy", "qz")).alias("q")).select(F.concat(F.lit("old_"), "t", F.lit(".bin")).alias("file"), low.alias("low"), high.alias("high"), "q")
+    folder = files.fresh_folder(spark, "old")
+    samples.write_old_tiles(made, folder)
+    points = codec.read_old(spark, folder).select(names.stem(F.col("path")).alias("name"), F.explode("points").alias("p")).select("name", "p.*")
+    return points.groupBy("name").agg(F.count("*").alias("n"), *[F.sum(scaled(F.col(c))).alias(f"sum_{c}") for c in "xyz"])
+
+
+@query(
+    f"""WITH {ctes('obj_lines')}, p AS (SELECT file_id, regexp_split_to_array(trim(line), '\\s+') AS f FROM obj_lines WHERE starts_with(trim(line), 'v '))
+SELECT concat('mesh_', CAST(file_id AS VARCHAR)) AS name, count(*) AS n, 1000 AS upm, {', '.join(f"CAST(sum({big(f'CAST(f[{i}] AS DOUBLE)*1e3')}) AS BIGINT) AS sum_{c}" for i, c in ((2, 'x'), (3, 'y'), (4, 'z')))}, false AS has_extent, false AS has_mask FROM p WHERE isfinite(CAST(f[2] AS DOUBLE)) GROUP BY file_id"""
+)
+def conversion_forced_system(spark, d):
+    """A conversion of every mesh in a folder, without index or map, whose system is given, not detected."""
+    folder = files.fresh_folder(spark, "forced")
+    samples.write_meshes(_mesh_lines(spark, d), f"{folder}/in")
+    convert.convert(spark, f"{folder}/in", f"{folder}/out", options=convert.Options(system="ecef")).write.format("noop").mode("overwrite").save()
+    back = codec.read_tiles(spark, f"{folder}/out", strict=True).withColumn("name", names.stem(F.col("path")))
+    sums = codec.points_of(back, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("units_per_metre").cast("int").alias("upm"), *[F.sum(F.col(f"a{c}") + F.col(f"d{c}")).alias(f"sum_{c}") for c in "xyz"])
+    return sums.join(back.select("name", F.col("extent").isNotNull().alias("has_extent"), F.col("mask").isNotNull().alias("has_mask")), "name")
+
+
+@query(
+    f"""WITH {_MASK}, {ctes('points')}, {_TILED}, q AS (SELECT tile_id, round(ex*1e3)/1e3 AS qx, round(ey*1e3)/1e3 AS qy, round(ez*1e3)/1e3 AS qz FROM tiled),
+gq AS (SELECT * FROM {geodetic_sql('q', 'qx', 'qy', 'qz')}), bx AS (SELECT tile_id, {_BOXQ} FROM tiles JOIN withov USING (tile_id)),
+ix AS (SELECT gq.tile_id, CAST(round(greatest(least((glon - lon_min)/(lon_max - lon_min + 1e-12), 1e0), 0e0)*{GRID - 1}e0) AS INTEGER) AS x, CAST(round(greatest(least((glat - lat_min)/(lat_max - lat_min + 1e-12), 1e0), 0e0)*{GRID - 1}e0) AS INTEGER) AS y FROM gq LEFT JOIN bx USING (tile_id))
+SELECT concat('tile_', CAST(tile_id AS VARCHAR)) AS name, CAST(coalesce(p.class, 0) AS INTEGER) AS label, count(*) AS n FROM ix LEFT JOIN painted p USING (tile_id, y, x) GROUP BY tile_id, 2"""
+)
+def conversion_labels(spark, d):
+    """Meshes, index and map converted to masked tiles, which are loaded and label their points."""
+    folder = files.fresh_folder(spark, "conversion")
+    tile = F.col("tile_id")
+    line = F.concat_ws(" ", F.lit("v"), "lon", "lat", "h_m")
+    lines = _tiled(spark, d).select(F.concat(F.lit("tile_"), tile, F.when(tile % 2 == 0, ".zip").otherwise(".obj")).alias("file"), F.col("l_orderkey").alias("line_no"), line.alias("line"))
+    samples.write_meshes(lines, f"{folder}/in")
+    samples.write_index(view(spark, d, "tiles"), f"{folder}/index")
+    made = convert.convert(spark, f"{folder}/in", f"{folder}/out", f"{folder}/index", _written_map(spark, d), convert.Options(grid=GRID))
+    made.write.format("noop").mode("overwrite").save()
+    points, _ = load.load(spark, f"{folder}/out")
+    return points.groupBy(names.stem(F.col("path")).alias("name"), "label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ctes('points')} SELECT 'points' AS step, count(*) AS items, {', '.join(f'{big(f"{f}({c})*1e3")} AS {f}_{c}' for c in ('ex', 'ey', 'ez', 'h_m') for f in ('min', 'max'))} FROM {ECEF.format(src='points')}")
+def value_ranges(spark, d):
+    """Rows and ranges of values, observed while the points are written elsewhere."""
+    step = progress.Progress("points")
+    step.watch(_points(spark, d), "ex", "ey", "ez", "h_m").write.format("noop").mode("overwrite").save()
+    return step.metrics(spark).select("step", "items", *[scaled(F.col(f"{f}_{c}")).alias(f"{f}_{c}") for c in ("ex", "ey", "ez", "h_m") for f in ("min", "max")])
+
+
 _THREE = f"""SELECT l_orderkey % 25 AS tile_id, {K}, CASE l_orderkey % 3 WHEN 0 THEN lon WHEN 1 THEN (l_partkey*7 % 1301)*1e0 ELSE 6371e3 + l_partkey % 997 END AS x,
   CASE l_orderkey % 3 WHEN 0 THEN lat WHEN 1 THEN (l_suppkey*13 % 1103)*1e0 ELSE l_suppkey*1e0 END AS y, CAST(h_m AS DOUBLE) AS z, l_orderkey % 3 AS kind FROM {{points}}"""
 
@@ -625,6 +744,48 @@ def extent_source(spark, d):
 _P, _M = CAMERA.position(), CAMERA.matrix(VIEWPORT[0] / VIEWPORT[1])
 
 
+_LENS = render.NEAR * render.FAR / (render.NEAR - render.FAR)
+_EYE = f"""cam AS (SELECT *, CASE step WHEN 1 THEN 6e3*pow(11e-1, -3e0) WHEN 2 THEN 1e1 WHEN 3 THEN 1e6 ELSE 6e3 END AS radius, CASE WHEN step = 4 THEN pi() - 40*5e-3 ELSE pi() END AS az,
+  CASE step WHEN 4 THEN pi()/6 + 25*5e-3 WHEN 5 THEN radians(89) WHEN 6 THEN radians(1) ELSE pi()/6 END AS el, radians(5251e-2) AS phi, radians(1339e-2) AS lam FROM (SELECT unnest(generate_series(0, 6)) AS step)),
+targ AS (SELECT *, {num(geo.A)}/sqrt(1 - {num(geo.E2)}*sin(phi)*sin(phi)) AS nn FROM cam),
+tgt AS (SELECT *, nn*cos(phi)*cos(lam) AS tx, nn*cos(phi)*sin(lam) AS ty, nn*(1 - {num(geo.E2)})*sin(phi) AS tz, radius*cos(el)*sin(az) AS oe, radius*cos(el)*cos(az) AS os, radius*sin(el) AS ou FROM targ),
+eye AS (SELECT step, tx, ty, tz, tx - sin(lam)*oe - sin(phi)*cos(lam)*os + cos(phi)*cos(lam)*ou AS px, ty + cos(lam)*oe - sin(phi)*sin(lam)*os + cos(phi)*sin(lam)*ou AS py, tz + cos(phi)*os + sin(phi)*ou AS pz FROM tgt),
+lookat AS (SELECT g.* EXCLUDE (phi), sqrt(pow(tx - px, 2) + pow(ty - py, 2) + pow(tz - pz, 2)) AS far, cos(phi)*cos(radians(glon)) AS ux, cos(phi)*sin(radians(glon)) AS uy, sin(phi) AS uz FROM {geodetic_sql('eye', 'px', 'py', 'pz')} g),
+fwd AS (SELECT *, (tx - px)/far AS fx, (ty - py)/far AS fy, (tz - pz)/far AS fz FROM lookat),
+sid AS (SELECT *, fy*uz - fz*uy AS ax, fz*ux - fx*uz AS ay, fx*uy - fy*ux AS az FROM fwd),
+side AS (SELECT *, ax/sqrt(ax*ax + ay*ay + az*az) AS sx, ay/sqrt(ax*ax + ay*ay + az*az) AS sy, az/sqrt(ax*ax + ay*ay + az*az) AS sz FROM sid)"""
+
+
+@query(
+    f"""WITH {_EYE}
+SELECT CAST(step AS BIGINT) AS step, {', '.join(f"{big(f'{c}*1e3')} AS {c}_mm" for c in ('px', 'py', 'pz'))},
+  {', '.join(f"{big(f'-s{c}/tan(radians(30))*{VIEWPORT[1]}e0/{VIEWPORT[0]}e0*1e6')} AS right_{c}" for c in 'xyz')},
+  {', '.join(f"{big(f'-({e})/tan(radians(30))*1e6')} AS up_{c}" for c, e in (('x', 'sy*fz - sz*fy'), ('y', 'sz*fx - sx*fz'), ('z', 'sx*fy - sy*fx')))},
+  {', '.join(f"{big(f'5e-1*(1e0 - {num(render.FAR)}/({num(render.NEAR)} - {num(render.FAR)}))*f{c}*1e6')} AS depth_{c}" for c in 'xyz')}, {big(f'5e-1*{num(_LENS)}*1e6')} AS depth_w,
+  {', '.join(f"{big(f'f{c}*1e6')} AS ahead_{c}" for c in 'xyz')} FROM side"""
+)
+def camera_frames(spark, d):
+    """Where the camera stands and its clip matrix: at first, zoomed, at both limits, and dragged."""
+    steps = [CAMERA, CAMERA.zoomed(3), CAMERA.zoomed(1000), CAMERA.zoomed(-1000), CAMERA.dragged(40, 25), CAMERA.dragged(0, 1e6), CAMERA.dragged(0, -1e6)]
+    rows = []
+    for k, c in enumerate(steps):
+        m = c.matrix(VIEWPORT[0] / VIEWPORT[1])
+        rows.append((k, *c.position(), *m[0][:3], *m[1][:3], *m[2], *m[3][:3]))
+    axes = [f"{n}_{c}" for n in ("right", "up", "depth", "ahead") for c in ("xyzw" if n == "depth" else "xyz")]
+    found = spark.createDataFrame(rows, ["step", "px", "py", "pz", *axes])
+    return found.select("step", *[scaled(F.col(c)).alias(f"{c}_mm") for c in ("px", "py", "pz")], *[scaled(F.col(c), 1e6).alias(c) for c in axes])
+
+
+@query(
+    f"""WITH {_BOXED}, {anchored_sql(1000)}, m AS (SELECT tile_id, {', '.join(f'a{c}/CAST(upm AS DOUBLE) - p{c} AS v{c}' for c in 'xyz')} FROM anch, (SELECT {', '.join(f'{num(v)} AS p{c}' for c, v in zip('xyz', _P, strict=True))}))
+SELECT tile_id, {', '.join(f"{big(f'CAST(CAST(v{c} AS FLOAT) AS DOUBLE)*1e6')} AS high_{c}, {big(f'CAST(CAST(v{c} - CAST(CAST(v{c} AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE)*1e9')} AS low_{c}" for c in 'xyz')} FROM m"""
+)
+def tile_deltas(spark, d):
+    """Anchors relative to the camera as pairs of floats."""
+    found = render.tile_deltas(_anchored(spark, d)[0], CAMERA)
+    return found.select("tile_id", *[scaled(F.col(f"{n}_{c}").cast("double"), by).alias(f"{n}_{c}") for c in "xyz" for n, by in (("high", 1e6), ("low", 1e9))])
+
+
 def _clip(i: int) -> str:
     return f"(ex - {num(_P[0])})*{num(_M[i][0])} + (ey - {num(_P[1])})*{num(_M[i][1])} + (ez - {num(_P[2])})*{num(_M[i][2])} + {num(_M[i][3])}"
 
