@@ -48,17 +48,17 @@ def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options) -
     # nodes outside all boxes together cannot be kept: one row of bounds sifts them before the join
     bounds = padded.agg(*[f(c).alias(c) for c, f in (("lon_min", F.min), ("lat_min", F.min), ("lon_max", F.max), ("lat_max", F.max))]).first()
     within = F.col("lon").between(bounds.lon_min, bounds.lon_max) & F.col("lat").between(bounds.lat_min, bounds.lat_max)
-    kept = spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded)
+    kept = files.stored(spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded), "nodes")
     ways = pbf.read_ways(spark, osm)
     kind = classify.way_class(lambda k: F.try_element_at("tags", F.lit(k)))
     # and ways of no class need no vertices
-    classed = ways.withColumn("c", kind).filter("c is not null")
+    classed = files.stored(ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "refs", "c"), "ways")
     kinds = classed.select("way_id", "seq", "c.*")
     refs = classed.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
     geometry = spatial.resolve_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
     placed = geometry.join(spatial.way_tiles(refs, kept), "way_id")
     # paint order is file order
-    return placed.select("tile_id", F.col("seq").alias("way_id"), "class", "width_m", "is_area", "verts")
+    return files.stored(placed.select("tile_id", F.col("seq").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
 
 
 def convert(spark: SparkSession, folder: str, output: str, index: str | None = None, osm: str | None = None, options: Options | None = None) -> DataFrame:
@@ -70,15 +70,14 @@ def convert(spark: SparkSession, folder: str, output: str, index: str | None = N
     o = options or Options()
     work = plan_work(spark, folder, index, o)
     # written, as what is left to do must not change while tiles appear
-    plan = files.fresh_folder(spark, "work")
-    (work if o.overwrite else sinks.skip_existing(work, output)).write.parquet(plan)
-    work = spark.read.schema(work.schema).parquet(plan)
+    work = files.stored(work if o.overwrite else sinks.skip_existing(work, output), "work")
     if work.isEmpty():
         return spark.createDataFrame([], "prefix string, file string, bytes long")
-    vertices = obj.read_vertices(spark, work).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z")
+    # written, so that what needs all vertices of a tile before the next step does not parse files again
+    vertices = files.stored(obj.read_vertices(spark, work).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z"), "vertices")
     systems = vertices.select("prefix").distinct().withColumn("cs", F.lit(o.system)) if o.system else tiling.detect_system(vertices, "prefix")
     boxes = work.select("prefix", "lon_min", "lat_min", "lon_max", "lat_max")
-    points = tiling.to_ecef(vertices, systems, boxes, "prefix")
+    points = files.stored(tiling.to_ecef(vertices, systems, boxes, "prefix"), "points")
     anchored = tiling.anchors(points, "prefix", o.units_per_metre)
     offs = tiling.offsets(points, anchored, "prefix")
     rows = offs.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "dx", "dy", "dz"))), lambda p: F.struct(p.dx.alias("dx"), p.dy.alias("dy"), p.dz.alias("dz"), F.lit(None).cast("smallint").alias("label"))).alias("points"))

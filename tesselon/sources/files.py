@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -28,6 +28,14 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` written as Parquet in a fresh shared folder and read again: computed once, and kept when
+    executors go."""
+    folder = fresh_folder(rows.sparkSession, kind)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
     """Write under a temporary name, then move: a reader never sees half a file."""
     folder, _, name = path.rpartition("/")
