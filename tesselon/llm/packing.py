@@ -16,7 +16,9 @@ the same rows.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -38,14 +40,12 @@ BLOCK = 384
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _by_rank(path: str):
+def _by_rank(model: dict):
     """The same vocabulary for the library that merges by rank, which is faster for single pieces.
 
     None unless every merge makes the id that follows its predecessor's: then ids are ranks and both
     libraries merge alike.
     """
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
     vocab = model["vocab"]
     made = [vocab["".join(p) if isinstance(p, list) else p.replace(" ", "")] for p in model["merges"]]
     if made != list(range(256, 256 + len(made))) or sorted(vocab.values()) != list(range(256 + len(made))):
@@ -56,17 +56,26 @@ def _by_rank(path: str):
 
 
 class ByteEncoder:
-    """Ids of whole texts by a byte-level vocabulary; each distinct piece is encoded once."""
+    """Ids of whole texts by a byte-level vocabulary; each distinct piece is encoded once.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The vocabulary is held once: the library that reads its file is loaded only for what needs it.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.ranks = _by_rank(path)
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.special = [x["content"] for x in data["added_tokens"]]
+        self.ranks = _by_rank(data["model"])
         self.memo = pieces.Memo(self._learn, self._forget)
         self._forget()
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
@@ -77,8 +86,8 @@ class ByteEncoder:
             got = [self.ranks.encode_ordinary(w) for w in words]
         else:
             got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.fromiter((i for x in got for i in x), np.uint32)
-        count = np.array([len(x) for x in got], np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32)
+        count = np.fromiter(map(len, got), np.int64, len(got))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(words) + 1 > len(self.at):
@@ -93,7 +102,7 @@ class ByteEncoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in pieces.chunks(texts):
             own = [texts[i] for i in part]
-            odd = {k for k, t in enumerate(own) if any(s in t for s, _ in self.special)}
+            odd = {k for k, t in enumerate(own) if any(s in t for s in self.special)}
             codes, begin = self.memo.codes(["" if k in odd else t for k, t in enumerate(own)], spaces=True)
             first = self.at[codes]
             size = self.at[codes + 1] - first
