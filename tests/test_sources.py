@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 
+from tesselon.operators import progress
 from tesselon.plans import convert, load
 from tesselon.sources import codec, features, obj, pbf, sinks
 from tesselon.streaming import ingest
@@ -180,3 +181,26 @@ def test_conversion_and_loading(spark, tmp_path):
     assert points.count() == 130 and load.stats(summary).first().points == 130
     labels = {r.label: r["count"] for r in points.groupBy("label").count().collect()}
     assert labels.get(1, 0) > 0 and labels.get(2, 0) > 0
+
+
+@given(st.lists(st.integers(0, (1 << 63) - 1), max_size=40))
+def test_packed_fields(values):
+    data = b"".join(varint(v) for v in values)
+    assert pbf.packed(data).tolist() == values
+    if values and values[-1] > 127:
+        with pytest.raises(ValueError, match="ends within"):
+            pbf.packed(data[:-1])
+
+
+@given(st.lists(st.integers(-(1 << 40), 1 << 40), max_size=40))
+def test_running_fields(values):
+    assert pbf.running(deltas(values)).tolist() == values
+
+
+def test_progress_of_empty_and_repeated_rows(spark):
+    for values, want in (([], ("step", 0, None, None)), ([2.0, -1.0, 2.0, None], ("step", 4, -1.0, 2.0))):
+        step = progress.Progress("step")
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        step.watch(rows, "x").write.format("noop").mode("overwrite").save()
+        assert tuple(step.metrics(spark).first()) == want
+        assert step.report()["items"] == len(values)
