@@ -358,7 +358,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         members = scratch.written(sets.dropDuplicates(["cid"]).join(prefixes, "cid"), "members")
 
         first = scratch.written(_confirmed(_beside(lists), members, similar), "first")
-        joined = components(first)
+        joined = components(first, scratch=scratch)
         blocks = scratch.written(_blocks(lists, joined, members), "blocks")
         light = blocks.join(members.select("cid", "pairs", "prefix"), "cid").groupBy("pair", "i", "j").agg(F.collect_list(F.struct("cid", "component", "n", "pairs", "prefix")).alias("members"))
         needed = light.mapInArrow(by_slices(_needed(similar), 64), "pair long, i long, j long, cid long")
@@ -369,7 +369,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         several = usable.groupBy("doc").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc")
         of = usable.join(several, "doc").select("doc", "set_key").distinct().join(classes.select("set_key", "cid"), "set_key").select("doc", "cid")
         tied = of.join(of.groupBy("doc").agg(F.min("cid").alias("b")), "doc").filter("cid <> b").select(F.col("cid").alias("a"), "b")
-        found = components(first.unionByName(second).unionByName(tied))
+        found = components(first.unionByName(second).unionByName(tied), scratch=scratch)
 
         grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "doc", F.coalesce("component", "cid").alias("grp"))
         smallest = grouped.groupBy("grp").agg(F.min("doc").alias("smallest"))
