@@ -59,13 +59,14 @@ class ByteEncoder:
     """Ids of whole texts by a byte-level vocabulary; each distinct piece is encoded once.
 
     The vocabulary is held once: the library that reads its file is loaded only for what needs it.
+    Without ``special``, the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         self.path = path
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        self.special = [x["content"] for x in data["added_tokens"]]
+        self.special = [x["content"] for x in data["added_tokens"]] if special else []
         self.ranks = _by_rank(data["model"])
         self.memo = pieces.Memo(self._learn, self._forget)
         self._forget()
@@ -83,7 +84,8 @@ class ByteEncoder:
 
     def _learn(self, words: list[str]) -> range:
         if self.ranks is not None:
-            got = [self.ranks.encode_ordinary(w) for w in words]
+            # pieces are not split again: the library's pattern cannot take a million blanks
+            got = [self.ranks._encode_single_piece(w) for w in words]
         else:
             got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32)

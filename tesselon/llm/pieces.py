@@ -167,10 +167,13 @@ class Memo:
 
     It holds at most ``limit`` pieces, and pieces of ``characters`` before the last batch, and then
     starts anew, which costs time but changes no result.
+
+    ``cut`` gives the pieces (code points and texts' offsets in, first and end out) where they are not
+    those of ``borders``.
     """
 
-    def __init__(self, learn, forget, limit: int = 150_000, characters: int = 1 << 24):
-        self.learn, self.forget, self.limit, self.characters = learn, forget, limit, characters
+    def __init__(self, learn, forget, limit: int = 150_000, characters: int = 1 << 24, cut=None):
+        self.learn, self.forget, self.limit, self.characters, self.cut = learn, forget, limit, characters, cut
         self.clear()
 
     def clear(self) -> None:
@@ -180,7 +183,7 @@ class Memo:
     def codes(self, texts: list[str], spaces: bool) -> tuple[np.ndarray, np.ndarray]:
         """A number for each piece, and where each text's pieces begin (one more at the end)."""
         cp, offsets = code_points(texts)
-        first, end = borders(cp, offsets, spaces)
+        first, end = self.cut(cp, offsets) if self.cut else borders(cp, offsets, spaces)
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         code, words = distinct(cp, first, end)

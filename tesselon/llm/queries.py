@@ -90,6 +90,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselon.llm import align
+
+    return align.summary(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_chat": op2_chat,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_word_bpe": op9_word_bpe,
     "op10_pii": op10_pii,
     "op11_simhash": op11_simhash,
+    "op12_align": op12_align,
 }
 
 #: Queries that SQL can express.
