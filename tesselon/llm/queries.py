@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat, store
+from tesselon.llm import chat, store, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.summary(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_chat": op2_chat,
@@ -109,11 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_simhash": op11_simhash,
     "op12_align": op12_align,
+    "op13_trie": op13_trie,
 }
 
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_chat": chat.SQL,
+    "op13_trie": trie.SQL,
     "op5_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
