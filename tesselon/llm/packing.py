@@ -101,16 +101,20 @@ class ByteEncoder:
         self.used += len(ids)
         return range(first, self.n)
 
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one more at the end)."""
+        codes, begin = self.memo.codes(texts, spaces=True)
+        first = self.at[codes]
+        size = self.at[codes + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends[begin]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in pieces.chunks(texts):
             own = [texts[i] for i in part]
             odd = {k for k, t in enumerate(own) if any(s in t for s in self.special)}
-            codes, begin = self.memo.codes(["" if k in odd else t for k, t in enumerate(own)], spaces=True)
-            first = self.at[codes]
-            size = self.at[codes + 1] - first
-            ends = np.concatenate([[0], np.cumsum(size)])
-            ids = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-            cuts = ends[begin].tolist()
+            ids, cuts = self.joined(["" if k in odd else t for k, t in enumerate(own)])
+            cuts = cuts.tolist()
             for k, t in enumerate(own):
                 if k in odd:  # holds a special token: the library's own path
                     yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)

@@ -77,8 +77,8 @@ def test_edges(spark):
     assert trie.prefixes(table(spark, [(None, 0, "a", "b")])).count() == 0
     one = [(c, 0, None, None) for c in range(20, 30)]
     assert sorted(map(tuple, trie.prefixes(table(spark, one)).collect()), key=str) == brute(one)
-    long = [(40, t, "u", "word " * (t % 5)) for t in range(3000)] + [(60, 0, "u", "x" * 1_000_000)]
-    assert sorted(map(tuple, trie.prefixes(table(spark, long), depth=512).collect()), key=str) == brute(long)
+    long = [(40, t, "u", "word " * (t % 5)) for t in range(260)] + [(60, 0, "u", "x" * 1_000_000)]
+    assert sorted(map(tuple, trie.prefixes(table(spark, long), depth=64).collect()), key=str) == brute(long)
 
 
 def test_tree_is_balanced():
