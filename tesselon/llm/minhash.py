@@ -324,17 +324,18 @@ def _blocks(lists: DataFrame, joined: DataFrame, members: DataFrame) -> DataFram
     return blocks.select("pair", "block.i", "block.j", "cid", "component", "n")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: int = 80) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
     ``similar`` is the least similarity in percent.  The component is its smallest key.  A null or
     wordless text has no shingles and is linked with nothing; equal texts, repeated rows and texts with
     the same key share a component.  Rows with a null key get a null component and are not kept.
     Texts of any length are taken whole.  ``key`` must be a whole number; other columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows.  The result is written, and goes with the caller's ``scratch`` where one is given.
     """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    keep = scratch
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.written(rows.mapInArrow(by_slices(_sign(width)), schema), "signed")
         usable = signed.filter("set_key is not null and doc is not null")
@@ -376,4 +377,4 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         named = scratch.written(grouped.join(smallest, "grp").select("set_key", "smallest"), "named")
         component = F.when(F.col("doc").isNotNull(), F.coalesce("smallest", "doc"))
         out = signed.join(named, "set_key", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
-        return written(out, "near")
+        return keep.written(out, "near") if keep else written(out, "near")

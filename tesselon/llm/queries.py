@@ -37,9 +37,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselon.llm import wordbpe
 
-    docs = table(spark, sf_dir, "documents")
-    vocabulary = tokenizer_file("word_bpe_49k.json")
-    return wordbpe.encode(docs, vocabulary, wordbpe.build_lexicon(docs, vocabulary), digests=True)
+    return wordbpe.encode_all(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests=True)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

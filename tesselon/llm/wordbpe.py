@@ -13,6 +13,7 @@ processed whole.  A null or empty text has no ids and decodes to the empty strin
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -21,7 +22,7 @@ import re
 import struct
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -229,9 +230,29 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+@functools.cache
+def _newer() -> tuple[re.Pattern, Callable[[str], str]]:
+    """What finds characters that Python's tables do not know, and the library's own NFC and lower case."""
+    from tokenizers import normalizers
+
+    unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]]))).reshape(-1, 2)
+    found = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ends.tolist()) + "]")
+    return found, normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
 def normalised(text: str) -> str:
-    """NFC, then lower case character by character (no context rule for the final sigma)."""
-    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+    """NFC, then lower case character by character (no context rule for the final sigma).
+
+    What was assigned keeps its forms in later versions of Unicode, so only a text with a character that
+    Python does not know needs the library's tables, which may be newer.
+    """
+    if text.isascii():
+        return text.lower()
+    newer, normalise = _newer()
+    if newer.search(text):
+        return normalise(text)
+    if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     if "Σ" in text:
         text = text.replace("Σ", "σ")
@@ -382,7 +403,8 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, key: str = "do
     """(key, n_tokens, ids, decoded) of every row; with ``digests`` the SHA-256 of both instead.
 
     Any columns other than ``key`` and ``text`` are ignored, so clashing names do no harm; repeated
-    keys give repeated rows; an empty table gives an empty one.
+    keys give repeated rows; an empty table gives an empty one.  Texts of any length are taken whole, and a
+    word of n bytes is merged in time n log n.  Of pairs of the same rank the leftmost is merged first.
     """
     key_type = docs.schema[key].dataType
 
@@ -402,6 +424,15 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, key: str = "do
     return docs.select(F.col(key), F.col(text)).mapInArrow(by_slices(run), schema)
 
 
+def encode_all(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """:func:`encode` with a lexicon of the texts' own frequent words, which goes when the rows are written."""
+    lexicon = build_lexicon(docs, vocabulary, text=text)
+    try:
+        return store.written(encode(docs, vocabulary, lexicon, key, text, digests), "encoded")
+    finally:
+        store.delete(docs.sparkSession, f"{store.shared_root(docs.sparkSession)}/{lexicon}")
+
+
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the tokens of the id bytes, joined by blanks (null ids: null)."""
 

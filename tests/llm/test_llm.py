@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tesselon.llm import chat, graph, htmltext, langid, media, minhash, packing, pieces, pii, queries, store, topk, warc, wordbpe
 
@@ -584,6 +585,38 @@ def test_word_bpe(spark, docs, texts):
     assert wordbpe.encode(d.limit(0), path, None).count() == 0
 
 
+def test_every_code_point_is_lowered_as_the_library_does():
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    e = wordbpe.Encoder(queries.tokenizer_file("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}b"):
+        texts = [form.format(c) for c in points]
+        for at in range(0, len(texts), 50_000):
+            part = texts[at : at + 50_000]
+            want = tokenizer.encode_batch(part, add_special_tokens=False)
+            for t, (ids, _), w in zip(part, e.encode(part), want, strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == w.ids, ascii(t)
+    rng = random.Random(8)
+    odd = [c for c in points if wordbpe._newer()[0].match(c)]
+    marks = [chr(c) for c in (*range(0x300, 0x345), 0x1161, 0x11A8, 0x09BE, 0x110BA, 0x11127)]
+    texts = ["".join(rng.choice([rng.choice(odd), rng.choice(marks), rng.choice(points), "a", "É", "Σ", " "]) for _ in range(12)) for _ in range(3000)]
+    for t, (ids, _), w in zip(texts, e.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids, ascii(t)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000"])
+def test_long_white_space_is_packed(spark, blank):
+    n = 10_000_000
+    texts = [blank * (n // len(blank)), "a b" + blank * 1_500_000 + "c"]
+    began = time.time()
+    got = packing.pack(documents(spark, texts), queries.tokenizer_file("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(r.n == r.m for r in got) and time.time() - began < 120
+    own = packing.ByteEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    short = ["a b" + blank * 200_000 + "c", blank * 300_000]
+    want = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    assert [x.tolist() for x in own.encode(short)] == [want.encode(t, add_special_tokens=False).ids for t in short]
+
+
 def test_transducer(tmp_path):
     words = sorted({"", "a", "ab", "abc", "xbc", "bc", "日本", "Zebra", "zebra", *(f"w{i}ing" for i in range(300))})
     ids = [[i, i * 2] for i in range(len(words))]
@@ -730,6 +763,19 @@ def test_texts_under_one_id(spark):
     assert {r.component_id for r in rows if r.doc_id in (3, 5, 7, 8)} == {3} and len(rows) == len(data)
 
 
+def test_only_results_stay(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(store, "shared_root", lambda _: f"file://{tmp_path}")
+    for name in ("op6_minhash", "op9_word_bpe", "op11_simhash", "op12_align", "op13_trie"):
+        before = set(os.listdir(tmp_path))
+        queries.QUERIES[name](spark, SF).count()
+        assert len(set(os.listdir(tmp_path)) - before) == 1, name
+    before = set(os.listdir(tmp_path))
+    corpus_pipeline.run(spark, SF).count()
+    assert [x.split("-")[0] for x in set(os.listdir(tmp_path)) - before] == ["packing"]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
