@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesselon.functions import fixed, geo
 
 
+#: Keys that points without a pixel are spread over.
+NOWHERE = 4096
+
+
 def sample_pixel(value: Column, low: Column, high: Column, size: int | Column, mode: str = "clamp") -> Column:
     """The mask index of a coordinate; outside the extent the border (clamp) or null (zero)."""
     u = (value - low) / (high - low + 1e-12)
@@ -20,8 +24,11 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     """Points with ``label``: their own if the tile has labels, else the mask's class, else 0.
 
     ``points`` has key, ex, ey, ez and a nullable ``label``; ``extents`` has degree ticks for tiles with
-    a usable mask.  Points are read once: the tile's extent is joined to them, and only where there is
-    one and no label of their own do they get a pixel.  The lookup is an equi-join on tile and pixel.
+    a usable mask.  ``mask`` has painted pixels (key, y, x, class), or rows of runs (key, y, runs) as
+    ``raster.runs_by_row`` gives them.  Points are read once: the tile's extent is joined to them, and only
+    where there is one and no label of their own do they get a pixel.  The lookup is an equi-join on tile
+    and pixel, or on tile and row, in whose runs the last that begins at or before the pixel is taken.
+    Points without a pixel are spread over keys that no mask has.
     """
     rows = points.join(extents.withColumn("_masked", F.lit(True)), key, "left")
     wanted = F.col("label").isNull() & F.col("_masked")
@@ -29,9 +36,15 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     ends = [fixed.q7_degrees(F.col(c)) for c in ("lon_min_q7", "lon_max_q7", "lat_min_q7", "lat_max_q7")]
     # generated rows: else the join's null filters would each hold a copy of the geodesy
     rows = rows.select("*", F.explode(F.array(F.struct(lat.alias("lat"), lon.alias("lon")))).alias("_d"))
-    rows = rows.withColumns({"x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "y": sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode)})
-    looked = rows.join(mask.select(key, "y", "x", F.col("class").alias("_class")), [key, "y", "x"], "left")
-    return looked.withColumn("label", F.coalesce("label", F.when(wanted, F.col("_class")), F.lit(0))).select(points.columns)
+    nowhere = -1 - F.pmod(F.xxhash64("ex", "ey", "ez"), F.lit(NOWHERE)).cast("int")
+    rows = rows.withColumns({"_x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "_y": F.coalesce(sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode), nowhere)})
+    if "runs" in mask.columns:
+        looked = rows.join(mask.select(key, F.col("y").alias("_y"), F.col("runs").alias("_runs")), [key, "_y"], "left")
+        found = F.try_element_at(F.filter("_runs", lambda r: r["x"] <= F.col("_x")), F.lit(-1))["class"]
+    else:
+        rows = rows.withColumn("_x", F.coalesce("_x", nowhere))
+        looked, found = rows.join(mask.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("class").alias("_class")), [key, "_y", "_x"], "left"), F.col("_class")
+    return looked.withColumn("label", F.coalesce("label", F.when(wanted, found), F.lit(0))).select(points.columns)
 
 
 def dataset_stats(tiles: DataFrame) -> DataFrame:

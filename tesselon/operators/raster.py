@@ -52,9 +52,38 @@ def fill_areas(areas: DataFrame, grid: int) -> DataFrame:
     return bounded.select("tile_id", "way_id", "class", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
+def _capsule_row(grid: int) -> tuple[Column, Column]:
+    """First and last pixel of row ``y`` that may lie within ``radius`` of the segment x0, y0 to x1, y1.
+
+    The outline of all that is within the radius is two arcs and two parallels of the segment, and
+    convex, so its outermost crossings with the row bound one interval.  The radius is widened by more
+    than single precision can lose; the pixels at the ends are left to the exact test.
+    """
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    wide = F.col("radius").cast("double") * 1.001 + 0.01
+    row = F.col("y") + 0.5
+    dx, dy = x1 - x0, y1 - y0
+    length = F.sqrt(dx * dx + dy * dy)
+    lefts, rights = [], []
+    for x, y in ((x0, y0), (x1, y1)):
+        h = wide * wide - (row - y) * (row - y)
+        half = F.when(h >= 0, F.sqrt(h))
+        lefts.append(x - half)
+        rights.append(x + half)
+    for side in (-1.0, 1.0):
+        nx, ny = F.try_divide(-dy * wide * side, length), F.try_divide(dx * wide * side, length)
+        along = F.try_divide(row - (y0 + ny), dy)
+        crossing = F.when(along.between(0.0, 1.0), x0 + nx + along * dx)
+        lefts.append(crossing)
+        rights.append(crossing)
+    first, last = F.ceil(F.least(*lefts) - 0.5).cast("int"), F.floor(F.greatest(*rights) - 0.5).cast("int")
+    return F.greatest(first, F.lit(0)), F.least(last, F.lit(grid - 1))
+
+
 def buffer_lines(lines: DataFrame, grid: int, distinct: bool = True) -> DataFrame:
     """(tile_id, way_id, class, y, x) of pixels whose centre lies within the radius of a segment.
 
+    A segment lists, for each row, the pixels between the ends of its outline there, not its whole box.
     Pixels near several segments appear once; ``distinct`` False spares that shuffle, for painting.
     """
     r = F.col("radius")
@@ -66,7 +95,9 @@ def buffer_lines(lines: DataFrame, grid: int, distinct: bool = True) -> DataFram
         high = F.ceil(f32(F.greatest(c + "0", c + "1") + r)).cast("int")
         return tuple(F.greatest(F.least(v, F.lit(grid - 1)), F.lit(0)) for v in (low, high))
 
-    px = s.withColumn("y", F.explode(F.sequence(*bounds("y")))).withColumn("x", F.explode(F.sequence(*bounds("x"))))
+    rows = s.withColumn("y", F.explode(F.sequence(*bounds("y"))))
+    left, right = _capsule_row(grid)
+    px = rows.withColumns({"xl": left, "xr": right}).filter("xl <= xr").withColumn("x", F.explode(F.sequence("xl", "xr"))).drop("xl", "xr")
     x0, y0 = F.col("x0"), F.col("y0")
     dx, dy = F.col("x1") - x0, F.col("y1") - y0
     cx, cy = f32(F.col("x")) + f32(0.5), f32(F.col("y")) + f32(0.5)
@@ -136,6 +167,17 @@ def painted_runs(mask: DataFrame, tiles: DataFrame, grid: int, key: str = "tile_
     return cut.select(key, (F.col("first") + F.col("k") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("k") * most).cast("bigint").alias("len"), "class")
 
 
+def runs_by_row(runs: DataFrame, grid: int, key: str = "tile_id") -> DataFrame:
+    """(key, y, runs): for each row of a grid its runs as (x where it begins, class), in order.
+
+    ``runs`` are those of ``run_lengths``; a row has as many entries as classes change in it, and one.
+    """
+    last = F.col("start") + F.col("len") - 1
+    rows = runs.select(key, "start", "class", F.explode(F.sequence(F.expr(f"start div {grid}"), F.floor(last / grid))).alias("y"))
+    x = F.greatest(F.col("start") - F.col("y") * grid, F.lit(0))
+    return rows.groupBy(key, F.col("y").cast("int").alias("y")).agg(F.array_sort(F.collect_list(F.struct(x.cast("int").alias("x"), "class"))).alias("runs"))
+
+
 def expand_runs(runs: DataFrame, grid: int, key: str = "tile_id") -> DataFrame:
     """Pixels from runs in their order; a run's place is the sum of those before it."""
     before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions import classify, geo
+from tesselon.operators import ordered
 
 #: Boxes up to this count may be compared with every point.
 BROADCAST_TILES = 2000
@@ -101,29 +102,21 @@ def overlay(ways: DataFrame, refs: DataFrame, kept: DataFrame) -> DataFrame:
     return geometry.join(way_tiles(refs, kept), "way_id").select("tile_id", "way_id", "class", "width_m", "is_area", "verts")
 
 
-def first_of(rows: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
-    """The first row of each key as an aggregate, which combines before the shuffle."""
-    return rows.groupBy(key).agg(F.min(F.struct(*order, F.col(value))).alias("_m")).select(key, F.col(f"_m.{value}").alias(value))
-
-
 def resolve_prefixes(wanted: DataFrame, files: DataFrame, prefer_zip: bool = True) -> DataFrame:
     """(prefix, path, exact): the file of each prefix, null where none matches.
 
     An equal stem wins, a zip before others.  Else the smallest stem that begins with the prefix, and
-    of its files the first zip (with ``prefer_zip``) or the first; files count in path order.
+    of its files the first zip (with ``prefer_zip``) or the first; files count in path order.  A null prefix
+    has no file.
     """
     zip_last = F.when(F.lower("ext") == "zip", 0).otherwise(1)
-    exact = first_of(files.select("stem", "path", zip_last.alias("z")), "stem", [F.col("z")], "path").select(F.col("stem").alias("prefix"), F.col("path").alias("exact_path"))
-    order = [F.col("stem"), F.col("z"), F.col("path")] if prefer_zip else [F.col("stem"), F.col("path")]
-    # a prefix meets only stems that share its first letters, so the join has an equality to deal by
-    lead = 4
-    left = wanted.select("prefix").distinct()
-    some = files.select("stem", "path", (zip_last if prefer_zip else F.lit(0)).alias("z"))
-    long = left.filter(F.length("prefix") >= lead).join(some, (F.substring("prefix", 1, lead) == F.substring("stem", 1, lead)) & F.col("stem").startswith(F.col("prefix")))
-    short = None
-    for n in range(1, lead):
-        part = left.filter(F.length("prefix") == n).join(some.withColumn("_p", F.substring("stem", 1, n)), F.col("prefix") == F.col("_p")).drop("_p")
-        short = part if short is None else short.unionByName(part)
-    near = first_of(long.unionByName(short), "prefix", order[:-1], "path").withColumnRenamed("path", "near_path")
-    out = wanted.join(exact, "prefix", "left").join(near, "prefix", "left")
-    return out.withColumn("path", F.coalesce("exact_path", "near_path")).withColumn("exact", F.col("exact_path").isNotNull()).drop("exact_path", "near_path")
+    zip_first, path = F.struct(zip_last.alias("z"), F.col("path")), F.col("path")
+    # a row for each stem: its file where it is equal, and where it only begins with a prefix
+    stems = files.groupBy("stem").agg(F.min(zip_first)["path"].alias("equal"), (F.min(zip_first)["path"] if prefer_zip else F.min(path)).alias("other"))
+    stems = stems.select(F.col("stem").alias("prefix"), F.struct("equal", "other").alias("file"))
+    # what begins with a prefix stands right after it in order, so the first of it is the next stem, or there is none
+    found = ordered.next_in_order(wanted, stems, "prefix", "file")
+    equal = F.col("next") == F.col("prefix")
+    match = F.when(equal, F.col("file.equal")).when(F.col("next").startswith(F.col("prefix")), F.col("file.other"))
+    found = found.select("prefix", match.alias("path"), F.coalesce(equal, F.lit(False)).alias("exact"))
+    return wanted.join(found, "prefix", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))

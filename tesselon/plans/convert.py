@@ -41,44 +41,48 @@ def plan_work(spark: SparkSession, folder: str, index: str | None, options: Opti
     return work.withColumn("tile_id", F.col("prefix"))
 
 
-def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options) -> DataFrame:
+def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options, scratch: files.Scratch) -> DataFrame:
     """Features that touch each padded tile; every tile needs a box."""
     boxed = work.filter(F.coalesce("lon_min", F.raise_error(F.lit("a map overlay needs a box for every tile")).cast("double")).isNotNull())
     padded = spatial.pad_tiles(boxed, options.margin_m)
     # nodes outside all boxes together cannot be kept: one row of bounds sifts them before the join
     bounds = padded.agg(*[f(c).alias(c) for c, f in (("lon_min", F.min), ("lat_min", F.min), ("lon_max", F.max), ("lat_max", F.max))]).first()
     within = F.col("lon").between(bounds.lon_min, bounds.lon_max) & F.col("lat").between(bounds.lat_min, bounds.lat_max)
-    kept = files.stored(spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded), "nodes")
+    kept = scratch.stored(spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded), "nodes")
     ways = pbf.read_ways(spark, osm)
     kind = classify.way_class(lambda k: F.try_element_at("tags", F.lit(k)))
     # and ways of no class need no vertices
-    classed = files.stored(ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "refs", "c"), "ways")
+    classed = scratch.stored(ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "refs", "c"), "ways")
     kinds = classed.select("way_id", "seq", "c.*")
     refs = classed.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
     geometry = spatial.resolve_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
     placed = geometry.join(spatial.way_tiles(refs, kept), "way_id")
     # paint order is file order
-    return files.stored(placed.select("tile_id", F.col("seq").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
+    return scratch.stored(placed.select("tile_id", F.col("seq").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
 
 
 def convert(spark: SparkSession, folder: str, output: str, index: str | None = None, osm: str | None = None, options: Options | None = None) -> DataFrame:
-    """Convert and write; returns (prefix, file, bytes) of what was written.
+    """Convert and write; returns (prefix, file, bytes) of what was written, once all of it is.
 
     Tiles are the unit of a file, so a tile's points meet in one row at the very end; all before that
     works on points and pixels and is dealt by tile.
     """
-    o = options or Options()
+    with files.Scratch(spark) as scratch:
+        return _converted(spark, folder, output, index, osm, options or Options(), scratch)
+
+
+def _converted(spark: SparkSession, folder: str, output: str, index: str | None, osm: str | None, o: Options, scratch: files.Scratch) -> DataFrame:
     work = plan_work(spark, folder, index, o)
     # written, as what is left to do must not change while tiles appear
-    work = files.stored(work if o.overwrite else sinks.skip_existing(work, output), "work")
+    work = scratch.stored(work if o.overwrite else sinks.skip_existing(work, output), "work")
     if work.isEmpty():
         return spark.createDataFrame([], "prefix string, file string, bytes long")
     # written, so that what needs all vertices of a tile before the next step does not parse files again
-    vertices = files.stored(obj.read_vertices(spark, work).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z"), "vertices")
+    vertices = scratch.stored(obj.read_vertices(spark, work, keep=lambda rows: scratch.stored(rows, "parsed")).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z"), "vertices")
     systems = vertices.select("prefix").distinct().withColumn("cs", F.lit(o.system)) if o.system else tiling.detect_system(vertices, "prefix")
     boxes = work.select("prefix", "lon_min", "lat_min", "lon_max", "lat_max")
-    points = files.stored(tiling.to_ecef(vertices, systems, boxes, "prefix"), "points")
-    anchored = tiling.anchors(points, "prefix", o.units_per_metre)
+    points = scratch.stored(tiling.to_ecef(vertices, systems, boxes, "prefix"), "points")
+    anchored = scratch.stored(tiling.anchors(points, "prefix", o.units_per_metre), "anchors")
     offs = tiling.offsets(points, anchored, "prefix")
     rows = offs.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "dx", "dy", "dz"))), lambda p: F.struct(p.dx.alias("dx"), p.dy.alias("dy"), p.dz.alias("dz"), F.lit(None).cast("smallint").alias("label"))).alias("points"))
     degrees = vertices.join(systems.filter("cs = 'geodetic'"), "prefix").groupBy("prefix").agg(*[f(c).alias(n) for c, f, n in (("x", F.min, "g0"), ("x", F.max, "g1"), ("y", F.min, "g2"), ("y", F.max, "g3"))])
@@ -86,7 +90,7 @@ def convert(spark: SparkSession, folder: str, output: str, index: str | None = N
     extent = tiling.choose_extent(box, [F.col(f"g{i}") for i in range(4)]) if o.write_extent else F.lit(None).cast("struct<lon_min:int,lon_max:int,lat_min:int,lat_max:int>")
     out = anchored.join(rows, "prefix").join(boxes, "prefix").join(degrees, "prefix", "left").withColumn("extent", extent)
     if osm is not None and o.write_mask:
-        out = out.join(mask_column(overlays(spark, work, osm, o), work, o), "prefix", "left")
+        out = out.join(mask_column(overlays(spark, work, osm, o, scratch), work, o), "prefix", "left")
     else:
         out = out.withColumn("mask", F.lit(None).cast("struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>"))
     tiles = out.select("prefix", F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.col("prefix")).alias("tile_key"), F.lit(False).alias("labelled"), "points", "extent", "mask")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tesselon.sources.files import filesystem
+
 # Tags, version, flags and codes of the format.
 MAGIC = b"HYPC"
 OLD_MAGIC = b"HPC1"
@@ -84,23 +86,61 @@ def decode_runs(data: bytes) -> bytes:
     return np.repeat(runs["v"], runs["n"]).tobytes()
 
 
+def runs_of(data: bytes, encoding: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(where each run begins, its value, number of cells) of a mask's data, which is not expanded."""
+    if encoding == RUNS:
+        if len(data) % 3:
+            raise TileError("run lengths end within a run")
+        runs = np.frombuffer(data, np.dtype([("n", "<u2"), ("v", "u1")]))
+        runs = runs[runs["n"] > 0]
+        ends = np.cumsum(runs["n"].astype(np.int64))
+        return ends - runs["n"], runs["v"], int(ends[-1]) if len(ends) else 0
+    a = np.frombuffer(data, np.uint8)
+    start = np.flatnonzero(np.concatenate([[len(a) > 0], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return start, a[start], len(a)
+
+
 class _Reader:
+    """Reads bytes in order."""
+
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.size, self.at = data, len(data), 0
+
+    def _next(self, n: int) -> bytes:
+        return self.data[self.at : self.at + n]
 
     def take(self, n: int, what: str) -> bytes:
-        if self.at + n > len(self.data):
+        out = self._next(n)
+        self.skip(n, what)
+        return out
+
+    def skip(self, n: int, what: str) -> None:
+        if self.at + n > self.size:
             raise TileError(f"the file ends within {what}")
         self.at += n
-        return self.data[self.at - n : self.at]
 
     def unpack(self, form: str, what: str) -> tuple:
         return struct.unpack(form, self.take(struct.calcsize(form), what))
 
 
+class _FileReader(_Reader):
+    """The same from an open file, of which only what is taken is read."""
+
+    def __init__(self, file: pa.NativeFile, size: int):
+        self.file, self.size, self.at = file, size, 0
+
+    def _next(self, n: int) -> bytes:
+        self.file.seek(self.at)
+        return self.file.read(n)
+
+
 def parse(data: bytes) -> Tile:
     """A tile from its bytes; what follows the last part is ignored."""
-    r = _Reader(data)
+    return parse_parts(_Reader(data))[0]
+
+
+def parse_parts(r: _Reader, points: bool = True, masks: bool = True) -> tuple[Tile, int]:
+    """(tile, number of points); without ``points`` or the data of ``masks`` these are passed over."""
     if r.take(4, "magic") != MAGIC:
         raise TileError("bad magic")
     version, flags, count, upm = r.unpack("<4I", "header")
@@ -112,7 +152,11 @@ def parse(data: bytes) -> Tile:
     key = r.take(KEY_BYTES, "key") if flags & FLAG_KEY else None
     kind = [("p", "<i4", 3), ("l", "u1")] if flags & FLAG_LABELS else [("p", "<i4", 3)]
     kind = np.dtype(kind)
-    rows = np.frombuffer(r.take(count * kind.itemsize, "points"), kind)
+    rows = np.zeros(0, kind)
+    if points:
+        rows = np.frombuffer(r.take(count * kind.itemsize, "points"), kind)
+    else:
+        r.skip(count * kind.itemsize, "points")
     extent = mask = None
     if flags & FLAG_EXTENT:
         if r.take(4, "extent") != EXTENT_TAG:
@@ -128,8 +172,13 @@ def parse(data: bytes) -> Tile:
             raise TileError(f"unknown encoding {encoding}")
         pairs = r.take(2 * colours, "palette")
         (size,) = r.unpack("<I", "mask size")
-        mask = Mask(width, height, space, encoding, list(zip(pairs[::2], pairs[1::2], strict=True)), r.take(size, "mask data"))
-    return Tile(upm, anchor, rows["p"].reshape(-1, 3), rows["l"].copy() if flags & FLAG_LABELS else None, key, extent, mask)
+        data = b""
+        if masks:
+            data = r.take(size, "mask data")
+        else:
+            r.skip(size, "mask data")
+        mask = Mask(width, height, space, encoding, list(zip(pairs[::2], pairs[1::2], strict=True)), data)
+    return Tile(upm, anchor, rows["p"].reshape(-1, 3), rows["l"].copy() if flags & FLAG_LABELS else None, key, extent, mask), count
 
 
 def dump(tile: Tile) -> bytes:
@@ -225,6 +274,38 @@ def read_tiles(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
     return parse_tiles(files, strict)
 
 
+HEADER_SCHEMA = """path string, error string, n long, units_per_metre long, ax long, ay long, az long, tile_key binary, labelled boolean,
+extent struct<lon_min:int,lon_max:int,lat_min:int,lat_max:int>,
+mask struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>"""
+
+
+def read_headers(spark: SparkSession, folder: str, strict: bool = False, masks: bool = False) -> DataFrame:
+    """A row for each tile file with all but its points, which are not read; ``n`` counts them.
+
+    Files are found by the engine, without their contents; tasks read their headers by range.  Without
+    ``masks`` a mask's ``data`` is empty and not read either.  Errors are those of ``read_tiles``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tile, n, error = None, None, None
+                fs, name = filesystem(path)
+                with fs.open_input_file(name) as f:
+                    try:
+                        tile, n = parse_parts(_FileReader(f, size), points=False, masks=masks)
+                    except TileError as e:
+                        if strict:
+                            raise
+                        error = str(e)
+                row = to_batch(path, tile, error)
+                columns = {c: row.column(c) for c in row.schema.names if c != "points"}
+                yield pa.RecordBatch.from_arrays([columns["path"], columns["error"], pa.array([n], pa.int64()), *list(columns.values())[2:]], names=["path", "error", "n", *list(columns)[2:]])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{EXTENSION}").load(folder)
+    return files.select("path", "length").mapInArrow(run, HEADER_SCHEMA)
+
+
 def parse_tiles(files: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of (path, content), also of a stream, as tiles."""
     return files.select("path", "content").mapInArrow(_parse_all(strict), "path string, error string, " + TILE_SCHEMA)

@@ -28,12 +28,39 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame, kind: str) -> DataFrame:
-    """``rows`` written as Parquet in a fresh shared folder and read again: computed once, and kept when
-    executors go."""
-    folder = fresh_folder(rows.sparkSession, kind)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and kept in the checkpoint folder, which Spark clears as it is told to."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(fresh_folder(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
+
+
+class Scratch:
+    """Tables of a job that go when its block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, rows: DataFrame, kind: str) -> DataFrame:
+        """``rows`` written as Parquet in a fresh shared folder and read again: computed once, and kept
+        when executors go."""
+        self.paths.append(fresh_folder(self.spark, kind))
+        rows.write.parquet(self.paths[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
@@ -42,6 +69,11 @@ def put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
     temporary = f"{folder}/.{name}.{attempt}"
     with fs.open_output_stream(temporary, compression=None) as out:
         out.write(data)
+    move(fs, temporary, path)
+
+
+def move(fs: pafs.FileSystem, temporary: str, path: str) -> None:
+    """Give a finished file its final name; one of that name goes."""
     if isinstance(fs, pafs.LocalFileSystem):
         os.replace(temporary, path)
     else:

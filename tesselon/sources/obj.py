@@ -6,10 +6,10 @@ import contextlib
 import io
 import itertools
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tesselon.functions import geo, names
 from tesselon.sources import files
@@ -50,8 +50,43 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", names.stem(F.col("path")).alias("stem"), ext.alias("ext")).filter(F.col("ext").isin("obj", "zip"))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes of a mesh text that one task reads.
+SPLIT = 32 << 20
+#: Lines handled at once.
+LINES = 50_000
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path) -> (path, part, first byte, byte after the last); an archive is one part."""
     for path in (p for b in batches for p in b.column(0).to_pylist()):
+        fs, name = files.filesystem(path)
+        size = fs.get_file_info(name).size
+        if size is None:
+            raise FileNotFoundError(path)
+        step = max(1, size) if path.endswith(".zip") else SPLIT
+        first = list(range(0, max(1, size), step))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(first)), *(pa.array(x, pa.int64()) for x in (range(len(first)), first, [min(size, x + step) for x in first]))], names=["path", "part", "first", "end"])
+
+
+def _text_of(f: pa.NativeFile, first: int, end: int) -> io.BytesIO:
+    """The lines that begin from byte ``first`` on, before byte ``end``."""
+    at = max(0, first - 1)  # a line begins where the byte before it ends another
+    f.seek(at)
+    data = bytearray(f.read(end - at))
+    while len(data) == end - at and not data.endswith(b"\n") or len(data) > end - at and b"\n" not in data[end - at - 1 :]:
+        more = f.read(1 << 16)
+        if not more:
+            break
+        data += more
+    begin = data.find(b"\n") + 1 if first else 0
+    if first and not 0 < begin <= end - at:
+        return io.BytesIO()  # the range lies within a line that began before it
+    stop = data.find(b"\n", max(0, end - at - 1))
+    return io.BytesIO(bytes(data[begin : len(data) if stop < 0 else stop + 1]))
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, part, first, end in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
         with contextlib.ExitStack() as open_:
             fs, name = files.filesystem(path)
             f = open_.enter_context(fs.open_input_file(name))
@@ -61,28 +96,43 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if inner is None:
                     raise ValueError(f"no mesh in {path}")
                 f = open_.enter_context(z.open(inner))
+            else:
+                f = _text_of(f, first, end)
             at = 0
-            for part in itertools.batched(io.TextIOWrapper(f, "utf-8", newline="\n"), 50_000):
-                number = pa.array(range(at, at + len(part)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), number, pa.array([x.removesuffix("\n") for x in part], pa.string())], names=["path", "line_no", "line"])
-                at += len(part)
+            for some in itertools.batched(io.TextIOWrapper(f, "utf-8", newline="\n"), LINES):
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array([x.removesuffix("\n") for x in some], pa.string())], names=["path", "part", "line_no", "line"])
+                at += n
 
 
 def read_lines(spark: SparkSession, paths: str | DataFrame) -> DataFrame:
-    """(path, line_no, line) of mesh files; of an archive, its first member that is a mesh.
+    """(path, part, line_no, line) of mesh files; of an archive, its first member that is a mesh.
 
-    ``paths`` is a folder, or a table with a column ``path``.  A task opens the files it is dealt and reads
-    each as a stream of lines, so a file of any size takes little memory.
+    ``paths`` is a folder, or a table with a column ``path``.  A text is cut into parts of SPLIT bytes, at
+    line ends, which tasks read apart; ``line_no`` counts within a part.  An archive is read as a stream, so
+    that one of any size takes little memory.
     """
     found = read_files(spark, paths) if isinstance(paths, str) else paths
     found = found.select("path").distinct()
-    return found.repartition(max(1, min(found.count(), 4096))).mapInArrow(_lines, "path string, line_no long, line string")
+    parts = files.checkpointed(found.repartition(max(1, min(found.count(), 4096))).mapInArrow(_splits, "path string, part long, first long, end long"))
+    return parts.repartition(max(1, min(parts.count(), 1 << 16))).mapInArrow(_lines, "path string, part long, line_no long, line string")
 
 
-def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True) -> DataFrame:
-    """(path, vid, x, y, z), ``vid`` counting a file's finite vertices in order."""
-    from pyspark.sql import Window
+def numbered(rows: DataFrame, group: str = "path", part: str = "part", order: str = "line_no") -> DataFrame:
+    """``rows`` with ``vid``, their place in the group: places within parts, and the counts of the parts before.
 
-    rows = vertices(read_lines(spark, paths), strict=strict)
-    vid = F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1
-    return rows.select("path", vid.cast("long").alias("vid"), "x", "y", "z")
+    ``rows`` is read twice, and must give the same both times.
+    """
+    place = F.row_number().over(Window.partitionBy(group, part).orderBy(order)) - 1
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(group, part).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.withColumn("_place", place).join(offsets, [group, part]).withColumn("vid", F.col("_before") + F.col("_place")).drop("_before", "_place")
+
+
+def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True, keep: Callable[[DataFrame], DataFrame] = files.checkpointed) -> DataFrame:
+    """(path, vid, x, y, z), ``vid`` counting a file's finite vertices in order.
+
+    Files are parsed once: ``keep`` holds what was parsed until it is numbered.
+    """
+    rows = vertices(read_lines(spark, paths), strict=strict).select("path", "part", "line_no", "x", "y", "z")
+    return numbered(keep(rows)).select("path", "vid", "x", "y", "z")

@@ -1,16 +1,24 @@
-"""Sinks: binary tile files, one for each row, and a table partitioned by tile."""
+"""The sink of binary tile files, one for each row, which appear when the whole job is done."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tesselon.functions import names
 from tesselon.sources import codec, files
 
+#: The beginning of the name of a list of written files.
+MANIFEST = "written"
+
 
 def existing(spark: SparkSession, folder: str) -> DataFrame:
     """Stems of the tile files below a folder; contents are not read, a missing folder has none."""
@@ -26,30 +34,94 @@ def skip_existing(work: DataFrame, folder: str, prefix: str = "prefix") -> DataF
     return work.withColumn("out_stem", names.stem(F.col(prefix))).join(existing(work.sparkSession, folder), "out_stem", "left_anti").drop("out_stem")
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str, int]]  # prefix, name, bytes
+
+
+class _TileWriter(DataSourceArrowWriter):
+    """Tasks write below a folder of the job; the driver moves all files when every task is done."""
+
+    def __init__(self, folder: str):
+        self.folder, self.job = folder, uuid.uuid4().hex
+
+    def _place(self) -> tuple[pafs.FileSystem, str, str]:
+        fs, root = files.filesystem(self.folder)
+        return fs, root, f"{root}/_temporary-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        fs, _, temporary = self._place()
+        own = f"{temporary}/{TaskContext.get().taskAttemptId()}"
+        fs.create_dir(own, recursive=True)
+        out = []
+        for batch in iterator:
+            for prefix, content, name in zip(*(batch.column(c).to_pylist() for c in ("prefix", "content", "name")), strict=True):
+                with fs.open_output_stream(f"{own}/{name}", compression=None) as f:
+                    f.write(content)
+                out.append((prefix, f"{TaskContext.get().taskAttemptId()}/{name}", len(content)))
+        return _Written(out)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        fs, root, temporary = self._place()
+        rows = sorted(r for m in messages if m for r in m.files)
+        named: dict[str, str] = {}
+        for prefix, place, _ in rows:
+            other = named.setdefault(place.partition("/")[2], prefix)
+            if other != prefix:
+                raise ValueError(f"{other} and {prefix} would be the same file")
+        if len(named) < len(rows):
+            raise ValueError("a prefix has several tiles")
+        for _, place, _ in rows:
+            files.move(fs, f"{temporary}/{place}", f"{root}/{place.partition('/')[2]}")
+        fs.create_dir(root, recursive=True)
+        table = pa.table({"prefix": pa.array([r[0] for r in rows], pa.string()), "file": pa.array([r[1].partition("/")[2] for r in rows], pa.string()), "bytes": pa.array([r[2] for r in rows], pa.int64())})
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{self.job}.parquet", compression=None) as f:
+            pq.write_table(table, f)
+        self._clear(fs, temporary)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        fs, _, temporary = self._place()
+        self._clear(fs, temporary)
+
+    @staticmethod
+    def _clear(fs: pafs.FileSystem, folder: str) -> None:
+        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+            fs.delete_dir(folder)
+
+
+class TileFiles(DataSource):
+    """The sink of tile files: rows (prefix, content, name), option ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tesselon_tiles"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> _TileWriter:
+        return _TileWriter(self.options["path"])
+
+
 def write_tiles(tiles: DataFrame, folder: str, prefix: str = "prefix", overwrite: bool = False) -> DataFrame:
     """Write a file for each row (``prefix`` and the columns of a tile); returns (prefix, file, bytes).
 
     The name is the prefix's stem.  Without ``overwrite`` existing files stay and their rows are skipped.
-    A task that is run again writes the same file.  The returned table must be consumed once.
+    Files appear when the whole job is done: one that fails leaves none.  Prefixes that differ after
+    their last dot only would share a file, which is an error, as are several tiles of one prefix.  What
+    was written is listed in a manifest beside the files, of which the returned table reads.
     """
+    spark = tiles.sparkSession
     work = tiles if overwrite else skip_existing(tiles, folder, prefix)
     coded = codec.encode_tiles(work, prefix).withColumn("name", F.concat(names.stem(F.col(prefix)), F.lit(f".{codec.EXTENSION}")))
+    before = _manifests(folder)
+    spark.dataSource.register(TileFiles)
+    coded.select(F.col(prefix).alias("prefix"), "content", "name").write.format(TileFiles.name()).option("path", folder).mode("append").save()
+    made = sorted(_manifests(folder) - before)
+    out = spark.read.schema("prefix string, file string, bytes long").parquet(*made)
+    return out.withColumnRenamed("prefix", prefix)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = files.filesystem(folder)
-        fs.create_dir(root, recursive=True)
-        attempt = str(TaskContext.get().taskAttemptId())
-        for batch in batches:
-            sizes = []
-            for name, content in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                files.put(fs, f"{root}/{name}", content, attempt)
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64())], names=["a", "b", "c"])
-
-    return coded.select(prefix, "content", "name").mapInArrow(run, f"`{prefix}` string, file string, bytes long")
 
-
-def write_points(points: DataFrame, path: str, key: str = "tile_id", partitions: int = 200) -> None:
-    """Points as Parquet, a folder for each tile; a crowded tile is spread over several tasks by a salt."""
-    salt = F.pmod(F.xxhash64(*[c for c in points.columns if c != key]), F.lit(8))
-    points.repartition(partitions, F.col(key), salt).write.partitionBy(key).mode("overwrite").parquet(path)
+def _manifests(folder: str) -> set[str]:
+    fs, root = files.filesystem(folder)
+    if fs.get_file_info(root).type == pafs.FileType.NotFound:
+        return set()
+    own = (f.base_name for f in fs.get_file_info(pafs.FileSelector(root)))
+    return {f"{folder.rstrip('/')}/{name}" for name in own if name.startswith(f"{MANIFEST}-")}
