@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesselon.functions import classify, fixed, geo
 
@@ -72,10 +72,75 @@ class Camera:
         return [[g / aspect * x for x in view[0]] + [0.0], [g * x for x in view[1]] + [0.0], [0.5 * a + 0.5 * b for a, b in zip(clip_z, w, strict=True)] + [0.5 * zw], w + [0.0]]
 
 
-def _cross(a: list[float], b: list[float]) -> list[float]:
+def _cross(a: list, b: list) -> list:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
+def orbiting(cameras: DataFrame) -> DataFrame:
+    """Rows (lat, lon, radius, azimuth, elevation; degrees, metres, radians) with ``eye`` and ``target``, Earth-centred.
+
+    A row is a camera of its own, so that any number of views is one plan.
+    """
+    target = dict(zip("xyz", geo.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), strict=True))
+    flat = F.col("radius") * F.cos("elevation")
+    away = (flat * F.sin("azimuth"), flat * F.cos("azimuth"), F.col("radius") * F.sin("elevation"))
+    east, north, up = geo.enu_basis(F.col("lat"), F.col("lon"))
+    eye = {a: target[a] + east[i] * away[0] + north[i] * away[1] + up[i] * away[2] for i, a in enumerate("xyz")}
+    return cameras.withColumns({n: F.struct(*[c.alias(a) for a, c in v.items()]) for n, v in (("target", target), ("eye", eye))})
+
+
+def zoomed(radius: Column, steps: Column) -> Column:
+    """A tenth nearer for each step, between 10 m and 1000 km."""
+    return fixed.clamp(radius * F.pow(F.lit(1.1), -steps), 10.0, 1e6)
+
+
+def dragged(azimuth: Column, elevation: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Azimuth and elevation after a drag in pixels; the elevation stays within 1 and 89 degrees."""
+    return azimuth - dx * 0.005, fixed.clamp(elevation + dy * 0.005, math.radians(1), math.radians(89))
+
+
+def looking(cameras: DataFrame, aspect: float) -> DataFrame:
+    """Rows of ``orbiting`` with ``view``, the clip matrix's rows x, y, z, w for positions relative to the eye.
+
+    The same matrix as :meth:`Camera.matrix`, by columns; steps are rows of their own so that none is
+    computed twice.
+    """
+
+    def vector(names: str, values: list[Column]) -> Column:
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+    def unit(v: list[Column]) -> list[Column]:
+        length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        return [c / length for c in v]
+
+    def parts(name: str) -> list[Column]:
+        return [F.col(f"{name}.{a}") for a in "xyz"]
+
+    lat, lon, _ = geo.geodetic(*parts("eye"))
+    rows = cameras.withColumn("_w", vector("xyz", geo.enu_basis(lat, lon)[2])).withColumn("_f", vector("xyz", unit([t - e for t, e in zip(parts("target"), parts("eye"), strict=True)])))
+    rows = rows.withColumn("_s", vector("xyz", unit(_cross(parts("_f"), parts("_w")))))
+    rows = rows.withColumn("_u", vector("xyz", _cross(parts("_s"), parts("_f"))))
+    g = 1.0 / math.tan(math.radians(FIELD_OF_VIEW) / 2)
+    zz, zw = FAR / (NEAR - FAR), NEAR * FAR / (NEAR - FAR)
+    zero = F.lit(0.0)
+    clip = [[*(-c * (g / aspect) for c in parts("_s")), zero], [*(-c * g for c in parts("_u")), zero], [*(c * (0.5 - 0.5 * zz) for c in parts("_f")), F.lit(0.5 * zw)], [*parts("_f"), zero]]
+    return rows.withColumn("view", F.struct(*[vector("xyzw", r).alias(n) for n, r in zip("xyzw", clip, strict=True)])).drop("_w", "_f", "_s", "_u")
+
+
+def seen(points: DataFrame, cameras: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """Points (key, ex, ey, ez) with pixel and depth in the view of their key's camera; what is behind it or
+    off screen goes.  ``cameras`` has ``eye`` and ``view`` for each key."""
+    rows = points.join(cameras.select(key, "eye", "view"), key)
+    rel = [F.col(f"e{a}") - F.col(f"eye.{a}") for a in "xyz"]
+    clip = [(rel[0] * F.col(f"view.{n}.x") + rel[1] * F.col(f"view.{n}.y") + rel[2] * F.col(f"view.{n}.z") + F.col(f"view.{n}.w")).alias(n) for n in "xyzw"]
+    # generated rows keep the filters above the geometry, as in fragments
+    rows = rows.select(*points.columns, F.explode(F.array(F.struct(*clip))).alias("_c")).filter("_c.w > 0")
+    x = F.floor((F.col("_c.x") / F.col("_c.w") + 1.0) * 0.5 * width).cast("int")
+    y = F.floor((1.0 - F.col("_c.y") / F.col("_c.w")) * 0.5 * height).cast("int")
+    rows = rows.withColumns({"x": x, "y": y, "z": fixed.clamp(F.col("_c.z") / F.col("_c.w"), 0.0, 1.0)}).drop("_c")
+    return rows.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+
+
 def tile_deltas(anchored: DataFrame, camera: Camera, upm: str = "upm") -> DataFrame:
     """Tiles (ax, ay, az in units) with their anchors relative to the camera, each as two floats.
 
@@ -196,12 +261,32 @@ def debug_view(pixels: DataFrame, mode: int) -> DataFrame:
     return pixels
 
 
-def post_chain(pixels: DataFrame, width: int, height: int, use_edl: bool = True, use_tint: bool = True, use_shift: bool = True, use_crt: bool = True, debug: int = 0) -> DataFrame:
+def post_chain(pixels: DataFrame, width: int, height: int, use_edl: bool = True, use_tint: bool = True, use_shift: bool = True, use_crt: bool = True, debug: int = 0, shift: float = SHIFT, time: float = 0.0) -> DataFrame:
     """The passes in their order; a debug view takes the place of the last."""
     out = edl(pixels) if use_edl else pixels
     out = tint(out) if use_tint else out
-    out = rgb_shift(out, width, height) if use_shift else out
-    return debug_view(out, debug) if debug else crt(out, width, height) if use_crt else out
+    out = rgb_shift(out, width, height, shift) if use_shift else out
+    return debug_view(out, debug) if debug else crt(out, width, height, time) if use_crt else out
+
+
+def footprints(pixels: DataFrame, **names: str) -> DataFrame:
+    """Pixels (y, x) with how far each of ``names``' columns moves over a pixel, under the name given.
+
+    Values are compared within quads of two by two pixels, across and down, as a screen's derivatives
+    are; a pixel whose neighbour is missing does not move that way.
+    """
+    quad = Window.partitionBy(F.expr("y div 2"), F.expr("x div 2"))
+
+    def of(column: str) -> Column:
+        def at(y: Column | int, x: Column | int) -> Column:
+            return F.max(F.when((F.pmod("y", F.lit(2)) == y) & (F.pmod("x", F.lit(2)) == x), F.col(column))).over(quad)
+
+        own_y, own_x = F.pmod("y", F.lit(2)), F.pmod("x", F.lit(2))
+        across = F.when(own_y == 0, at(0, 1) - at(0, 0)).otherwise(at(1, 1) - at(1, 0))
+        down = F.when(own_x == 0, at(1, 0) - at(0, 0)).otherwise(at(1, 1) - at(0, 1))
+        return F.coalesce(F.abs(across), F.lit(0.0)) + F.coalesce(F.abs(down), F.lit(0.0))
+
+    return pixels.withColumns({new: of(column) for column, new in names.items()})
 
 
 def ground_grid(rows: DataFrame, camera_height: float) -> DataFrame:

@@ -53,17 +53,18 @@ def to_ecef(vertices: DataFrame, systems: DataFrame, boxes: DataFrame | None, ke
     return degrees.unionByName(planar).select(key, "vid", ex.alias("ex"), ey.alias("ey"), ez.alias("ez")).unionByName(straight)
 
 
-def anchors(points: DataFrame, key: str, requested_upm: int = 1000) -> DataFrame:
+def anchors(points: DataFrame, key: str, requested_upm: int = 1000, fitted: bool = True) -> DataFrame:
     """(key, n, cx, cy, cz, max_off, upm, ax, ay, az): centroid, reach, precision and anchor units.
 
     The precision is the finest that fits; where rounding still overflows 32 bits it is halved, up to
     HALVINGS times, as a choice among candidates instead of a loop.  Offsets that fit at no precision
-    are an error.  Centroid and reach come from one aggregate; the reach from minima and maxima.
+    are an error.  Centroid and reach come from one aggregate; the reach from minima and maxima.  Without
+    ``fitted`` the halving begins at the precision that is asked for.
     """
     ends = [f(c).alias(f"{n}_{c}") for c in ("ex", "ey", "ez") for n, f in (("lo", F.min), ("hi", F.max))]
     both = points.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(f"e{a}").alias(f"c{a}") for a in "xyz"], *ends)
     reach = F.greatest(*[F.greatest(F.col(f"hi_e{a}") - F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"lo_e{a}")) for a in "xyz"])
-    out = both.withColumn("max_off", reach).withColumn("_u", fixed.fitted_upm(reach, requested_upm))
+    out = both.withColumn("max_off", reach).withColumn("_u", fixed.fitted_upm(reach, requested_upm) if fitted else F.lit(requested_upm).cast("bigint"))
 
     def fits(u: Column) -> Column:
         ok = F.lit(True)

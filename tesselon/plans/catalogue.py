@@ -6,6 +6,7 @@ in millionths.  They do not depend on the order in which doubles are summed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -224,16 +225,18 @@ def _pixelised(spark, d) -> DataFrame:
     return raster.pixelised(_overlay(spark, d), view(spark, d, "tiles"), GRID)
 
 
-def _mask(spark, d, grid: int = GRID) -> DataFrame:
-    return raster.build_mask(_overlay(spark, d), view(spark, d, "tiles"), grid)
+def _mask(spark, d, grid: int = GRID) -> tuple[DataFrame, DataFrame]:
+    """Painted pixels, and the tiles that have an overlay, which is made once."""
+    found = files.checkpointed(_overlay(spark, d))
+    return raster.build_mask(found, view(spark, d, "tiles"), grid), found.select("tile_id").distinct()
 
 
 def _dense(spark, d) -> DataFrame:
-    return raster.dense(_mask(spark, d), _overlay(spark, d).select("tile_id").distinct(), GRID)
+    return raster.dense(*_mask(spark, d), GRID)
 
 
 def _runs(spark, d, grid: int = GRID) -> DataFrame:
-    return raster.painted_runs(_mask(spark, d, grid), _overlay(spark, d).select("tile_id").distinct(), grid)
+    return raster.painted_runs(*_mask(spark, d, grid), grid)
 
 
 def _anchored(spark, d, upm: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -349,6 +352,21 @@ def resolve_prefix(spark, d):
     return spatial.resolve_prefixes(view(spark, d, "tiles").select("prefix"), view(spark, d, "files"))
 
 
+_STEMS = "SELECT concat('scan/block_', cast(o_orderkey as string), '.', case when o_orderkey % 3 = 0 then 'zip' else 'obj' end) AS path, concat('block_', cast(o_orderkey as string)) AS stem, case when o_orderkey % 3 = 0 then 'zip' else 'obj' end AS ext FROM {orders}"
+_LEADS = "SELECT concat('block_', cast(c_custkey as string)) AS prefix FROM {customer}"
+
+
+@query(
+    f"""WITH files AS ({_STEMS.format(orders='orders')}), wanted AS ({_LEADS.format(customer='customer')}),
+starts AS (SELECT left(stem, i) AS prefix, min(stem) AS stem FROM (SELECT stem, unnest(generate_series(1, length(stem))) AS i FROM files) GROUP BY 1)
+SELECT w.prefix, f.path, coalesce(s.stem = w.prefix, false) AS exact FROM wanted w LEFT JOIN starts s USING (prefix) LEFT JOIN files f ON f.stem = s.stem"""
+)
+def resolve_prefix_of_one_lead(spark, d):
+    """Prefixes and stems that all begin alike, one for each customer and order, as files of a set do."""
+    stems = spark.sql(_STEMS, orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return spatial.resolve_prefixes(spark.sql(_LEADS, customer=spark.read.parquet(f"{d}/customer.parquet")), stems)
+
+
 @query(f"WITH {ctes('tiles')} SELECT concat('out/', prefix, '.tile') AS path FROM tiles WHERE tile_id % 4 <> 0")
 def incremental_skip(spark, d):
     t = view(spark, d, "tiles")
@@ -451,6 +469,24 @@ def adaptive_upm(spark, d):
     return found.select("tile_id", "n", scaled(F.col("upm"), 1e-2).alias("upm_hundreds"))
 
 
+_ASKED = 400_000_000_000
+
+
+def _fits_sql(u: str) -> str:
+    return " AND ".join(f"round(l{a}*{u}) - round(c{a}*{u}) >= -2147483648e0 AND round(h{a}*{u}) - round(c{a}*{u}) <= 2147483647e0" for a in "xyz")
+
+
+@query(
+    f"""WITH {_BOXED}, {anchored_sql(1000)}, k AS (SELECT *, unnest(generate_series(0, 31)) AS k FROM stat), u AS (SELECT *, greatest(floor({_ASKED}e0/pow(2e0, k)), 1e0) AS u FROM k)
+SELECT tile_id, min(n) AS n, min(k) AS halvings, CAST(arg_min(u, k) AS BIGINT) AS upm FROM u WHERE {_fits_sql('u')} GROUP BY tile_id"""
+)
+def halved_upm(spark, d):
+    """A precision that no tile's offsets fit is halved until they do."""
+    found = tiling.anchors(_tiled(spark, d), "tile_id", _ASKED, fitted=False)
+    halvings = F.round(F.log2(F.lit(float(_ASKED)) / F.col("upm"))).cast("bigint")
+    return found.select("tile_id", "n", halvings.alias("halvings"), "upm")
+
+
 @query(f"WITH {_BOXED} SELECT tile_id, {', '.join(f'CAST(round({f}({c})*1e7) AS INTEGER) AS {c}_{f}_q7' for c in ('lon', 'lat') for f in ('min', 'max'))} FROM tiled GROUP BY tile_id")
 def geodetic_extent(spark, d):
     return tiling.extents(_tiled(spark, d), "tile_id")
@@ -467,7 +503,10 @@ s AS (SELECT max(sqrt((mx - cx)*(mx - cx) + (my - cy)*(my - cy) + (mz - cz)*(mz
 SELECT tiles, points, upm_min, upm_max, {big('cx*1e2')} AS cx_cm, {big('cy*1e2')} AS cy_cm, {big('cz*1e2')} AS cz_cm, {big('sp*1e2')} AS spread_cm, {big('greatest(least(2e0*sp, 5e4), 1e2)*1e2')} AS orbit_cm, sqrt(cx*cx + cy*cy + cz*cz) BETWEEN 62e5 AND 65e5 AS plausible FROM c CROSS JOIN s"""
 )
 def dataset_stats(spark, d):
-    s = cloud.dataset_stats(_anchored(spark, d)[0])
+    return _stats_row(cloud.dataset_stats(_anchored(spark, d)[0]))
+
+
+def _stats_row(s: DataFrame) -> DataFrame:
     return s.select("tiles", "points", "upm_min", "upm_max", *[scaled(F.col(f"c{a}"), 100).alias(f"c{a}_cm") for a in "xyz"], scaled(F.col("spread_m"), 100).alias("spread_cm"), scaled(F.col("orbit_m"), 100).alias("orbit_cm"), "plausible")
 
 
@@ -497,7 +536,7 @@ def buffered_polyline(spark, d):
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(class AS INTEGER) AS class FROM painted")
 def paint_mask(spark, d):
-    return _mask(spark, d)
+    return _mask(spark, d)[0]
 
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(class AS INTEGER) AS class, count(*) AS n FROM full_grid GROUP BY 1, 2")
@@ -536,9 +575,10 @@ SELECT tile_id, CAST(coalesce(p.class, 0) AS INTEGER) AS label, count(*) AS n FR
 )
 def label_points(spark, d):
     rows = _tiled(spark, d).select("tile_id", *[fixed.dequantise(fixed.quantise(F.col(f"e{a}"), 1000), 1000).alias(f"e{a}") for a in "xyz"], F.lit(None).cast("int").alias("label"))
-    covered = view(spark, d, "tiles").join(_overlay(spark, d).select("tile_id").distinct(), "tile_id", "left_semi")
+    mask, with_overlay = _mask(spark, d)
+    covered = view(spark, d, "tiles").join(with_overlay, "tile_id", "left_semi")
     box = covered.select("tile_id", *[fixed.q7(F.col(c)).alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
-    return cloud.label_points(rows, _mask(spark, d), box, GRID).groupBy("tile_id", "label").agg(F.count("*").alias("n"))
+    return cloud.label_points(rows, mask, box, GRID).groupBy("tile_id", "label").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -552,9 +592,10 @@ def label_precedence(spark, d):
     """Own labels come before a mask's class, tiles without a usable mask get 0, as does what lies outside."""
     own = F.when(F.col("tile_id") % 5 == 0, (F.col("l_partkey") % 10).cast("int"))
     rows = _tiled(spark, d).select("tile_id", *[fixed.dequantise(fixed.quantise(F.col(f"e{a}"), 1000), 1000).alias(f"e{a}") for a in "xyz"], own.alias("label"))
-    covered = view(spark, d, "tiles").filter("tile_id % 7 <> 3").join(_overlay(spark, d).select("tile_id").distinct(), "tile_id", "left_semi")
+    mask, with_overlay = _mask(spark, d)
+    covered = view(spark, d, "tiles").filter("tile_id % 7 <> 3").join(with_overlay, "tile_id", "left_semi")
     box = covered.withColumn("lon_max", F.col("lon_min") + 0.01).select("tile_id", *[fixed.q7(F.col(c)).alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
-    return cloud.label_points(rows, _mask(spark, d), box, GRID, mode="zero").groupBy("tile_id", "label").agg(F.count("*").alias("n"))
+    return cloud.label_points(rows, mask, box, GRID, mode="zero").groupBy("tile_id", "label").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- files written and read back
@@ -567,6 +608,12 @@ def label_precedence(spark, d):
 )
 def tile_codec_roundtrip(spark, d):
     """Quantised tiles as binary files, every second with labels, written and read back."""
+    back = codec.read_tiles(spark, _written_tiles(spark, d), strict=True).withColumn("name", names.stem(F.col("path")))
+    flat = codec.points_of(back, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("units_per_metre").alias("upm"), *[F.min(f"a{a}").alias(f"a{a}") for a in "xyz"], *[F.sum(f"d{a}").alias(f"sum_d{a}") for a in "xyz"], F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("labels"))
+    return flat.join(back.select("name", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]), "name")
+
+
+def _written_tiles(spark, d) -> str:
     found, rows = _anchored(spark, d)
     point = F.struct("dx", "dy", "dz", F.when(F.col("tile_id") % 2 == 0, F.col("label")).cast("smallint").alias("label"))
     packed = rows.groupBy("tile_id").agg(F.collect_list(point).alias("points"))
@@ -576,10 +623,14 @@ def tile_codec_roundtrip(spark, d):
     empty = F.lit(None).cast("struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>")
     tiles = tiles.select(name.alias("prefix"), F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.concat(F.lit("tile_"), name)).alias("tile_key"), (F.col("tile_id") % 2 == 0).alias("labelled"), "points", "extent", empty.alias("mask"))
     folder = files.fresh_folder(spark, "tiles")
-    sinks.write_tiles(tiles, folder, overwrite=True).write.format("noop").mode("overwrite").save()
-    back = codec.read_tiles(spark, folder, strict=True).withColumn("name", names.stem(F.col("path")))
-    flat = codec.points_of(back, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("units_per_metre").alias("upm"), *[F.min(f"a{a}").alias(f"a{a}") for a in "xyz"], *[F.sum(f"d{a}").alias(f"sum_d{a}") for a in "xyz"], F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("labels"))
-    return flat.join(back.select("name", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]), "name")
+    sinks.write_tiles(tiles, folder, overwrite=True)
+    return folder
+
+
+@query(ORACLES["dataset_stats"])
+def tile_header_stats(spark, d):
+    """Statistics of the set from tile files' headers: their points are not read."""
+    return _stats_row(cloud.dataset_stats(load.summary(spark, _written_tiles(spark, d))))
 
 
 @query(f"WITH {ctes('tiles')} SELECT prefix, {', '.join(f'CAST(round({c}*1e7) AS INTEGER) AS {c}' for c in ('lon_min', 'lat_min', 'lon_max', 'lat_max'))} FROM tiles")
@@ -745,8 +796,9 @@ _P, _M = CAMERA.position(), CAMERA.matrix(VIEWPORT[0] / VIEWPORT[1])
 
 
 _LENS = render.NEAR * render.FAR / (render.NEAR - render.FAR)
-_EYE = f"""cam AS (SELECT *, CASE step WHEN 1 THEN 6e3*pow(11e-1, -3e0) WHEN 2 THEN 1e1 WHEN 3 THEN 1e6 ELSE 6e3 END AS radius, CASE WHEN step = 4 THEN pi() - 40*5e-3 ELSE pi() END AS az,
-  CASE step WHEN 4 THEN pi()/6 + 25*5e-3 WHEN 5 THEN radians(89) WHEN 6 THEN radians(1) ELSE pi()/6 END AS el, radians(5251e-2) AS phi, radians(1339e-2) AS lam FROM (SELECT unnest(generate_series(0, 6)) AS step)),
+def _eye_sql(cameras: str) -> str:
+    """Cameras (step, radius, az, el, phi, lam) with where they stand and their axes."""
+    return f"""cam AS ({cameras}),
 targ AS (SELECT *, {num(geo.A)}/sqrt(1 - {num(geo.E2)}*sin(phi)*sin(phi)) AS nn FROM cam),
 tgt AS (SELECT *, nn*cos(phi)*cos(lam) AS tx, nn*cos(phi)*sin(lam) AS ty, nn*(1 - {num(geo.E2)})*sin(phi) AS tz, radius*cos(el)*sin(az) AS oe, radius*cos(el)*cos(az) AS os, radius*sin(el) AS ou FROM targ),
 eye AS (SELECT step, tx, ty, tz, tx - sin(lam)*oe - sin(phi)*cos(lam)*os + cos(phi)*cos(lam)*ou AS px, ty + cos(lam)*oe - sin(phi)*sin(lam)*os + cos(phi)*sin(lam)*ou AS py, tz + cos(phi)*os + sin(phi)*ou AS pz FROM tgt),
@@ -756,6 +808,52 @@ sid AS (SELECT *, fy*uz - fz*uy AS ax, fz*ux - fx*uz AS ay, fx*uy - fy*ux AS az
 side AS (SELECT *, ax/sqrt(ax*ax + ay*ay + az*az) AS sx, ay/sqrt(ax*ax + ay*ay + az*az) AS sy, az/sqrt(ax*ax + ay*ay + az*az) AS sz FROM sid)"""
 
 
+_EYE = _eye_sql(
+    """SELECT *, CASE step WHEN 1 THEN 6e3*pow(11e-1, -3e0) WHEN 2 THEN 1e1 WHEN 3 THEN 1e6 ELSE 6e3 END AS radius, CASE WHEN step = 4 THEN pi() - 40*5e-3 ELSE pi() END AS az,
+  CASE step WHEN 4 THEN pi()/6 + 25*5e-3 WHEN 5 THEN radians(89) WHEN 6 THEN radians(1) ELSE pi()/6 END AS el, radians(5251e-2) AS phi, radians(1339e-2) AS lam FROM (SELECT unnest(generate_series(0, 6)) AS step)"""
+)
+_CAMERAS = "SELECT n_nationkey AS step, n_nationkey AS tile_id, 5246e-2 + floor(n_nationkey/5e0)*2e-2 + 1e-2 AS lat, 1334e-2 + (n_nationkey % 5)*2e-2 + 1e-2 AS lon, n_nationkey - 12 AS zoom, n_nationkey*31 - 300 AS dx, n_nationkey*13 - 150 AS dy FROM {nation}"
+_VIEWS = _eye_sql(
+    f"""SELECT step, tile_id, greatest(least(5e3*pow(11e-1, -CAST(zoom AS DOUBLE)), 1e6), 1e1) AS radius, pi() - dx*5e-3 AS az, greatest(least(pi()/6 + dy*5e-3, radians(89)), radians(1)) AS el, radians(lat) AS phi, radians(lon) AS lam FROM ({_CAMERAS.format(nation='nation')})"""
+)
+_VIEW_ROWS = {
+    "x": [f"(-s{c}/tan(radians(30))*{VIEWPORT[1]}e0/{VIEWPORT[0]}e0)" for c in "xyz"],
+    "y": [f"(-({e})/tan(radians(30)))" for e in ("sy*fz - sz*fy", "sz*fx - sx*fz", "sx*fy - sy*fx")],
+    "z": [f"(5e-1*(1e0 - {num(render.FAR)}/({num(render.NEAR)} - {num(render.FAR)}))*f{c})" for c in "xyz"],
+    "w": [f"f{c}" for c in "xyz"],
+}
+
+
+def _cameras(spark, d) -> DataFrame:
+    """A camera above each tile, zoomed and dragged differently."""
+    rows = spark.sql(_CAMERAS, nation=spark.read.parquet(f"{d}/nation.parquet"))
+    azimuth, elevation = render.dragged(F.lit(math.pi), F.lit(math.pi / 6), F.col("dx"), F.col("dy"))
+    rows = rows.withColumns({"radius": render.zoomed(F.lit(5000.0), F.col("zoom")), "azimuth": azimuth, "elevation": elevation})
+    return render.looking(render.orbiting(rows), VIEWPORT[0] / VIEWPORT[1])
+
+
+@query(
+    f"""WITH {_VIEWS} SELECT step AS tile_id, {', '.join(f"{big(f'{c}*1e3')} AS {c}_mm" for c in ('px', 'py', 'pz'))},
+  {', '.join(f"{big(f'{e}*1e6')} AS {n}_{c}" for n, row in _VIEW_ROWS.items() for c, e in zip('xyz', row, strict=True))} FROM side"""
+)
+def camera_table(spark, d):
+    """Where the cameras of a table stand after zooming and dragging, and the rows of their clip matrices."""
+    rows = _cameras(spark, d)
+    return rows.select("tile_id", *[scaled(F.col(f"eye.{a}")).alias(f"p{a}_mm") for a in "xyz"], *[scaled(F.col(f"view.{n}.{a}"), 1e6).alias(f"{n}_{a}") for n in _VIEW_ROWS for a in "xyz"])
+
+
+@query(
+    f"""WITH {_VIEWS}, {ctes('points')}, c AS (SELECT v.step AS tile_id, {', '.join(f"(ex - px)*{r[0]} + (ey - py)*{r[1]} + (ez - pz)*{r[2]}{f' + 5e-1*{num(_LENS)}' if n == 'z' else ''} AS c{n}" for n, r in _VIEW_ROWS.items())} FROM {ECEF.format(src='points')} p JOIN side v ON v.step = p.l_orderkey % 25),
+f AS (SELECT *, CAST(floor((cx/cw + 1e0)*5e-1*{VIEWPORT[0]}) AS INTEGER) AS x, CAST(floor((1e0 - cy/cw)*5e-1*{VIEWPORT[1]}) AS INTEGER) AS y, greatest(least(cz/cw, 1e0), 0e0) AS z FROM c WHERE cw > 0)
+SELECT tile_id, y, x, count(*) AS n, {big('min(z)*1e7')} AS z_q7 FROM f WHERE x BETWEEN 0 AND {VIEWPORT[0] - 1} AND y BETWEEN 0 AND {VIEWPORT[1] - 1} GROUP BY 1, 2, 3"""
+)
+def camera_table_views(spark, d):
+    """Every point in the view of one of the table's cameras: pixels, how many points, the nearest depth."""
+    points = _points(spark, d).select((F.col("l_orderkey") % 25).alias("tile_id"), "ex", "ey", "ez")
+    found = render.seen(points, _cameras(spark, d), "tile_id", *VIEWPORT)
+    return found.groupBy("tile_id", "y", "x").agg(F.count("*").alias("n"), scaled(F.min("z"), 1e7).alias("z_q7"))
+
+
 @query(
     f"""WITH {_EYE}
 SELECT CAST(step AS BIGINT) AS step, {', '.join(f"{big(f'{c}*1e3')} AS {c}_mm" for c in ('px', 'py', 'pz'))},
@@ -871,6 +969,25 @@ def crt_pass_all(spark, d):
     return _rgb(render.crt(render.tint(_screen(spark, d, _ALL_FRAG)), *WIDE, time=0.5))
 
 
+def _chain_sql() -> str:
+    """All passes in their order, each from the one before."""
+    shift, screen = _shift_sql(_ALL_SQL, WIDE), _crt_sql(_ALL_SQL, WIDE)
+    moved = shift[shift.index(", s AS (SELECT *,") + 2 : shift.index(" SELECT y, x,", shift.index("o AS ("))]
+    last = screen[screen.index(", u AS (SELECT *,") + 2 :]
+    lit = f"""solid AS (SELECT y, x, z FROM pix WHERE {_SOLID}), step(i) AS (VALUES (-1), (0), (1)),
+d AS (SELECT a.y, a.x, sum(greatest(ln(n.z + 1e-6) - ln(a.z + 1e-6), 0e0)) AS s FROM (SELECT solid.*, y + v.i AS ny, x + h.i AS nx FROM solid CROSS JOIN step v CROSS JOIN step h WHERE v.i <> 0 OR h.i <> 0) a JOIN solid n ON n.y = ny AND n.x = nx GROUP BY 1, 2),
+lit AS (SELECT pix.y, pix.x, z, label, tag, {', '.join(f'{c}*CASE WHEN {_SOLID} THEN exp(-14e-1*coalesce(s, 0e0)) ELSE 1e0 END AS {c}' for c in 'rgb')} FROM pix LEFT JOIN d USING (y, x)),
+toned AS (SELECT y, x, z, label, tag, {', '.join(f'CASE WHEN z < 9999e-4 AND label <> 0 THEN {c}*2e-1 + c{c}*8e-1 ELSE {c} END AS {c}' for c in 'rgb')} FROM lit JOIN col ON col.class = lit.label)"""
+    moved = moved.replace("FROM tinted", "FROM toned").replace("JOIN tinted", "JOIN toned").replace("SELECT s.y, s.x,", "SELECT s.y, s.x, s.z, s.label, s.tag,").replace("o AS (", "moved AS (")
+    return f"WITH {_ALL_SQL}, {lit}, {moved}, {last.replace('FROM tinted', 'FROM moved')}"
+
+
+@query(_chain_sql())
+def post_chain(spark, d):
+    """Lighting, class colours, colour shift and screen, one after the other."""
+    return _rgb(render.post_chain(_screen(spark, d, _ALL_FRAG), *WIDE, shift=0.03, time=0.5))
+
+
 def _debug_sql(screen: str) -> str:
     return f"""WITH {screen}, o AS (SELECT 1 AS mode, y, x, 1e0 - greatest(least(z, 1e0), 0e0) AS r, 1e0 - greatest(least(z, 1e0), 0e0) AS g, 1e0 - greatest(least(z, 1e0), 0e0) AS b FROM pix
 UNION ALL SELECT 2, y, x, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cr END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cg END, CASE WHEN z >= 9999e-4 THEN 5e-2 ELSE cb END FROM pix JOIN col ON class = label
@@ -913,6 +1030,22 @@ def ground_grid(spark, d):
     return render.ground_grid(rows, 400.0).select(*KEYS, scaled(F.col("opacity"), 1e6).alias("opacity_u"))
 
 
+_GROUND = "SELECT DISTINCT CAST((l_partkey*7 + l_suppkey) % 640 AS INTEGER) AS x, CAST((l_orderkey*5 + l_linenumber*11) % 360 AS INTEGER) AS y FROM {lineitem}"
+_ON_GROUND = "(x - 3200e-1)*(36e3/(y + 40e0))/64e1 AS px, 36e4/(y + 40e0) + x*1e-2 AS py"
+
+
+@query(
+    f"""WITH p AS (SELECT *, {_ON_GROUND} FROM ({_GROUND.format(lineitem='lineitem')})),
+m AS (SELECT p.*, {', '.join(f'coalesce(abs(h.p{c} - p.p{c}), 0e0) + coalesce(abs(v.p{c} - p.p{c}), 0e0) AS f{c}' for c in 'xy')} FROM p LEFT JOIN p h ON h.y = p.y AND h.x = xor(p.x, 1) LEFT JOIN p v ON v.x = p.x AND v.y = xor(p.y, 1))
+SELECT y, x, {big('fx*1e3')} AS fx_mm, {big('fy*1e3')} AS fy_mm, {big(f'({_ground(100.0)}*(1e0 - (log10(4e2) - 2e0)) + {_ground(1000.0)}*(log10(4e2) - 2e0))*1e-1*1e6')} AS opacity_u FROM m WHERE fx > 0 AND fy > 0"""
+)
+def ground_footprints(spark, d):
+    """The ground grid on a screen, with pixel footprints from the pixels' own quads."""
+    rows = spark.sql(f"SELECT *, {_ON_GROUND} FROM ({_GROUND})", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    found = render.ground_grid(render.footprints(rows, px="fx", py="fy").filter("fx > 0 and fy > 0"), 400.0)
+    return found.select("y", "x", scaled(F.col("fx")).alias("fx_mm"), scaled(F.col("fy")).alias("fy_mm"), scaled(F.col("opacity"), 1e6).alias("opacity_u"))
+
+
 @query(
     f"""WITH {ctes('points')}, c AS (SELECT {K}, {_clip(0)} AS cx, {_clip(1)} AS cy, {_clip(3)} AS cw FROM {ECEF.format(src='points')}),
 q(corner, u, v) AS (VALUES (0, -1e0, -1e0), (1, 1e0, -1e0), (2, 1e0, 1e0), (3, -1e0, -1e0), (4, 1e0, 1e0), (5, -1e0, 1e0))
