@@ -77,7 +77,8 @@ def _capsule_row(grid: int) -> tuple[Column, Column]:
         lefts.append(crossing)
         rights.append(crossing)
     first, last = F.ceil(F.least(*lefts) - 0.5).cast("int"), F.floor(F.greatest(*rights) - 0.5).cast("int")
-    return F.greatest(first, F.lit(0)), F.least(last, F.lit(grid - 1))
+    # a row beyond the outline has no crossing, and no pixel
+    return F.when(first.isNotNull(), F.greatest(first, F.lit(0))), F.when(last.isNotNull(), F.least(last, F.lit(grid - 1)))
 
 
 def buffer_lines(lines: DataFrame, grid: int, distinct: bool = True) -> DataFrame:

@@ -56,16 +56,19 @@ SPLIT = 32 << 20
 LINES = 50_000
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path) -> (path, part, first byte, byte after the last); an archive is one part."""
-    for path in (p for b in batches for p in b.column(0).to_pylist()):
-        fs, name = files.filesystem(path)
-        size = fs.get_file_info(name).size
-        if size is None:
-            raise FileNotFoundError(path)
-        step = max(1, size) if path.endswith(".zip") else SPLIT
-        first = list(range(0, max(1, size), step))
-        yield pa.RecordBatch.from_arrays([pa.array([path] * len(first)), *(pa.array(x, pa.int64()) for x in (range(len(first)), first, [min(size, x + step) for x in first]))], names=["path", "part", "first", "end"])
+def _splits(split: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (path) -> (path, part, first byte, byte after the last); an archive is one part."""
+        for path in (p for b in batches for p in b.column(0).to_pylist()):
+            fs, name = files.filesystem(path)
+            size = fs.get_file_info(name).size
+            if size is None:
+                raise FileNotFoundError(path)
+            step = max(1, size) if path.endswith(".zip") else split
+            first = list(range(0, max(1, size), step))
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(first)), *(pa.array(x, pa.int64()) for x in (range(len(first)), first, [min(size, x + step) for x in first]))], names=["path", "part", "first", "end"])
+
+    return run
 
 
 def _text_of(f: pa.NativeFile, first: int, end: int) -> io.BytesIO:
@@ -105,16 +108,16 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += n
 
 
-def read_lines(spark: SparkSession, paths: str | DataFrame) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | DataFrame, split: int = SPLIT) -> DataFrame:
     """(path, part, line_no, line) of mesh files; of an archive, its first member that is a mesh.
 
-    ``paths`` is a folder, or a table with a column ``path``.  A text is cut into parts of SPLIT bytes, at
+    ``paths`` is a folder, or a table with a column ``path``.  A text is cut into parts of ``split`` bytes, at
     line ends, which tasks read apart; ``line_no`` counts within a part.  An archive is read as a stream, so
     that one of any size takes little memory.
     """
     found = read_files(spark, paths) if isinstance(paths, str) else paths
     found = found.select("path").distinct()
-    parts = files.checkpointed(found.repartition(max(1, min(found.count(), 4096))).mapInArrow(_splits, "path string, part long, first long, end long"))
+    parts = files.checkpointed(found.repartition(max(1, min(found.count(), 4096))).mapInArrow(_splits(split), "path string, part long, first long, end long"))
     return parts.repartition(max(1, min(parts.count(), 1 << 16))).mapInArrow(_lines, "path string, part long, line_no long, line string")
 
 
@@ -129,10 +132,10 @@ def numbered(rows: DataFrame, group: str = "path", part: str = "part", order: st
     return rows.withColumn("_place", place).join(offsets, [group, part]).withColumn("vid", F.col("_before") + F.col("_place")).drop("_before", "_place")
 
 
-def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True, keep: Callable[[DataFrame], DataFrame] = files.checkpointed) -> DataFrame:
+def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True, keep: Callable[[DataFrame], DataFrame] = files.checkpointed, split: int = SPLIT) -> DataFrame:
     """(path, vid, x, y, z), ``vid`` counting a file's finite vertices in order.
 
     Files are parsed once: ``keep`` holds what was parsed until it is numbered.
     """
-    rows = vertices(read_lines(spark, paths), strict=strict).select("path", "part", "line_no", "x", "y", "z")
+    rows = vertices(read_lines(spark, paths, split), strict=strict).select("path", "part", "line_no", "x", "y", "z")
     return numbered(keep(rows)).select("path", "vid", "x", "y", "z")
