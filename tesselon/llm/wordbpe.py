@@ -2,8 +2,8 @@
 
 Method: one pass counts the corpus's words; the frequent ones are merged once and compiled into a
 minimal acyclic transducer, an automaton that shares prefixes and suffixes and whose arcs carry
-outputs that add up to a word's number, under which its ids are stored.  The file is distributed to
-the executors and memory-mapped.  Words that the transducer does not know are merged exactly there.
+outputs that add up to a word's number, under which its ids are stored.  The file lies in the shared
+folder and is memory-mapped.  Words that the transducer does not know are merged exactly there.
 The lexicon therefore only saves time: any lexicon gives the same ids.
 
 Handles the ``tokenizers`` model kind of the vocabulary file ``word_bpe_49k.json``: NFC, white space,
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tesselon.llm import pieces, store
@@ -109,9 +109,15 @@ class Transducer:
         return b"".join(p.astype("<i8").tobytes() for p in [np.array([len(p) for p in parts]), *parts])
 
     @classmethod
-    def map(cls, path: str) -> Transducer:
-        sizes = np.fromfile(path, "<i8", 6)
-        everything = np.memmap(path, "<i8", "r")
+    def map(cls, uri: str) -> Transducer:
+        """Mapped into memory where the shared folder is mounted, else read once."""
+        fs, path = store.filesystem(uri)
+        if isinstance(fs, pafs.LocalFileSystem):
+            everything = np.memmap(path, "<i8", "r")
+        else:
+            with fs.open_input_file(path) as f:
+                everything = np.frombuffer(f.read(), "<i8")
+        sizes = everything[:6]
         ends = np.cumsum(sizes) + 6
         return cls(*(everything[e - s : e] for s, e in zip(sizes, ends, strict=True)))
 
@@ -378,22 +384,20 @@ def frequent_words(docs: DataFrame, size: int = 1 << 15, text: str = "text") ->
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 15, text: str = "text") -> str:
-    """Compile the transducer on the driver (``size`` words at most); returns its file's name.
+    """Compile the transducer on the driver (``size`` words at most); returns its file's place.
 
-    The file lies in the shared folder; executors fetch it once and map it into memory.
+    The file lies in the shared folder, from which executors map it into memory.
     """
     words = sorted(r.word for r in frequent_words(docs, size, text).collect())
     v = Vocabulary(vocabulary)
     t = Transducer.build(words, [v.merge(w) for w in words])
     spark = docs.sparkSession
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    uri = f"{store.shared_root(spark)}/{name}"
+    uri = f"{store.shared_root(spark)}/lexicon-{uuid.uuid4().hex}.bin"
     fs, path = store.filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     with fs.open_output_stream(path, compression=None) as out:
         out.write(t.packed())
-    spark.sparkContext.addFile(uri)
-    return name
+    return uri
 
 
 # ---------------------------------------------------------------- operator
@@ -409,7 +413,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, key: str = "do
     key_type = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary, SparkFiles.get(lexicon) if lexicon else None)
+        e = encoder(vocabulary, lexicon)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n, ids, decoded = [], [], []
@@ -430,7 +434,7 @@ def encode_all(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     try:
         return store.written(encode(docs, vocabulary, lexicon, key, text, digests), "encoded")
     finally:
-        store.delete(docs.sparkSession, f"{store.shared_root(docs.sparkSession)}/{lexicon}")
+        store.delete(docs.sparkSession, lexicon)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
