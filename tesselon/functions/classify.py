@@ -76,6 +76,10 @@ def highway(kind: Column, lane_count: Column, width: Column) -> tuple[Column, Co
     return cls, wide.cast("float")
 
 
+#: A way without any of these tags has no class.
+KEYS = ("building", "highway", "natural", "waterway", "landuse", "leisure", "railway", "amenity")
+
+
 def way_class(tag) -> Column:
     """struct(class, width_m, is_area) by the first rule that holds, null if none does.
 

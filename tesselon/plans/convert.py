@@ -47,9 +47,9 @@ def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options, s
     padded = spatial.pad_tiles(boxed, options.margin_m)
     # nodes outside all boxes together cannot be kept: one row of bounds sifts them before the join
     bounds = padded.agg(*[f(c).alias(c) for c, f in (("lon_min", F.min), ("lat_min", F.min), ("lon_max", F.max), ("lat_max", F.max))]).first()
-    within = F.col("lon").between(bounds.lon_min, bounds.lon_max) & F.col("lat").between(bounds.lat_min, bounds.lat_max)
-    kept = scratch.stored(spatial.keep_nodes(pbf.read_nodes(spark, osm).filter(within), padded), "nodes")
-    ways = pbf.read_ways(spark, osm)
+    nodes = pbf.read_nodes(spark, osm, (bounds.lon_min, bounds.lat_min, bounds.lon_max, bounds.lat_max))
+    kept = scratch.stored(spatial.keep_nodes(nodes, padded), "nodes")
+    ways = pbf.read_ways(spark, osm, classify.KEYS)
     kind = classify.way_class(lambda k: F.try_element_at("tags", F.lit(k)))
     # and ways of no class need no vertices
     classed = scratch.stored(ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "refs", "c"), "ways")

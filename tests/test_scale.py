@@ -2,7 +2,9 @@
 
 import os
 import random
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselon.operators import cloud, ordered, raster, render, spatial, tiles as tiling
 from tesselon.plans import convert, load
-from tesselon.sources import codec, obj, sinks
+from tesselon.sources import codec, obj, pbf, sinks
 
 
 def plan(df):
@@ -90,7 +92,7 @@ def mesh(n):
     return "".join(f"v {k}.5 {k % 7} 1\n" if k % 5 else f"# {'x' * (k % 90)}\n" for k in range(n))
 
 
-@pytest.mark.parametrize("split", [1, 7, 64, 1000, 1 << 20])
+@pytest.mark.parametrize("split", [7, 64, 1000, 1 << 20])
 def test_meshes_are_read_by_splits(spark, tmp_path, split):
     n = 60 if split < 64 else 400
     texts = {"a": mesh(n), "b": mesh(n).rstrip("\n"), "c": "", "d": "\n\nv 1 2 3\r\n\n", "e": "v 1 2 3", "f": "# é ü 日本\nv 4 5 6\n"}
@@ -220,3 +222,61 @@ def test_footprints_of_quads(spark):
     for (y, x), own in value.items():
         sides = [value.get((y, x ^ 1)), value.get((y ^ 1, x))]
         assert got[y, x] == tuple(sum(abs(s[i] - own[i]) for s in sides if s) for i in range(2))
+
+
+def other_writer(path, count, seed):
+    """A map as another program may write it: headers with an index field, raw and packed bodies, texts that look like headers."""
+    from tests.test_sources import deltas, field, varint, zz
+
+    rng = random.Random(seed)
+    nodes, ways, order = [], [], []
+    with open(path, "wb") as f:
+
+        def block(kind, raw):
+            body = field(1, raw) if rng.random() < 0.5 else field(2, len(raw)) + field(3, zlib.compress(raw))
+            head = field(1, kind) + (field(2, rng.randbytes(9)) if rng.random() < 0.5 else b"") + field(3, len(body))
+            f.write(struct.pack(">I", len(head)) + head + body)
+
+        block(b"OSMHeader", field(4, b"OsmSchema-V0.6"))
+        for k in range(count):
+            strings = [b"", b"name", b"\x0a\x07OSMData\x18\x05", *([b"building", b"yes"] if k % 3 == 0 else [])]
+            own = [(100 * k + i, rng.randrange(-1800000000, 1800000000), rng.randrange(-900000000, 900000000)) for i in range(rng.randrange(1, 9))]
+            nodes += own
+            group = field(2, field(1, deltas([n[0] for n in own])) + field(8, deltas([n[2] for n in own])) + field(9, deltas([n[1] for n in own])))
+            raw = field(1, b"".join(field(1, x) for x in strings)) + field(2, group)
+            for i in range(rng.randrange(4)):
+                tags = [3] if k % 3 == 0 and i % 2 else [1]
+                ways.append((1000 * k + i, {strings[t].decode() for t in tags}))
+                raw += field(2, field(3, field(1, 1000 * k + i) + field(2, b"".join(map(varint, tags))) + field(3, b"".join(varint(t + 1) for t in tags)) + field(8, deltas([zz(i), k]))))
+            block(b"OSMData", raw)
+            order.append(k)
+        block(b"Future", b"xyz")
+    return nodes, ways
+
+
+@pytest.mark.parametrize("split", [40, 300, 5000, 64 << 20])
+def test_maps_are_read_by_ranges(spark, tmp_path, split):
+    count = 25
+    nodes, ways = other_writer(tmp_path / "b.pbf", count, split)
+    more, others = other_writer(tmp_path / "a.pbf", 3, 1)
+    (tmp_path / "c.txt").write_text("no map")
+    listed = pbf.blocks(spark, str(tmp_path), split).orderBy("block").collect()
+    assert [r.block for r in listed] == list(range(count + 3)) and [os.path.basename(r.path)[0] for r in listed] == ["a"] * 3 + ["b"] * count
+    assert [r.offset for r in listed[3:]] == sorted(r.offset for r in listed[3:])
+    got = pbf.read_nodes(spark, str(tmp_path), split=split).collect()
+    assert sorted((r.node_id, round(r.lon * 1e7), round(r.lat * 1e7)) for r in got) == sorted(nodes + more)
+    box = (-60.0, -30.0, 120.0, 45.5)
+    inside = [n for n in nodes + more if -60e7 <= n[1] <= 120e7 and -30e7 <= n[2] <= 45.5e7]
+    assert sorted(r.node_id for r in pbf.read_nodes(spark, str(tmp_path), box, split).collect()) == sorted(n[0] for n in inside)
+    everything = pbf.read_ways(spark, str(tmp_path), split=split).orderBy("seq").collect()
+    assert [(r.way_id, set(r.tags)) for r in everything] == others + ways
+    some = pbf.read_ways(spark, str(tmp_path), ["building", "highway"], split).orderBy("seq").collect()
+    assert [(r.way_id, r.seq) for r in some] == [(r.way_id, r.seq) for r in everything if "building" in r.tags]
+
+
+def test_a_broken_map_fails(spark, tmp_path):
+    other_writer(tmp_path / "a.pbf", 5, 1)
+    data = (tmp_path / "a.pbf").read_bytes()
+    (tmp_path / "a.pbf").write_bytes(data[:-40])
+    with pytest.raises(Exception, match="no block at byte"):
+        pbf.read_nodes(spark, str(tmp_path)).collect()
