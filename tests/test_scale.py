@@ -1,5 +1,6 @@
 """What keeps work bounded: ordered lookups, spans, splits, headers, and a sink that commits."""
 
+import json
 import os
 import random
 import struct
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesselon.operators import cloud, ordered, raster, render, spatial, tiles as tiling
 from tesselon.plans import convert, load
-from tesselon.sources import codec, obj, pbf, sinks
+from tesselon.sources import codec, features, obj, pbf, sinks
 
 
 def plan(df):
@@ -280,3 +281,30 @@ def test_a_broken_map_fails(spark, tmp_path):
     (tmp_path / "a.pbf").write_bytes(data[:-40])
     with pytest.raises(Exception, match="no block at byte"):
         pbf.read_nodes(spark, str(tmp_path)).collect()
+
+
+def collection(rng, n):
+    def feature(k):
+        ring = [[round(rng.uniform(-90, 90), 4), round(rng.uniform(-60, 60), 4)] for _ in range(rng.randrange(3, 6))]
+        odd = rng.choice(["", 'quote \\" brace {', "back\\\\", "é 日本 ]}", "features"])
+        body = {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"note": odd, "features": [{"x": [1]}], "url": f"http://x/t_{k}.zip"}}
+        return body, ring
+
+    made = [feature(k) for k in range(n)]
+    head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "features", "list": [{"a": {}}]}}, "others": [{"geometry": {"coordinates": []}, "properties": {"url": "no"}}]}
+    whole = head | {"features": [f for f, _ in made], "after": [{"features": [{}]}], "last": "x"}
+    return json.dumps(whole, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])), [(f"t_{k}", *(g(v[i] for v in ring) for g, i in ((min, 0), (min, 1), (max, 0), (max, 1)))) for k, (_, ring) in enumerate(made)]
+
+
+@pytest.mark.parametrize("split, n", [(23, 6), (100, 12), (1000, 40), (32 << 20, 40)])
+def test_collections_are_read_by_ranges(spark, tmp_path, split, n):
+    text, want = collection(random.Random(split), n)
+    (tmp_path / "i.json").write_text(text)
+    assert sorted(tuple(r) for r in features.read_index(spark, str(tmp_path), split).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ['{"features": [1, {"a": 1}]}', '{"features": [{"geometry": {"coordinates": [[[1, 2]]]}, "properties": {}}]}', '{"features": [{"geometry": {"coordinates": [[[1, 2, 3]]]}, "properties": {"url": "a"}}]}', '{"feature": []}', '{"features": [{"properties": {"url": "a"}', '{"features": [[{}]]}', '{"features": {"a": {}}}', "[]"])
+def test_malformed_collections_fail(spark, tmp_path, text):
+    (tmp_path / "i.json").write_text(text)
+    with pytest.raises(Exception, match="malformed|MALFORMED"):
+        features.read_index(spark, str(tmp_path)).collect()
