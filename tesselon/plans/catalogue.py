@@ -16,6 +16,7 @@ from tesselon.operators import cloud, progress, raster, render, spatial, tiles a
 from tesselon.plans import convert, load, samples
 from tesselon.plans.fixtures import ctes, view
 from tesselon.sources import codec, features, files, obj, pbf, sinks
+from tesselon.streaming import ingest
 
 GRID = 64
 #: A conversion's own grid.
@@ -633,6 +634,14 @@ def tile_header_stats(spark, d):
     return _stats_row(cloud.dataset_stats(load.summary(spark, _written_tiles(spark, d))))
 
 
+@query(ORACLES["dataset_stats"])
+def streamed_stats(spark, d):
+    """The same, kept up to date by a stream of tile files in several micro-batches."""
+    kept, checkpoint = (files.fresh_folder(spark, n) for n in ("headers", "progress"))
+    ingest.keep_headers(spark, _written_tiles(spark, d), kept, checkpoint, files_per_batch=10).awaitTermination()
+    return _stats_row(ingest.running_stats(spark, kept))
+
+
 @query(f"WITH {ctes('tiles')} SELECT prefix, {', '.join(f'CAST(round({c}*1e7) AS INTEGER) AS {c}' for c in ('lon_min', 'lat_min', 'lon_max', 'lat_max'))} FROM tiles")
 def feature_index(spark, d):
     """The index of the tiles' boxes, written as one feature collection and scanned."""

@@ -282,8 +282,16 @@ mask struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:
 def read_headers(spark: SparkSession, folder: str, strict: bool = False, masks: bool = False) -> DataFrame:
     """A row for each tile file with all but its points, which are not read; ``n`` counts them.
 
-    Files are found by the engine, without their contents; tasks read their headers by range.  Without
-    ``masks`` a mask's ``data`` is empty and not read either.  Errors are those of ``read_tiles``.
+    Files are found by the engine, without their contents.  Errors are those of ``read_tiles``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{EXTENSION}").load(folder)
+    return parse_headers(files, strict, masks)
+
+
+def parse_headers(files: DataFrame, strict: bool = False, masks: bool = False) -> DataFrame:
+    """Rows of (path, length), also of a stream, as tiles' headers, which tasks read by range.
+
+    Without ``masks`` a mask's ``data`` is empty and not read either.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +310,6 @@ def read_headers(spark: SparkSession, folder: str, strict: bool = False, masks:
                 columns = {c: row.column(c) for c in row.schema.names if c != "points"}
                 yield pa.RecordBatch.from_arrays([columns["path"], columns["error"], pa.array([n], pa.int64()), *list(columns.values())[2:]], names=["path", "error", "n", *list(columns)[2:]])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{EXTENSION}").load(folder)
     return files.select("path", "length").mapInArrow(run, HEADER_SCHEMA)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tesselon.operators import cloud, ordered, raster, render, spatial, tiles as tiling
 from tesselon.plans import convert, load
 from tesselon.sources import codec, features, obj, pbf, sinks
+from tesselon.streaming import ingest
 
 
 def plan(df):
@@ -308,3 +309,14 @@ def test_malformed_collections_fail(spark, tmp_path, text):
     (tmp_path / "i.json").write_text(text)
     with pytest.raises(Exception, match="malformed|MALFORMED"):
         features.read_index(spark, str(tmp_path)).collect()
+
+
+def test_statistics_follow_new_files(spark, tmp_path):
+    folder = tmp_path / "tiles"
+    folder.mkdir()
+    for n in (3, 40, 500):
+        (folder / f"t{n}.hypc").write_bytes(codec.dump(tile(n)))
+        (folder / f"bad{n}.hypc").write_bytes(b"nothing")
+        ingest.keep_headers(spark, str(folder), str(tmp_path / "kept"), str(tmp_path / "progress"), files_per_batch=2).awaitTermination()
+        now = ingest.running_stats(spark, str(tmp_path / "kept")).first()
+        assert now == load.stats(load.summary(spark, str(folder))).first() and now.points == sum(k for k in (3, 40, 500) if k <= n)
