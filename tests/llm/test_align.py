@@ -70,7 +70,7 @@ def brute(encode, texts):
 
 @pytest.mark.parametrize("hot", [align.HOT, 300, 0])
 def test_summary(spark, slow, hot, monkeypatch):
-    texts = [t if t is None else t[:3000] for t in TEXTS] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts = [t if t is None else t[:3000] for t in TEXTS] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()]
     texts = [t if t is None or len(t) < 6000 else t[:6000] for t in texts]
     want = brute(slow, texts)
     got = align.summary(documents(spark, texts).repartition(3), A, B, hot=hot).collect()

@@ -604,7 +604,7 @@ def test_every_code_point_is_lowered_as_the_library_does():
         assert np.frombuffer(ids, "<u4").tolist() == w.ids, ascii(t)
 
 
-@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000"])
+@pytest.mark.parametrize("blank", [" ", "\n", "\t "])
 def test_long_white_space_is_packed(spark, blank):
     n = 10_000_000
     texts = [blank * (n // len(blank)), "a b" + blank * 1_500_000 + "c"]
