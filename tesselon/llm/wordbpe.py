@@ -236,15 +236,25 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+#: Characters met that Python's tables know.
+_known: set[str] = set()
+
+
+def newer(text: str) -> bool:
+    """Whether ``text`` has a character that Python's tables do not know."""
+    fresh = set(text) - _known
+    if any(unicodedata.category(c) == "Cn" for c in fresh):
+        return True
+    _known.update(fresh)
+    return False
+
+
 @functools.cache
-def _newer() -> tuple[re.Pattern, Callable[[str], str]]:
-    """What finds characters that Python's tables do not know, and the library's own NFC and lower case."""
+def _library() -> Callable[[str], str]:
+    """The library's own NFC and lower case."""
     from tokenizers import normalizers
 
-    unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-    ends = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]]))).reshape(-1, 2)
-    found = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ends.tolist()) + "]")
-    return found, normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
 
 
 def normalised(text: str) -> str:
@@ -255,9 +265,8 @@ def normalised(text: str) -> str:
     """
     if text.isascii():
         return text.lower()
-    newer, normalise = _newer()
-    if newer.search(text):
-        return normalise(text)
+    if newer(text):
+        return _library()(text)
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     if "Σ" in text:
