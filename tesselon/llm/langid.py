@@ -6,9 +6,9 @@ each bit.  Decoding takes the codeword of least loss, every bit's logistic loss
 its classifier does on that language.  A prediction whose two best losses are close is flagged as
 ambiguous.
 
-The classifiers are fitted on the driver on at most ``per_language`` labelled rows for each language,
-and ``SAMPLE`` in all, chosen by a hash of the key; only their feature vectors, of fixed size, are
-collected.  Of more than ``LANGUAGES`` labels the most frequent are learned.
+Every label is learned.  The classifiers are fitted on the driver on at most ``per_language`` distinct
+texts of each language, chosen by a hash of the text, and on ``SAMPLE`` in all or, with more labels than
+that, on one of each; only their feature vectors, of fixed size, are collected.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tesselon.llm import pieces
 from tesselon.llm.store import by_slices
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 500
-#: Bounds of what the driver holds: labels that are learned, and labelled rows of all together.
-LANGUAGES, SAMPLE = 256, 12_000
+#: Texts of all labels together that the driver learns from, unless one of each are more.
+SAMPLE = 12_000
+#: Counts of labels, of about 50 bytes each, that are broadcast at most.
+LOOKUP = 1 << 16
 UNKNOWN = "und"
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 _SHIFT = np.uint32(32 - DIMENSIONS.bit_length() + 1)
@@ -65,18 +67,25 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """n rows of +1 and -1: exhaustive up to seven classes, else the best of random codes."""
+    """n rows of +1 and -1: exhaustive up to seven classes, else the best of random codes.
+
+    Beyond 256 classes fewer codes are tried, as what it takes to compare their words grows with the square.
+    """
     if n < 2:
         return np.ones((n, 0))
     if n <= 7:
         bits = np.array([[1, *rest] for rest in itertools.product((1, -1), repeat=n - 1)][1:])
         return bits.T.astype(np.float64)
     rng = np.random.default_rng(seed)
-    width = min(127, math.ceil(10 * math.log2(n)))
-    best, far = None, -1
-    for _ in range(200):
+    width = math.ceil(10 * math.log2(n))
+    best, far = None, -1.0
+    for _ in range(max(1, min(200, 200 * 256**2 // n**2))):
         c = rng.choice([-1.0, 1.0], (n, width))
-        d = ((width - c @ c.T) / 2 + np.eye(n) * width).min()
+        d = float(width)
+        for at in range(0, n, 512):
+            apart = (width - c[at : at + 512] @ c.T) / 2
+            apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = width
+            d = min(d, apart.min())
         if d > far and (np.abs(c.sum(0)) < n).all():
             best, far = c, d
     return best
@@ -90,7 +99,8 @@ class Model:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         margins = x @ self.weights + self.bias
-        return np.stack([(np.logaddexp(0, -margins * c) * t).sum(1) for c, t in zip(self.code, self.trust, strict=True)], 1)
+        plus, minus = np.logaddexp(0, -margins), np.logaddexp(0, margins)
+        return plus @ (self.trust * (self.code > 0)).T + minus @ (self.trust * (self.code < 0)).T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         x, some = features([t or "" for t in texts])
@@ -100,24 +110,29 @@ class Model:
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
-        ordered = np.sort(loss, 1)
-        gap = ordered[:, 1] - ordered[:, 0] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
+        gap = np.full(len(loss), np.inf)
+        if loss.shape[1] > 1:
+            two = np.partition(loss, 1, 1)
+            gap = two[:, 1] - two[:, 0]
         names = [self.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-        score = np.where(some, p[np.arange(len(best)), best], 0.0)
+        # rounded, as products of matrices of unlike sizes differ in their last digits
+        score = np.where(some, p[np.arange(len(best)), best], 0.0).round(9)
         return names, score.tolist(), (~some | (gap < self.ambiguous_below)).tolist()
 
 
 def train(x: np.ndarray, labels: list[str], steps: int = 80, ambiguous_below: float = 0.05) -> Model:
     languages = sorted(set(labels))
+    number = {v: k for k, v in enumerate(languages)}
+    ids = np.array([number[v] for v in labels], np.int64)
+    share = np.bincount(ids, minlength=len(languages))
     code = codewords(len(languages))
-    y = code[[languages.index(v) for v in labels]] if languages else np.zeros((0, 0))
+    y = code[ids] if languages else np.zeros((0, 0))
     bits = code.shape[1]
     w, b = np.zeros((x.shape[1], bits), np.float32), np.zeros(bits, np.float32)
     x = x.astype(np.float32)
     y = y.astype(np.float32)
     # rows of rare languages weigh as much as those of common ones
-    share = {v: labels.count(v) for v in languages}
-    weight = np.array([1 / (len(languages) * share[v]) for v in labels], np.float32)[:, None]
+    weight = (1 / (max(1, len(languages)) * share[ids])).astype(np.float32)[:, None]
     velocity = [np.zeros_like(w), np.zeros_like(b)]
     for _ in range(steps if bits else 0):
         pull = weight * y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
@@ -127,11 +142,10 @@ def train(x: np.ndarray, labels: list[str], steps: int = 80, ambiguous_below: fl
             p += v
     trust = np.ones((len(languages), bits))
     if bits:
-        right = (x @ w + b) * y > 0
-        for k, v in enumerate(languages):
-            trust[k] = right[[i for i, q in enumerate(labels) if q == v]].mean(0) + 1e-6
-            trust[k] /= trust[k].sum()
-        trust *= bits
+        trust[:] = 0
+        np.add.at(trust, ids, (x @ w + b) * y > 0)
+        trust = trust / share[:, None] + 1e-6
+        trust *= bits / trust.sum(1, keepdims=True)
     return Model(languages, code, w.astype(np.float64), b.astype(np.float64), trust, ambiguous_below)
 
 
@@ -142,17 +156,28 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([x[i].astype("<f2").tobytes() for i in keep.tolist()], pa.binary())], names=["a", "b"])
 
 
-def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on the rows where ``usable`` holds and text and language are there (a bounded sample)."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable")).filter("usable and lang is not null and text is not null")
-    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
-    per_language = min(per_language, SAMPLE // max(1, 2 * len(counts)))
+def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on the rows where ``usable`` holds and text and language are there (a bounded sample).
+
+    Of each label the distinct texts of smallest hash are taken, so that repeated rows count once and ids
+    play no part.  A null, empty or letterless text teaches nothing; a label with no other texts is not
+    learned.  Texts of any length count whole, other columns are ignored, and an empty table gives a model
+    that knows no language.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable")).filter("usable and lang is not null")
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = [(r["lang"], max(1, r["n"])) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()]
     if not counts:
         return train(np.zeros((0, DIMENSIONS), np.float32), [])
-    below = F.coalesce(*[F.when(F.col("lang") == v, F.lit(int(min(1.0, per_language / n) * (1 << 30)))) for v, n in sorted(counts.items())])
-    sample = rows.filter(F.col("h") < below).select("lang", "text", "h", "k").orderBy("h", "k").limit(2 * per_language * len(counts)).select("lang", "text")
+    per_language = max(1, min(per_language, SAMPLE // len(counts)))
+    # about twice as many as are needed pass a threshold; the first of them by hash are taken
+    shares = spark.createDataFrame([(v, min(1.0, 2.0 * max(16, per_language) / n)) for v, n in sorted(counts)], "lang string, share double")
+    near = F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    passed = rows.join(F.broadcast(shares) if len(counts) <= LOOKUP else shares, "lang").filter(near)
+    once = passed.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")
+    sample = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("lang", "text")
     got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(by_slices(_featurise), "lang string, x binary").collect())
     x = np.stack([np.frombuffer(v, "<f2").astype(np.float32) for _, v in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
     return train(x, [v for v, _ in got])
