@@ -2,8 +2,8 @@
 
 Method: a page becomes the sequence of its leaf blocks, the runs of text that no block element
 divides, each with the elements around it.  A conditional random field with two states, article and
-rest, sees which elements a block stands in, words of their class and id names, and features of its
-text.  It is trained by gradient ascent on the log-likelihood of labelled pages (``labelled_pages``
+rest, sees which elements a block stands in, words of their class and id names, whether its cell holds
+most of the text of a table that lays out the page, and features of its text.  It is trained by gradient ascent on the log-likelihood of labelled pages (``labelled_pages``
 makes them from many layouts), and decoded by Viterbi.  The text of the blocks in state article, in
 page order, is the result; nothing is capped.
 """
@@ -292,6 +292,63 @@ def _skip_head(page: Page, at: int) -> int:
         at = page.after(tag, raw.end()) or (raw.end() if tag == "template" else len(page.text))
 
 
+_CELLS = frozenset(("td", "th"))
+#: Elements that a table which lays out a page may stand in, as far as the text itself is concerned.
+_TEXT = frozenset(("article", "main"))
+#: Elements of a table; a cell with any other block in it lays out a page.
+_OF_TABLES = frozenset("table thead tbody tfoot tr td th caption".split())
+
+
+def layout_cells(blocks: list[tuple[str, Element | None, int]]) -> dict[Element, bool]:
+    """Elements in the cells of tables that lay out the page: whether all cells around hold the most of theirs.
+
+    A table does so if one of its cells holds a block other than bare text and it is not part of an
+    article.  One pass from the innermost elements outwards and one back, however deep they stand.
+    """
+    depth: dict[Element, int] = {}
+    size: dict[Element, int] = {}
+    for text, element, _ in blocks:
+        if element is not None:
+            size[element] = size.get(element, 0) + len(text)
+        way = []
+        while element is not None and element not in depth:
+            way.append(element)
+            element = element.above
+        k = depth[element] if element is not None else 0
+        for x in reversed(way):
+            k += 1
+            depth[x] = k
+    if not any(x.tag in _CELLS for x in depth):
+        return {}
+    inner = sorted(depth, key=depth.__getitem__, reverse=True)
+    for x in inner:
+        if x.above is not None:
+            size[x.above] = size.get(x.above, 0) + size.get(x, 0)
+    # (table, its cell, whether in an article) around each element, itself included
+    place: dict[Element | None, tuple[Element | None, Element | None, bool]] = {None: (None, None, False)}
+    most: dict[Element, int] = {}
+    lays: set[Element] = set()
+    for x in reversed(inner):
+        table, cell, text = place[x.above]
+        if cell is not None and table is not None and not text and (x.tag == "table" or x.tag not in _OF_TABLES and x.tag not in _INLINE):
+            lays.add(table)
+        if x.tag == "table":
+            table, cell = x, None
+        elif x.tag in _CELLS and table is not None and cell is None:
+            cell = x
+            most[table] = max(most.get(table, 0), size[x])
+        place[x] = table, cell, text or x.tag in _TEXT
+    out: dict[Element, bool] = {}
+    for x in reversed(inner):
+        table, cell, _ = place[x]
+        above = out.get(x.above)
+        if x is cell and table in lays:
+            out[x] = above is not False and size[x] == most[table]
+        elif above is not None:
+            out[x] = above
+    return out
+
+
 def block_features(blocks: list[tuple[str, Element | None, int]], known: dict | None = None) -> list[list[str]]:
     """The features of each block; of the elements around it those in ``known``, if that is given."""
     out = []
@@ -308,10 +365,13 @@ def block_features(blocks: list[tuple[str, Element | None, int]], known: dict |
             memo[x] = f = (*f, *new) if new else f
         return f
 
+    cells = layout_cells(blocks)
     for text, element, linked in blocks:
         f = ["bias", *inside(element), f"block:{element.block if element else 'none'}"]
         if not any(x.startswith("name:") for x in f):
             f.append("unnamed")
+        if element in cells:
+            f.append("cell:most" if cells[element] else "cell:less")
         words = text.count(" ") + 1
         f.append(f"words:{min(7, words.bit_length())}")
         f.append("end:stop" if text[-1] in ".!?…:;\"”»" else "end:open")
@@ -401,7 +461,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate:
 _SYLLABLES = "ka lo mi ter an del sor vi ra ton el mar is pe qui nos ba re do lin".split()
 
 
-def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+def labelled_pages(count: int = 800, seed: int = 5) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """(html, [(text, 1 for article or 0)]) of pages in many layouts.
 
     Texts of both kinds are drawn alike, from one word to long paragraphs and from prose to shouting
@@ -422,7 +482,7 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
             words.insert(0, rng.choice(["Comment", "Share", "Cookie", "Read more:", "Related", "Copyright"]))
         return " ".join(words).capitalize() + rng.choice([".", ".", ".", "!", "?", "", ","])
 
-    for number in range(count):
+    for _ in range(count):
         out: list[str] = []
         labels: list[tuple[str, int]] = []
 
@@ -460,9 +520,12 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
 
         def notice() -> None:
             name = rng.choice(["cookie-notice", "cookie", "notice", "gdpr", "consent", "alert", "modal", "popup", "newsletter", "subscribe"])
-            out.append(f'<div {rng.choice(["class", "id"])}="{name}">')
-            put("<p>", phrase(3, 25), "</p>", 0)
-            out.append("<button>OK</button></div>")
+            tag = rng.choice(["div", "div", "div", "dialog", "dialog open"])
+            out.append(f'<{tag} {rng.choice(["class", "id"])}="{name}">' if "dialog" not in tag or rng.random() < 0.3 else f"<{tag}>")
+            put(rng.choice(["<p>", "<p>", "<p>", "<h2>", "<div>", ""]), phrase(3, 25), "", 0)
+            if rng.random() < 0.3:
+                put("<p>", phrase(2, 40), "</p>", 0)
+            out.append(f"<button>OK</button></{tag.split()[0]}>")
 
         def side() -> None:
             tag = rng.choice(["aside", "div class=\"sidebar\"", "div id=\"sidebar\"", "aside class=\"related\"", "div class=\"widget\"", "section class=\"related\"", "div class=\"recommended\"", "div class=\"share\"", "div class=\"social\""])
@@ -546,6 +609,63 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
                 rng.choice([comments, comments, side, form])()
             out.append(f"</{tag.split()[0]}>" + {"<main>": "</main>"}.get(wrap, "</div>" if wrap else ""))
 
+        def bar(least: int, most: int) -> None:
+            """A cell of links, or of small print, without any name."""
+            kind = rng.random()
+            if kind < 0.4:
+                put("", "".join(f"<a href=/m>{phrase(1, 2)}</a>" + rng.choice(["", " ", "<br>", " | "]) for _ in range(rng.randint(2, 6))), "", 0)
+            elif kind < 0.7:
+                out.append("<ul>")
+                for _ in range(rng.randint(2, 6)):
+                    put("<li><a href=/m>", phrase(1, 2), "</a></li>", 0)
+                out.append("</ul>")
+            else:
+                put(rng.choice(["", "<p>", "<font size=1>", "<center>"]), phrase(least, most), "", 0)
+
+        def laid_out() -> None:
+            """A page of table cells, by place and share of the text, hardly by name."""
+            cell = rng.choice(["td", "td", "td valign=top", "td width=80%"])
+            out.append(rng.choice(["", "<center>", "<div>"]) + rng.choice(["<table>", "<table width=100%>", "<table border=0><tbody>"]))
+            deep = rng.random() < 0.25  # the columns are a table of their own
+            if rng.random() < 0.5:
+                out.append("<tr><td colspan=3>")
+                put(rng.choice(["", "<h2>", "<b>", "<p>"]), phrase(1, 5), "</td></tr>", 0)
+            out.append("<tr><td><table><tr>" if deep else "<tr>")
+            if rng.random() < 0.75:
+                out.append(rng.choice(["<td>", "<td width=20%>", "<td class=left>"]))
+                bar(1, 5)
+                out.append("</td>")
+            out.append(f"<{cell}>")
+            if rng.random() < 0.8:
+                put("<h1>", inline(phrase(1, 10)), "</h1>", 1)
+            for _ in range(rng.randint(2, 8)):
+                put("<p>", inline(phrase(12, 80)), rng.choice(["</p>", ""]), 1)
+                if rng.random() < 0.08:
+                    out.append("<table>")
+                    for _ in range(rng.randint(2, 4)):
+                        put("<tr><td>", phrase(1, 3), "</td>", 1)
+                        put("<td>", phrase(1, 3), "</td></tr>", 1)
+                    out.append("</table>")
+            out.append("</td>")
+            if rng.random() < 0.4:
+                out.append("<td>")
+                bar(1, 8)
+                out.append("</td>")
+            out.append("</tr></table></td></tr>" if deep else "</tr>")
+            if rng.random() < 0.6:
+                out.append("<tr><td colspan=3>")
+                put(rng.choice(["", "<p>", "<font size=1>"]), rng.choice(["&copy; ", ""]) + phrase(1, 8), "</td></tr>", 0)
+            out.append("</table>")
+
+        if rng.random() < 0.12:
+            for part, share in ((notice, 0.2), (menu, 0.15), (advert, 0.1)):
+                if rng.random() < share:
+                    part()
+            laid_out()
+            if rng.random() < 0.3:
+                rng.choice([foot, notice, comments])()
+            yield f"<html><head><title>{phrase(1, 9)}</title></head><body>{''.join(out)}</body></html>", labels
+            continue
         bare = rng.random() < 0.22  # nothing around the article
         for part, share in () if bare else ((notice, 0.25), (head, 0.4), (menu, 0.85), (advert, 0.5), (side, 0.2), (form, 0.15), (unseen, 0.1)):
             if rng.random() < share:
@@ -559,7 +679,7 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
 
 
 @functools.cache
-def trained(count: int = 600, seed: int = 5) -> Field:
+def trained(count: int = 800, seed: int = 5) -> Field:
     """The field, trained on ``labelled_pages``; blocks take their labels by page order."""
     data = []
     for page, labels in labelled_pages(count, seed):
