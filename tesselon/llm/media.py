@@ -2,9 +2,10 @@
 
 Method: a row's payload is its text in UTF-8, filled up with zero bytes to a positive multiple of 64,
 and stored without loss as an 8-bit grey PNG image 64 samples wide.  A payload is addressed by its
-SHA-256 digest and stored once.  Payloads are never shuffled: digests and keys are, which settles the
-row that stores each digest that several rows have; the settled digests, in parts of bounded size, are
-then looked up where the payloads are read.  A task appends the images of its rows to tar shards, which
+SHA-256 digest and stored once.  Digests and keys are shuffled, which settles the row that stores each
+digest that several rows have; up to ``store.PARTS`` * ``store.LOOKUP`` settled digests are then looked up
+where the payloads are read, which stay in place.  With more of them a plain join finds the rows, and
+payloads are shuffled once.  A task appends the images of its rows to tar shards, which
 have temporary names until they are whole.  Rows carry digest, shard, offset and length.  Reading, a
 range read of the image's 33 first bytes alone fills the metadata columns (width, height, depth); a
 second range read gets the samples, from which the feature columns are computed.
