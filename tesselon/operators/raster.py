@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesselon.functions import classify, geo
+from tesselon.operators import spans
 
 LONGEST_RUN = 65535
 #: Bits of a way's place in the painting order.
 ORDER_BITS = 50
+#: Parts of a tile's ways that are painted apart.
+PORTIONS = 16
 
 
 def f32(c: Column | float) -> Column:
@@ -35,21 +38,40 @@ def pixelised(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
     return rows.select("tile_id", "way_id", "class", "is_area", px.alias("px"), radius.alias("radius"))
 
 
-def fill_areas(areas: DataFrame, grid: int) -> DataFrame:
-    """(tile_id, way_id, class, y, x) of pixels inside, by the even-odd rule in span form.
+def area_spans(areas: DataFrame, grid: int) -> DataFrame:
+    """(tile_id, way_id, class, y, a, b): pixels inside, by the even-odd rule, from a to b in row y."""
+    return _spans(areas, grid, True)
+
+
+def line_spans(lines: DataFrame, grid: int) -> DataFrame:
+    """(tile_id, way_id, class, y, a, b): pixels whose centre lies within the radius of a segment.
 
-    Each edge gives its crossings with the rows between its ends; sorted in pairs they bound spans.
+    Spans of a way are disjoint, so pixels near several of its segments appear once.
     """
-    n = F.size("px")
-    edges = areas.filter(n >= 3).select("tile_id", "way_id", "class", F.explode(F.transform("px", lambda p, i: F.struct(p.alias("a"), F.element_at("px", F.when(i == 0, n).otherwise(i)).alias("b")))).alias("e"))
-    edges = edges.select("tile_id", "way_id", "class", F.col("e.a.x").alias("xi"), F.col("e.a.y").alias("yi"), F.col("e.b.x").alias("xj"), F.col("e.b.y").alias("yj")).filter("yi <> yj")
-    rows = edges.withColumn("y", F.explode(F.sequence(F.least("yi", "yj"), F.greatest("yi", "yj") - 1)))
-    slope = f32(F.try_divide(f32(F.col("y") - F.col("yi")), f32(F.col("yj") - F.col("yi"))))
-    cross = f32(f32(f32(F.col("xj") - F.col("xi")) * slope) + f32(F.col("xi")))
-    spans = rows.groupBy("tile_id", "way_id", "class", "y").agg(F.array_sort(F.collect_list(cross)).alias("c"))
-    pairs = spans.select("tile_id", "way_id", "class", "y", F.explode(F.transform(F.sequence(F.lit(1), F.expr("cast(size(c) / 2 as int)")), lambda k: F.struct(F.ceil(F.element_at("c", k * 2 - 1)).cast("int").alias("a"), (F.ceil(F.element_at("c", k * 2)) - 1).cast("int").alias("b")))).alias("s"))
-    bounded = pairs.select("tile_id", "way_id", "class", "y", F.greatest("s.a", F.lit(0)).alias("a"), F.least("s.b", F.lit(grid - 1)).alias("b")).filter("a <= b")
-    return bounded.select("tile_id", "way_id", "class", "y", F.explode(F.sequence("a", "b")).alias("x"))
+    return _spans(lines, grid, False)
+
+
+def _spans(ways: DataFrame, grid: int, areas: bool) -> DataFrame:
+    columns = ["tile_id", "way_id", "class", "px"] + ([] if areas else ["radius"])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ways.select(columns[:3]).schema)
+    return ways.select(columns).mapInArrow(spans.spans(grid, areas), f"{kept}, y int, a int, b int")
+
+
+def _pixels(found: DataFrame) -> DataFrame:
+    return found.select("tile_id", "way_id", "class", "y", F.explode(F.sequence("a", "b")).alias("x"))
+
+
+def span_sums(found: DataFrame) -> DataFrame:
+    """(tile_id, way_id, n, sum_x, sum_y) over the pixels of spans."""
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    n = b - a + 1
+    rows = found.select("tile_id", "way_id", n.alias("n"), F.expr("(cast(a as bigint) + b) * (cast(b as bigint) - a + 1) div 2").alias("x"), (n * F.col("y")).alias("y"))
+    return rows.groupBy("tile_id", "way_id").agg(F.sum("n").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def fill_areas(areas: DataFrame, grid: int) -> DataFrame:
+    """(tile_id, way_id, class, y, x) of pixels inside, by the even-odd rule in span form."""
+    return _pixels(area_spans(areas, grid))
 
 
 def _capsule_row(grid: int) -> tuple[Column, Column]:
@@ -81,53 +103,51 @@ def _capsule_row(grid: int) -> tuple[Column, Column]:
     return F.when(first.isNotNull(), F.greatest(first, F.lit(0))), F.when(last.isNotNull(), F.least(last, F.lit(grid - 1)))
 
 
-def buffer_lines(lines: DataFrame, grid: int, distinct: bool = True) -> DataFrame:
-    """(tile_id, way_id, class, y, x) of pixels whose centre lies within the radius of a segment.
+def buffer_lines(lines: DataFrame, grid: int) -> DataFrame:
+    """(tile_id, way_id, class, y, x) of pixels whose centre lies within the radius of a segment, each once."""
+    return _pixels(line_spans(lines, grid))
+
+
+def paint_rank(line: Column) -> Column:
+    """A way's place among what may be painted over a pixel: precedence, lines after areas, order; and its class.
 
-    A segment lists, for each row, the pixels between the ends of its outline there, not its whole box.
-    Pixels near several segments appear once; ``distinct`` False spares that shuffle, for painting.
+    They are packed into one number, which is never 0.
     """
-    r = F.col("radius")
-    segments = lines.filter(F.size("px") >= 2).select("tile_id", "way_id", "class", "radius", F.explode(F.transform(F.slice("px", 1, F.size("px") - 1), lambda p, i: F.struct(p.alias("a"), F.element_at("px", i + 2).alias("b")))).alias("e"))
-    s = segments.select("tile_id", "way_id", "class", "radius", *[f32(F.col(f"e.{v}.{c}")).alias(c + n) for v, n in (("a", "0"), ("b", "1")) for c in "xy"])
-
-    def bounds(c: str) -> tuple[Column, Column]:
-        low = F.floor(f32(F.least(c + "0", c + "1") - r)).cast("int")
-        high = F.ceil(f32(F.greatest(c + "0", c + "1") + r)).cast("int")
-        return tuple(F.greatest(F.least(v, F.lit(grid - 1)), F.lit(0)) for v in (low, high))
-
-    rows = s.withColumn("y", F.explode(F.sequence(*bounds("y"))))
-    left, right = _capsule_row(grid)
-    px = rows.withColumns({"xl": left, "xr": right}).filter("xl <= xr").withColumn("x", F.explode(F.sequence("xl", "xr"))).drop("xl", "xr")
-    x0, y0 = F.col("x0"), F.col("y0")
-    dx, dy = F.col("x1") - x0, F.col("y1") - y0
-    cx, cy = f32(F.col("x")) + f32(0.5), f32(F.col("y")) + f32(0.5)
-    t = f32(((cx - x0) * dx + (cy - y0) * dy).cast("float") / (dx * dx + dy * dy + f32(1e-12)).cast("float"))
-    t = F.greatest(F.least(t, f32(1.0)), f32(0.0))
-    ex, ey = cx - (x0 + t * dx), cy - (y0 + t * dy)
-    out = px.filter(ex * ex + ey * ey <= r * r).select("tile_id", "way_id", "class", "y", "x")
-    return out.distinct() if distinct else out
+    order = F.col("way_id").cast("bigint")
+    order = F.when(order.between(0, (1 << ORDER_BITS) - 1), order).otherwise(F.raise_error(F.lit("a way's order is out of range")).cast("bigint"))
+    return F.shiftleft(F.shiftleft((classify.precedence(F.col("class")) * 2 + line).cast("bigint"), ORDER_BITS).bitwiseOR(order), 4).bitwiseOR(F.col("class").cast("bigint"))
+
+
+def _class_of(rank: str) -> Column:
+    return F.col(rank).bitwiseAND(15).cast("int")
 
 
 def paint(areas: DataFrame, lines: DataFrame) -> DataFrame:
     """(tile_id, y, x, class) after painting areas, then lines, in way order.
 
-    A class replaces one of the same or less precedence, so the last of the highest precedence stays.
-    Precedence, phase, order and class are packed into one number, whose maximum is a hash aggregate
-    that combines before the shuffle; a pixel may be given more than once.
+    A class replaces one of the same or less precedence, so the last of the highest precedence stays: the
+    pixel's highest rank, in a hash aggregate that combines before the shuffle.
     """
     both = areas.withColumn("line", F.lit(0)).unionByName(lines.withColumn("line", F.lit(1)))
-    order = F.col("way_id").cast("bigint")
-    order = F.when(order.between(0, (1 << ORDER_BITS) - 1), order).otherwise(F.raise_error(F.lit("a way's order is out of range")).cast("bigint"))
-    rank = F.shiftleft(F.shiftleft((classify.precedence(F.col("class")) * 2 + F.col("line")).cast("bigint"), ORDER_BITS).bitwiseOR(order), 4).bitwiseOR(F.col("class").cast("bigint"))
-    best = both.select("tile_id", "y", "x", rank.alias("rank")).groupBy("tile_id", "y", "x").agg(F.max("rank").alias("rank"))
-    return best.select("tile_id", "y", "x", F.col("rank").bitwiseAND(15).cast("int").alias("class"))
+    best = both.select("tile_id", "y", "x", paint_rank(F.col("line")).alias("rank")).groupBy("tile_id", "y", "x").agg(F.max("rank").alias("rank"))
+    return best.select("tile_id", "y", "x", _class_of("rank").alias("class"))
 
 
 def build_mask(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
-    """Painted pixels of every tile that has an overlay (sparse: class 0 is left out)."""
+    """Painted pixels of every tile that has an overlay (sparse: class 0 is left out).
+
+    As ``paint`` of ``fill_areas`` and ``buffer_lines``, without a row for each pixel of each way: a tile's ways
+    are dealt into ``PORTIONS``, which tasks paint into a grid each, and of its portions' grids a pixel takes
+    the highest rank.  What is shuffled is the ways, and then at most the portions' grids.
+    """
     px = pixelised(overlay, tiles, grid)
-    return paint(fill_areas(px.filter("is_area"), grid), buffer_lines(px.filter("not is_area"), grid, distinct=False))
+    kind = px.schema["tile_id"].dataType.simpleString()
+    portion = F.pmod(F.xxhash64("way_id"), F.lit(PORTIONS))
+    dealt = px.select("tile_id", portion.alias("portion"), "is_area", paint_rank(F.when(F.col("is_area"), 0).otherwise(1)).alias("rank"), "px", "radius")
+    dealt = dealt.repartition("tile_id", "portion").sortWithinPartitions("tile_id", "portion", "is_area").drop("portion")
+    rows = dealt.mapInArrow(spans.painted(grid), f"tile_id {kind}, y int, ranks binary")
+    best = rows.repartition("tile_id", "y").sortWithinPartitions("tile_id", "y").mapInArrow(spans.highest(grid), f"tile_id {kind}, y int, x int, rank long")
+    return best.select("tile_id", "y", "x", _class_of("rank").alias("class"))
 
 
 def dense(mask: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:

@@ -85,6 +85,15 @@ def way_tiles(refs: DataFrame, kept: DataFrame) -> DataFrame:
     return refs.select("way_id", "node_id").join(kept.select("node_id", "tile_id"), "node_id").select("way_id", "tile_id").distinct()
 
 
+def placed_ways(refs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(way_id, verts, tiles): ``resolve_ways`` and ``way_tiles`` from one join and one grouping.
+
+    A node in several tiles meets its way once for each, so both are sets.
+    """
+    found = refs.select("way_id", "seq", "node_id").join(kept.select("node_id", "lon", "lat", "tile_id"), "node_id")
+    return found.groupBy("way_id").agg(F.array_sort(F.collect_set(F.struct("seq", "lon", "lat", "node_id"))).alias("verts"), F.collect_set("tile_id").alias("tiles"))
+
+
 def classified(ways: DataFrame) -> DataFrame:
     """Ways with class, width_m and is_area; unmatched ways go.  ``natural`` is column natural_tag."""
     names = {"natural": "natural_tag"}
@@ -97,9 +106,13 @@ def overlay(ways: DataFrame, refs: DataFrame, kept: DataFrame) -> DataFrame:
 
     Areas need three vertices, lines two.  Geometry is attached before the fan-out to tiles.
     """
-    kinds = classified(ways)
-    geometry = resolve_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
-    return geometry.join(way_tiles(refs, kept), "way_id").select("tile_id", "way_id", "class", "width_m", "is_area", "verts")
+    return features(classified(ways), refs, kept).select("tile_id", "way_id", "class", "width_m", "is_area", "verts")
+
+
+def features(kinds: DataFrame, refs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``kinds`` (way_id, is_area, ...) with ``verts``, a row for each tile that a way of enough vertices touches."""
+    geometry = placed_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
+    return geometry.withColumn("tile_id", F.explode("tiles")).drop("tiles")
 
 
 def resolve_prefixes(wanted: DataFrame, files: DataFrame, prefer_zip: bool = True) -> DataFrame:

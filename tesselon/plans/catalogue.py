@@ -527,12 +527,12 @@ def tile_pca(spark, d):
 
 @query(f"WITH {_PIXELS} SELECT tile_id, way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM area GROUP BY 1, 2")
 def polygon_fill(spark, d):
-    return raster.fill_areas(_pixelised(spark, d).filter("is_area"), GRID).groupBy("tile_id", "way_id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    return raster.span_sums(raster.area_spans(_pixelised(spark, d).filter("is_area"), GRID))
 
 
 @query(f"WITH {_LINES} SELECT tile_id, way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM line GROUP BY 1, 2")
 def buffered_polyline(spark, d):
-    return raster.buffer_lines(_pixelised(spark, d).filter("not is_area"), GRID).groupBy("tile_id", "way_id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    return raster.span_sums(raster.line_spans(_pixelised(spark, d).filter("not is_area"), GRID))
 
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(class AS INTEGER) AS class FROM painted")

@@ -55,10 +55,9 @@ def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options, s
     classed = scratch.stored(ways.withColumn("c", kind).filter("c is not null").select("way_id", "seq", "refs", "c"), "ways")
     kinds = classed.select("way_id", "seq", "c.*")
     refs = classed.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
-    geometry = spatial.resolve_ways(refs, kept).join(kinds, "way_id").filter(F.size("verts") >= F.when(F.col("is_area"), 3).otherwise(2))
-    placed = geometry.join(spatial.way_tiles(refs, kept), "way_id")
+    placed = spatial.features(kinds.withColumnRenamed("seq", "place"), refs, kept)
     # paint order is file order
-    return scratch.stored(placed.select("tile_id", F.col("seq").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
+    return scratch.stored(placed.select("tile_id", F.col("place").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
 
 
 def convert(spark: SparkSession, folder: str, output: str, index: str | None = None, osm: str | None = None, options: Options | None = None) -> DataFrame:
