@@ -15,11 +15,9 @@ from tesselon.functions import geo, names
 from tesselon.sources import files
 
 # What the text format takes as a number; more than a plain decimal, less than the engine's casts.
-_FLOAT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
-
-
-def _blank_trim(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+_PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_OTHER = r"^[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def vertices(lines: DataFrame, line: str = "line", strict: bool = True) -> DataFrame:
@@ -28,18 +26,23 @@ def vertices(lines: DataFrame, line: str = "line", strict: bool = True) -> DataF
     A record is ``v``, a blank and three numbers; what follows is ignored.  Non-finite vertices go.
     A record without three numbers fails the query (``strict``) or is dropped.
     """
-    text = _blank_trim(F.col(line))
-    rows = lines.withColumn("_t", text).filter(F.col("_t").startswith("v ")).withColumn("_p", F.split("_t", r"\s+"))
+    text = F.trim(F.col(line), F.lit(_BLANKS))
+
+    def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        # a generated row: else each use of the value would parse the line again
+        return rows.select("*", F.explode(F.array(value)).alias(name))
+
+    rows = once(lines.withColumn("_t", text).filter(F.col("_t").startswith("v ")), F.split("_t", r"\s+", 5), "_p")
 
     def value(i: int) -> Column:
         raw = F.get(F.col("_p"), F.lit(i))
-        good = raw.rlike(_FLOAT)
-        number = F.when(raw.rlike("(?i)inf"), F.when(raw.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).when(raw.rlike("(?i)nan"), F.lit(float("nan"))).otherwise(raw.try_cast("double"))
+        other = F.when(F.lower(raw).contains("nan"), F.lit(float("nan"))).when(raw.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
         bad = F.raise_error(F.concat(F.lit("not a vertex: "), F.col("_t"))).cast("double") if strict else F.lit(None).cast("double")
         # other records never get here, whatever order the optimiser gives the filters
-        return F.when(~F.col("_t").startswith("v "), F.lit(None).cast("double")).when(F.coalesce(good, F.lit(False)), number).otherwise(bad)
+        return F.when(~F.col("_t").startswith("v "), F.lit(None).cast("double")).when(F.coalesce(raw.rlike(_PLAIN), F.lit(False)), raw.try_cast("double")).when(F.coalesce(raw.rlike(_OTHER), F.lit(False)), other).otherwise(bad)
 
-    out = rows.withColumns({c: value(i) for i, c in enumerate("xyz", 1)}).drop("_t", "_p")
+    rows = once(rows, F.struct(*[value(i).alias(c) for i, c in enumerate("xyz", 1)]), "_d")
+    out = rows.select(*lines.columns, "_d.x", "_d.y", "_d.z")
     return out.filter(geo.finite(F.col("x"), F.col("y"), F.col("z")))
 
 
