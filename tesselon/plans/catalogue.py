@@ -713,10 +713,10 @@ def old_layout(spark, d):
     t = F.col("t").cast("double")
     low = F.array(t * 10, t * 20 + 0.5, -t)
     high = F.array(t * 10 + 100, t * 20 + 50.5, 25 - t)
-    made = rows.groupBy("t").agg(F.collect_list(F.struct("qx", "qy", "qz")).alias("q")).select(F.concat(F.lit("old_"), "t", F.lit(".bin")).alias("file"), low.alias("low"), high.alias("high"), "q")
+    made = rows.select(F.concat(F.lit("old_"), "t", F.lit(".bin")).alias("file"), low.alias("low"), high.alias("high"), "qx", "qy", "qz")
     folder = files.fresh_folder(spark, "old")
     samples.write_old_tiles(made, folder)
-    points = codec.read_old(spark, folder).select(names.stem(F.col("path")).alias("name"), F.explode("points").alias("p")).select("name", "p.*")
+    points = codec.read_old_points(spark, folder).select(names.stem(F.col("path")).alias("name"), "x", "y", "z")
     return points.groupBy("name").agg(F.count("*").alias("n"), *[F.sum(scaled(F.col(c))).alias(f"sum_{c}") for c in "xyz"])
 
 

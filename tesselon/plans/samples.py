@@ -125,13 +125,37 @@ def write_map(nodes: DataFrame, ways: DataFrame, folder: str) -> None:
     _written(ways.select("way_id", "tags", "refs").repartitionByRange("way_id").sortWithinPartitions("way_id"), folder, lambda rows: _map_file(way_blocks(rows), "b-ways"))
 
 
-def write_old_tiles(tiles: DataFrame, folder: str) -> None:
-    """Files in the older layout: rows (file, low array, high array, q array of 16-bit places of three)."""
+def write_old_tiles(points: DataFrame, folder: str) -> None:
+    """Files in the older layout: rows (file, low array, high array, qx, qy, qz), a 16-bit place each.
 
-    def content(rows: Iterable[tuple]) -> Iterator[tuple[str, bytes]]:
-        for name, low, high, q in rows:
-            places = np.array([tuple(p.values()) for p in q], "<u2").reshape(-1, 3)
-            head = b"HPC1" + struct.pack("<6I", 1, 0, len(places), 0, 0, 0)
-            yield name, head + np.array([*low, *high], "<f4").tobytes() + places.tobytes()
+    Rows stream by in order of files; a file is held as its bytes, six for each place.
+    """
 
-    _written(tiles.select("file", "low", "high", "q"), folder, content)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = files.filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        attempt = str(TaskContext.get().taskAttemptId())
+        name, box, places = None, b"", bytearray()
+
+        def put() -> pa.RecordBatch:
+            head = b"HPC1" + struct.pack("<6I", 1, 0, len(places) // 6, 0, 0, 0)
+            files.put(fs, f"{root}/{name}", head + box + places, attempt)
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+        for batch in batches:
+            own = batch.column("file").dictionary_encode()
+            code = own.indices.to_numpy()
+            q = np.stack([batch.column(c).to_numpy() for c in ("qx", "qy", "qz")], axis=1).astype("<u2")
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for begin, end in itertools.pairwise(cuts):
+                if begin < end and batch.column("file")[begin].as_py() != name:
+                    if name is not None:
+                        yield put()
+                    name, places = batch.column("file")[begin].as_py(), bytearray()
+                    box = np.array([*batch.column("low")[begin].as_py(), *batch.column("high")[begin].as_py()], "<f4").tobytes()
+                places += q[begin:end].tobytes()
+        if name is not None:
+            yield put()
+
+    rows = points.select("file", "low", "high", "qx", "qy", "qz").repartition("file").sortWithinPartitions("file")
+    rows.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()

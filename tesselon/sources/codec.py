@@ -356,6 +356,46 @@ def read_old(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, error string, points array<struct<x:double,y:double,z:double>>")
 
 
+#: Points of an older file that one task reads, and that are handled at once.
+OLD_SPLIT, OLD_STEP = 1 << 20, 1 << 16
+
+
+def read_old_points(spark: SparkSession, folder: str, pattern: str = "*", split: int = OLD_SPLIT) -> DataFrame:
+    """(path, x, y, z) of all points of files in the older layout, those of ``read_old``, a row each.
+
+    Tasks read ranges of a file's points, so that neither it nor its points are held; a file that is none in
+    this layout has no points.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, size, begin in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            fs, name = filesystem(path)
+            with fs.open_input_file(name) as f:
+                head = f.read(52)
+                if len(head) < 52 or head[:4] != OLD_MAGIC:
+                    continue
+                end = min(_old_count(head, size), begin + split)
+                f.seek(52 + 6 * begin)
+                for at in range(begin, end, OLD_STEP):
+                    n = min(OLD_STEP, end - at)
+                    p = _old_places(head, f.read(6 * n))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(3))], names=["path", *"xyz"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    parts = files.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 52, 0L) div 6, {split}L)")).alias("begin"))
+    # by number, as few bytes are many points here, which adaptive execution would give to one task
+    return parts.repartition(max(1, min(parts.count(), 1 << 16))).mapInArrow(run, "path string, x double, y double, z double")
+
+
+def _old_count(head: bytes, size: int) -> int:
+    return min(struct.unpack("<I", head[12:16])[0], (size - 52) // 6)
+
+
+def _old_places(head: bytes, data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(head[28:52], "<f4").astype(np.float64).reshape(2, 3)
+    return low + np.frombuffer(data, "<u2").reshape(-1, 3) * ((high - low) / 65535.0)
+
+
 def parse_old(data: bytes) -> np.ndarray:
     """Positions (n, 3) of the older layout: a 52-byte header and 16-bit positions in a box.
 
@@ -363,7 +403,4 @@ def parse_old(data: bytes) -> np.ndarray:
     """
     if len(data) < 52 or data[:4] != OLD_MAGIC:
         raise TileError("bad magic")
-    count = min(struct.unpack("<I", data[12:16])[0], (len(data) - 52) // 6)
-    low, high = np.frombuffer(data[28:52], "<f4").astype(np.float64).reshape(2, 3)
-    q = np.frombuffer(data[52 : 52 + 6 * count], "<u2").reshape(-1, 3)
-    return low + q * ((high - low) / 65535.0)
+    return _old_places(data[:52], data[52 : 52 + 6 * _old_count(data, len(data))])
