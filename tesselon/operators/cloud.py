@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions import fixed, geo
-
+from tesselon.sources import files
 
 #: Keys that points without a pixel are spread over.
 NOWHERE = 4096
+#: Painted pixels up to this count are sent to every task.
+BROADCAST_PIXELS = 1 << 18
 
 
 def sample_pixel(value: Column, low: Column, high: Column, size: int | Column, mode: str = "clamp") -> Column:
@@ -28,7 +30,8 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     ``raster.runs_by_row`` gives them.  Points are read once: the tile's extent is joined to them, and only
     where there is one and no label of their own do they get a pixel.  The lookup is an equi-join on tile
     and pixel, or on tile and row, in whose runs the last that begins at or before the pixel is taken.
-    Points without a pixel are spread over keys that no mask has.
+    Points without a pixel are spread over keys that no mask has.  Pixels are computed once and counted: few
+    are sent to every task, so that points need no shuffle; beyond ``BROADCAST_PIXELS`` both sides are dealt out.
     """
     rows = points.join(extents.withColumn("_masked", F.lit(True)), key, "left")
     wanted = F.col("label").isNull() & F.col("_masked")
@@ -43,7 +46,9 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
         found = F.try_element_at(F.filter("_runs", lambda r: r["x"] <= F.col("_x")), F.lit(-1))["class"]
     else:
         rows = rows.withColumn("_x", F.coalesce("_x", nowhere))
-        looked, found = rows.join(mask.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("class").alias("_class")), [key, "_y", "_x"], "left"), F.col("_class")
+        pixels = files.checkpointed(mask.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("class").alias("_class")))
+        pixels = F.broadcast(pixels) if pixels.count() <= BROADCAST_PIXELS else pixels
+        looked, found = rows.join(pixels, [key, "_y", "_x"], "left"), F.col("_class")
     return looked.withColumn("label", F.coalesce("label", F.when(wanted, found), F.lit(0))).select(points.columns)
 
 
