@@ -609,22 +609,23 @@ def label_precedence(spark, d):
 )
 def tile_codec_roundtrip(spark, d):
     """Quantised tiles as binary files, every second with labels, written and read back."""
-    back = codec.read_tiles(spark, _written_tiles(spark, d), strict=True).withColumn("name", names.stem(F.col("path")))
-    flat = codec.points_of(back, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("units_per_metre").alias("upm"), *[F.min(f"a{a}").alias(f"a{a}") for a in "xyz"], *[F.sum(f"d{a}").alias(f"sum_d{a}") for a in "xyz"], F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("labels"))
-    return flat.join(back.select("name", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]), "name")
+    folder = _written_tiles(spark, d)
+    sums = codec.read_points(spark, folder, strict=True).groupBy("path").agg(F.count("*").alias("n"), F.min("units_per_metre").alias("upm"), *[F.min(f"a{a}").alias(f"a{a}") for a in "xyz"], *[F.sum(f"d{a}").alias(f"sum_d{a}") for a in "xyz"], F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("labels"))
+    heads = codec.read_headers(spark, folder, strict=True).select("path", names.key_text(F.col("tile_key")).alias("shown"), *[F.col(f"extent.{c}_{n}").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")])
+    return sums.join(heads, "path").withColumn("path", names.stem(F.col("path"))).withColumnRenamed("path", "name")
 
 
 def _written_tiles(spark, d) -> str:
-    found, rows = _anchored(spark, d)
-    point = F.struct("dx", "dy", "dz", F.when(F.col("tile_id") % 2 == 0, F.col("label")).cast("smallint").alias("label"))
-    packed = rows.groupBy("tile_id").agg(F.collect_list(point).alias("points"))
-    ends = tiling.extents(rows, "tile_id").select("tile_id", F.struct(*[F.col(f"{c}_{n}_q7").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]).alias("extent"))
-    tiles = found.join(packed, "tile_id").join(ends, "tile_id")
-    name = F.col("tile_id").cast("string")
+    tiled = _tiled(spark, d)
+    name, labelled = F.col("tile_id").cast("string"), F.col("tile_id") % 2 == 0
     empty = F.lit(None).cast("struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>")
-    tiles = tiles.select(name.alias("prefix"), F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.concat(F.lit("tile_"), name)).alias("tile_key"), (F.col("tile_id") % 2 == 0).alias("labelled"), "points", "extent", empty.alias("mask"))
     folder = files.fresh_folder(spark, "tiles")
-    sinks.write_tiles(tiles, folder, overwrite=True)
+    with files.Scratch(spark) as scratch:
+        found = scratch.stored(tiling.anchors(tiled, "tile_id", 1000), "anchors")
+        ends = tiling.extents(tiled, "tile_id").select("tile_id", F.struct(*[F.col(f"{c}_{n}_q7").alias(f"{c}_{n}") for c in ("lon", "lat") for n in ("min", "max")]).alias("extent"))
+        tiles = found.join(ends, "tile_id").select(name.alias("prefix"), "n", F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.concat(F.lit("tile_"), name)).alias("tile_key"), labelled.alias("labelled"), "extent", empty.alias("mask"))
+        points = tiling.offsets(tiled, found, "tile_id").select(name.alias("prefix"), labelled.alias("labelled"), "dx", "dy", "dz", "label")
+        sinks.write_points(tiles, points, folder, overwrite=True)
     return folder
 
 

@@ -35,7 +35,7 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     class of the mask where the tile has an extent and a mask over its box, else 0.  Points are read where
     points are asked for; masks and statistics come from the files' other parts.
     """
-    flat = codec.points_of(codec.read_tiles(spark, folder).filter("error is null"))
+    flat = codec.read_points(spark, folder)
     tiles = codec.read_headers(spark, folder, masks=True).filter("error is null")
     metres = flat.withColumns({f"e{a}": fixed.dequantise(F.col(f"a{a}") + F.col(f"d{a}"), F.col("units_per_metre")) for a in "xyz"})
     masked = tiles.filter((F.col("mask.coord_space") == codec.SPACE_BOX) & F.col("extent").isNotNull())

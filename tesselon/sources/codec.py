@@ -6,6 +6,7 @@ an optional extent, an optional semantic mask.  All numbers are little-endian.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ MASK_TAG = b"SMC1"
 FLAG_KEY, FLAG_LABELS, FLAG_EXTENT, FLAG_MASK = 1, 2, 4, 8
 SPACE_DECODED, SPACE_BOX = 0, 1
 RAW, RUNS = 0, 1
-KEY_BYTES = 32
+HEADER_BYTES, KEY_BYTES = 44, 32
 EXTENSION = "hypc"
 EXTENT = ("lon_min", "lon_max", "lat_min", "lat_max")
 
@@ -150,8 +151,7 @@ def parse_parts(r: _Reader, points: bool = True, masks: bool = True) -> tuple[Ti
         raise TileError("units per metre must be positive")
     anchor = r.unpack("<3q", "anchor")
     key = r.take(KEY_BYTES, "key") if flags & FLAG_KEY else None
-    kind = [("p", "<i4", 3), ("l", "u1")] if flags & FLAG_LABELS else [("p", "<i4", 3)]
-    kind = np.dtype(kind)
+    kind = _point_kind(bool(flags & FLAG_LABELS))
     rows = np.zeros(0, kind)
     if points:
         rows = np.frombuffer(r.take(count * kind.itemsize, "points"), kind)
@@ -185,22 +185,35 @@ def dump(tile: Tile) -> bytes:
     points = np.asarray(tile.points, "<i4").reshape(-1, 3)
     if tile.labels is not None and len(tile.labels) != len(points):
         raise TileError("as many labels as points are needed")
-    flags = (tile.key is not None) * FLAG_KEY | (tile.labels is not None) * FLAG_LABELS | (tile.extent is not None) * FLAG_EXTENT | (tile.mask is not None) * FLAG_MASK
-    out = [MAGIC, struct.pack("<4I3q", VERSION, flags, len(points), tile.units_per_metre, *tile.anchor)]
+    head, tail = frame(tile, len(points), tile.labels is not None)
+    return head + _point_bytes(points, tile.labels) + tail
+
+
+def frame(tile: Tile, count: int, labelled: bool) -> tuple[bytes, bytes]:
+    """What stands before and after a file's points."""
+    flags = (tile.key is not None) * FLAG_KEY | labelled * FLAG_LABELS | (tile.extent is not None) * FLAG_EXTENT | (tile.mask is not None) * FLAG_MASK
+    head = MAGIC + struct.pack("<4I3q", VERSION, flags, count, tile.units_per_metre, *tile.anchor)
     if tile.key is not None:
-        out.append(tile.key[:KEY_BYTES].ljust(KEY_BYTES, b"\0"))
-    if tile.labels is None:
-        out.append(points.tobytes())
-    else:
-        rows = np.empty(len(points), np.dtype([("p", "<i4", 3), ("l", "u1")]))
-        rows["p"], rows["l"] = points, tile.labels
-        out.append(rows.tobytes())
+        head += tile.key[:KEY_BYTES].ljust(KEY_BYTES, b"\0")
+    tail = b""
     if tile.extent is not None:
-        out.append(EXTENT_TAG + struct.pack("<4i", *tile.extent))
+        tail += EXTENT_TAG + struct.pack("<4i", *tile.extent)
     if tile.mask is not None:
         m = tile.mask
-        out.append(MASK_TAG + struct.pack("<HHBBH", m.width, m.height, m.coord_space, m.encoding, len(m.palette)) + bytes(b for pair in m.palette for b in pair) + struct.pack("<I", len(m.data)) + m.data)
-    return b"".join(out)
+        tail += MASK_TAG + struct.pack("<HHBBH", m.width, m.height, m.coord_space, m.encoding, len(m.palette)) + bytes(b for pair in m.palette for b in pair) + struct.pack("<I", len(m.data)) + m.data
+    return head, tail
+
+
+def _point_kind(labelled: bool) -> np.dtype:
+    return np.dtype([("p", "<i4", 3), ("l", "u1")] if labelled else [("p", "<i4", 3)])
+
+
+def _point_bytes(points: np.ndarray, labels: np.ndarray | None) -> bytes:
+    rows = np.empty(len(points), _point_kind(labels is not None))
+    rows["p"] = points
+    if labels is not None:
+        rows["l"] = labels
+    return rows.tobytes()
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -335,6 +348,81 @@ def encode_tiles(tiles: DataFrame, key: str = "path") -> DataFrame:
     return tiles.select(F.col(key).cast("string").alias(key), *columns).mapInArrow(run, f"`{key}` string, content binary")
 
 
+#: Points of a file that are written as one piece, that one task reads, and that are read at once.
+PIECE, SPLIT, STEP = 1 << 8, 1 << 20, 1 << 16
+
+
+def encode_pieces(tiles: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """(key, part, content): pieces of files, which by their parts in order are a file's bytes.
+
+    ``tiles`` has a row for each file: the columns of a tile and, in place of its points, ``n``, their number;
+    ``points`` are rows (key, labelled, dx, dy, dz, label), in any order, as they stay.  The first part, 0, is
+    what stands before the points, the last what stands after them.
+    """
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ends = frame(from_batch(batch, at), batch.column("n")[at].as_py(), bool(batch.column("labelled")[at].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[at].as_py()] * 2, pa.string()), pa.array([0, 2], pa.int32()), pa.array(ends, pa.binary())], names=[key, "part", "content"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(key).dictionary_encode()
+            code = own.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, place = code[order], np.stack([batch.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)[order]
+            labelled = batch.column("labelled").to_numpy(zero_copy_only=False)[order]
+            label = batch.column("label").fill_null(0).to_numpy()[order].astype(np.uint8)
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            bounds = [(i, min(i + PIECE, end)) for begin, end in itertools.pairwise(cuts) for i in range(begin, end, PIECE)]
+            names = own.dictionary.take(pa.array([code[i] for i, _ in bounds]))
+            content = [_point_bytes(place[i:j], label[i:j] if labelled[i] else None) for i, j in bounds]
+            yield pa.RecordBatch.from_arrays([names, pa.array([1] * len(bounds), pa.int32()), pa.array(content, pa.binary())], names=[key, "part", "content"])
+
+    schema = f"`{key}` string, part int, content binary"
+    columns = [c.name for c in _ARROW if c.name not in ("path", "error", "points")]
+    points_of_none = F.lit(None).cast("array<struct<dx:int,dy:int,dz:int,label:smallint>>").alias("points")
+    whole = tiles.select(F.col(key).cast("string").alias(key), *columns, points_of_none, F.col("n").cast("long").alias("n"))
+    rows = points.select(F.col(key).cast("string").alias(key), "labelled", "dx", "dy", "dz", F.col("label").cast("int").alias("label"))
+    return whole.mapInArrow(frames, schema).unionByName(rows.mapInArrow(pieces, schema))
+
+
+def read_points(spark: SparkSession, folder: str, strict: bool = False, split: int = SPLIT) -> DataFrame:
+    """``points_of`` the tiles of ``read_tiles``, by ranges of a file's points: neither is held whole.
+
+    A file that is no tile has no points, or fails (strict).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, size, begin in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            fs, name = filesystem(path)
+            with fs.open_input_file(name) as f:
+                try:
+                    tile, count = parse_parts(_FileReader(f, size), points=False, masks=False)
+                except TileError:
+                    if strict:
+                        raise
+                    continue
+                kind = _point_kind(tile.labels is not None)
+                f.seek(HEADER_BYTES + (tile.key is not None) * KEY_BYTES + begin * kind.itemsize)
+                end = min(count, begin + split)
+                for at in range(begin, end, STEP):
+                    n = min(STEP, end - at)
+                    rows = np.frombuffer(f.read(n * kind.itemsize), kind)
+                    label = pa.nulls(n, _SMALL) if tile.labels is None else pa.array(rows["l"].astype(np.int16))
+                    same = (pa.array(np.full(n, v, np.int64)) for v in (tile.units_per_metre, *tile.anchor))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(at, at + n, dtype=np.int32)), *(pa.array(np.ascontiguousarray(rows["p"][:, i])) for i in range(3)), label, *same], names=["path", "pid", "dx", "dy", "dz", "label", "units_per_metre", "ax", "ay", "az"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{EXTENSION}").load(folder)
+    # a range for each so many points that may be there; by number, as for the older layout
+    parts = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length div {_point_kind(False).itemsize}, {split}L)")).alias("begin"))
+    schema = "path string, pid int, dx int, dy int, dz int, label smallint, units_per_metre long, ax long, ay long, az long"
+    return parts.repartition(max(1, min(parts.count(), 1 << 16))).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- the older layout
 
 

@@ -53,12 +53,22 @@ class _TileWriter(DataSourceArrowWriter):
         fs, _, temporary = self._place()
         own = f"{temporary}/{TaskContext.get().taskAttemptId()}"
         fs.create_dir(own, recursive=True)
-        out = []
-        for batch in iterator:
-            for prefix, content, name in zip(*(batch.column(c).to_pylist() for c in ("prefix", "content", "name")), strict=True):
-                with fs.open_output_stream(f"{own}/{name}", compression=None) as f:
-                    f.write(content)
-                out.append((prefix, f"{TaskContext.get().taskAttemptId()}/{name}", len(content)))
+        out, f = [], None
+        try:
+            for batch in iterator:
+                for prefix, part, content, name in zip(*(batch.column(c) for c in ("prefix", "part", "content", "name")), strict=True):
+                    if part.as_py() == 0:
+                        if f is not None:
+                            f.close()
+                        f = fs.open_output_stream(f"{own}/{name.as_py()}", compression=None)
+                        out.append((prefix.as_py(), f"{TaskContext.get().taskAttemptId()}/{name.as_py()}", 0))
+                    elif not out or out[-1][0] != prefix.as_py():
+                        raise ValueError(f"points of {prefix.as_py()}, which has no tile")
+                    f.write(content.as_buffer())
+                    out[-1] = (*out[-1][:2], out[-1][2] + len(content.as_buffer()))
+        finally:
+            if f is not None:
+                f.close()
         return _Written(out)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -90,7 +100,8 @@ class _TileWriter(DataSourceArrowWriter):
 
 
 class TileFiles(DataSource):
-    """The sink of tile files: rows (prefix, content, name), option ``path``."""
+    """The sink of tile files: rows (prefix, part, content, name), option ``path``; part 0 begins a file, and the
+    parts after it follow in order in the same partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -108,12 +119,30 @@ def write_tiles(tiles: DataFrame, folder: str, prefix: str = "prefix", overwrite
     their last dot only would share a file, which is an error, as are several tiles of one prefix.  What
     was written is listed in a manifest beside the files, of which the returned table reads.
     """
-    spark = tiles.sparkSession
     work = tiles if overwrite else skip_existing(tiles, folder, prefix)
-    coded = codec.encode_tiles(work, prefix).withColumn("name", F.concat(names.stem(F.col(prefix)), F.lit(f".{codec.EXTENSION}")))
+    return _write(codec.encode_tiles(work, prefix).withColumn("part", F.lit(0)), folder, prefix)
+
+
+def write_points(tiles: DataFrame, points: DataFrame, folder: str, prefix: str = "prefix", overwrite: bool = False) -> DataFrame:
+    """``write_tiles`` of tiles whose points are rows of their own, as for ``codec.encode_pieces``.
+
+    A tile's points stream by in pieces and are never held together; their order in the file is open.  Points
+    without a tile are an error, but without ``overwrite`` those of files that stay are passed over.
+    """
+    work = tiles
+    if not overwrite:
+        work = skip_existing(tiles, folder, prefix)
+        points = points.join(work.select(prefix), prefix, "left_semi")
+    pieces = codec.encode_pieces(work, points, prefix)
+    return _write(pieces.repartition(prefix).sortWithinPartitions(prefix, "part"), folder, prefix)
+
+
+def _write(coded: DataFrame, folder: str, prefix: str) -> DataFrame:
+    spark = coded.sparkSession
+    named = coded.withColumn("name", F.concat(names.stem(F.col(prefix)), F.lit(f".{codec.EXTENSION}")))
     before = _manifests(folder)
     spark.dataSource.register(TileFiles)
-    coded.select(F.col(prefix).alias("prefix"), "content", "name").write.format(TileFiles.name()).option("path", folder).mode("append").save()
+    named.select(F.col(prefix).alias("prefix"), "part", "content", "name").write.format(TileFiles.name()).option("path", folder).mode("append").save()
     made = sorted(_manifests(folder) - before)
     out = spark.read.schema("prefix string, file string, bytes long").parquet(*made)
     return out.withColumnRenamed("prefix", prefix)
