@@ -25,7 +25,9 @@ def f32(c: Column | float) -> Column:
 def to_pixel(value: Column, low: Column, high: Column, grid: int) -> Column:
     """Degrees to a pixel index: clamped, rounded half away from zero."""
     u = f32((value - low) / F.greatest(high - low, F.lit(1e-12)))
-    return F.round(f32(F.greatest(F.least(u, f32(1.0)), f32(0.0)) * f32(float(grid - 1)))).cast("int")
+    at = f32(F.greatest(F.least(u, f32(1.0)), f32(0.0)) * f32(float(grid - 1)))
+    # not negative, and a double holds the sum exactly: as round, which goes through decimal numbers
+    return F.floor(at.cast("double") + 0.5).cast("int")
 
 
 def pixelised(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
@@ -133,21 +135,31 @@ def paint(areas: DataFrame, lines: DataFrame) -> DataFrame:
     return best.select("tile_id", "y", "x", _class_of("rank").alias("class"))
 
 
-def build_mask(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
-    """Painted pixels of every tile that has an overlay (sparse: class 0 is left out).
+def painted_rows(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
+    """(tile_id, y, classes): a grid's painted rows as bytes, and one row at least of every tile that has an overlay.
 
     As ``paint`` of ``fill_areas`` and ``buffer_lines``, without a row for each pixel of each way: a tile's ways
-    are dealt into ``PORTIONS``, which tasks paint into a grid each, and of its portions' grids a pixel takes
-    the highest rank.  What is shuffled is the ways, and then at most the portions' grids.
+    are dealt into ``PORTIONS``, which tasks paint into a grid each, from the highest rank down until no way can
+    change a pixel any more, and of its portions' grids a pixel takes the highest rank.  What is shuffled is the
+    ways, and then at most the portions' grids.
     """
     px = pixelised(overlay, tiles, grid)
     kind = px.schema["tile_id"].dataType.simpleString()
     portion = F.pmod(F.xxhash64("way_id"), F.lit(PORTIONS))
     dealt = px.select("tile_id", portion.alias("portion"), "is_area", paint_rank(F.when(F.col("is_area"), 0).otherwise(1)).alias("rank"), "px", "radius")
-    dealt = dealt.repartition("tile_id", "portion").sortWithinPartitions("tile_id", "portion", "is_area").drop("portion")
+    dealt = dealt.repartition("tile_id", "portion").sortWithinPartitions("tile_id", F.desc("rank")).drop("portion")
     rows = dealt.mapInArrow(spans.painted(grid), f"tile_id {kind}, y int, ranks binary")
-    best = rows.repartition("tile_id", "y").sortWithinPartitions("tile_id", "y").mapInArrow(spans.highest(grid), f"tile_id {kind}, y int, x int, rank long")
-    return best.select("tile_id", "y", "x", _class_of("rank").alias("class"))
+    return rows.repartition("tile_id", "y").sortWithinPartitions("tile_id", "y").mapInArrow(spans.highest, f"tile_id {kind}, y int, classes binary")
+
+
+def painted_pixels(rows: DataFrame) -> DataFrame:
+    """(tile_id, y, x, class) of ``painted_rows`` (sparse: what is not painted is left out)."""
+    return rows.mapInArrow(spans.pixels, f"tile_id {rows.schema['tile_id'].dataType.simpleString()}, y int, x int, class int")
+
+
+def build_mask(overlay: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:
+    """Painted pixels of every tile that has an overlay (sparse: class 0 is left out)."""
+    return painted_pixels(painted_rows(overlay, tiles, grid))
 
 
 def dense(mask: DataFrame, tiles: DataFrame, grid: int) -> DataFrame:

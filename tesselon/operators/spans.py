@@ -142,14 +142,18 @@ def spans(grid: int, areas: bool):
 
 
 def _rows_of(tile: object, kind: pa.DataType, rank: np.ndarray) -> pa.RecordBatch:
-    """The painted rows of a tile's grid, their ranks as bytes."""
+    """The painted rows of a tile's grid, their ranks as bytes; the first, if none is painted."""
     y = np.flatnonzero(rank.any(axis=1))
+    y = y if len(y) else np.zeros(1, np.int64)
     return pa.RecordBatch.from_arrays([pa.array([tile] * len(y), kind), pa.array(y.astype(np.int32)), pa.array([rank[i].tobytes() for i in y], pa.binary())], names=["tile_id", "y", "ranks"])
 
 
 def painted(grid: int):
-    """Rows (tile_id, is_area, rank, px, radius) in order of tiles -> (tile_id, y, ranks): the highest rank of each
-    pixel as 64-bit numbers, 0 where none is.  One grid is held at a time."""
+    """Rows (tile_id, is_area, rank, px, radius) in order of tiles, the highest ranks first -> (tile_id, y, ranks):
+    the highest rank of each pixel as 64-bit numbers, 0 where none is.  One grid is held at a time.
+
+    A way below every pixel's rank can change none, nor can those after it in its tile.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, kind, best = None, None, None
@@ -171,6 +175,8 @@ def painted(grid: int):
                 flat = best.reshape(-1)
                 for part in _portions(np.diff(first[begin : end + 1]) * grid):
                     lo, hi = begin + part.start, begin + part.stop
+                    if rank[lo] < flat.min():
+                        break
                     if area[begin]:
                         _paint_spans(flat, rank[lo:hi], *area_spans(first[lo : hi + 1], x, y, grid), grid)
                     else:
@@ -188,26 +194,34 @@ def _paint_spans(flat: np.ndarray, rank: np.ndarray, way: np.ndarray, y: np.ndar
         np.maximum.at(flat, at, rank[way[part]][which])
 
 
-def highest(grid: int):
-    """Rows (tile_id, y, ranks) in that order -> (tile_id, y, x, rank) of painted pixels, the highest of equal rows."""
-
-    def pixels(key: tuple, kind: pa.DataType, best: np.ndarray) -> pa.RecordBatch:
-        x = np.flatnonzero(best)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(x), kind), pa.array(np.full(len(x), key[1], np.int32)), pa.array(x.astype(np.int32)), pa.array(best[x])], names=["tile_id", "y", "x", "rank"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kind, best = None, None, None
-        for batch in batches:
-            kind = batch.column("tile_id").type
-            for tile, y, ranks in zip(*(batch.column(c) for c in ("tile_id", "y", "ranks")), strict=True):
-                own, row = (tile.as_py(), y.as_py()), np.frombuffer(ranks.as_buffer(), np.int64)
-                if own == key:
-                    best = np.maximum(best, row)
-                    continue
-                if best is not None:
-                    yield pixels(key, kind, best)
-                key, best = own, row
-        if best is not None:
-            yield pixels(key, kind, best)
-
-    return run
+def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile_id, y, ranks) in that order -> (tile_id, y, classes), of the highest of equal rows: a byte for each
+    pixel, its class and 1, or 0 where nothing is painted."""
+
+    def row(key: tuple, kind: pa.DataType, best: np.ndarray) -> pa.RecordBatch:
+        code = np.where(best == 0, 0, (best & 15) + 1).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], kind), pa.array([key[1]], pa.int32()), pa.array([code.tobytes()], pa.binary())], names=["tile_id", "y", "classes"])
+
+    key, kind, best = None, None, None
+    for batch in batches:
+        kind = batch.column("tile_id").type
+        for tile, y, ranks in zip(*(batch.column(c) for c in ("tile_id", "y", "ranks")), strict=True):
+            own, ranks = (tile.as_py(), y.as_py()), np.frombuffer(ranks.as_buffer(), np.int64)
+            if own == key:
+                best = np.maximum(best, ranks)
+                continue
+            if best is not None:
+                yield row(key, kind, best)
+            key, best = own, ranks
+    if best is not None:
+        yield row(key, kind, best)
+
+
+def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``highest`` -> (tile_id, y, x, class) of painted pixels."""
+    for batch in batches:
+        for i, classes in enumerate(batch.column("classes")):
+            code = np.frombuffer(classes.as_buffer(), np.uint8)
+            x = np.flatnonzero(code)
+            place = pa.array(np.full(len(x), i))
+            yield pa.RecordBatch.from_arrays([batch.column("tile_id").take(place), batch.column("y").take(place), pa.array(x.astype(np.int32)), pa.array(code[x].astype(np.int32) - 1)], names=["tile_id", "y", "x", "class"])

@@ -227,9 +227,9 @@ def _pixelised(spark, d) -> DataFrame:
 
 
 def _mask(spark, d, grid: int = GRID) -> tuple[DataFrame, DataFrame]:
-    """Painted pixels, and the tiles that have an overlay, which is made once."""
-    found = files.checkpointed(_overlay(spark, d))
-    return raster.build_mask(found, view(spark, d, "tiles"), grid), found.select("tile_id").distinct()
+    """Painted pixels, and the tiles that have an overlay; what is kept for both is the painted rows, not the ways."""
+    rows = files.checkpointed(raster.painted_rows(_overlay(spark, d), view(spark, d, "tiles"), grid))
+    return raster.painted_pixels(rows), rows.select("tile_id").distinct()
 
 
 def _dense(spark, d) -> DataFrame:
@@ -537,7 +537,7 @@ def buffered_polyline(spark, d):
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(class AS INTEGER) AS class FROM painted")
 def paint_mask(spark, d):
-    return _mask(spark, d)[0]
+    return raster.build_mask(_overlay(spark, d), view(spark, d, "tiles"), GRID)
 
 
 @query(f"WITH {_MASK} SELECT tile_id, CAST(class AS INTEGER) AS class, count(*) AS n FROM full_grid GROUP BY 1, 2")
