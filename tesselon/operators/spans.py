@@ -33,7 +33,11 @@ def _portions(cost: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def area_spans(first: np.ndarray, x: np.ndarray, y: np.ndarray, grid: int) -> tuple[np.ndarray, ...]:
+#: (rank of each way, lowest rank of each row of the grid): rows that a way cannot change are passed over.
+Above = tuple[np.ndarray, np.ndarray]
+
+
+def area_spans(first: np.ndarray, x: np.ndarray, y: np.ndarray, grid: int, above: Above | None = None) -> tuple[np.ndarray, ...]:
     """(way, y, a, b) of pixels inside, by the even-odd rule: crossings of a row, in pairs, bound spans.
 
     Way i has the vertices ``first[i]`` to ``first[i + 1]``; those with less than three have no inside.
@@ -46,6 +50,9 @@ def area_spans(first: np.ndarray, x: np.ndarray, y: np.ndarray, grid: int) -> tu
     kept = (yi != yj) & (size[way] >= 3)
     way, xi, yi, xj, yj = (v[kept] for v in (way, xi, yi, xj, yj))
     edge, row = ranges(np.minimum(yi, yj), np.maximum(yi, yj) - 1)
+    if above is not None:
+        kept = above[0][way[edge]] > above[1][row]
+        edge, row = edge[kept], row[kept]
     slope = (row - yi[edge]).astype(np.float32) / (yj - yi).astype(np.float32)[edge]
     cross = (xj - xi).astype(np.float32)[edge] * slope + xi.astype(np.float32)[edge]
     # crossings are not negative, so their bits are in their order
@@ -57,7 +64,7 @@ def area_spans(first: np.ndarray, x: np.ndarray, y: np.ndarray, grid: int) -> tu
     return line[kept] // grid, line[kept] % grid, a[kept], b[kept]
 
 
-def line_pixels(first: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray, grid: int) -> tuple[np.ndarray, ...]:
+def line_pixels(first: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray, grid: int, above: Above | None = None) -> tuple[np.ndarray, ...]:
     """(way, y, x) of pixels whose centre lies within the radius of a segment; near several, several times.
 
     A row of a segment lists the pixels between the ends of its outline there, not its whole box: the
@@ -73,6 +80,9 @@ def line_pixels(first: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndar
     r = radius[way].astype(np.float32)
     low, high = (np.clip(v, 0, grid - 1).astype(np.int64) for v in (np.floor(np.minimum(y0, y1) - r), np.ceil(np.maximum(y0, y1) + r)))
     seg, row = ranges(low, high)
+    if above is not None:
+        kept = above[0][way[seg]] > above[1][row]
+        seg, row = seg[kept], row[kept]
     left, right = _outline(*(v[seg].astype(np.float64) for v in (x0, y0, x1, y1, r)), row + 0.5)
     kept = np.isfinite(left)
     seg, row = seg[kept], row[kept]
@@ -152,7 +162,8 @@ def painted(grid: int):
     """Rows (tile_id, is_area, rank, px, radius) in order of tiles, the highest ranks first -> (tile_id, y, ranks):
     the highest rank of each pixel as 64-bit numbers, 0 where none is.  One grid is held at a time.
 
-    A way below every pixel's rank can change none, nor can those after it in its tile.
+    A way below every pixel's rank can change none, nor can those after it in its tile; nor can a way change a row
+    of which that holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +188,12 @@ def painted(grid: int):
                     lo, hi = begin + part.start, begin + part.stop
                     if rank[lo] < flat.min():
                         break
+                    # the last pixel of a row lies in no area, as their spans end before their vertices
+                    above = rank[lo:hi], (best[:, : max(1, grid - 1)] if area[begin] else best).min(axis=1)
                     if area[begin]:
-                        _paint_spans(flat, rank[lo:hi], *area_spans(first[lo : hi + 1], x, y, grid), grid)
+                        _paint_spans(flat, rank[lo:hi], *area_spans(first[lo : hi + 1], x, y, grid, above), grid)
                     else:
-                        way, row, px = line_pixels(first[lo : hi + 1], x, y, radius[lo:hi], grid)
+                        way, row, px = line_pixels(first[lo : hi + 1], x, y, radius[lo:hi], grid, above)
                         np.maximum.at(flat, row * grid + px, rank[lo:hi][way])
         if best is not None:
             yield _rows_of(tile, kind, best)
