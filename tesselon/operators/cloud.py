@@ -9,10 +9,18 @@ from tesselon.sources import files
 
 #: Keys that points without a pixel are spread over.
 NOWHERE = 4096
-#: Painted pixels up to this count are sent to every task.
+#: Painted pixels, or rows and runs of masks, up to this count are sent to every task.
 BROADCAST_PIXELS = 1 << 18
 
 
+def sent(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``rows`` computed once and counted (by ``weight``): few are sent to every task, so that what meets them needs
+    no shuffle."""
+    kept = files.checkpointed(rows)
+    n = kept.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(kept) if n <= BROADCAST_PIXELS else kept
+
+
 def sample_pixel(value: Column, low: Column, high: Column, size: int | Column, mode: str = "clamp") -> Column:
     """The mask index of a coordinate; outside the extent the border (clamp) or null (zero)."""
     u = (value - low) / (high - low + 1e-12)
@@ -30,8 +38,8 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     ``raster.runs_by_row`` gives them.  Points are read once: the tile's extent is joined to them, and only
     where there is one and no label of their own do they get a pixel.  The lookup is an equi-join on tile
     and pixel, or on tile and row, in whose runs the last that begins at or before the pixel is taken.
-    Points without a pixel are spread over keys that no mask has.  Pixels are computed once and counted: few
-    are sent to every task, so that points need no shuffle; beyond ``BROADCAST_PIXELS`` both sides are dealt out.
+    Points without a pixel are spread over keys that no mask has.  Pixels and runs are computed once and counted:
+    few are sent to every task, so that points need no shuffle; beyond ``BROADCAST_PIXELS`` both sides are dealt out.
     """
     rows = points.join(extents.withColumn("_masked", F.lit(True)), key, "left")
     wanted = F.col("label").isNull() & F.col("_masked")
@@ -42,12 +50,12 @@ def label_points(points: DataFrame, mask: DataFrame, extents: DataFrame, grid: i
     nowhere = -1 - F.pmod(F.xxhash64("ex", "ey", "ez"), F.lit(NOWHERE)).cast("int")
     rows = rows.withColumns({"_x": sample_pixel(F.col("_d.lon"), ends[0], ends[1], grid, mode), "_y": F.coalesce(sample_pixel(F.col("_d.lat"), ends[2], ends[3], grid if height is None else height, mode), nowhere)})
     if "runs" in mask.columns:
-        looked = rows.join(mask.select(key, F.col("y").alias("_y"), F.col("runs").alias("_runs")), [key, "_y"], "left")
+        runs = sent(mask.select(key, F.col("y").alias("_y"), F.col("runs").alias("_runs")), 1 + F.size("_runs"))
+        looked = rows.join(runs, [key, "_y"], "left")
         found = F.try_element_at(F.filter("_runs", lambda r: r["x"] <= F.col("_x")), F.lit(-1))["class"]
     else:
         rows = rows.withColumn("_x", F.coalesce("_x", nowhere))
-        pixels = files.checkpointed(mask.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("class").alias("_class")))
-        pixels = F.broadcast(pixels) if pixels.count() <= BROADCAST_PIXELS else pixels
+        pixels = sent(mask.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("class").alias("_class")))
         looked, found = rows.join(pixels, [key, "_y", "_x"], "left"), F.col("_class")
     return looked.withColumn("label", F.coalesce("label", F.when(wanted, found), F.lit(0))).select(points.columns)
 

@@ -752,7 +752,9 @@ def conversion_labels(spark, d):
     made = convert.convert(spark, f"{folder}/in", f"{folder}/out", f"{folder}/index", _written_map(spark, d), convert.Options(grid=GRID))
     made.write.format("noop").mode("overwrite").save()
     points, _ = load.load(spark, f"{folder}/out")
-    return points.groupBy(names.stem(F.col("path")).alias("name"), "label").agg(F.count("*").alias("n"))
+    # a file's name is taken from its path once, not for each point
+    counts = points.groupBy("path", "label").agg(F.count("*").alias("n"))
+    return counts.groupBy(names.stem(F.col("path")).alias("name"), "label").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {ctes('points')} SELECT 'points' AS step, count(*) AS items, {', '.join(f'{big(f"{f}({c})*1e3")} AS {f}_{c}' for c in ('ex', 'ey', 'ez', 'h_m') for f in ('min', 'max'))} FROM {ECEF.format(src='points')}")

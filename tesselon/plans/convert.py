@@ -42,7 +42,7 @@ def plan_work(spark: SparkSession, folder: str, index: str | None, options: Opti
 
 
 def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options, scratch: files.Scratch) -> DataFrame:
-    """Features that touch each padded tile; every tile needs a box."""
+    """Features that touch each padded tile; every tile needs a box.  What is returned is not stored."""
     boxed = work.filter(F.coalesce("lon_min", F.raise_error(F.lit("a map overlay needs a box for every tile")).cast("double")).isNotNull())
     padded = spatial.pad_tiles(boxed, options.margin_m)
     # nodes outside all boxes together cannot be kept: one row of bounds sifts them before the join
@@ -57,14 +57,14 @@ def overlays(spark: SparkSession, work: DataFrame, osm: str, options: Options, s
     refs = classed.select("way_id", F.posexplode("refs").alias("seq", "node_id"))
     placed = spatial.features(kinds.withColumnRenamed("seq", "place"), refs, kept)
     # paint order is file order
-    return scratch.stored(placed.select("tile_id", F.col("place").alias("way_id"), "class", "width_m", "is_area", "verts"), "overlay")
+    return placed.select("tile_id", F.col("place").alias("way_id"), "class", "width_m", "is_area", "verts")
 
 
 def convert(spark: SparkSession, folder: str, output: str, index: str | None = None, osm: str | None = None, options: Options | None = None) -> DataFrame:
     """Convert and write; returns (prefix, file, bytes) of what was written, once all of it is.
 
-    Tiles are the unit of a file, so a tile's points meet in one row at the very end; all before that
-    works on points and pixels and is dealt by tile.
+    Tiles are the unit of a file, into which one task writes a tile's points as a stream of pieces; no row
+    and no task holds them.  Points keep the order in which they were parsed, and are not shuffled before that.
     """
     with files.Scratch(spark) as scratch:
         return _converted(spark, folder, output, index, osm, options or Options(), scratch)
@@ -76,30 +76,35 @@ def _converted(spark: SparkSession, folder: str, output: str, index: str | None,
     work = scratch.stored(work if o.overwrite else sinks.skip_existing(work, output), "work")
     if work.isEmpty():
         return spark.createDataFrame([], "prefix string, file string, bytes long")
-    # written, so that what needs all vertices of a tile before the next step does not parse files again
-    vertices = scratch.stored(obj.read_vertices(spark, work, keep=lambda rows: scratch.stored(rows, "parsed")).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z"), "vertices")
+    # written, so that what needs all vertices of a tile before the next step does not parse files again; and what has a
+    # row for each tile, so that its size is known and points need no shuffle to meet it
+    vertices = obj.read_vertices(spark, work, keep=lambda rows: scratch.stored(rows, "parsed")).join(work.select("path", "prefix"), "path").select("prefix", "vid", "x", "y", "z")
     systems = vertices.select("prefix").distinct().withColumn("cs", F.lit(o.system)) if o.system else tiling.detect_system(vertices, "prefix")
+    systems = scratch.stored(systems, "systems")
     boxes = work.select("prefix", "lon_min", "lat_min", "lon_max", "lat_max")
     points = scratch.stored(tiling.to_ecef(vertices, systems, boxes, "prefix"), "points")
     anchored = scratch.stored(tiling.anchors(points, "prefix", o.units_per_metre), "anchors")
-    offs = tiling.offsets(points, anchored, "prefix")
-    rows = offs.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "dx", "dy", "dz"))), lambda p: F.struct(p.dx.alias("dx"), p.dy.alias("dy"), p.dz.alias("dz"), F.lit(None).cast("smallint").alias("label"))).alias("points"))
-    degrees = vertices.join(systems.filter("cs = 'geodetic'"), "prefix").groupBy("prefix").agg(*[f(c).alias(n) for c, f, n in (("x", F.min, "g0"), ("x", F.max, "g1"), ("y", F.min, "g2"), ("y", F.max, "g3"))])
+    offs = tiling.offsets(points, anchored, "prefix").select("prefix", F.lit(False).alias("labelled"), "vid", "dx", "dy", "dz", F.lit(None).cast("smallint").alias("label"))
+    # the points' own bounds stand in for a box; with an index every tile has one
+    unboxed = vertices.join(systems.filter("cs = 'geodetic'"), "prefix") if index is None else vertices.limit(0)
+    degrees = unboxed.groupBy("prefix").agg(*[f(c).alias(n) for c, f, n in (("x", F.min, "g0"), ("x", F.max, "g1"), ("y", F.min, "g2"), ("y", F.max, "g3"))])
     box = [F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")]
     extent = tiling.choose_extent(box, [F.col(f"g{i}") for i in range(4)]) if o.write_extent else F.lit(None).cast("struct<lon_min:int,lon_max:int,lat_min:int,lat_max:int>")
-    out = anchored.join(rows, "prefix").join(boxes, "prefix").join(degrees, "prefix", "left").withColumn("extent", extent)
+    out = anchored.join(boxes, "prefix").join(degrees, "prefix", "left").withColumn("extent", extent)
     if osm is not None and o.write_mask:
-        out = out.join(mask_column(overlays(spark, work, osm, o, scratch), work, o), "prefix", "left")
+        out = out.join(mask_column(overlays(spark, work, osm, o, scratch), work, o, scratch), "prefix", "left")
     else:
         out = out.withColumn("mask", F.lit(None).cast("struct<width:int,height:int,coord_space:smallint,encoding:smallint,palette:array<struct<class:smallint,precedence:smallint>>,data:binary>"))
-    tiles = out.select("prefix", F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.col("prefix")).alias("tile_key"), F.lit(False).alias("labelled"), "points", "extent", "mask")
-    return sinks.write_tiles(tiles, output, overwrite=True)
+    tiles = out.select("prefix", "n", F.col("upm").alias("units_per_metre"), "ax", "ay", "az", names.tile_key(F.col("prefix")).alias("tile_key"), F.lit(False).alias("labelled"), "extent", "mask")
+    return sinks.write_points(tiles, offs, output, overwrite=True, order="vid")
 
 
-def mask_column(overlay: DataFrame, work: DataFrame, options: Options) -> DataFrame:
+def mask_column(overlay: DataFrame, work: DataFrame, options: Options, scratch: files.Scratch) -> DataFrame:
     """(prefix, mask): a tile's runs as the bytes of its mask; at most grid x grid of them."""
     g = options.grid
-    runs = raster.painted_runs(raster.build_mask(overlay, work, g), overlay.select("tile_id").distinct(), g)
+    # painted rows are stored, not the ways, which take more; every tile that has an overlay has a row
+    rows = scratch.stored(raster.painted_rows(overlay, work, g), "painted")
+    runs = raster.painted_runs(raster.painted_pixels(rows), rows.select("tile_id").distinct(), g)
     ordered = F.array_sort(F.collect_list(F.struct("start", "len", "class")))
     code = F.when(F.lit(options.compress_mask), F.lit(codec.RUNS)).otherwise(F.lit(codec.RAW))
 

@@ -42,7 +42,7 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = masked.select("path", F.col("mask.width").alias("width"), F.col("mask.height").alias("height"), *[F.col(f"extent.{c}").alias(f"{c}_q7") for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
     grid = masked.select("path", F.col("mask.width").alias("width"), F.col("mask.encoding").cast("int").alias("encoding"), F.col("mask.data").alias("data")).mapInArrow(_rows_of_runs, "path string, y int, runs array<struct<x:int,class:int>>")
     columns = ["path", "pid", "dx", "dy", "dz", "units_per_metre", "ax", "ay", "az", "ex", "ey", "ez", "label"]
-    points = cloud.label_points(metres.select(*columns).withColumn("label", F.col("label").cast("int")), grid, sizes, F.col("width"), "path", height=F.col("height"))
+    points = cloud.label_points(metres.select(*columns).withColumn("label", F.col("label").cast("int")), grid, cloud.sent(sizes), F.col("width"), "path", height=F.col("height"))
     return points, summary(spark, folder)
 
 

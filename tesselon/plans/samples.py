@@ -6,7 +6,7 @@ part of a map each.
 
 from __future__ import annotations
 
-import io
+import contextlib
 import itertools
 import struct
 import zipfile
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,20 +44,39 @@ def _written(rows: DataFrame, folder: str, content: Callable[[Iterable[tuple]],
 
 
 def write_meshes(lines: DataFrame, folder: str) -> None:
-    """A mesh for each ``file`` of rows (file, line_no, line): text, or an archive where the name says so."""
-
-    def content(rows: Iterable[tuple]) -> Iterator[tuple[str, bytes]]:
-        for name, own in itertools.groupby(rows, key=lambda r: r[0]):
-            text = "".join(f"{r[2]}\n" for r in own).encode()
-            if name.endswith(".zip"):
-                packed = io.BytesIO()
-                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+    """A mesh for each ``file`` of rows (file, line_no, line): text, or an archive where the name says so.
+
+    Rows stream into the files in order; no file is held.
+    """
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Buffer]]:
+        for batch in batches:
+            own = batch.column(0).dictionary_encode()
+            code = own.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for begin, end in itertools.pairwise(cuts):
+                if begin < end:
+                    some = pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), batch.column(1).slice(begin, end - begin).fill_null(""))
+                    yield own.dictionary[code[begin]].as_py(), pc.binary_join(some, "\n")[0].as_buffer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = files.filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        attempt = str(TaskContext.get().taskAttemptId())
+        for name, own in itertools.groupby(texts(batches), key=lambda t: t[0]):
+            with contextlib.ExitStack() as open_:
+                f = open_.enter_context(files.appearing(fs, f"{root}/{name}", attempt))
+                if name.endswith(".zip"):
+                    z = open_.enter_context(zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED))
                     z.writestr("readme.txt", "v 0 0 0")
-                    z.writestr("mesh.OBJ", text)
-                text = packed.getvalue()
-            yield name, text
+                    f = open_.enter_context(z.open("mesh.OBJ", "w", force_zip64=True))
+                for _, text in own:
+                    f.write(text)
+                    f.write(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
 
-    _written(lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no"), folder, content)
+    rows = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
+    rows.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
 
 
 def write_index(tiles: DataFrame, folder: str) -> None:

@@ -350,21 +350,25 @@ def encode_tiles(tiles: DataFrame, key: str = "path") -> DataFrame:
 
 #: Points of a file that are written as one piece, that one task reads, and that are read at once.
 PIECE, SPLIT, STEP = 1 << 8, 1 << 20, 1 << 16
+#: The part that stands after a file's points.
+LAST_PART = 1 << 62
 
 
-def encode_pieces(tiles: DataFrame, points: DataFrame, key: str) -> DataFrame:
+def encode_pieces(tiles: DataFrame, points: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """(key, part, content): pieces of files, which by their parts in order are a file's bytes.
 
     ``tiles`` has a row for each file: the columns of a tile and, in place of its points, ``n``, their number;
     ``points`` are rows (key, labelled, dx, dy, dz, label), in any order, as they stay.  The first part, 0, is
-    what stands before the points, the last what stands after them.
+    what stands before the points, the last what stands after them.  With ``order``, a column of whole numbers of
+    which a file's points have each from 0 on once, the parts put them in that order: a piece holds points that
+    follow one another, so pieces are long where the rows come in order, and right in any.
     """
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 ends = frame(from_batch(batch, at), batch.column("n")[at].as_py(), bool(batch.column("labelled")[at].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[at].as_py()] * 2, pa.string()), pa.array([0, 2], pa.int32()), pa.array(ends, pa.binary())], names=[key, "part", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(key)[at].as_py()] * 2, pa.string()), pa.array([0, LAST_PART], pa.int64()), pa.array(ends, pa.binary())], names=[key, "part", "content"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,21 +376,26 @@ def encode_pieces(tiles: DataFrame, points: DataFrame, key: str) -> DataFrame:
                 continue
             own = batch.column(key).dictionary_encode()
             code = own.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            code, place = code[order], np.stack([batch.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)[order]
-            labelled = batch.column("labelled").to_numpy(zero_copy_only=False)[order]
-            label = batch.column("label").fill_null(0).to_numpy()[order].astype(np.uint8)
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            turn = batch.column("turn").to_numpy()
+            to = np.lexsort((turn, code))
+            code, turn, place = code[to], turn[to], np.stack([batch.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)[to]
+            labelled = batch.column("labelled").to_numpy(zero_copy_only=False)[to]
+            label = batch.column("label").fill_null(0).to_numpy()[to].astype(np.uint8)
+            fresh = np.diff(code) != 0
+            if order is not None:
+                fresh |= np.diff(turn) != 1
+            cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(code)]
             bounds = [(i, min(i + PIECE, end)) for begin, end in itertools.pairwise(cuts) for i in range(begin, end, PIECE)]
             names = own.dictionary.take(pa.array([code[i] for i, _ in bounds]))
             content = [_point_bytes(place[i:j], label[i:j] if labelled[i] else None) for i, j in bounds]
-            yield pa.RecordBatch.from_arrays([names, pa.array([1] * len(bounds), pa.int32()), pa.array(content, pa.binary())], names=[key, "part", "content"])
+            parts = [1 + int(turn[i]) for i, _ in bounds]
+            yield pa.RecordBatch.from_arrays([names, pa.array(parts, pa.int64()), pa.array(content, pa.binary())], names=[key, "part", "content"])
 
-    schema = f"`{key}` string, part int, content binary"
+    schema = f"`{key}` string, part long, content binary"
     columns = [c.name for c in _ARROW if c.name not in ("path", "error", "points")]
     points_of_none = F.lit(None).cast("array<struct<dx:int,dy:int,dz:int,label:smallint>>").alias("points")
     whole = tiles.select(F.col(key).cast("string").alias(key), *columns, points_of_none, F.col("n").cast("long").alias("n"))
-    rows = points.select(F.col(key).cast("string").alias(key), "labelled", "dx", "dy", "dz", F.col("label").cast("int").alias("label"))
+    rows = points.select(F.col(key).cast("string").alias(key), "labelled", "dx", "dy", "dz", F.col("label").cast("int").alias("label"), F.lit(0).cast("long").alias("turn") if order is None else F.col(order).cast("long").alias("turn"))
     return whole.mapInArrow(frames, schema).unionByName(rows.mapInArrow(pieces, schema))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,10 +68,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
     """Write under a temporary name, then move: a reader never sees half a file."""
+    with appearing(fs, path, attempt) as out:
+        out.write(data)
+
+
+@contextlib.contextmanager
+def appearing(fs: pafs.FileSystem, path: str, attempt: str) -> Iterator[pa.NativeFile]:
+    """A stream into a temporary name, which is moved once all is written."""
     folder, _, name = path.rpartition("/")
     temporary = f"{folder}/.{name}.{attempt}"
     with fs.open_output_stream(temporary, compression=None) as out:
-        out.write(data)
+        yield out
     move(fs, temporary, path)
 
 

@@ -124,21 +124,25 @@ def read_lines(spark: SparkSession, paths: str | DataFrame, split: int = SPLIT)
     return parts.repartition(max(1, min(parts.count(), 1 << 16))).mapInArrow(_lines, "path string, part long, line_no long, line string")
 
 
-def numbered(rows: DataFrame, group: str = "path", part: str = "part", order: str = "line_no") -> DataFrame:
+def numbered(rows: DataFrame, group: str = "path", part: str = "part", order: str = "place", keep: Callable[[DataFrame], DataFrame] = files.checkpointed) -> DataFrame:
     """``rows`` with ``vid``, their place in the group: places within parts, and the counts of the parts before.
 
-    ``rows`` is read twice, and must give the same both times.
+    ``order`` counts a part's rows from any number on, without a gap, so a part gathers no rows and none is sorted.
+    ``rows`` is read twice, and must give the same both times; ``keep`` holds a row for each part.
     """
-    place = F.row_number().over(Window.partitionBy(group, part).orderBy(order)) - 1
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(group, part).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return rows.withColumn("_place", place).join(offsets, [group, part]).withColumn("vid", F.col("_before") + F.col("_place")).drop("_before", "_place")
+    parts = rows.groupBy(group, part).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    shift = parts.select(group, part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(keep(shift), [group, part]).withColumn("vid", F.col(order) + F.col("_shift")).drop("_shift")
 
 
 def read_vertices(spark: SparkSession, paths: str | DataFrame, strict: bool = True, keep: Callable[[DataFrame], DataFrame] = files.checkpointed, split: int = SPLIT) -> DataFrame:
     """(path, vid, x, y, z), ``vid`` counting a file's finite vertices in order.
 
-    Files are parsed once: ``keep`` holds what was parsed until it is numbered.
+    Files are parsed once: ``keep`` holds what was parsed until it is numbered.  Rows come in the order in which
+    they were parsed.
     """
-    rows = vertices(read_lines(spark, paths, split), strict=strict).select("path", "part", "line_no", "x", "y", "z")
-    return numbered(keep(rows)).select("path", "vid", "x", "y", "z")
+    rows = vertices(read_lines(spark, paths, split), strict=strict)
+    # a part is read by one task, line by line, so the numbers of its vertices there have no gap
+    rows = rows.select("path", "part", F.monotonically_increasing_id().alias("place"), "x", "y", "z")
+    return numbered(keep(rows), keep=keep).select("path", "vid", "x", "y", "z")

@@ -123,17 +123,17 @@ def write_tiles(tiles: DataFrame, folder: str, prefix: str = "prefix", overwrite
     return _write(codec.encode_tiles(work, prefix).withColumn("part", F.lit(0)), folder, prefix)
 
 
-def write_points(tiles: DataFrame, points: DataFrame, folder: str, prefix: str = "prefix", overwrite: bool = False) -> DataFrame:
+def write_points(tiles: DataFrame, points: DataFrame, folder: str, prefix: str = "prefix", overwrite: bool = False, order: str | None = None) -> DataFrame:
     """``write_tiles`` of tiles whose points are rows of their own, as for ``codec.encode_pieces``.
 
-    A tile's points stream by in pieces and are never held together; their order in the file is open.  Points
-    without a tile are an error, but without ``overwrite`` those of files that stay are passed over.
+    A tile's points stream by in pieces and are never held together; their order in the file is that of the column
+    ``order``, or open.  Points without a tile are an error, but without ``overwrite`` those of files that stay are passed over.
     """
     work = tiles
     if not overwrite:
         work = skip_existing(tiles, folder, prefix)
         points = points.join(work.select(prefix), prefix, "left_semi")
-    pieces = codec.encode_pieces(work, points, prefix)
+    pieces = codec.encode_pieces(work, points, prefix, order)
     return _write(pieces.repartition(prefix).sortWithinPartitions(prefix, "part"), folder, prefix)
 
 
