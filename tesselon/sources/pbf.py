@@ -19,6 +19,8 @@ from tesselon.sources import files
 
 #: Bytes of a file whose blocks one task lists.
 SPLIT = 64 << 20
+#: Blocks that a task reads one each, and how many a task reads where there are more.
+APART, TOGETHER = 256, 16
 #: The longest header that the format allows (fixed value), and how a header names its type.
 LONGEST_HEAD = 64 << 10
 _TYPE = re.compile(rb"\x0a\x07OSMData|\x0a\x09OSMHeader")
@@ -153,7 +155,12 @@ def blocks(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("path", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = listed.groupBy("path", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # a row for each range
     numbered = listed.join(counts, ["path", "part"]).select("path", (F.col("before") + F.col("place")).alias("block"), "offset", "size")
-    return numbered.repartition(max(1, min(listed.count(), 4096)), "block")
+    return numbered.repartition(_tasks(listed.count()), "block")
+
+
+def _tasks(n: int) -> int:
+    """Tasks for ``n`` blocks, which are small: one each for few, several for many."""
+    return max(1, min(n, APART), min(n // TOGETHER, 4096))
 
 
 def decode(blob: bytes) -> bytes:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.plans import convert, load, samples
-from tesselon.sources import codec, files, obj, sinks
+from tesselon.sources import codec, files, obj, pbf, sinks
 
 
 def test_points_of_a_tile_are_written_in_pieces_in_order(spark, tmp_path, monkeypatch):
@@ -84,3 +84,8 @@ def test_loaded_points_are_not_dealt_out(spark, tmp_path):
         assert [r.label for r in points.collect()] == [5, 5]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_for_the_blocks_of_a_map():
+    """A task of its own for each of thousands of small blocks took longer to start than to read."""
+    assert [pbf._tasks(n) for n in (0, 1, 25, 256, 1250, 7500, 10**6)] == [1, 1, 25, 256, 256, 468, 4096]
